@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontaminate, packing, token_files, tokens
+from . import common, decontaminate, media, packing, token_files, tokens
+
+
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(media.store_texts(common.table(spark, sf_dir, "documents")))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +48,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_token_files, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
