@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, decontaminate, media, packing, token_files, tokens
+from . import common, decontaminate, langid, media, packing, token_files, tokens, url_filter
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +48,46 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
+#: First labels of hosts whose pages make up the list of URLs.
+LISTED = r"^((www|m)\.)?(adult-x|casino-win|spam-farm)\."
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = common.table(spark, sf_dir, "pages")
+    host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
+    listed = pages.where(host.rlike(LISTED)).select(url_filter.canonical(host, path).alias("url"))
+    return url_filter.judge(pages, listed, RULES).drop("possible_hit")
+
+
+OP10_SQL = r"""
+WITH parts AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+split AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
+canon AS (
+  SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/+)$', '') AS c FROM split),
+listed AS (SELECT DISTINCT c FROM canon WHERE regexp_matches(host, '^((www|m)\.)?(adult-x|casino-win|spam-farm)\.')),
+rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+ruled AS (
+  SELECT page_id, host, path, c, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS ruled
+  FROM canon LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id, host, path, c)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN c IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict FROM ruled
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op7_best_fit_packing, op9_language_id, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op10_url_filter": OP10_SQL}
