@@ -2,42 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.shared import materialize, new_path, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="millrace-")  # one machine: tests
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, so that a lost executor costs no recomputation."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text column of each holds about most_bytes at most, or one row."""
     for batch in batches:
@@ -51,3 +29,34 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: in
                 start, held = i, 0
             held += n
         yield batch.slice(start)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """Columns (integers without nulls) of sorted rows, cut only between groups of equal keys.
+
+    A group of more than most rows comes in parts instead, each alone and marked with True.
+    """
+    held: dict[str, np.ndarray] = {}
+    over: dict | None = None  # key of a group that comes in parts
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = {n: batch.column(i).to_numpy(zero_copy_only=False) for i, n in enumerate(batch.schema.names)}
+        now = {n: np.concatenate([held[n], c]) for n, c in now.items()} if held else now
+        held = {}
+        if over:
+            n = int(np.logical_and.reduce([now[k] == over[k] for k in keys]).sum())
+            if n:
+                yield {k: c[:n] for k, c in now.items()}, True
+            if n == len(now[keys[0]]):
+                continue
+            now, over = {k: c[n:] for k, c in now.items()}, None
+        last = int(np.logical_and.reduce([now[k] == now[k][-1] for k in keys]).sum())
+        if last < len(now[keys[0]]):
+            yield {k: c[:-last] for k, c in now.items()}, False
+        held = {k: c[-last:] for k, c in now.items()}
+        if last > most:
+            yield held, True
+            over, held = {k: held[k][0] for k in keys}, {}
+    if held:
+        yield held, False
