@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, media, packing, simhash, token_files, tokens, url_filter
+from . import common, decontaminate, langid, line_runs, media, packing, simhash, token_files, tokens, url_filter
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,35 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(line_runs.remove_later_copies(common.table(spark, sf_dir, "documents")))
+
+
+OP6_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, i, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM (SELECT doc_id, t AS line, i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents), LATERAL (SELECT unnest(parts) AS t, generate_subscripts(parts, 1) AS i))),
+ls AS (
+  SELECT doc_id, i, words, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+         row_number() OVER w AS pos, sum(words) OVER w AS upto FROM raw WHERE words > 0 WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+starts AS (
+  SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM ls a JOIN ls b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.upto - a.upto + a.words >= 50 GROUP BY ALL),
+ends AS (
+  SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM ls a JOIN ls b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 49 AND b.upto - a.upto + a.words >= 50 GROUP BY b.doc_id, b.pos),
+wins AS (SELECT * FROM starts UNION SELECT * FROM ends),
+texts AS (
+  SELECT w.doc_id, w.s, w.e, string_agg(l.line, chr(10) ORDER BY l.pos) AS run FROM wins w JOIN ls l ON l.doc_id = w.doc_id AND l.pos BETWEEN w.s AND w.e GROUP BY ALL),
+later AS (SELECT doc_id, s, e FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, s) AS nth FROM texts) WHERE nth > 1),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM ls l JOIN later x ON l.doc_id = x.doc_id AND l.pos BETWEEN x.s AND x.e),
+fate AS (
+  SELECT r.doc_id, r.i, r.line, r.words, last_value(CASE WHEN r.words > 0 THEN g.i IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY r.doc_id ORDER BY r.i) AS drop_it
+  FROM raw r LEFT JOIN gone g ON r.doc_id = g.doc_id AND r.i = g.i)
+SELECT doc_id, count(*) FILTER (words > 0) AS n_lines, count(*) FILTER (words > 0 AND drop_it) AS n_gone,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT coalesce(drop_it, false)), '')) AS text_sha256
+FROM fate GROUP BY doc_id
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), tokens.default_path())
 
@@ -90,8 +119,8 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN c IN (SELECT c FROM
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
