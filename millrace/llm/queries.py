@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, line_runs, media, packing, simhash, token_files, tokens, url_filter
+from . import common, decontaminate, langid, line_runs, media, packing, pii, simhash, token_files, tokens, url_filter
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(common.table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(line_runs.remove_later_copies(common.table(spark, sf_dir, "documents")))
 
@@ -119,7 +123,7 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN c IN (SELECT c FROM
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
