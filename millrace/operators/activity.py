@@ -25,7 +25,7 @@ def freshness(observations: DataFrame, thresholds: DataFrame, now: str) -> DataF
 def heartbeat_gaps(beats: DataFrame, seconds: int, key: str = "source", time: str = "received_at") -> DataFrame:
     """Consecutive heartbeats of a source that are more than so many seconds apart."""
     before = F.lag(time).over(Window.partitionBy(key).orderBy(time))
-    gap = F.unix_micros(time) - F.unix_micros("before")
+    gap = F.timestamp_diff("MICROSECOND", F.col("before"), F.col(time))
     return beats.withColumn("before", before).where(gap > seconds * 1_000_000).select(key, F.col("before").alias("gap_start"), F.col(time).alias("gap_end"), gap.alias("gap_micros"))
 
 
@@ -132,7 +132,7 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     digest = F.sha2(F.to_json(F.struct(*sorted(rows.columns))).cast("binary"), 256)
     limbs = rows.select(*[F.conv(F.substring(digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)").alias(f"l{i}") for i in range(4)])
     sums = limbs.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(f"l{i}"), F.lit(0)).cast("decimal(38,0)").alias(f"l{i}") for i in range(4)])
-    base = F.lit(1 << 64).cast("decimal(38,0)")
+    base = F.lit(str(1 << 64)).cast("decimal(38,0)")
     carry, parts = F.lit(0).cast("decimal(38,0)"), []
     for i in (3, 2, 1, 0):
         total = (F.col(f"l{i}") + carry).cast("decimal(38,0)")

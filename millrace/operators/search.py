@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -51,25 +51,38 @@ def with_matches(page: DataFrame, pattern: str, searched: str = "text", raw: str
     return page.withColumns({"ranges": T.match_ranges(pattern)(F.col(searched)), "snippet": T.snippet(pattern)(F.col(raw), F.col(searched))})
 
 
-def ngram_index(corpus: DataFrame, searched: str = "text", width: int = 3) -> DataFrame:
-    """corpus with a column of distinct n-grams, to be written once and filtered by candidates()."""
-    return corpus.withColumn("ngrams", T.ngrams(F.col(searched), 1, width))
+def write_ngram_index(corpus: DataFrame, path: str, searched: str = "text", width: int = 3, buckets: int = 64) -> None:
+    """Postings (ngram, record_id) of the distinct n-grams of each row, in folders by a hash of the n-gram."""
+    rows = corpus.select("record_id", F.explode(T.ngrams(F.col(searched), width, width)).alias("ngram"))
+    placed = rows.withColumn("bucket", F.pmod(F.hash("ngram"), F.lit(buckets)))
+    placed.repartition("bucket", F.pmod(F.hash("record_id"), F.lit(8))).sortWithinPartitions("bucket", "ngram").write.partitionBy("bucket").parquet(path)
 
 
-def ngram_frequencies(indexed: DataFrame) -> DataFrame:
-    return indexed.select(F.explode("ngrams").alias("ngram")).groupBy("ngram").agg(F.count("*").alias("df"))
+def rarest(spark: SparkSession, path: str, term: str, most: int = 3, width: int = 3, buckets: int = 64) -> list[str]:
+    """Of the n-grams that every match of a term holds, those in the fewest rows; only their buckets are read."""
+    grams = [g for g in T.literal_ngrams(term, width) if len(g) == width]
+    found = postings(spark, path, grams, buckets).groupBy("ngram").agg(F.count("*").alias("df")).collect()  # a row for each n-gram of a term
+    df = {r["ngram"]: r["df"] for r in found}
+    return sorted(grams, key=lambda g: (df.get(g, 0), g))[:most]
 
 
-def rarest(term: str, frequencies: dict[str, int], most: int = 3) -> list[str]:
-    """Of the n-grams that every match holds, those of the fewest rows; frequencies of just these n-grams suffice."""
-    return sorted(T.literal_ngrams(term), key=lambda g: (frequencies.get(g, 0), g))[:most]
+def postings(spark: SparkSession, path: str, grams: list[str], buckets: int = 64) -> DataFrame:
+    """Postings of some n-grams: the filter on bucket prunes folders, that on ngram row groups."""
+    table = spark.read.parquet(path)
+    if not grams:
+        return table.where("false")
+    wanted = spark.range(1).select(*[F.pmod(F.hash(F.lit(g)), F.lit(buckets)) for g in grams]).first()
+    return table.where(F.col("bucket").isin([*{*wanted}]) & F.col("ngram").isin(grams))
 
 
-def candidates(indexed: DataFrame, pattern: str, filters: Filters = Filters()) -> DataFrame:
-    """Rows that can match: they hold the n-grams of every literal term. grep() on them verifies."""
-    needed = [g for t in T.split_terms(pattern) for g in T.literal_ngrams(t)]
-    held = reduce(lambda a, b: a & b, [F.array_contains("ngrams", g) for g in needed], F.lit(True))
-    return indexed.where(filters.condition() & held)
+def candidates(corpus: DataFrame, path: str, pattern: str, most: int = 3) -> DataFrame:
+    """Rows that can match: they hold the rarest n-grams of every literal term. grep() on them verifies."""
+    spark = corpus.sparkSession
+    needed = sorted({g for t in T.split_terms(pattern) for g in rarest(spark, path, t, most)})
+    if not needed:
+        return corpus
+    ids = postings(spark, path, needed).groupBy("record_id").agg(F.count("*").alias("n")).where(F.col("n") == len(needed))
+    return corpus.join(ids, "record_id", "left_semi")
 
 
 EXACT = ("record_id", "source_object_id", "thread_key", "session_id", "source_type", "container")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from millrace.plans import lake_queries, search_queries, state_queries
+
+_MODULES = (search_queries, lake_queries, state_queries)
+
+
+def queries() -> dict[str, Callable]:
+    return {n: f for m in _MODULES for n, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql for m in _MODULES for n, (_, sql) in m.QUERIES.items() if sql}

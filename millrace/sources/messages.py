@@ -95,7 +95,12 @@ GITHUB_ARRAYS = {"issues": "issue", "issue_comments": "issue_comment", "pull_req
 
 def github(dumps: DataFrame) -> DataFrame:
     """One row for each item of each array of a repository's dump."""
-    tagged = F.concat(*[F.coalesce(F.transform(name, lambda x, kind=kind: F.struct(F.lit(kind).alias("object_type"), x.alias("x"))), F.array().cast(f"array<struct<object_type: string, x: {_ITEM[6:-1]}>>")) for name, kind in GITHUB_ARRAYS.items()])
+    none = F.array().cast(f"array<struct<object_type: string, x: {_ITEM[6:-1]}>>")
+
+    def tagged_as(kind: str):
+        return lambda x: F.struct(F.lit(kind).alias("object_type"), x.alias("x"))
+
+    tagged = F.concat(*[F.coalesce(F.transform(name, tagged_as(kind)), none) for name, kind in GITHUB_ARRAYS.items()])
     rows = dumps.select("repo", F.explode(tagged).alias("t")).select("repo", "t.object_type", "t.x.*")
     object_id = F.concat_ws(":", "repo", "object_type", F.coalesce("sha", F.col("id").cast("string"), F.col("number").cast("string")))
     payload = F.struct("repo", "object_type", "id", "number", "sha", "title", "body", "message", "state", "user", "html_url")
