@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.shared import materialize
+
 
 def classify_append(batch: DataFrame, lake: DataFrame | None = None, key: str = "idempotency_key", content: str = "canonical", seq: str = "seq") -> DataFrame:
     """batch with outcome: appended (first row of its key), duplicate (equal content) or conflict.
@@ -38,8 +40,6 @@ def append(batch: DataFrame, path: str, **names) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         lake = None
-    from millrace.shared import materialize
-
     outcomes = materialize(classify_append(batch, lake, **names), "outcomes")
     outcomes.where("outcome = 'appended'").drop("outcome").write.mode("append").parquet(path)
     return outcomes
@@ -48,26 +48,37 @@ def append(batch: DataFrame, path: str, **names) -> DataFrame:
 def stream_append(requests: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """Optimistic appends to streams: requests (seq, stream_id, expected_version, idempotency_key), events (stream_id, stream_version, idempotency_key).
 
-    A request whose key the stream has is a duplicate; one whose expected version is not the stream's
-    version, counting the requests before it that were appended, is a version_conflict. Requests that
-    are appended have expected versions that run on from the stream's: of the candidates for a version
-    the first in order wins, and only if all versions before it are taken by earlier requests.
+    In order of seq: a request whose key the stream has is a duplicate, one whose expected version is the
+    stream's is appended, any other is a version_conflict. An appended request is followed by the first
+    later one that expects the next version, so appended requests are the chain from the first request
+    that expects the stream's version; the chain is followed by pointer doubling, whatever its length.
+    Requests with one key are retries and expect the same version.
     """
-    known = events.select("stream_id", "idempotency_key").distinct().withColumn("had", F.lit(True)) if events is not None else None
-    version = events.groupBy("stream_id").agg(F.max("stream_version").alias("version")) if events is not None else None
-    rows = requests
-    rows = rows.join(known, ["stream_id", "idempotency_key"], "left") if known is not None else rows.withColumn("had", F.lit(None).cast("boolean"))
-    rows = rows.join(version, "stream_id", "left") if version is not None else rows.withColumn("version", F.lit(0))
-    rows = rows.withColumn("version", F.coalesce("version", F.lit(0)))
-    fresh = rows.where(F.col("had").isNull())
-    winner = fresh.groupBy("stream_id", "expected_version").agg(F.min("seq").alias("winner"), F.first("version").alias("at"))
-    by = Window.partitionBy("stream_id").orderBy("expected_version")  # one row for each expected version
-    runs = winner.where("expected_version >= at").withColumn("nth", F.row_number().over(by)).withColumn("late", F.max("winner").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = runs.withColumn("ok", (F.col("expected_version") - F.col("at") == F.col("nth") - 1) & (F.coalesce("late", F.lit(-1)) < F.col("winner")))
-    runs = runs.withColumn("ok", F.min(F.col("ok").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)) == 1)
-    taken = runs.where("ok").select("stream_id", F.col("winner").alias("seq"), F.lit(True).alias("taken"))
+    rows = requests.withColumns({"had": F.lit(None).cast("boolean"), "version": F.lit(0).cast("long")})
+    if events is not None:
+        known = events.select("stream_id", "idempotency_key").distinct().withColumn("had", F.lit(True))
+        versions = events.groupBy("stream_id").agg(F.max("stream_version").cast("long").alias("version"))
+        rows = requests.join(known, ["stream_id", "idempotency_key"], "left").join(versions, "stream_id", "left").withColumn("version", F.coalesce("version", F.lit(0)))
+    rows = materialize(rows.select("seq", "stream_id", F.col("expected_version").cast("long").alias("expected_version"), "idempotency_key", "had", "version"), "requests")
+    fresh = rows.where("had is null")
+    wanting = fresh.select("stream_id", "seq", (F.col("expected_version") + 1).alias("v"), F.lit(None).cast(rows.schema["seq"].dataType).alias("found"))
+    offering = fresh.select("stream_id", "seq", F.col("expected_version").alias("v"), F.col("seq").alias("found"))
+    later = Window.partitionBy("stream_id", "v").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    jump = wanting.unionByName(offering).withColumn("next", F.min("found").over(later)).where("found is null and next is not null").select("stream_id", "seq", "next")
+    reached = fresh.where("expected_version = version").groupBy("stream_id").agg(F.min("seq").alias("seq"))
+    jump, reached = materialize(jump, "jump"), materialize(reached, "reached")
+    while True:
+        more = materialize(reached.join(jump, ["stream_id", "seq"]).select("stream_id", F.col("next").alias("seq")), "reached")
+        if more.isEmpty():
+            break
+        reached = reached.unionByName(more)
+        far = jump.select("stream_id", F.col("seq").alias("next"), F.col("next").alias("after"))
+        jump = materialize(jump.join(far, ["stream_id", "next"]).select("stream_id", "seq", F.col("after").alias("next")), "jump")
+    taken = reached.withColumn("taken", F.lit(True))
     out = rows.join(taken, ["stream_id", "seq"], "left")
-    outcome = F.when(F.col("had"), "duplicate").when(F.col("taken"), "appended").otherwise("version_conflict")
+    keys = out.where("taken").groupBy("stream_id", "idempotency_key").agg(F.min("seq").alias("first_taken"))
+    out = out.join(keys, ["stream_id", "idempotency_key"], "left")
+    outcome = F.when(F.col("had") | (F.col("first_taken") < F.col("seq")), "duplicate").when(F.col("taken"), "appended").otherwise("version_conflict")
     return out.select("seq", "stream_id", "expected_version", "idempotency_key", outcome.alias("outcome"))
 
 

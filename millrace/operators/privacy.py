@@ -61,6 +61,12 @@ def kept_value(value):
     return value
 
 
+def shown(value):
+    """kept_value, or null for what is hidden as a whole."""
+    kept = kept_value(value)
+    return None if kept is GONE else kept
+
+
 def _mask(value, path: str, strategy: str) -> bool:
     if isinstance(value, list):
         return any([_mask(v, path, strategy) for v in value])
@@ -87,8 +93,7 @@ def mask_payload(viewer: str, fields: list[tuple[str, str, str]]):
     def one(text: str | None) -> str | None:
         if text is None:
             return None
-        value = kept_value(json.loads(text))
-        value = None if value is GONE else value
+        value = shown(json.loads(text))
         for path, strategy in hidden:
             _mask(value, path, strategy)
         return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))

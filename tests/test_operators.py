@@ -1,0 +1,254 @@
+"""Semantics that the driver tables do not reach, each against a small brute-force version."""
+
+import hashlib
+import json
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import keys
+from millrace.functions import text as T
+from millrace.operators import activity, append, components, graph, identity, ingest, inventory, paging, privacy, search, states
+from millrace.sources import documents, messages
+from millrace.streaming import views
+
+
+def test_terms_and_patterns(spark):
+    assert T.split_terms("a  b") == ["a", "b"] and T.split_terms(" ab ") == [" ab "] and T.split_terms("") == [""]
+    assert not T.is_portable(r"(a)\1") and not T.is_portable("(?=a)") and T.is_portable(r"a\\1")
+    with pytest.raises(ValueError):
+        T.matches(F.col("t"), r"(a)\1")
+    df = spark.createDataFrame([("x(y z",), ("xy z",)], "t string")
+    assert [r.t for r in df.where(T.matches(F.col("t"), "(y z")).collect()] == ["x(y z"]
+
+
+def test_ranges_are_utf8_bytes_and_snippets_fit(spark):
+    text = "é" * 300 + "needle" + "z" * 300
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(T.match_ranges("needle")("t").alias("r"), T.snippet("needle")("t", "t").alias("s")).collect()
+    assert [(x.start, x.end) for x in row[0].r] == [(600, 606)]
+    assert len(row[0].s) == 240 and row[0].s.startswith("...") and row[0].s.endswith("...") and "needle" in row[0].s
+    assert row[1].r is None and row[1].s is None
+    assert len(T.char_ranges("a" * 50, T._compiled("a"))) == 20
+
+
+def test_canonical_json(spark):
+    got = spark.createDataFrame([('{"b": 1, "a": "\\ufb01"}',), ("not",)], "j string").select(T.canonical_json("j").alias("c")).collect()
+    assert [r.c for r in got] == ['{"a":"fi","b":1}', None]
+
+
+def test_ngrams_and_candidates(spark, tmp_path):
+    words = ["heating", "thing", "ing", "nothing at all", "", "日本語テスト"]
+    df = spark.createDataFrame([(str(i), w, i) for i, w in enumerate(words)], "record_id string, text string, n int").withColumn("timestamp", F.timestamp_seconds("n"))
+    got = {r.record_id: set(r.g) for r in df.select("record_id", T.ngrams(F.col("text"), 1, 3).alias("g")).collect()}
+    assert all(got[str(i)] == {w[j : j + n] for n in (1, 2, 3) for j in range(len(w) - n + 1)} for i, w in enumerate(words))
+    search.write_ngram_index(df, f"{tmp_path}/i")
+    for q in ("thing", "ing at", "日本語", "t.ing", "zzz"):
+        a = search.grep(search.candidates(df, f"{tmp_path}/i", q), q).select("record_id").collect()
+        assert a == search.grep(df, q).select("record_id").collect(), q
+
+
+def test_key_functions(spark):
+    df = spark.createDataFrame([("1700000000.000123", "2024-01-02T03:04:05.5+09:00", "1.12.3", '{"a": {"b": "x"}, "n": 3, "t": true}')], "ts string, r string, v string, j string")
+    row = df.select(
+        keys.slack_time(F.col("ts")).cast("string").alias("ts"), keys.rfc3339(F.col("r")).cast("string").alias("r"), keys.semver(F.col("v")).alias("v"), keys.slack_time(F.lit("17")).alias("bad"), keys.rfc3339(F.lit("2024-13-01T00:00:00Z")).alias("bad2"),
+        keys.json_string(F.col("j"), "$.a.b").alias("s"), keys.json_string(F.col("j"), "$.n").alias("not_s"), keys.json_bool(F.col("j"), "$.t").alias("b"),
+        keys.source_key("edit", F.lit("C"), F.lit("1.2"), F.lit("3.4")).alias("k"), keys.identifier_key(F.lit("Email"), F.lit(" A@b "), F.lit("S")).alias("e"), keys.identifier_key(F.lit("slack"), F.lit("U1"), F.lit("S")).alias("i"),
+        keys.agent_name(F.lit("agent:kay"), F.lit(None)).alias("a1"), keys.agent_name(F.lit("x"), F.lit("lake/agent/zed")).alias("a2"), keys.identity_key(F.lit("s"), F.lit("o"), F.lit("{}")).alias("id"), keys.label_key(F.lit(" Foo \t BAR É")).alias("l"),
+    ).first()
+    assert row.ts == "2023-11-14 22:13:20.000123" and row.r == "2024-01-01 18:04:05.5" and tuple(row.v) == (1, 12, 3) and row.bad is None and row.bad2 is None
+    assert (row.s, row.not_s, row.b, row.k, row.e, row.i) == ("x", None, True, "slack:C:1.2:edit:3.4", "email|*|a@b", "slack|s|U1")
+    assert (row.a1, row.a2, row.id, row.l) == ("kay", "zed", "s:o:" + hashlib.sha256(b"{}").hexdigest(), "foo bar É")
+    assert keys.decode_cursor(keys.encode_cursor({"scope": "a", "x": 1}), "a")["x"] == 1
+    for bad in (keys.encode_cursor({"scope": "b"}), "???"):
+        with pytest.raises(ValueError):
+            keys.decode_cursor(bad, "a")
+
+
+def test_pages_cover_all_rows_once(spark):
+    data = [(random.Random(i).randint(0, 5), i) for i in range(60)]
+    df = spark.createDataFrame(data, "a int, b int")
+    order, seen, after = [("a", True), ("b", False)], [], None
+    while True:
+        page, after = paging.page_and_next(df, order, 7, after)
+        seen += [(r.a, r.b) for r in page]
+        if after is None:
+            break
+    assert seen == sorted(data, key=lambda r: (-r[0], r[1]))
+    with pytest.raises(ValueError):
+        paging.byte_budget_page(df, order, 5, 10)
+
+
+def test_append_twice_is_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "k", "a"), (2, "k", "a"), (3, "k", "b"), (4, None, "c"), (5, None, "c")], "seq int, idempotency_key string, canonical string")
+    first = {r.seq: r.outcome for r in append.append(rows, f"{tmp_path}/lake").collect()}
+    assert first == {1: "appended", 2: "duplicate", 3: "conflict", 4: "appended", 5: "appended"}
+    again = {r.seq: r.outcome for r in append.append(rows.where("idempotency_key = 'k'"), f"{tmp_path}/lake").collect()}
+    assert again == {1: "duplicate", 2: "duplicate", 3: "conflict"} and spark.read.parquet(f"{tmp_path}/lake").count() == 3
+
+
+def test_stream_append_equals_replay(spark):
+    rnd = random.Random(4)
+    reqs = [(i, rnd.randint(0, 5), rnd.randint(0, 6), f"k{rnd.randint(0, 200)}-{i}") for i in range(200)]
+    had = [(0, 1, "old"), (0, 2, "old2"), (1, 1, "x")]
+    reqs += [(200, 0, 2, "old"), (201, 1, 5, "x")]
+    version, keyset, want = {0: 2, 1: 1}, {(0, "old"), (0, "old2"), (1, "x")}, {}
+    for seq, s, v, k in reqs:
+        if (s, k) in keyset:
+            want[seq] = "duplicate"
+        elif v == version.get(s, 0):
+            want[seq], version[s] = "appended", v + 1
+        else:
+            want[seq] = "version_conflict"
+    got = append.stream_append(spark.createDataFrame(reqs, "seq int, stream_id int, expected_version int, idempotency_key string"), spark.createDataFrame(had, "stream_id int, stream_version int, idempotency_key string"))
+    assert {r.seq: r.outcome for r in got.collect()} == want
+
+
+def test_delta_rules_and_generations(spark, tmp_path):
+    items = spark.createDataFrame([(1, "a"), (2, "b")], "item_key int, value string")
+    for bad in ([(1, "x", "insert")], [(3, "x", "update")], [(9, None, "delete")], [(1, "x", "update"), (1, "y", "update")]):
+        with pytest.raises(ValueError):
+            append.apply_delta(items, spark.createDataFrame(bad, "item_key int, value string, op string"))
+    store = append.Generations(spark, str(tmp_path))
+    assert store.read() is None
+    old = store.publish(items)
+    store.publish(items.where("false"))
+    assert store.read().count() == 0 and store.read(old).count() == 2
+
+
+def test_privacy(spark):
+    decisions = spark.createDataFrame([("u", None, "opted_out", 1, 1, "a"), ("u", None, "unrestricted", 2, 1, "b"), ("u", None, "opted_out", 1, 9, "c"), ("x", "mail", "opted_out", 5, 5, "d")], "subject string, identifier string, status string, published int, recorded_at int, id string")
+    rows = spark.createDataFrame([("1", "o1", ["u"]), ("2", "o2", ["mail"]), ("3", "o3", None), ("4", None, ["q"]), ("5", "o5", [])], "id string, object_id string, keys array<string>")
+    gone = spark.createDataFrame([("4", None), (None, "o5")], "observation_id string, source_object_id string")
+    assert sorted(r.id for r in privacy.visible(rows, decisions, gone).collect()) == ["1", "3"]
+
+
+def test_mask_payload(spark):
+    doc = {"a": {"email": "x", "list": [{"email": 1}, {"visibility": False, "k": 1}]}, "h": {"visibility": False}, "contact": {"phone": "1"}}
+    fn = privacy.mask_payload("internal", [("email", "restricted", "redact"), ("contact.phone", "highly_sensitive", "exclude"), ("h", "public", "redact")])
+    got = spark.createDataFrame([(json.dumps(doc),), (None,), ('{"visibility": false}',)], "p string").select(fn("p").alias("m")).collect()
+    assert json.loads(got[0].m) == {"a": {"email": "[REDACTED]", "list": [{"email": "[REDACTED]"}]}, "h": None, "contact": {}}
+    assert got[1].m is None and got[2].m == "null"
+
+
+def test_fold_equals_replay(spark):
+    rnd = random.Random(2)
+    events = [(rnd.randint(0, 9), i, rnd.randint(0, 300_000), rnd.choice(states.CLAIM_STATES)) for i in range(400)]
+    want = {}
+    for k in {e[0] for e in events}:
+        state, taken, upd = "open", 0, None
+        for _, _, t, to in sorted((e for e in events if e[0] == k), key=lambda e: (e[2], e[1])):
+            if to == state or to in states.CLAIM_NEXT[state]:
+                state, taken, upd = to, taken + 1, t
+        want[k] = (state, taken, upd)
+    df = spark.createDataFrame(events, "claim_id int, id int, s long, to_state string").withColumn("created_at", F.timestamp_seconds("s"))
+    got = {r.claim_id: (r.state, r.taken, r.u) for r in states.claim_states(df).withColumn("u", F.unix_timestamp("updated")).collect()}
+    assert got == want
+
+
+def test_components_and_star_edges(spark):
+    rnd = random.Random(3)
+    pairs = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)] + [(5, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if b is not None and a != b:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert got == {x: root(x) for x in parent}
+    assert components.connected_components(spark.createDataFrame([], "a int, b int")).count() == 0
+    cand = spark.createDataFrame([("a1", "A", "k"), ("a2", "A", "k"), ("b1", "B", "k"), ("a3", "A", "only"), ("a4", "A", "only")], "candidate string, source string, email string").withColumn("name", F.lit(None).cast("string"))
+    assert {r.candidate: r.person for r in identity.persons(cand).collect()} == {"a1": "a1", "a2": "a1", "b1": "a1", "a3": "a3", "a4": "a4"}
+    assert identity.persons(cand, cross_source=False).where("person = 'a3'").count() == 2
+
+
+def test_chains_cycles_and_roots(spark):
+    links = [(i, i + 1) for i in range(20)] + [(100, 101), (101, 100), (99, 100)]
+    got = {r.id: (r.terminal, r.hops) for r in graph.terminal_of(spark.createDataFrame(links, "id int, next int")).collect()}
+    assert all(got[i] == (20, 20 - i) for i in range(20)) and all(got[i] == (None, None) for i in (99, 100, 101))
+    with pytest.raises(ValueError):
+        graph.session_tree(spark.createDataFrame([("a", "b"), ("b", "a")], "session string, parent string"))
+    sup = spark.createDataFrame([("s1", ["o1"], []), ("s2", [], ["s1"]), ("s3", ["o2"], ["s2", "s4"]), ("s4", [], ["s3"]), ("s5", [], ["gone"])], "id string, observations array<string>, parents array<string>")
+    assert {r.id: r.roots for r in graph.source_roots(sup).collect()} == {"s1": ["o1"], "s2": ["o1"], "s3": ["o1", "o2"], "s4": ["o1", "o2"], "s5": ["gone"]}
+    assert graph.projection_order({"c": ["b"], "b": ["a"]}) == ["a", "b", "c"] and graph.dependents({"c": ["b"], "b": ["a"]}, "a") == {"b", "c"}
+    with pytest.raises(ValueError):
+        graph.projection_order({"a": ["b"], "b": ["a"]})
+
+
+def test_fingerprint(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(50)], "a int, b string")
+    total = sum(int(hashlib.sha256(json.dumps({"a": i, "b": f"t{i}"}, separators=(",", ":")).encode()).hexdigest(), 16) for i in range(50)) % (1 << 256)
+    got = activity.fingerprint(df.repartition(7)).first()
+    assert (got.rows, got.fingerprint) == (50, f"{total:064x}")
+
+
+def test_gate_order(spark):
+    observers = spark.createDataFrame([("o", "sys:s", [], "lake_authoritative", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
+    base = dict(schema="schema:note", schema_version="1.0.0", observer="o", source_system="sys:s", authority_model="lake_authoritative", capture_model="event", subject="s", target=None, payload='{"t": "x"}', attachments=[], published="2024-01-01 00:00:00", meta="{}")
+    cases = {"ok": ({}, "accepted", None), "obs": ({"observer": "?"}, "rejected", "unknown observer"), "ver": ({"schema_version": "9.0.0"}, "rejected", "unknown schema version"), "sys": ({"source_system": None}, "rejected", "source system mismatch"), "auth": ({"authority_model": "source_authoritative"}, "rejected", "authority mismatch"), "pay": ({"payload": "{}"}, "rejected", "invalid payload"), "ret": ({"meta": '{"retracts": {"x": 1}}'}, "rejected", "invalid retraction"), "out": ({"subject": "gone"}, "quarantined", "policy"), "blob": ({"attachments": ["blob:1"]}, "rejected", "missing attachment"), "late": ({"published": "2024-01-01 00:10:01"}, "quarantined", "clock skew"), "edge": ({"published": "2024-01-01 00:10:00"}, "accepted", None)}
+    names = [*base, "idempotency_key"]
+    rows = [tuple(({**base, **change, "idempotency_key": k})[n] for n in names) for k, (change, _, _) in cases.items()]
+    drafts = spark.createDataFrame(rows, ", ".join(f"{n} {'array<string>' if n == 'attachments' else 'string'}" for n in names)).withColumn("published", F.to_timestamp("published"))
+    channels = spark.createDataFrame([], "id string, kind string, source_instance_id string, external_id string, enabled boolean, reply_slo_seconds long")
+    decisions = spark.createDataFrame([("gone", None, "opted_out", 1, 1, "a")], "subject string, identifier string, status string, published int, recorded_at int, id string")
+    got = ingest.gate(drafts, observers, {"schema:note": {"required": ["t"], "properties": {"t": {"type": "string"}}}}, channels, decisions, spark.createDataFrame([], "blob_ref string"), "2024-01-01 00:00:00")
+    assert {r.idempotency_key: (r.outcome, r.reason) for r in got.collect()} == {k: (o, w) for k, (_, o, w) in cases.items()}
+    assert ingest.evolution_problems({"properties": {"a": 1}}, {"properties": {"a": 1, "b": 1}}, "1.0.0", "1.0.1") == ["new fields need a new minor version"]
+
+
+def test_sources(spark, tmp_path):
+    p = tmp_path / "s.jsonl"
+    p.write_text('{"channel_id":"C","ts":"1700000000.5","user_id":"U","text":"hi","ingress_kind":"api","message_type":"delete","files":[{"id":"f","blob_ref":"blob:1"}]}\n{bad\n{"channel_id":"C","ts":"x","ingress_kind":"api"}\n')
+    raw = messages.read_jsonl(spark, str(p), messages.SLACK).cache()
+    assert messages.bad_lines(raw).count() == 1
+    (row,) = messages.slack(raw).collect()
+    assert row.attachments == ["blob:1"] and json.loads(row.meta)["retracts"] == {"source_object_id": "C-1700000000.5"} and row.subject == "message:slack:C-1700000000.5"
+    g = tmp_path / "g.jsonl"
+    g.write_text('{"repo":"r","issues":[{"id":1,"title":"t","body":"b","created_at":"2024-01-01T00:00:00Z"}],"commits":[{"sha":"abc","message":"m"}]}\n')
+    assert sorted(json.loads(r.payload)["object_type"] for r in messages.github(messages.read_jsonl(spark, str(g), messages.GITHUB)).collect()) == ["commit", "issue"]
+    tree = spark.createDataFrame([("c", "t", {"n1": ("n1", None, ("n1", ("user",), 1700000000.0, (["hello"],))), "n2": ("n2", "n1", None)})], messages.CHAT_TREE)
+    assert messages.chat_tree(tree).count() == 1 and [r.reason for r in messages.skipped_nodes(tree).collect()] == ["no message"]
+    lines = spark.createDataFrame([(2, "response_item", ("", "", "", "message", "user", None, None, None, [("t", "yo")])), (1, "session_meta", ("S", "/", None, None, None, None, None, None, None)), (3, "response_item", ("", "", "", "reasoning", None, None, None, None, None))], "line_no int, type string, " + messages.CODEX.split("type string, ", 1)[1])
+    (item,) = messages.codex(lines.withColumns({"path": F.lit("p"), "timestamp": F.timestamp_seconds(F.lit(1))})).collect()
+    assert json.loads(item.payload)["session"]["id"] == "S" and json.loads(item.payload)["item"]["text"] == "yo"
+    gm = spark.createDataFrame([("a", "m", "t", "Mon, 01 Jan 2024 10:00:00 +0900"), ("a", "m2", "t", "never")], "account_id string, message_id string, thread_id string, date string")
+    for c in ("from", "to", "cc", "subject", "text", "references", "in_reply_to", "labels"):
+        gm = gm.withColumn(c, F.lit(None).cast("string"))
+    assert [str(r.published) for r in messages.gmail(gm).select(F.col("published").cast("string").alias("published")).collect()] == ["2024-01-01 01:00:00"]
+    docs = spark.createDataFrame([("d", "r", [("BODY", "pre"), ("HEADING_1", "H"), ("BODY", "a"), ("BODY", "b"), ("HEADING_2", "I")])], "document_id string, revision_id string, paragraphs array<struct<style: string, text: string>>")
+    assert [(r.heading, r.text) for r in documents.doc_chunks(docs).orderBy("chunk").collect()] == [("", "pre"), ("H", "a\nb"), ("I", "")]
+    files = spark.createDataFrame([("a", "root"), ("b", "a"), ("c", "b"), ("a", "c"), ("z", "y")], "file_id string, parent_id string")
+    assert {r.file_id: r.depth for r in documents.files_below(files, ["root"]).collect()} == {"root": 0, "a": 1, "b": 2, "c": 3}
+    sheets = spark.createDataFrame([("s", [("t", [["x", ""], ["y"]])])], documents.SHEETS)
+    assert [(r.row, r.col, r.value) for r in documents.sheet_cells(sheets).collect()] == [(0, 0, "x"), (1, 0, "y")]
+
+
+def test_views_equal_batch(spark, tmp_path):
+    rnd = random.Random(5)
+    data = [(rnd.randint(0, 5), rnd.randint(0, 50), i, rnd.choice("xyz")) for i in range(90)]
+    df = spark.createDataFrame(data, "k int, t int, i int, v string")
+    view = views.KeyedView(spark, str(tmp_path / "v"), "k", "v", ["t", "i"])
+    for part in range(3):
+        batch = df.where(F.col("i") % 3 == part)
+        view.fold(batch)
+        view.fold(batch)  # a batch that runs again
+    assert sorted(map(tuple, view.current().collect())) == sorted(map(tuple, view.reduce(df).collect()))
+    assert views.propagate(["a", "b", "c"], {"b": ["a"], "c": []}, lambda n: 1 / (n != "a")) == {"a": "broken", "b": "degraded", "c": "ok"}
+    lake = {"rows": [("1", "a"), ("2", "b")]}
+    corpus = views.CorpusView(spark, str(tmp_path / "c"), lambda b: b.select("record_id"), lambda ids: spark.createDataFrame(lake["rows"], "record_id string, text string").join(ids, "record_id", "left_semi"))
+    corpus.fold(spark.createDataFrame([("1",), ("2",)], "record_id string"))
+    lake["rows"] = [("2", "b2")]  # 1 is retracted, 2 is edited
+    corpus.fold(spark.createDataFrame([("1",), ("2",)], "record_id string"))
+    assert [tuple(r) for r in corpus.store.read().collect()] == [("2", "b2")]
+
+
+def test_inventory(spark):
+    text = spark.createDataFrame([(1, "Name: Ann\nAge：5\nhttp://x\n12: z", 1), (2, "name : Bob", 2)], "p int, t string, n int")
+    got = {r.label: (r.people, r.examples) for r in inventory.label_inventory(text, "p", "t", "n").collect()}
+    assert got == {"name": (2, ["Ann", "Bob"]), "age": (1, ["5"])}
