@@ -16,10 +16,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated runs of lines; a document of which nothing is left goes."""
-    done = line_runs.remove_later_copies(docs).where("n_gone = 0 or n_gone < n_lines")
+    total, gone = common.unused(docs, "lines_in_text"), common.unused(docs, "lines_gone")
+    done = line_runs.remove_later_copies(docs, counts=(total, gone)).where((F.col(gone) == 0) | (F.col(gone) < F.col(total)))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("n_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return done.select(*docs.columns)
+        done = done.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return done.select(*[f"`{n}`" for n in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -129,36 +129,39 @@ def without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
     return b"\n".join(x for x, k in zip(lines, keep, strict=True) if k).decode("utf-8", "surrogatepass"), at, int(gone.sum())
 
 
-def remove_later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
     """docs, with all columns, in which text is without the lines of repeated runs that occur earlier; and n_lines, n_gone.
 
     docs is a table read from files, with doc_id and text. A run is of min_words words or more, parted
     by ASCII white space; lines are equal if their bytes are, but for white space at their ends. A null
-    text stays null with 0 lines; no row is dropped. Of repeated rows the first keeps its lines.
+    text stays null with 0 lines; no row is dropped. Of repeated rows the first keeps its lines. Columns
+    of docs that are named as the two counts are replaced.
     """
+    docs = docs.drop(*counts)
     names = docs.columns
-    found = later_copies(docs, min_words).groupBy("row").agg(F.collect_list(F.struct("pos", "m")).alias("copies_in_row"))  # bounded by the document's lines
-    numbered = docs.withColumn("row_in_docs", F.monotonically_increasing_id())
-    both = numbered.join(found, F.col("row_in_docs") == F.col("row"), "left").select(*[f"`{n}`" for n in names], "copies_in_row")
+    place, copies_place, copies = (common.unused(docs, n) for n in ("place", "copies_place", "copies"))
+    found = later_copies(docs, min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    both = numbered.join(found, F.col(place) == F.col(copies_place), "left").select(*[f"`{n}`" for n in names], copies)
     at = names.index("text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, goes = [], [], []
-            for text, copies in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            for text, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 n = sum(1 for w in split_lines(text)[1] if w)
                 gone = np.zeros(n, bool)
-                for c in copies or ():
+                for c in own or ():
                     gone[c["pos"] : c["pos"] + c["m"]] = True
-                texts.append(without(text, gone)[0] if copies else text)
+                texts.append(without(text, gone)[0] if own else text)
                 totals.append(n)
                 goes.append(int(gone.sum()))
             columns = [*batch.columns[: len(names)], pa.array(totals, pa.int64()), pa.array(goes, pa.int64())]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [*names, "n_lines", "n_gone"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(apply, f"{fields}, n_lines long, n_gone long")
+    return both.mapInArrow(apply, f"{fields}, {counts[0]} long, {counts[1]} long")
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -180,6 +180,8 @@ def fold_digits(tape: Tape) -> Tape:
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|arroba|arobase|dot|punkt|point|punto|@|\.)\x20?[\])}>]\x20?", re.I)
 WRITTEN = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.|\x20(?:dot|punkt|point|punto)\x20)[A-Za-z0-9_%+-]+)*(?:\x20(?:at|arroba|arobase)\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?(?=[a-z]{2,6}\b))[A-Za-z0-9-]+)+", re.I)
 SIGN = re.compile(r"\x20(at|arroba|arobase|dot|punkt|point|punto)\x20|\x20?([@.])\x20?", re.I)
+#: Ends of addresses that are written with bare words.
+ENDS = frozenset("com org net edu gov mil int info biz io ai co me tv eu uk us ca au nz ie de at ch fr be lu es mx ar cl it pt br nl pl cz se no dk fi ru ua jp cn in kr tr gr".split())
 DOT_WORD = re.compile(r"\x20(?:dot|punkt|point|punto)\x20", re.I)
 AT_WORD = re.compile(r"\x20(?:at|arroba|arobase)\x20", re.I)
 
@@ -191,7 +193,8 @@ def fold_signs(tape: Tape) -> Tape:
     def found() -> Iterator[tuple[int, int, str]]:
         for m in WRITTEN.finditer(tape.text):
             word_dot = DOT_WORD.search(m[0])
-            if word_dot or (not AT_WORD.search(m[0]) and "@" in m[0]):
+            bare = word_dot or AT_WORD.search(m[0])
+            if (word_dot and TOKEN.findall(m[0])[-1].lower() in ENDS) or not bare:
                 for s in SIGN.finditer(m[0]):
                     yield m.start() + s.start(), m.start() + s.end(), SIGN_WORDS.get((s[1] or "").lower(), s[2] or "")
 

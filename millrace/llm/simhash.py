@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their group: least doc_id (null last), then place."""
     fps = common.materialize(fingerprints(docs), "fingerprints")
-    kept = groups(fps).select(F.col("first.row").alias("kept_row")).distinct()
-    names = docs.columns
-    return docs.withColumn("row_in_docs", F.monotonically_increasing_id()).join(kept, F.col("row_in_docs") == F.col("kept_row"), "left_semi").select(*names)
+    place, kept_place = common.unused(docs, "place"), common.unused(docs, "kept_place")
+    kept = groups(fps).select(F.col("first.row").alias(kept_place)).distinct()
+    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    return numbered.join(kept, F.col(place) == F.col(kept_place), "left_semi").select(*[f"`{n}`" for n in docs.columns])
