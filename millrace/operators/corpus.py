@@ -37,7 +37,7 @@ def source_type() -> Column:
         .when(system.isin(*CODING) | system.isin("sys:claude-code", "sys:codex"), _choose(system, BY_SYSTEM))
         .when((system == "sys:gmail") | (schema == "schema:gmail-message"), "gmail")
         .when((system == "sys:discord") | (schema == "schema:discord-message"), "discord")
-        .when(system.startswith("sys:"), F.substring(system, 5, 1000))
+        .when(system.startswith("sys:"), F.substr(system, F.lit(5)))
         .otherwise(F.regexp_replace(schema, "^schema:", ""))
     )
 

@@ -180,7 +180,7 @@ def _messages(spark, d):
 
 def ingest_gate(spark, d):
     """Messages through the gate: every fifth conversation's channel is disabled, every seventh is not registered; systems may not write."""
-    drafts = messages.discord(_messages(spark, d)).withColumn("meta", F.concat(F.lit('{"source_instance":"one",'), F.substring("meta", 2, 100_000)))
+    drafts = messages.discord(_messages(spark, d)).withColumn("meta", F.concat(F.lit('{"source_instance":"one",'), F.expr("substring(meta, 2)")))
     conv = read(spark, d, "conversations").select("conv_id").distinct()
     channels = conv.where("conv_id % 7 <> 3").select(
         F.concat(F.lit("channel:"), F.col("conv_id").cast("string")).alias("id"), F.lit("discord").alias("kind"), F.lit("one").alias("source_instance_id"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("external_id"), (F.col("conv_id") % 5 != 2).alias("enabled"), F.lit(3600).cast("long").alias("reply_slo_seconds")
