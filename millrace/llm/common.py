@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.shared import materialize, new_path, shared_dir  # noqa: F401
 
@@ -24,6 +25,12 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a number for each row, in a column of that name, written once: two scans of the same files may split them
+    differently, and then number their rows differently."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text column of each holds about most_bytes at most, or one row."""
     for batch in batches:

@@ -52,7 +52,7 @@ def windows(words: np.ndarray, least: int) -> list[list[int]]:
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """A row for each line with a word: row, doc_id, pos (among these lines), id1, id2 (128-bit line ID), sizes of windows."""
+    """A row for each line with a word of docs (row, doc_id, text): row, doc_id, pos (among these lines), id1, id2 (128-bit line ID), sizes of windows."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -71,8 +71,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                 [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.list_(pa.int32()))], ["row", "doc_id", "pos", "id1", "id2", "sizes"]
             )
 
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return numbered.mapInArrow(cut, "row long, doc_id long, pos int, id1 long, id2 long, sizes array<int>")
+    return docs.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, pos int, id1 long, id2 long, sizes array<int>")
 
 
 def ranked(suffixes: DataFrame, tag: str) -> DataFrame:
@@ -90,7 +89,7 @@ def ranked(suffixes: DataFrame, tag: str) -> DataFrame:
 
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """row (place in docs), pos, m: windows of m lines from pos on that occur earlier, by (doc_id, place in docs, line).
+    """row, pos, m of docs (row, doc_id, text): windows of m lines from pos on that occur earlier, by (doc_id, row, line).
 
     A null doc_id comes after all others. Windows of one text may overlap, as in a line that repeats.
     """
@@ -132,7 +131,7 @@ def without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
 def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str, str] = ("n_lines", "n_gone")) -> DataFrame:
     """docs, with all columns, in which text is without the lines of repeated runs that occur earlier; and n_lines, n_gone.
 
-    docs is a table read from files, with doc_id and text. A run is of min_words words or more, parted
+    docs has doc_id and text. Its rows are numbered once, in a table in the shared folder. A run is of min_words words or more, parted
     by ASCII white space; lines are equal if their bytes are, but for white space at their ends. A null
     text stays null with 0 lines; no row is dropped. Of repeated rows the first keeps its lines. Columns
     of docs that are named as the two counts are replaced.
@@ -140,8 +139,8 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
     docs = docs.drop(*counts)
     names = docs.columns
     place, copies_place, copies = (common.unused(docs, n) for n in ("place", "copies_place", "copies"))
-    found = later_copies(docs, min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
+    numbered = common.numbered(docs, place)
+    found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines
     both = numbered.join(found, F.col(place) == F.col(copies_place), "left").select(*[f"`{n}`" for n in names], copies)
     at = names.index("text")
 

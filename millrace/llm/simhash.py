@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
@@ -53,19 +53,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """row (a number for each row, by its place in docs), doc_id and fp (signed) of every row of docs (doc_id, text)."""
+    """row, doc_id and fp (signed) of every row of docs (row, doc_id, text)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
             found = np.fromiter(map(fingerprint, batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select(numbered(), "doc_id", "text").mapInArrow(compute, "row long, doc_id long, fp long")
-
-
-def numbered() -> Column:
-    """The place of a row in a table that is read from files; the same in each reading."""
-    return F.monotonically_increasing_id().alias("row")
+    return docs.select("row", "doc_id", "text").mapInArrow(compute, "row long, doc_id long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:
@@ -187,15 +182,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs: doc_id, text; other columns are not read. Repeated rows are rows of one group; all texts
     without words are of one group; an empty table gives no rows.
     """
-    fps = common.materialize(fingerprints(docs), "fingerprints")
+    fps = common.materialize(fingerprints(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")), "fingerprints")
     found = fps.join(groups(fps), "fp")
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their group: least doc_id (null last), then place."""
-    fps = common.materialize(fingerprints(docs), "fingerprints")
     place, kept_place = common.unused(docs, "place"), common.unused(docs, "kept_place")
+    numbered = common.numbered(docs, place)
+    fps = common.materialize(fingerprints(numbered.select(F.col(place).alias("row"), "doc_id", "text")), "fingerprints")
     kept = groups(fps).select(F.col("first.row").alias(kept_place)).distinct()
-    numbered = docs.withColumn(place, F.monotonically_increasing_id())
     return numbered.join(kept, F.col(place) == F.col(kept_place), "left_semi").select(*[f"`{n}`" for n in docs.columns])

@@ -248,6 +248,21 @@ def test_line_dedup_odd_rows(odd):
     assert line_runs.remove_later_copies(odd.where("false")).count() == 0
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
+    """The same file is split otherwise at the search and at the join back."""
+    data = [(i, f"only {i}\nthe same line\nthe last line {i % 3}") for i in range(3000)]
+    spark.createDataFrame(data, "doc_id long, text string").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/d")
+    split, default = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for keep in (lambda d: line_runs.remove_later_copies(d, 3), simhash.keep_one):
+        want = rows(keep(spark.read.parquet(f"{tmp_path}/d")).toPandas())
+        done = keep(spark.read.parquet(f"{tmp_path}/d"))
+        try:
+            spark.conf.set(split, "3000")
+            assert rows(done.toPandas()) == want
+        finally:
+            spark.conf.set(split, default)
+
+
 # ---- op8
 
 
