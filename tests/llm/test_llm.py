@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import common, decontaminate, langid, line_runs, media, packing, pii, queries, rollups, simhash, token_files, tokens, url_filter
+from millrace.llm import common, decontaminate, langid, line_runs, media, near_copies, packing, pii, queries, rollups, simhash, token_files, tokens, url_filter
 from tests.conftest import SF, rows
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string"
@@ -330,6 +330,38 @@ def test_simhash_odd_rows(odd):
     assert simhash.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_near_dedup_stage_keeps_no_similar_pair(spark, odd):
+    """Against all pairs, after the fingerprints' groups; with a common passage, and texts that differ by a few words."""
+    import corpus_pipeline as p
+
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    common_part, data = " ".join(word() for _ in range(30)), []
+    for k in range(40):
+        base = [word() for _ in range(rnd.randint(40, 90))]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                own[rnd.randrange(len(own))] = word()
+            data.append((len(data), (common_part + " " if k % 2 else "") + " ".join(own)))
+    table = common.materialize(spark.createDataFrame(data, "doc_id long, text string"), "docs")
+
+    def sets(t):
+        w = t.split()
+        return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    left = sorted((r.doc_id, sets(r.text)) for r in simhash.keep_one(table).collect())
+    root = {i: i for i, _ in left}
+    for n, (i, a) in enumerate(left):
+        for j, b in left[:n]:
+            if 5 * len(a & b) >= 4 * len(a | b):
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if r == hi else r for k, r in root.items()}
+    assert len({*root.values()}) < len(left)
+    assert sorted(r.doc_id for r in p.near_dedup(spark, table, SF).collect()) == sorted({*root.values()})
+    assert p.near_dedup(spark, odd, SF).columns == odd.columns and p.near_dedup(spark, odd.where("false"), SF).count() == 0
+
+
 # ---- op9
 
 
