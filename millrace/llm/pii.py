@@ -134,36 +134,43 @@ class Tape:
         return self.spans[start][0], max(s[1] for s in self.spans[start:end])
 
 
-def fold_lookalikes(tape: Tape) -> Tape:
-    def found() -> Iterator[tuple[int, int, str]]:
-        for i, c in enumerate(tape.text):
-            if c > "\x7f":
-                if c in INVISIBLE:
-                    yield i, i + 1, ""
-                elif c in LOOKALIKES:
-                    yield i, i + 1, LOOKALIKES[c]
-                elif (n := unicodedata.normalize("NFKC", c)) != c and n.isascii() and n.strip():
-                    yield i, i + 1, n
-                elif c.isspace() or c == " ":
-                    yield i, i + 1, " "
-                elif c.isdecimal():
-                    yield i, i + 1, str(unicodedata.decimal(c))
+def folded(c: str) -> str | None:
+    """What a character that is not ASCII is folded to; None if it stays."""
+    if c in INVISIBLE:
+        return ""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if (n := unicodedata.normalize("NFKC", c)) != c and n.isascii() and n.strip():
+        return n
+    if c.isspace():
+        return " "
+    return str(unicodedata.decimal(c)) if c.isdecimal() else None
 
-    return tape.rewrite(found())
+
+FOLDED = {c: n for c in map(chr, range(0x80, 0x110000)) if (n := folded(c)) is not None}
+
+
+def fold_lookalikes(tape: Tape) -> Tape:
+    return tape.rewrite((i, i + 1, FOLDED[c]) for i, c in enumerate(tape.text) if c in FOLDED)
 
 
 _NUMBER = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<![^\W_])(?:plus\x20|\+)?(?:{_NUMBER}|[0-9]+)(?:[\x20,-]{{1,2}}(?:{_NUMBER}|[0-9]+|double|triple|dot|punkt|point|punto))+(?![^\W_])", re.I)
+ONE = re.compile(rf"(?<![^\W_])(?:{_NUMBER})(?![^\W_])", re.I)
 TOKEN = re.compile(r"[^\W_]+")
 
 
 def fold_digits(tape: Tape) -> Tape:
-    """Runs of four or more spelled digits (single digits may stand between) become digits; dots between them stay dots."""
+    """Runs of four or more spelled digits (single digits may stand between) become digits; dots between them stay dots.
 
-    def found() -> Iterator[tuple[int, int, str]]:
+    Shorter runs do if, with the digits around them, they make a card, ip or phone that does not read as one without them.
+    """
+
+    def found(short: bool) -> Iterator[tuple[int, int, str]]:
         for m in SPELLED.finditer(tape.text):
             tokens = [(t.start() + m.start(), t.end() + m.start(), t[0].lower()) for t in TOKEN.finditer(m[0])]
-            if sum(t[2] in NUMBER_WORDS for t in tokens) < 4:
+            n = sum(t[2] in NUMBER_WORDS for t in tokens)
+            if n == 0 or (n < 4) != short:
                 continue
             out, times = [], 1
             for _, _, word in tokens:
@@ -174,7 +181,19 @@ def fold_digits(tape: Tape) -> Tape:
                 times = 1
             yield tokens[0][0], tokens[-1][1], "".join(out)
 
-    return tape.rewrite(found())
+    tape = tape.rewrite(found(False))
+    runs = [*found(True)]
+    alone = [(m.start(), m.end(), NUMBER_WORDS[m[0].lower()]) for m in ONE.finditer(tape.text)]
+    runs = sorted(runs + [a for a in alone if not any(r[0] <= a[0] < r[1] for r in runs)])
+    if not runs:
+        return tape
+    trial, have = tape.rewrite(iter(runs)), plain(tape.text)
+    made = []
+    for kind, spans in plain(trial.text).items():
+        if kind != "email":
+            had = [tape.source(*s) for s in have[kind]]
+            made += [(a, b) for a, b in (trial.source(*s) for s in spans) if not any(x < b and a < y for x, y in had)]
+    return tape.rewrite(r for r in runs if any(a < tape.spans[r[1] - 1][1] and tape.spans[r[0]][0] < b for a, b in made))
 
 
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|arroba|arobase|dot|punkt|point|punto|@|\.)\x20?[\])}>]\x20?", re.I)
@@ -205,19 +224,19 @@ TRANSDUCERS = (fold_lookalikes, fold_digits, fold_signs)
 
 # ---- both together
 
-#: Ranges of other spaces, enclosed and full-width characters, other scripts' digits, and mathematical letters.
-COMPATIBLE = [(0xA0, 0xA0), (0x2000, 0x200A), (0x202F, 0x202F), (0x3000, 0x3000), (0x2460, 0x2473), (0xFF01, 0xFF5E), (0x660, 0x669), (0x6F0, 0x6F9), (0x966, 0x96F), (0x1D400, 0x1D7FF)]
-ODD = re.compile("[" + "".join(map(re.escape, sorted({*LOOKALIKES, *INVISIBLE}))) + "".join(f"{chr(a)}-{chr(b)}" for a, b in COMPATIBLE) + "]")
+#: The characters that fold_lookalikes changes, and no others.
+ODD = re.compile("[" + "".join(map(re.escape, FOLDED)) + "]")
 BRACKET = re.compile(r"[\[({<]\x20?(?:at|arroba|arobase|dot|punkt|point|punto|@|\.)\x20?[\])}>]", re.I)
 DOT_NEAR = re.compile(r"\x20(?:dot|punkt|point|punto)\x20[A-Za-z0-9-]", re.I)
 AT_SPACED = re.compile(r"\x20@|@\x20")
-#: Two number words in a row.
-TWO = re.compile(rf"(?:{_NUMBER})[\x20,-]{{1,2}}(?:{_NUMBER})\b")
+#: A number word next to another one or to a digit.
+_GAP = r"[^\w\n]{1,3}(?:(?:dot|punkt|point|punto|double|triple)[^\w\n]{1,3})*"
+TWO = re.compile(rf"\b(?:{_NUMBER}){_GAP}(?:[0-9]|(?:{_NUMBER})\b)|[0-9]{_GAP}(?:{_NUMBER})\b")
 AROUND = 120
 
 
 def suspects(text: str) -> list[Span]:
-    """Parts of a text that hold a look-alike or invisible character, a written sign, or four spelled digits, with AROUND characters about them, cut at line ends."""
+    """Parts of a text that hold a look-alike or invisible character, a written sign, or a spelled digit next to another one or to a digit, with AROUND characters about them, cut at line ends."""
     low = text.lower()
     hits = [] if text.isascii() else [m.span() for m in ODD.finditer(text)]
     if any(b in text for b in "[({<"):
@@ -226,8 +245,9 @@ def suspects(text: str) -> list[Span]:
         hits += [m.span() for m in DOT_NEAR.finditer(text)]
     if "@" in text:
         hits += [m.span() for m in AT_SPACED.finditer(text)]
-    if len(low) == len(text):  # else a character's lower case is longer, and it is a look-alike or in no number word
-        hits += [m.span() for m in TWO.finditer(low)]
+    if len(low) != len(text):  # a character whose lower case is longer is in no number word
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    hits += [m.span() for m in TWO.finditer(low)]
     out: list[list[int]] = []
     for a, b in sorted(hits):
         line_start, line_end = text.rfind("\n", max(0, a - AROUND), a), text.find("\n", b, b + AROUND)

@@ -207,6 +207,28 @@ def test_pii_disguises(kind, found):
     assert found in [text[a:b] for a, b in spans[kind]]
 
 
+@pytest.mark.parametrize(
+    "kind, found",
+    [
+        ("phone", "+1 five five five 0123456"), ("phone", "+1 555 0 five six"), ("card", "4111 1111 1111 111 one"), ("ip", "192.168.one.1"), ("ip", "10.0.0 dot one"),
+        ("phone", "+\u00b9\u2075\u2075\u2075\u2070\u00b9\u00b2\u00b3\u2074\u2075\u2076"), ("phone", "+\u09e7\u09eb\u09eb\u09eb\u09e6\u09e7\u09e8\u09e9\u09ea\u09eb\u09ec"), ("ip", "\u0e51\u0e50.0.0.\u0e51"), ("email", "j\u24d0ne\u2460@\u212fxample.com"),
+    ],
+)
+def test_pii_short_runs_and_all_folded_characters(kind, found):
+    text = f"before: {found}; after it"
+    _, spans = pii.find(text)
+    assert (found in [text[a:b] for a, b in spans[kind]]) == (found != "+1 555 0 five six")  # seven digits are no phone
+
+
+def test_pii_every_folded_character_is_a_suspect():
+    for c in map(chr, range(0x80, 0x110000)):
+        tape = pii.fold_lookalikes(pii.Tape([c], [(0, 1)]))
+        assert (tape.text != c) == (pii.ODD.fullmatch(c) is not None), hex(ord(c))
+    for t in ("call +49 30 1234567 one more time", "4111 1111 1111 1111 two cards", "10.0.0.1 seven times"):
+        base, spans = pii.find(t)
+        assert base == spans and any(base.values())
+
+
 def test_pii_leaves_running_text_alone():
     for t in ("we met at one point and two or three came", "un deux trois", "point at the dot", "see 1.2.3 and 10 at 5", "a (b) [c] <d>"):
         assert not any(pii.find(t)[1].values())
