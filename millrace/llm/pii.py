@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
+from .tlds import TLDS
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -197,25 +198,40 @@ def fold_digits(tape: Tape) -> Tape:
 
 
 BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|arroba|arobase|dot|punkt|point|punto|@|\.)\x20?[\])}>]\x20?", re.I)
-WRITTEN = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.|\x20(?:dot|punkt|point|punto)\x20)[A-Za-z0-9_%+-]+)*(?:\x20(?:at|arroba|arobase)\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?(?=[a-z]{2,6}\b))[A-Za-z0-9-]+)+", re.I)
+WRITTEN = re.compile(r"[A-Za-z0-9_%+-]+(?:(?:\.|\x20(?:dot|punkt|point|punto)\x20)[A-Za-z0-9_%+-]+)*(?:\x20(?:at|arroba|arobase)\x20|\x20?@\x20?)[A-Za-z0-9-]+(?:(?:\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?)[A-Za-z0-9-]+)+", re.I)
+LABEL = re.compile(r"(\x20(?:dot|punkt|point|punto)\x20|\x20?\.\x20?)([A-Za-z0-9-]+)", re.I)
+AT_SIGN = re.compile(r"\x20(?:at|arroba|arobase)\x20|\x20?@\x20?", re.I)
 SIGN = re.compile(r"\x20(at|arroba|arobase|dot|punkt|point|punto)\x20|\x20?([@.])\x20?", re.I)
-#: Ends of addresses that are written with bare words.
-ENDS = frozenset("com org net edu gov mil int info biz io ai co me tv eu uk us ca au nz ie de at ch fr be lu es mx ar cl it pt br nl pl cz se no dk fi ru ua jp cn in kr tr gr".split())
-DOT_WORD = re.compile(r"\x20(?:dot|punkt|point|punto)\x20", re.I)
-AT_WORD = re.compile(r"\x20(?:at|arroba|arobase)\x20", re.I)
+
+
+def address_end(tape: Tape, m: re.Match) -> int:
+    """Where the address that a match of WRITTEN starts with ends in the tape; its start if it is none.
+
+    That is after the last label that is a top-level domain. With a real or a bracketed sign any other label will do as
+    well, unless it comes after a real dot with a space at it or after a whole address. A sentence that ends ends the address.
+    """
+    at = list(AT_SIGN.finditer(m[0]))[-1]
+    bracketed = any(tape.text[i] in "@." and tape.spans[i][1] - tape.spans[i][0] > 1 for i in range(m.start(), m.end()))
+    strong, whole, end = "@" in at[0] or bracketed, False, m.start()
+    for label in LABEL.finditer(m[0], at.end()):
+        joined, spaced = label[1] == ".", label[1] in (". ", " .", " . ")
+        if spaced and (not strong or (whole and label[1] == ". ")):
+            break
+        if label[2].lower() in TLDS or (strong and (joined or not (spaced or whole))):
+            end = m.start() + label.end()
+        whole = whole or joined or label[2].lower() in TLDS
+    return end
 
 
 def fold_signs(tape: Tape) -> Tape:
-    """Bracketed at and dot become signs anywhere; bare words only in an address that has both an at and a written dot."""
+    """Bracketed at and dot become signs anywhere, others in an address that address_end finds."""
     tape = tape.rewrite((m.start(), m.end(), SIGN_WORDS.get(m[1].lower(), m[1])) for m in BRACKETED.finditer(tape.text))
 
     def found() -> Iterator[tuple[int, int, str]]:
         for m in WRITTEN.finditer(tape.text):
-            word_dot = DOT_WORD.search(m[0])
-            bare = word_dot or AT_WORD.search(m[0])
-            if (word_dot and TOKEN.findall(m[0])[-1].lower() in ENDS) or not bare:
-                for s in SIGN.finditer(m[0]):
-                    yield m.start() + s.start(), m.start() + s.end(), SIGN_WORDS.get((s[1] or "").lower(), s[2] or "")
+            end = address_end(tape, m)
+            for s in SIGN.finditer(tape.text, m.start(), end):
+                yield s.start(), s.end(), SIGN_WORDS.get((s[1] or "").lower(), s[2] or "")
 
     return tape.rewrite(found())
 
@@ -228,6 +244,7 @@ TRANSDUCERS = (fold_lookalikes, fold_digits, fold_signs)
 ODD = re.compile("[" + "".join(map(re.escape, FOLDED)) + "]")
 BRACKET = re.compile(r"[\[({<]\x20?(?:at|arroba|arobase|dot|punkt|point|punto|@|\.)\x20?[\])}>]", re.I)
 DOT_NEAR = re.compile(r"\x20(?:dot|punkt|point|punto)\x20[A-Za-z0-9-]", re.I)
+AT_HOST = re.compile(r"\x20(?:at|arroba|arobase)\x20[A-Za-z0-9-]+\.[A-Za-z0-9-]", re.I)
 AT_SPACED = re.compile(r"\x20@|@\x20")
 #: A number word next to another one or to a digit.
 _GAP = r"[^\w\n]{1,3}(?:(?:dot|punkt|point|punto|double|triple)[^\w\n]{1,3})*"
@@ -243,6 +260,8 @@ def suspects(text: str) -> list[Span]:
         hits += [m.span() for m in BRACKET.finditer(text)]
     if any(w in low for w in (" dot ", " punkt ", " point ", " punto ")):
         hits += [m.span() for m in DOT_NEAR.finditer(text)]
+    if any(w in low for w in (" at ", " arroba ", " arobase ")):
+        hits += [m.span() for m in AT_HOST.finditer(text)]
     if "@" in text:
         hits += [m.span() for m in AT_SPACED.finditer(text)]
     if len(low) != len(text):  # a character whose lower case is longer is in no number word

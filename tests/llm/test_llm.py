@@ -229,6 +229,17 @@ def test_pii_every_folded_character_is_a_suspect():
         assert base == spans and any(base.values())
 
 
+@pytest.mark.parametrize("found", ["jane at acme dot dev", "jane@acme dot xyz", "jane@acme dot zzz", "jane [at] acme dot zzz", "jane at acme [dot] zzz", "jane at example.com", "jane at mail.example.photography", "jane at acme dot co dot za", "jane @ acme.zzz", "jane at acme dot cloud"])
+def test_pii_any_ending(found):
+    for text in (f"before, {found}, after it", f"before, {found}. After it", f"before, {found} dot qqq"):
+        if "zzz" in found and "qqq" in text:
+            continue
+        assert found in [text[a:b] for a, b in pii.find(text)[1]["email"]], text
+    for text in ("we met at noon. It was", "see jane@acme.com. It is", "we met at noon. Then we left", "look at one point and", "mail jane@acme.com. Then go", "mail jane@acme.com dot the i"):
+        base, spans = pii.find(text)
+        assert base == spans, text
+
+
 def test_pii_leaves_running_text_alone():
     for t in ("we met at one point and two or three came", "un deux trois", "point at the dot", "see 1.2.3 and 10 at 5", "a (b) [c] <d>"):
         assert not any(pii.find(t)[1].values())
