@@ -42,18 +42,26 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def suggest_attributes(labels: DataFrame, attributes: DataFrame, top: int = 5) -> DataFrame:
-    """The best attributes for each label: alias 100, name 90, a name within the other 50; ties by name and id.
+    """The best attributes for each label: the sum of alias 100, equal name 90 and, if neither, a name within the other 50, and
+    of an alias equal to the AI key 70; ties by name and id.
 
-    labels: label; attributes: id, name, aliases. Exact scores come from an equi-join. Containment compares
-    distinct labels with the attribute catalogue, which is read whole and refused beyond 10,000 rows.
+    labels: label, and an optional ai_key, which is then in the result; attributes: id, name, aliases. Exact scores come from an
+    equi-join. Containment compares distinct labels with the attribute catalogue, which is read whole and refused beyond 10,000 rows.
     """
     if attributes.limit(10_001).count() > 10_000:
         raise ValueError("the attribute catalogue has more than 10,000 rows")
-    names = attributes.select("id", "name", F.explode(F.concat(F.array(F.struct(label_key(F.col("name")).alias("k"), F.lit(90).alias("s"))), F.transform("aliases", lambda a: F.struct(label_key(a).alias("k"), F.lit(100).alias("s"))))).alias("x"))
+    keys = [c for c in ("label", "ai_key") if c in labels.columns]
+    names = attributes.select("id", "name", F.explode(F.concat(F.array(F.struct(label_key(F.col("name")).alias("k"), F.lit(90).alias("s"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(label_key(a).alias("k"), F.lit(100).alias("s"))))).alias("x"))
     names = names.select("id", "name", "x.k", "x.s")
-    wanted = labels.select("label", label_key(F.col("label")).alias("lk")).distinct()
-    exact = wanted.join(names, F.col("lk") == F.col("k")).select("label", "id", "name", F.col("s").alias("score"))
-    near = wanted.join(F.broadcast(names.where("s = 90")), F.col("lk").contains(F.col("k")) | F.col("k").contains(F.col("lk"))).select("label", "id", "name", F.lit(50).alias("score"))
-    best = exact.unionByName(near).groupBy("label", "id", "name").agg(F.max("score").alias("score"))
-    by = Window.partitionBy("label").orderBy(F.desc("score"), "name", "id")
+    wanted = labels.select(*keys, label_key(F.col("label")).alias("lk")).distinct()
+    found = wanted.join(names, F.col("lk") == F.col("k")).select(*keys, "id", "name", "s")
+    within = (F.col("lk") != "") & (F.col("k") != "") & (F.col("lk").contains(F.col("k")) | F.col("k").contains(F.col("lk")))
+    found = found.unionByName(wanted.join(F.broadcast(names.where("s = 90")), within).select(*keys, "id", "name", F.lit(50).alias("s")))
+    if "ai_key" in keys:
+        found = found.unionByName(wanted.join(names.where("s = 100"), label_key(F.col("ai_key")) == F.col("k")).select(*keys, "id", "name", F.lit(70).alias("s")))
+    has = lambda n: F.max((F.col("s") == n).cast("int")) * n
+    rules = found.groupBy(*keys, "id", "name").agg(*[has(n).alias(f"s{n}") for n in (100, 90, 50, 70)])
+    equal = F.col("s100") + F.col("s90")
+    best = rules.select(*keys, "id", "name", (F.when(equal > 0, equal).otherwise(F.col("s50")) + F.col("s70")).alias("score"))
+    by = Window.partitionBy(*keys).orderBy(F.desc("score"), "name", "id")
     return best.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= top)

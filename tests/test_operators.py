@@ -252,3 +252,11 @@ def test_inventory(spark):
     text = spark.createDataFrame([(1, "Name: Ann\nAge：5\nhttp://x\n12: z", 1), (2, "name : Bob", 2)], "p int, t string, n int")
     got = {r.label: (r.people, r.examples) for r in inventory.label_inventory(text, "p", "t", "n").collect()}
     assert got == {"name": (2, ["Ann", "Bob"]), "age": (1, ["5"])}
+
+
+def test_attribute_scores_add_up(spark):
+    attributes = spark.createDataFrame([(1, "Name", ["name", "NAME "]), (2, "other", ["name"]), (3, "name", []), (4, "full name", []), (5, "zzz", ["p1"]), (6, "nam", ["P1"]), (7, "", [])], "id int, name string, aliases array<string>")
+    labels = spark.createDataFrame([("name", "p1"), ("name", None)], "label string, ai_key string")
+    got = {(r.ai_key, r.id): r.score for r in inventory.suggest_attributes(labels, attributes, 9).collect()}
+    assert got == {("p1", 1): 190, ("p1", 2): 100, ("p1", 3): 90, ("p1", 4): 50, ("p1", 5): 70, ("p1", 6): 120, (None, 1): 190, (None, 2): 100, (None, 3): 90, (None, 4): 50, (None, 6): 50}
+    assert inventory.suggest_attributes(labels.drop("ai_key"), attributes, 2).select("id", "score", "nth").collect() == [(1, 190, 1), (2, 100, 2)]
