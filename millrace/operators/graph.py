@@ -40,20 +40,19 @@ def superseded(decisions: DataFrame) -> DataFrame:
     return decisions.join(links, "id", "left").join(ends, "id", "left").select("id", F.col("next").alias("replaced_by"), "terminal", F.col("next").isNull().alias("is_current"))
 
 
-def source_roots(supplementals: DataFrame, most_depth: int = 64) -> DataFrame:
+def source_roots(supplementals: DataFrame) -> DataFrame:
     """id, roots: the observations at the end of all derivation paths, or the direct anchors if there are none.
 
-    supplementals: id, observations (array), parents (array of supplementals). Breadth first; visited pairs are not followed again.
+    supplementals: id, observations (array), parents (array of supplementals). Paths double in each round, so a chain of n
+    links takes log2(n) rounds; it ends, with cycles too, when a round adds no pair.
     """
-    edges = supplementals.select("id", F.explode("parents").alias("parent"))
-    reached = materialize(supplementals.select("id", F.col("id").alias("at")), "reach")
-    frontier = reached
-    for _ in range(most_depth):
-        step = frontier.join(edges.withColumnRenamed("id", "at"), "at").select("id", F.col("parent").alias("at")).distinct()
-        frontier = materialize(step.join(reached, ["id", "at"], "left_anti"), "reach")
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
+    edges = supplementals.select("id", F.explode("parents").alias("at")).where("at is not null")
+    reached = materialize(supplementals.select("id", F.col("id").alias("at")).unionByName(edges).distinct(), "reach")
+    before, now = -1, reached.count()
+    while now != before:
+        ahead = reached.select(F.col("id").alias("at"), F.col("at").alias("at2"))
+        reached = materialize(reached.join(ahead, "at").select("id", F.col("at2").alias("at")).unionByName(reached).distinct(), "reach")
+        before, now = now, reached.count()
     found = reached.join(supplementals.select(F.col("id").alias("at"), F.explode("observations").alias("root")), "at").groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
     direct = F.array_sort(F.array_distinct(F.concat("observations", "parents")))
     return supplementals.join(found, "id", "left").select("id", F.coalesce("roots", direct).alias("roots"))

@@ -59,15 +59,16 @@ def forms(forms: DataFrame) -> DataFrame:
     return structure.unionByName(fact).unionByName(content)
 
 
-def files_below(files: DataFrame, roots: list[str], most_depth: int = 64) -> DataFrame:
+def files_below(files: DataFrame, roots: list[str]) -> DataFrame:
     """file_id, depth of everything below some folders (files: file_id, parent_id), breadth first; a file with many ways has its least depth."""
     spark = files.sparkSession
     found = spark.createDataFrame([(r, 0) for r in roots], "file_id string, depth int")
-    frontier = found
-    for depth in range(1, most_depth + 1):
+    frontier, depth = found, 0
+    while not frontier.isEmpty():
+        depth += 1
         step = files.join(frontier.select(F.col("file_id").alias("parent_id")), "parent_id").select("file_id").distinct().join(found, "file_id", "left_anti")
         frontier = materialize(step.withColumn("depth", F.lit(depth)), "folders")
-        if frontier.isEmpty():
-            break
         found = found.unionByName(frontier)
+        if depth % 16 == 0:  # keeps the plan short
+            found = materialize(found, "folders-found")
     return found

@@ -260,3 +260,9 @@ def test_attribute_scores_add_up(spark):
     got = {(r.ai_key, r.id): r.score for r in inventory.suggest_attributes(labels, attributes, 9).collect()}
     assert got == {("p1", 1): 190, ("p1", 2): 100, ("p1", 3): 90, ("p1", 4): 50, ("p1", 5): 70, ("p1", 6): 120, (None, 1): 190, (None, 2): 100, (None, 3): 90, (None, 4): 50, (None, 6): 50}
     assert inventory.suggest_attributes(labels.drop("ai_key"), attributes, 2).select("id", "score", "nth").collect() == [(1, 190, 1), (2, 100, 2)]
+
+
+def test_roots_beyond_64_levels(spark):
+    sup = [("s0", ["o"], [])] + [(f"s{i}", [], [f"s{i - 1}"]) for i in range(1, 150)]
+    got = graph.source_roots(spark.createDataFrame(sup, "id string, observations array<string>, parents array<string>")).collect()
+    assert len(got) == 150 and all(r.roots == ["o"] for r in got)
