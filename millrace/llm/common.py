@@ -25,6 +25,36 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def place_of(df: DataFrame, name: str) -> int:
+    """The place of a column, whose name may be written in other case, as Spark allows."""
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def with_key(df: DataFrame, k1: str, k2: str) -> DataFrame:
+    """df with two 64-bit hashes of all its columns (maps aside, which have none): rows of one key are equal."""
+    columns = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    nulls = F.concat(*[c.isNull().cast("string") for c in columns])  # a null leaves a hash as it is
+    return df.withColumns({k1: F.xxhash64(F.lit(1), nulls, *columns), k2: F.xxhash64(F.lit(2), nulls, *columns)})
+
+
+def keep_keys(df: DataFrame, every: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of df whose key (with_key) is in kept, one for each; every has the keys of all rows (k1, k2), kept some of them, once each.
+
+    The rows that go are named by an anti join with the keys that go, which are mostly few. Keys of repeated rows
+    go with them, and one row of each that is kept comes back.
+    """
+    names = [f"`{n}`" for n in df.columns]
+    k1, k2 = unused(df, "k1"), unused(df, "k2")
+    each = every.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").where("n > 1 or stays is null")
+    each = materialize(each.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce("stays", F.lit(False)).alias(unused(df, "stays"))), "keys-gone")
+    keyed = with_key(df, k1, k2)
+    left = keyed.join(each, [k1, k2], "left_anti").select(*names)
+    again = each.where(f"`{unused(df, 'stays')}`")
+    if again.isEmpty():
+        return left
+    return left.unionByName(keyed.join(again, [k1, k2], "left_semi").dropDuplicates([k1, k2]).select(*names))
+
+
 def numbered(df: DataFrame, name: str) -> DataFrame:
     """df with a number for each row, in a column of that name, written once: two scans of the same files may split them
     differently, and then number their rows differently."""

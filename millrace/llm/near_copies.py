@@ -1,12 +1,13 @@
 """Near copies: all pairs of texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-If the similarity of two sets reaches t, they share t of the larger one at least, so under any one order
-of all shingles the first n - ceil(t n) + 1 of each have one in common (the prefix filter): no such pair is
-missed. Shingles that a sample shows to be frequent come last in the order, which keeps the lists
+Under any one order of all shingles, two sets of sizes m <= n that reach the similarity have their first
+common shingle among the first fifth of the larger set and the first ninth of the smaller one (prefix
+filter), with enough of both sets left after it (position filter), and m is at least 0.8 n: no such pair
+is missed. Shingles that a sample shows to be frequent come last in the order, which keeps the lists
 short; the sample decides the cost alone. Candidates are compared by their whole sets.
 
-A list first links its members to one of them. Only pairs that this leaves in different components are
-compared after that, so that a large group of near copies does not cost all its pairs.
+A list first links its members to its smallest one. Only pairs that this leaves in different components
+are compared after that, so that a large group of near copies does not cost all its pairs.
 """
 
 from __future__ import annotations
@@ -24,27 +25,49 @@ from millrace.operators.components import connected_components
 from . import common, simhash
 
 WORDS = 5
-#: The least similarity, as a fraction.
+#: The least similarity, as a fraction; two sets of m and n shingles that reach it share OVER / (OVER + UNDER) of m + n.
 OVER, UNDER = 4, 5
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted different XXH64 of a text's shingles; words as in simhash.fingerprint."""
+class Hashes(dict):
+    """XXH64 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+def shingles(text: str | None, hashes: Hashes | None = None) -> np.ndarray:
+    """The sorted different 64-bit hashes of a text's shingles, made of its words' hashes; words as in simhash.fingerprint.
+
+    A text of fewer words than a shingle has one shingle of all of them; one without words has none.
+    """
     parts = text.encode("utf-8", "surrogatepass").translate(simhash.LOWER).split() if text else []
-    last = max(1, len(parts) - WORDS + 1) if parts else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + WORDS]), 42) for i in range(last)), np.uint64, last))
+    n = len(parts)
+    if not n:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map((Hashes() if hashes is None else hashes).__getitem__, parts), np.uint64, n)
+    size = min(WORDS, n)
+    out = np.full(n - size + 1, np.uint64(size))
+    for i in range(size):
+        out = (out ^ h[i : n - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
 
 
-def frequent(docs: DataFrame, about: int = 20_000, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of about that many rows, sorted, and how many of its rows have each."""
+def frequent(docs: DataFrame, about: int = 4_000, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample of about that many rows (by a hash of the text), sorted, and how many of its rows have each."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in common.slices(batches):
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text).view(np.int64))], ["h"])
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, hashes).view(np.int64))], ["h"])
 
     step = max(1, docs.count() // about)
-    sample = docs.where(F.pmod(F.xxhash64("row"), F.lit(step)) == 0).select("text").mapInArrow(cut, "h long")
+    sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(step)) == 0).select("text").dropDuplicates().mapInArrow(cut, "h long")
     top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
     h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
     order = np.argsort(h)
@@ -52,7 +75,7 @@ def frequent(docs: DataFrame, about: int = 20_000, most: int = 1 << 15) -> tuple
 
 
 def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The shingles of a set that come first, rare before frequent, of which a similar set shares one."""
+    """The shingles of a set that come first, rare before frequent, of which a similar set that is not larger shares one."""
     n = len(own)
     seen = np.zeros(n, np.int64)
     if n and len(often[0]):
@@ -62,17 +85,86 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """row, doc_id, one and two (name of the set), n (its size), prefix of every row of docs (row, doc_id, text)."""
+    """k1, k2, doc_id, fp (op8's), one and two (name of the set), n (its size), prefix of every row of docs (k1, k2, doc_id, text)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in common.slices(batches):
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            texts = batch.column(3).to_pylist()
+            fps = np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts))
+            sets = [shingles(t, hashes) for t in texts]
             names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
             one, two = [(h >> 64) - (1 << 63) for h in names], [(h & (1 << 64) - 1) - (1 << 63) for h in names]
             lists = pa.array([prefix(s, often).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(list(map(len, sets)), pa.int64()), lists], ["row", "doc_id", "one", "two", "n", "prefix"])
+            columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "n", "prefix"])
+
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, n int, prefix array<long>")
+
+
+def fits(m: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sets of m <= n shingles can be similar if place i of the one and j of the other is their first common shingle."""
+    return (UNDER * m >= OVER * n) & ((OVER + UNDER) * np.minimum(m - i, n - j) >= OVER * (m + n))
+
+
+def first_ninth(m: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Whether a set of m shingles can be the smaller of a similar pair whose first common shingle is at its place i."""
+    return fits(m, i, m, i)
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
 
-    return docs.select("row", "doc_id", "text").mapInArrow(compute, "row long, doc_id long, one long, two long, n long, prefix array<long>")
+def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of each list's smallest member that can be the smaller of a pair with the others that fit; rows (h, n, row, at) are sorted."""
+    head = None  # h, n, row, at
+    for batch in batches:
+        h, n, row, at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        if not len(h):
+            continue
+        if head is not None:
+            h, n, row, at = (np.concatenate([[x], c]) for x, c in zip(head, (h, n, row, at), strict=True))
+        able = np.flatnonzero(first_ninth(n, at))
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
+        first = np.full(len(starts), -1)
+        first[of[able[::-1]]] = able[::-1]  # the smallest is written last
+        lead = first[of]
+        x = np.flatnonzero((lead >= 0) & (lead != np.arange(len(h))))
+        x = x[lead[x] < x]
+        x = x[fits(n[lead[x]], at[lead[x]], n[x], at[x]) & (row[lead[x]] != row[x])]
+        yield _pairs(row[lead[x]], row[x])
+        last = first[-1]
+        head = (h[last], n[last], row[last], at[last]) if last >= 0 else None
+
+
+def rest(most: int = 1 << 22):
+    """All pairs (a, b) of different components that a list's members (h, n, row, at, component; sorted) can make."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, _ in common.whole_groups(batches, ["h"], 1 << 62):
+            h, n, row, at, component = (now[c].astype(np.int64) for c in ("h", "n", "row", "at", "component"))
+            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+            able, (a, b, held) = first_ninth(n, at), ([], [], 0)
+            for start, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
+                for c in np.unique(component[start:end]).tolist():
+                    mine = component[start:end] == c
+                    others = start + np.flatnonzero(~mine)
+                    for i in (start + np.flatnonzero(mine & able[start:end])).tolist():
+                        x = others[np.searchsorted(others, i) :]
+                        x = x[: np.searchsorted(n[x], UNDER * n[i] // OVER, "right")]
+                        x = x[fits(n[i], at[i], n[x], at[x])]
+                        a.append(np.full(len(x), row[i]))
+                        b.append(row[x])
+                        held += len(x)
+                        if held > most:
+                            yield _pairs(np.concatenate(a), np.concatenate(b))
+                            a, b, held = [], [], 0
+            if held:
+                yield _pairs(np.concatenate(a), np.concatenate(b))
+
+    return run
 
 
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -91,46 +183,74 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
 
 
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """a, b: enough links between rows of reps (row, n, prefix; different sets) to join all that are similar."""
+def sets_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """row, hs (the whole set) of rows (row, k1, k2), from the texts of keyed (k1, k2, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "hs"])
-
-    index = reps.select("row", "n", F.explode("prefix").alias("h"))
-    heads = index.groupBy("h").agg(F.min(F.struct("n", "row")).alias("head"), F.count("*").alias("size")).where("size > 1").select("h", "head")
-    index = common.materialize(index.join(heads, "h"), "near-index")  # shingles that more than one prefix has
-    near = lambda m, n: F.least(m, n) * UNDER >= F.greatest(m, n) * OVER
-    sets = common.materialize(docs.join(index.select("row").distinct(), "row", "left_semi").select("row", "text").mapInArrow(cut, "row long, hs array<long>"), "near-sets")
-    star = index.where((F.col("row") != F.col("head.row")) & near(F.col("n"), F.col("head.n")))
-    star = common.materialize(star.select(F.least("row", "head.row").alias("a"), F.greatest("row", "head.row").alias("b")).distinct(), "near-star")
-    first = common.materialize(similar(star, sets), "near-links")
-    parts = connected_components(first).withColumnRenamed("node", "row")
-    one = index.select("h", "row", "n").join(parts, "row", "left").select("h", F.col("row").alias("a"), F.col("n").alias("m"), F.coalesce("component", "row").alias("c"))
-    one = common.materialize(one, "near-parts")
-    mixed = one.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    one = one.join(mixed, "h", "left_semi")
-    other = one.select("h", F.col("a").alias("b"), F.col("m").alias("n"), F.col("c").alias("d"))
-    rest = one.join(other, "h").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & near(F.col("m"), F.col("n"))).select("a", "b").distinct()
-    return first.unionByName(similar(rest.join(star, ["a", "b"], "left_anti"), sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "hs"])
+
+    rows = common.materialize(rows, "near-ends")  # of a known size, so that the texts are shuffled only if it is large
+    found = keyed.select("k1", "k2", "text").join(rows, ["k1", "k2"]).select("row", "text").dropDuplicates(["row"])
+    return found.mapInArrow(cut, "row long, hs array<long>")
+
+
+def links(keyed: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b: enough links between those rows of found (row, k1, k2, n, prefix) that reps names (row; different sets) to join all that are similar.
+
+    Lists of one member, nearly all of them, go before anything else is joined.
+    """
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of lists that have more than one; rows are sorted by h."""
+        held, same = None, False
+        for batch in batches:
+            whole = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks().to_batches()
+            if not whole:
+                continue
+            h = whole[0].column(0).to_numpy()
+            equal = h[1:] == h[:-1]
+            keep = np.concatenate([[same], equal]) | np.concatenate([equal, [False]])
+            yield whole[0].slice(0, len(h) - 1).filter(pa.array(keep[:-1]))
+            held, same = whole[0].slice(len(h) - 1), bool(equal[-1]) if len(equal) else same
+        if held is not None and same:
+            yield held
+
+    dealt = lambda d: d.select("h", "n", "row", "at").repartition("h").sortWithinPartitions("h", "n", "row")
+    index = dealt(found.select(F.posexplode("prefix").alias("at", "h"), "n", "row")).mapInArrow(many, "h long, n int, row long, at int")
+    index = common.materialize(common.materialize(index, "near-lists").join(reps, "row", "left_semi"), "near-index")
+    first = common.materialize(dealt(index).mapInArrow(star, "a long, b long").distinct(), "near-star")
+    ends = lambda p: p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct()
+    names = found.select("row", "k1", "k2")
+    sets = common.materialize(sets_of(keyed, names.join(ends(first), "row", "left_semi")), "near-sets")
+    linked = common.materialize(similar(first, sets), "near-links")
+    parts = connected_components(linked).withColumnRenamed("node", "row")
+    parted = common.materialize(index.join(parts, "row", "left").select("h", "n", "row", "at", F.coalesce("component", "row").alias("component")), "near-parts")
+    mixed = parted.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
+    other = parted.join(mixed.select("h"), "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "row").mapInArrow(rest(), "a long, b long").distinct()
+    other = common.materialize(other.join(first, ["a", "b"], "left_anti"), "near-rest")
+    more = sets_of(keyed, names.join(ends(other).join(ends(first), "row", "left_anti"), "row", "left_semi"))
+    more = common.materialize(sets.join(ends(other), "row", "left_semi").unionByName(more), "near-sets")
+    return linked.unionByName(similar(other, more))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, without near copies: first one row of each group of op8's fingerprints,
-    then, of those, one row of each group that similar sets of shingles join; always the least doc_id (null last), then row.
+    then, of those, one row of each group that similar sets of shingles join; always the least doc_id (null last).
 
-    All texts without words are of one group.
+    All texts without words are of one group. Of rows that are equal in all columns one stays. docs is read from
+    files or a written table; a row is named by 128 bits of hash of its columns, so it needs no number.
     """
-    place, kept_place = common.unused(docs, "place"), common.unused(docs, "kept_place")
-    numbered = common.numbered(docs, place)
-    texts = numbered.select(F.col(place).alias("row"), "doc_id", "text")
-    fps = common.materialize(simhash.fingerprints(texts), "fingerprints")
-    left = simhash.groups(fps).select(F.col("first.row").alias("row")).distinct()
-    found = common.materialize(signatures(texts, frequent(texts)).join(left, "row", "left_semi"), "signatures")
-    classes = found.groupBy("one", "two").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first"))
-    classes = common.materialize(classes.select(F.col("first.row").alias("row"), "first"), "near-classes")
-    parts = connected_components(links(texts, found.join(classes.select("row"), "row", "left_semi"))).withColumnRenamed("node", "row")
-    kept = classes.join(parts, "row", "left").groupBy(F.coalesce("component", "row").alias("group")).agg(F.min("first").alias("first"))
-    kept = kept.select(F.col("first.row").alias(kept_place))
-    return numbered.join(kept, F.col(place) == F.col(kept_place), "left_semi").select(*[f"`{n}`" for n in docs.columns])
+    k1, k2 = common.unused(docs, "k1"), common.unused(docs, "k2")
+    keyed = common.with_key(docs, k1, k2)
+    texts = keyed.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "doc_id", "text")
+    found = common.materialize(signatures(texts, frequent(texts)).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2", "row")
+    groups = simhash.groups(found.select("row", "doc_id", "fp"))
+    left = common.materialize(found.select("row", "one", "two", "k1", "k2", "doc_id").join(groups.select(F.col("first.row").alias("row")).distinct(), "row", "left_semi"), "near-left")
+    classes = common.materialize(left.groupBy("one", "two").agg(F.min(place).alias("first")), "near-classes")
+    parts = connected_components(links(texts, found, classes.select(F.col("first.row").alias("row"))))
+    kept = classes.join(parts, F.col("first.row") == F.col("node"), "left").groupBy(F.coalesce("component", "first.row").alias("group")).agg(F.min("first").alias("first"))
+    kept = common.materialize(kept.select("first.k1", "first.k2"), "near-kept")
+    return common.keep_keys(docs, found.select("k1", "k2"), kept)

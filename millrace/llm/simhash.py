@@ -187,10 +187,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that are the first of their group: least doc_id (null last), then place."""
-    place, kept_place = common.unused(docs, "place"), common.unused(docs, "kept_place")
-    numbered = common.numbered(docs, place)
-    fps = common.materialize(fingerprints(numbered.select(F.col(place).alias("row"), "doc_id", "text")), "fingerprints")
-    kept = groups(fps).select(F.col("first.row").alias(kept_place)).distinct()
-    return numbered.join(kept, F.col(place) == F.col(kept_place), "left_semi").select(*[f"`{n}`" for n in docs.columns])
