@@ -61,12 +61,12 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that the text column of each holds about most_bytes at most, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that the text column (by name or place) of each holds about most_bytes at most, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pa.compute.binary_length(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))).fill_null(0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(sizes):
             if i > start and held + n > most_bytes:

@@ -7,18 +7,16 @@ farther from that centroid than nearly all of the sample's texts were.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-LETTER = re.compile(r"[^\W\d_]")
 #: Lower-cases ASCII letters and makes of all other ASCII characters a space; bytes of other characters stay.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 UNDETERMINED = "und"
@@ -38,7 +36,7 @@ def counts(text: str, size: int) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -85,27 +83,43 @@ def cluster(vectors: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
+    """text, lang, picked (a hash of the text) of rows that have one of the per_language least hashes of their language, or some rows more.
+
+    Hashes are counted once each, so a text that repeats is one text. The share of hashes that is looked at comes from
+    their approximate number, with a margin; the rest of the choice is exact in chosen().
+    """
+    rows = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("picked", F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 40)))
+    n = rows.groupBy("lang").agg(F.approx_count_distinct("picked").alias("n")).collect()
+    if not n:
+        return rows.where("false")
+    most = F.element_at(F.create_map(*[F.lit(x) for r in n for x in (r["lang"], int(min(1.0, 2 * per_language / max(1, r["n"])) * (1 << 40)))]), F.col("lang"))
+    return rows.where(F.col("picked") < most)
+
+
 def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4, size: int = 4096, slack: float = 0.6) -> Model:
     """Learns from (text, lang) rows with both present and a letter in the text.
 
-    per_language bounds the sample of each language (about so many rows, picked by a hash of the text,
-    so it does not depend on how rows lie); only their vectors reach the driver. least is slack times
-    the similarity that 99 of 100 sample texts of the centroid reach. No labelled row: an empty model.
+    At most per_language different texts of each language are the sample, those with the least hashes, so it does not
+    depend on how rows lie or repeat; per_language x languages vectors of size numbers reach the driver. least is slack
+    times the similarity that 99 of 100 sample texts of the centroid reach. No labelled row: an empty model.
     """
-    rows = labelled.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not n:
-        return Model([], np.zeros((0, size)), np.zeros(0, int), np.zeros(0), np.ones(size))
-    share = F.element_at(F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1.0, per_language / k))]), F.col("lang"))
-    picked = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1_000_000)) < share * 1_000_000)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()  # as many as are sampled
         for batch in common.slices(batches):
-            pairs = [(t, g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if has_letter(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for _, g in pairs], pa.string()), pa.array([counts(t, size).astype(np.uint16 if len(t) < 16_000 else np.uint32).astype("<u4").tobytes() for t, _ in pairs], pa.binary())], ["lang", "tf"])
-
+            rows = []
+            for text, lang, picked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (lang, picked) not in seen and has_letter(text):
+                    seen.add((lang, picked))
+                    rows.append((lang, picked, counts(text, size).astype("<u4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary()))], ["lang", "picked", "tf"])
+
+    each = sampled(labelled, per_language).mapInArrow(vectors, "lang string, picked long, tf binary").groupBy("lang", "picked").agg(F.min("tf").alias("tf"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("picked"))
+    chosen = each.withColumn("nth", nth).where(F.col("nth") <= per_language)
     sample: dict[str, list] = {}
-    for r in picked.mapInArrow(vectors, "lang string, tf binary").collect():
+    for r in chosen.select("lang", "tf").collect():
         sample.setdefault(r["lang"], []).append(bytes(r["tf"]))
     languages = sorted(sample)
     if not languages:
@@ -128,7 +142,10 @@ def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4, size:
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of every row of (doc_id, text); und for a text that is null or has no letter."""
+    """doc_id, lang_pred, score, rejected of every row of (doc_id, text); und, score 0 and rejected for a text that is null or has no letter.
+
+    Equal texts are judged alike; an empty table gives no rows; an empty model rejects all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # clusters x languages x size numbers
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +157,11 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is not rejected."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    """The rows of docs, with all their columns, whose text is not rejected: null texts and those without a letter go."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), common.place_of(docs, "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, at):
             yield batch.filter(pa.array([not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(judge, docs.schema)

@@ -552,9 +552,69 @@ def test_language_accuracy(spark):
     assert model.predict(None)[0] == model.predict("12 -- !")[0] == "und" and model.predict("漢字かな交じり文" * 30)[2]
 
 
+def brute_vector(text, size):
+    """Hashed counts by explicit slices of the folded bytes."""
+    folded = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode())
+    b = (" " + " ".join(folded.decode().split()) + " ").encode()
+    out = [0] * size
+    for n in range(1, 5):
+        for i in range(len(b) - n + 1):
+            h = 0
+            for c in b[i : i + n]:
+                h = (h * 257 + c) % (1 << 32)
+            out[((h * 2654435761) % (1 << 32) >> 12) % size] += 1
+    return out
+
+
+def test_language_equals_brute_centroids(spark):
+    rnd = random.Random(3)
+    make = lambda letters: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(rnd.randint(3, 12)))
+    data = [(make(letters), lang) for lang, letters in (("a", "abcdé"), ("b", "bcdefß"), ("c", "XYZq'")) for _ in range(25)]
+    model = langid.train(spark.createDataFrame(data + data[:9], "text string, lang string").repartition(3), 400, 3, 256)
+    texts = {g: sorted({t for t, x in data if x == g}) for g in "abc"}
+    tf = {g: [brute_vector(t, 256) for t in ts] for g, ts in texts.items()}
+    n, every = sum(map(len, tf.values())), [v for vs in tf.values() for v in vs]
+    idf = [np.log((1 + n) / (1 + sum(v[k] > 0 for v in every))) + 0.1 for k in range(256)]
+
+    def unit(v):
+        length = sum(x * x for x in v) ** 0.5 or 1.0
+        return [x / length for x in v]
+
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    weighed = lambda v: unit([np.log(1 + x) * w for x, w in zip(v, idf, strict=True)])
+    centroids = []
+    for g in "abc":
+        rows = [weighed(v) for v in sorted(tf[g], key=lambda v: np.array(v, "<u4").tobytes())]
+        c = [unit([sum(x) / len(rows) for x in zip(*rows, strict=True)])]
+        while len(c) < 3:
+            c.append(min(rows, key=lambda r: max(dot(r, x) for x in c)))
+        for _ in range(8):
+            own = [max(range(3), key=lambda k: dot(r, c[k])) for r in rows]
+            c = [unit([sum(x) for x in zip(*[r for r, o in zip(rows, own, strict=True) if o == k], strict=True)]) if k in own else c[k] for k in range(3)]
+        centroids += [(g, x) for x in c]
+    for text in [t for t, _ in data[::4]] + [make("abcdéß") for _ in range(20)]:
+        v = weighed(brute_vector(text, 256))
+        near, k = max((dot(v, c), k) for k, (_, c) in enumerate(centroids))
+        lang = centroids[k][0]
+        mine = [dot(r, c) for r in map(weighed, tf[lang]) if (c := max((c for g, c in centroids if g == lang), key=lambda c: dot(r, c))) == centroids[k][1]]
+        got = model.predict(text)
+        assert got[0] == lang and abs(got[1] - near) < 1e-4 and got[2] == (near < 0.6 * np.quantile(mine, 0.01))
+    assert len(model.centroids) == 9
+
+
+def test_language_sample_is_bounded(spark):
+    data = [("the same text again", "en")] * 5000 + [(f"text number {i} of many", "en") for i in range(1500)] + [("uno dos tres", "es"), (None, "es"), ("123", "es"), ("x", None)]
+    table = spark.createDataFrame(data, "text string, lang string").repartition(4)
+    assert langid.sampled(table, 50).where("text <> 'the same text again'").count() <= 250
+    model = langid.train(table, 50, 2, 64)
+    assert model.languages == ["en", "es"] and model.predict("one more text of many")[0] == "en" and langid.train(table, 50, 2, 64).centroids.tolist() == model.centroids.tolist()
+    assert not langid.has_letter("²³ 12 —") and langid.has_letter("12 é")
+
+
 def test_language_odd_rows(odd):
     model = langid.train(odd.where("false"))
     assert {r.lang_pred for r in langid.predict(odd, model).collect()} == {"und"}
+    assert langid.keep_identified(odd.withColumnRenamed("text", "Text"), langid.train(odd)).columns == ["doc_id", "Text", *odd.columns[2:]]
     assert langid.predict(odd, langid.train(odd)).count() == len(ODD)
 
 
