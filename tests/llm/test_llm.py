@@ -606,8 +606,8 @@ def test_language_sample_is_bounded(spark):
     data = [("the same text again", "en")] * 5000 + [(f"text number {i} of many", "en") for i in range(1500)] + [("uno dos tres", "es"), (None, "es"), ("123", "es"), ("x", None)]
     table = spark.createDataFrame(data, "text string, lang string").repartition(4)
     assert langid.sampled(table, 50).where("text <> 'the same text again'").count() <= 250
-    model = langid.train(table, 50, 2, 64)
-    assert model.languages == ["en", "es"] and model.predict("one more text of many")[0] == "en" and langid.train(table, 50, 2, 64).centroids.tolist() == model.centroids.tolist()
+    model = langid.train(table, 50, 2, 2048)
+    assert model.languages == ["en", "es"] and model.predict("text number 77 of many")[0] == "en" and langid.train(table, 50, 2, 2048).centroids.tolist() == model.centroids.tolist()
     assert not langid.has_letter("²³ 12 —") and langid.has_letter("12 é")
 
 
