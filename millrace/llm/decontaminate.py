@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,8 @@ class WuManber:
             end += 1
 
 
-def item_windows(benchmark: DataFrame, window: int = 10) -> Iterator[tuple[str, tuple[bytes, ...]]]:
-    """item_id and words of every window; an item of fewer words, but not none, is one window."""
+def item_windows(benchmark: DataFrame, window: int = 10) -> DataFrame:
+    """item_id and words of every different window; an item of fewer words, but not none, is one window."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -94,69 +95,82 @@ def item_windows(benchmark: DataFrame, window: int = 10) -> Iterator[tuple[str,
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["item_id", "words"])
 
     found = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text").mapInArrow(cut, "item_id string, words binary")
-    for row in found.distinct().toLocalIterator():
-        yield row["item_id"], tuple(bytes(row["words"]).split(b" "))
+    return found.distinct()
 
 
 def pattern_blocks(benchmark: DataFrame, window: int, most: int) -> Iterator[list[WuManber]]:
-    """Searchers for at most that many windows at a time, one for each length of pattern."""
-    held: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
-    n = 0
-    for item, pattern in item_windows(benchmark, window):
-        held.setdefault(len(pattern), {}).setdefault(pattern, []).append(item)
-        n += 1
-        if n == most:
-            yield [WuManber(p) for _, p in sorted(held.items())]
-            held, n = {}, 0
-    if n:
+    """Searchers for about most windows at a time, one for each length of pattern.
+
+    Windows are dealt into blocks by a hash; a block is read by the driver when its turn comes, so it holds one at a time.
+    """
+    dealt = common.materialize(item_windows(benchmark, window), "windows")
+    blocks = max(1, -(-dealt.count() // most))
+    for k in range(blocks):
+        held: dict[int, dict[tuple[bytes, ...], list[str]]] = {}
+        for row in dealt.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).toLocalIterator():
+            pattern = tuple(bytes(row["words"]).split(b" "))
+            held.setdefault(len(pattern), {}).setdefault(pattern, []).append(row["item_id"])
         yield [WuManber(p) for _, p in sorted(held.items())]
 
 
-FOUND = "doc_id long, n_words long, spans binary, items array<string>"
+def _search(searchers: list[WuManber], text: str | None) -> tuple[int, bytes, list[str]]:
+    """The number of words, the spans (pairs of first word and end, as int64 bytes) of all occurrences, and their items."""
+    w, hits, names = words(text), [], set()
+    for s in searchers:
+        for start, of in s.search(w):
+            hits.append((start, start + s.length))
+            names.update(of)
+    return len(w), np.asarray(hits, "<i8").tobytes(), sorted(names)
+
+
+def _passes(rows: DataFrame, blocks: Iterator[list[WuManber]], first: list[WuManber], second: list[WuManber]) -> DataFrame:
+    """Of rows (row, text): row, n_words, spans, items from a pass for each block; a later pass gives only rows with hits."""
+    paths = []
+    for k, searchers in enumerate(chain([first, second], blocks)):
+        shared = rows.sparkSession.sparkContext.broadcast(searchers)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, every=k == 0) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches):
+                found = [(row, *_search(shared.value, text)) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_pylist([dict(zip(HITS.names, x, strict=True)) for x in found if every or x[2]], HITS)
+
+        paths.append(common.new_path(rows.sparkSession, "hits"))
+        rows.select("row", "text").mapInArrow(run, "row long, n_words long, spans binary, items array<string>").write.parquet(paths[-1])
+        shared.destroy()  # executors hold one block at a time
+    return rows.sparkSession.read.schema("row long, n_words long, spans binary, items array<string>").parquet(*paths)
+
+
+HITS = pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_patterns: int = 200_000) -> DataFrame:
     """doc_id, n_words, spans (pairs of first word and end, as int64 bytes), items of each document.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are not read. The windows of the test
-    items are taken in blocks of at most most_patterns, each sent to the executors once, and the
-    documents pass through one search per block in the same stage, without a shuffle: neither the
-    driver nor a task holds more than a block's tables. A null or empty text has no words and no hits,
-    repeated rows are judged alike, and an empty benchmark finds nothing.
+    docs: doc_id, text; benchmark: item_id, text; other columns are not read. The windows of the test items are taken in
+    blocks of about most_patterns. One block is searched in one stage without a shuffle; with more, the documents are
+    numbered in a table and pass through a stage for each block, so neither the driver nor a task holds more than one
+    block's tables however large the benchmark is. A null or empty text has no words and no hits, repeated rows are
+    judged alike, and an empty benchmark finds nothing.
     """
-    spark = docs.sparkSession
-    state = docs.select("doc_id", "text").withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(b""), "items": F.array().cast("array<string>")})
-    sent = []
-    for searchers in pattern_blocks(benchmark, window, most_patterns):
-        sent.append(spark.sparkContext.broadcast(searchers))
-    if not sent:
-        sent.append(spark.sparkContext.broadcast([]))
-    for k, shared in enumerate(sent):
-        last = k == len(sent) - 1  # the text goes on only to a further search
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            searchers = shared.value
-            for batch in common.slices(batches):
-                counts, spans, items = [], [], []
-                for text, had, named in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                    w = words(text)
-                    hits, names = [], set(named or ())
-                    for s in searchers:
-                        for start, of in s.search(w):
-                            hits.append((start, start + s.length))
-                            names.update(of)
-                    counts.append(len(w))
-                    spans.append((had or b"") + np.asarray(hits, "<i8").tobytes())
-                    items.append(sorted(names))
-                out = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out[:1] + out[1 + last :], ["doc_id", "text", "n_words", "spans", "items"][:1] + ["text", "n_words", "spans", "items"][last:])
-
-        state = state.mapInArrow(search, FOUND if last else FOUND.replace("doc_id long,", "doc_id long, text string,"))
-    return state
+    blocks = pattern_blocks(benchmark, window, most_patterns)
+    first, second = next(blocks), next(blocks, None)
+    if second is not None:
+        rows = common.numbered(docs.select("doc_id", "text"), "row")
+        found = _passes(rows, blocks, first, second).groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"))  # a block each
+        found = found.select("row", "n_words", F.concat_ws("", F.transform("spans", F.hex)).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+        return rows.select("row", "doc_id").join(found, "row").select("doc_id", "n_words", F.unhex("spans").alias("spans"), "items")
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            found = [_search(shared.value, text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], HITS.types[i + 1]) for i in range(3))], ["doc_id", *HITS.names[1:]])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, spans binary, items array<string>")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, contaminated."""
+    """doc_id, n_words, n_hit (words inside an occurrence, each once), n_items, items_sha256, contaminated of every row of find()."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,18 +194,22 @@ def report(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_patterns: int = 200_000) -> DataFrame:
     """The rows of docs, with all their columns, in which no window of a test item occurs.
 
-    The search runs on the row's text inside one stage: the row travels as a struct beside its text.
+    Rows without words stay, and so do all if no item has a word. Blocks as in find(): with one, rows are filtered in one
+    stage; with more, a table is written after each block, of the rows that it leaves.
     """
-    spark, names = docs.sparkSession, docs.columns
-    sent = [spark.sparkContext.broadcast(s) for s in pattern_blocks(benchmark, window, most_patterns)]
-    at = names.index("text")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                w = words(text)
-                keep.append(not any(next(iter(s.search(w)), None) for shared in sent for s in shared.value))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(clean, docs.schema)
+    blocks = pattern_blocks(benchmark, window, most_patterns)
+    searchers, at = next(blocks), common.place_of(docs, "text")
+    while searchers is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(searchers)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in common.slices(batches, at):
+                words_of = map(words, batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not any(next(iter(s.search(w)), None) for s in shared.value) for w in words_of], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+        searchers = next(blocks, None)
+        if searchers is not None:
+            docs = common.materialize(docs, "clean-so-far")
+            shared.destroy()
+    return docs

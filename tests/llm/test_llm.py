@@ -70,11 +70,22 @@ def test_wu_manber_equals_scan():
 def test_decontamination_odd_rows_and_blocks(spark, odd):
     bench = spark.createDataFrame([(1, "A b"), (2, None), (3, ""), (4, "word " * 12)], "item_id long, text string")
     a = decontaminate.report(decontaminate.find(odd, bench))
-    b = decontaminate.report(decontaminate.find(odd, bench, most_patterns=1))  # a block for each window
+    b = decontaminate.report(decontaminate.find(odd, bench, most_patterns=1))  # a block or two for each window
     assert rows(a.toPandas()) == rows(b.toPandas())
+    for most in (200_000, 1):
+        clean = decontaminate.decontaminate(odd.withColumnRenamed("text", "TEXT"), bench, most_patterns=most)
+        assert clean.count() == 5 and clean.columns[1] == "TEXT"
     hit = {(r.doc_id, r.n_words, r.n_hit, r.n_items) for r in a.collect()}
     assert (1, 3, 2, 1) in hit and (5, 60_000, 60_000, 1) in hit and (2, 0, 0, 0) in hit
-    assert decontaminate.find(odd, bench.where("false")).where("n_words > 0").count() == 5 and decontaminate.decontaminate(odd, bench).count() == 5
+    assert decontaminate.find(odd, bench.where("false")).where("n_words > 0").count() == 5 and decontaminate.decontaminate(odd, bench.where("false")).count() == len(ODD)
+
+
+def test_decontamination_blocks_hold_a_part_each(spark, docs):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = rows(decontaminate.report(decontaminate.find(docs, bench)).toPandas())
+    held = [sum(sum(len(b) for b in s.buckets.values()) for s in block) for block in decontaminate.pattern_blocks(bench, 10, 300)]
+    assert len(held) >= 3 and max(held) < 400
+    assert rows(decontaminate.report(decontaminate.find(docs, bench, most_patterns=300)).toPandas()) == whole
 
 
 # ---- op3, op7
