@@ -25,6 +25,14 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def bounded(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """df, whose session from now on hands batches of about most_bytes at most to Python, however long the texts are."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > most_bytes:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
+    return df
+
+
 def place_of(df: DataFrame, name: str) -> int:
     """The place of a column, whose name may be written in other case, as Spark allows."""
     return [c.lower() for c in df.columns].index(name.lower())

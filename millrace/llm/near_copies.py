@@ -2,9 +2,13 @@
 
 Under any one order of all shingles, two sets of sizes m <= n that reach the similarity have their first
 common shingle among the first fifth of the larger set and the first ninth of the smaller one (prefix
-filter), with enough of both sets left after it (position filter), and m is at least 0.8 n: no such pair
-is missed. Shingles that a sample shows to be frequent come last in the order, which keeps the lists
-short; the sample decides the cost alone. Candidates are compared by their whole sets.
+filter), with enough of both sets left after it (position filter), and m is at least 0.8 n. Shingles that
+a sample shows to be frequent come last in the order, which keeps the lists short; the sample decides
+the cost alone.
+
+Of the pairs that a list can make, those whose 128-bit SimHashes differ in more than MOST_BITS bits are left
+out (a pair of similarity 0.8 differs in 20 of them on average, and in more than 44 with a chance of
+under one in a million); the others are compared by their whole sets.
 
 A list first links its members to its smallest one. Only pairs that this leaves in different components
 are compared after that, so that a large group of near copies does not cost all its pairs.
@@ -27,6 +31,9 @@ from . import common, simhash
 WORDS = 5
 #: The least similarity, as a fraction; two sets of m and n shingles that reach it share OVER / (OVER + UNDER) of m + n.
 OVER, UNDER = 4, 5
+MOST_BITS = 44
+#: The bits of each byte.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
 class Hashes(dict):
@@ -57,8 +64,19 @@ def shingles(text: str | None, hashes: Hashes | None = None) -> np.ndarray:
     return np.unique(out)
 
 
-def frequent(docs: DataFrame, about: int = 4_000, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of a sample of about that many rows (by a hash of the text), sorted, and how many of its rows have each."""
+def simhash_of(own: np.ndarray) -> tuple[int, int]:
+    """128 bits, each set if it is in over half the hashes of a set; the second 64 are those of other hashes."""
+    both = np.concatenate([own, (own ^ (own >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)]).view(np.uint8).reshape(2, -1, 8)
+    counts = np.stack([np.bincount(both[i, :, k], minlength=256) for i in range(2) for k in range(8)]) @ BITS
+    one, two = np.packbits(2 * counts > len(own), axis=1).reshape(2, 8).copy().view(np.int64)[:, 0].tolist()
+    return one, two
+
+
+def frequent(docs: DataFrame, least: int = 4_000, share: int = 50, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of a sample, sorted, and how many of its rows have each.
+
+    The sample is one row in share (by a hash of the text), or least rows if that is more; at most most shingles are told.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -66,7 +84,7 @@ def frequent(docs: DataFrame, about: int = 4_000, most: int = 1 << 15) -> tuple[
             for text in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(text, hashes).view(np.int64))], ["h"])
 
-    step = max(1, docs.count() // about)
+    step = max(1, min(share, docs.count() // least))
     sample = docs.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(step)) == 0).select("text").dropDuplicates().mapInArrow(cut, "h long")
     top = sample.groupBy("h").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(most).collect()
     h, n = np.array([r.h for r in top], np.int64).view(np.uint64), np.array([r.n for r in top], np.int64)
@@ -85,7 +103,7 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k1, k2, doc_id, fp (op8's), one and two (name of the set), n (its size), prefix of every row of docs (k1, k2, doc_id, text)."""
+    """k1, k2, doc_id, fp (op8's), one and two (name of the set), s1 and s2 (its SimHash), n (its size), prefix of every row of docs (k1, k2, doc_id, text)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -96,10 +114,11 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFra
             names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
             one, two = [(h >> 64) - (1 << 63) for h in names], [(h & (1 << 64) - 1) - (1 << 63) for h in names]
             lists = pa.array([prefix(s, often).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(list(map(len, sets)), pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "n", "prefix"])
+            s1, s2 = zip(*map(simhash_of, sets), strict=True)
+            columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), *(pa.array(c, pa.int64()) for c in (one, two, s1, s2)), pa.array(list(map(len, sets)), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "s1", "s2", "n", "prefix"])
 
-    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, n int, prefix array<long>")
+    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, s1 long, s2 long, n int, prefix array<long>")
 
 
 def fits(m: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -112,19 +131,25 @@ def first_ninth(m: np.ndarray, i: np.ndarray) -> np.ndarray:
     return fits(m, i, m, i)
 
 
+def alike(s1: np.ndarray, s2: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
+    """Whether SimHashes are close enough for sets that reach the similarity."""
+    return np.bitwise_count((s1 ^ t1).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2 ^ t2).view(np.uint64)) <= MOST_BITS
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
 def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of each list's smallest member that can be the smaller of a pair with the others that fit; rows (h, n, row, at) are sorted."""
-    head = None  # h, n, row, at
+    """Pairs (a, b) of each list's smallest member that can be the smaller of a pair with the others that fit; rows (h, n, row, at, s1, s2) are sorted."""
+    head = None
     for batch in batches:
-        h, n, row, at = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
-        if not len(h):
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        if not batch.num_rows:
             continue
         if head is not None:
-            h, n, row, at = (np.concatenate([[x], c]) for x, c in zip(head, (h, n, row, at), strict=True))
+            columns = [np.concatenate([[x], c]) for x, c in zip(head, columns, strict=True)]
+        h, n, row, at, s1, s2 = columns
         able = np.flatnonzero(first_ninth(n, at))
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
@@ -133,18 +158,18 @@ def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = first[of]
         x = np.flatnonzero((lead >= 0) & (lead != np.arange(len(h))))
         x = x[lead[x] < x]
-        x = x[fits(n[lead[x]], at[lead[x]], n[x], at[x]) & (row[lead[x]] != row[x])]
-        yield _pairs(row[lead[x]], row[x])
-        last = first[-1]
-        head = (h[last], n[last], row[last], at[last]) if last >= 0 else None
+        y = lead[x]
+        ok = fits(n[y], at[y], n[x], at[x]) & alike(s1[y], s2[y], s1[x], s2[x])
+        yield _pairs(row[y[ok]], row[x[ok]])
+        head = [c[first[-1]] for c in columns] if first[-1] >= 0 else None
 
 
 def rest(most: int = 1 << 22):
-    """All pairs (a, b) of different components that a list's members (h, n, row, at, component; sorted) can make."""
+    """All pairs (a, b) of different components that a list's members (h, n, row, at, s1, s2, component; sorted) can make."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for now, _ in common.whole_groups(batches, ["h"], 1 << 62):
-            h, n, row, at, component = (now[c].astype(np.int64) for c in ("h", "n", "row", "at", "component"))
+            h, n, row, at, s1, s2, component = (now[c].astype(np.int64) for c in ("h", "n", "row", "at", "s1", "s2", "component"))
             ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
             able, (a, b, held) = first_ninth(n, at), ([], [], 0)
             for start, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
@@ -154,7 +179,7 @@ def rest(most: int = 1 << 22):
                     for i in (start + np.flatnonzero(mine & able[start:end])).tolist():
                         x = others[np.searchsorted(others, i) :]
                         x = x[: np.searchsorted(n[x], UNDER * n[i] // OVER, "right")]
-                        x = x[fits(n[i], at[i], n[x], at[x])]
+                        x = x[fits(n[i], at[i], n[x], at[x]) & alike(s1[i], s2[i], s1[x], s2[x])]
                         a.append(np.full(len(x), row[i]))
                         b.append(row[x])
                         held += len(x)
@@ -217,18 +242,19 @@ def links(keyed: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
         if held is not None and same:
             yield held
 
-    dealt = lambda d: d.select("h", "n", "row", "at").repartition("h").sortWithinPartitions("h", "n", "row")
-    index = dealt(found.select(F.posexplode("prefix").alias("at", "h"), "n", "row")).mapInArrow(many, "h long, n int, row long, at int")
-    index = common.materialize(common.materialize(index, "near-lists").join(reps, "row", "left_semi"), "near-index")
+    dealt = lambda d: d.repartition("h").sortWithinPartitions("h", "n", "row")
+    index = dealt(found.select(F.posexplode("prefix").alias("at", "h"), "n", "row").select("h", "n", "row", "at")).mapInArrow(many, "h long, n int, row long, at int")
+    bits = common.materialize(found.select("row", "s1", "s2").join(reps, "row", "left_semi"), "near-bits")
+    index = common.materialize(common.materialize(index, "near-lists").join(bits, "row").select("h", "n", "row", "at", "s1", "s2"), "near-index")
     first = common.materialize(dealt(index).mapInArrow(star, "a long, b long").distinct(), "near-star")
     ends = lambda p: p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct()
     names = found.select("row", "k1", "k2")
     sets = common.materialize(sets_of(keyed, names.join(ends(first), "row", "left_semi")), "near-sets")
     linked = common.materialize(similar(first, sets), "near-links")
     parts = connected_components(linked).withColumnRenamed("node", "row")
-    parted = common.materialize(index.join(parts, "row", "left").select("h", "n", "row", "at", F.coalesce("component", "row").alias("component")), "near-parts")
+    parted = common.materialize(index.join(parts, "row", "left").select("h", "n", "row", "at", "s1", "s2", F.coalesce("component", "row").alias("component")), "near-parts")
     mixed = parted.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    other = parted.join(mixed.select("h"), "h", "left_semi").repartition("h").sortWithinPartitions("h", "n", "row").mapInArrow(rest(), "a long, b long").distinct()
+    other = dealt(parted.join(mixed.select("h"), "h", "left_semi")).mapInArrow(rest(), "a long, b long").distinct()
     other = common.materialize(other.join(first, ["a", "b"], "left_anti"), "near-rest")
     more = sets_of(keyed, names.join(ends(other).join(ends(first), "row", "left_anti"), "row", "left_semi"))
     more = common.materialize(sets.join(ends(other), "row", "left_semi").unionByName(more), "near-sets")
