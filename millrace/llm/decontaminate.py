@@ -135,7 +135,7 @@ def _passes(rows: DataFrame, blocks: Iterator[list[WuManber]], first: list[WuMan
                 yield pa.RecordBatch.from_pylist([dict(zip(HITS.names, x, strict=True)) for x in found if every or x[2]], HITS)
 
         paths.append(common.new_path(rows.sparkSession, "hits"))
-        rows.select("row", "text").mapInArrow(run, "row long, n_words long, spans binary, items array<string>").write.parquet(paths[-1])
+        common.bounded(rows.select("row", "text")).mapInArrow(run, "row long, n_words long, spans binary, items array<string>").write.parquet(paths[-1])
         shared.destroy()  # executors hold one block at a time
     return rows.sparkSession.read.schema("row long, n_words long, spans binary, items array<string>").parquet(*paths)
 
@@ -166,7 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_patterns:
             found = [_search(shared.value, text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[i] for x in found], HITS.types[i + 1]) for i in range(3))], ["doc_id", *HITS.names[1:]])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, spans binary, items array<string>")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_words long, spans binary, items array<string>")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_
                 words_of = map(words, batch.column(at).to_pylist())
                 yield batch.filter(pa.array([not any(next(iter(s.search(w)), None) for s in shared.value) for w in words_of], pa.bool_()))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = common.bounded(docs).mapInArrow(clean, docs.schema)
         searchers = next(blocks, None)
         if searchers is not None:
             docs = common.materialize(docs, "clean-so-far")

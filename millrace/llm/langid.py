@@ -153,7 +153,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.float64(), pa.bool_()), strict=True))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(judge, "doc_id long, lang_pred string, score double, rejected boolean")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(judge, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -164,7 +164,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         for batch in common.slices(batches, at):
             yield batch.filter(pa.array([not shared.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(judge, docs.schema)
+    return common.bounded(docs).mapInArrow(judge, docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

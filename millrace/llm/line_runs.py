@@ -71,7 +71,7 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                 [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(pos, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.list_(pa.int32()))], ["row", "doc_id", "pos", "id1", "id2", "sizes"]
             )
 
-    return docs.select("row", "doc_id", "text").mapInArrow(cut, "row long, doc_id long, pos int, id1 long, id2 long, sizes array<int>")
+    return common.bounded(docs.select("row", "doc_id", "text")).mapInArrow(cut, "row long, doc_id long, pos int, id1 long, id2 long, sizes array<int>")
 
 
 def ranked(suffixes: DataFrame, tag: str) -> DataFrame:
@@ -142,10 +142,10 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
     numbered = common.numbered(docs, place)
     found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines
     both = numbered.join(found, F.col(place) == F.col(copies_place), "left").select(*[f"`{n}`" for n in names], copies)
-    at = names.index("text")
+    at = common.place_of(docs, "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, at):
             texts, totals, goes = [], [], []
             for text, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 n = sum(1 for w in split_lines(text)[1] if w)
@@ -160,7 +160,7 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
             yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return both.mapInArrow(apply, f"{fields}, {counts[0]} long, {counts[1]} long")
+    return common.bounded(both).mapInArrow(apply, f"{fields}, {counts[0]} long, {counts[1]} long")
 
 
 def digest(done: DataFrame) -> DataFrame:

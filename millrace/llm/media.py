@@ -535,7 +535,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
             files = encode_payloads([r + bytes(max(64, -(-len(r) // 64) * 64) - len(r)) for r in raw])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(store, "doc_id long, n_bytes long, media binary")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
 def read_tensors(files: DataFrame) -> DataFrame:
@@ -548,7 +548,7 @@ def read_tensors(files: DataFrame) -> DataFrame:
             rows = [None if m is None else next(found)[0] for m in media]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([None if t is None else t.shape[i] for t in rows], pa.int32()) for i in (0, 1)), pa.array([None if t is None else t.tobytes() for t in rows], pa.binary())], ["doc_id", "height", "width", "rgb"])
 
-    return files.select("doc_id", "media").mapInArrow(read, "doc_id long, height int, width int, rgb binary")
+    return common.bounded(files.select("doc_id", "media")).mapInArrow(read, "doc_id long, height int, width int, rgb binary")
 
 
 def feature(tensor: np.ndarray) -> str:
@@ -569,4 +569,4 @@ def digests(stored: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return common.bounded(stored.select("doc_id", "n_bytes", "media")).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

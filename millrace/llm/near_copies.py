@@ -118,7 +118,7 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFra
             columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), *(pa.array(c, pa.int64()) for c in (one, two, s1, s2)), pa.array(list(map(len, sets)), pa.int32()), lists]
             yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "s1", "s2", "n", "prefix"])
 
-    return docs.select("k1", "k2", "doc_id", "text").mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, s1 long, s2 long, n int, prefix array<long>")
+    return common.bounded(docs.select("k1", "k2", "doc_id", "text")).mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, s1 long, s2 long, n int, prefix array<long>")
 
 
 def fits(m: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:

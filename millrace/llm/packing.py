@@ -87,7 +87,7 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 4096) -> DataFrame:
                     rows.append((doc_id, k // most, k, len(part), zlib.crc32(part.tobytes())))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return common.bounded(docs.select("doc_id", "text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(cut: DataFrame, most: int = 4096, group_pieces: int = 2048) -> DataFrame:

@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = np.fromiter(map(fingerprint, batch.column(2).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["row", "doc_id", "fp"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(compute, "row long, doc_id long, fp long")
+    return common.bounded(docs.select("row", "doc_id", "text")).mapInArrow(compute, "row long, doc_id long, fp long")
 
 
 def shared_bytes(x: np.ndarray) -> np.ndarray:

@@ -160,7 +160,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, docs_per_shard: i
             finish()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["shard", "path", "docs", "n_tokens"])
 
-    frames = docs.mapInArrow(encode, "shard int, doc_id long, n_tokens long, checksum long, frame binary")
+    frames = common.bounded(docs).mapInArrow(encode, "shard int, doc_id long, n_tokens long, checksum long, frame binary")
     dealt = frames.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "n_tokens", "checksum", "frame")
     return common.materialize(dealt.mapInArrow(write, "shard int, path string, docs long, n_tokens long"), "token-manifest")
 
