@@ -93,20 +93,20 @@ def pieces(docs: DataFrame, tokenizer: str, most: int = 4096) -> DataFrame:
 def pack(cut: DataFrame, most: int = 4096, group_pieces: int = 2048) -> DataFrame:
     """Adds sequence_id and offset to pieces().
 
-    Repeated documents are packed each on their own; an empty table gives no rows. A group's pieces are
-    sorted before packing, so the result does not depend on the order of rows. sequence_id holds the
-    group in its upper bits and the group's bin in the lower 24.
+    Repeated documents are packed each on their own; an empty table gives no rows. Pieces are dealt by a number that
+    each row gets when the table of pieces is written, so repeated rows spread like all others. sequence_id holds
+    the group in its upper bits and the group's bin in the lower 24.
     """
-    cut = common.materialize(cut, "pieces")
+    cut = common.materialize(cut.withColumn("nth", F.monotonically_increasing_id()), "pieces")
     groups = max(1, math.ceil(cut.count() / group_pieces))
 
     def fill(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("nth", "ascending")])
         bins, offset = best_fit_decreasing(group.column("length").to_numpy(), most)
         ids = (group.column("pack_group").to_numpy().astype(np.int64) << 24) + bins
-        return group.drop(["pack_group"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
+        return group.drop(["pack_group", "nth"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)).cast("int"))
+    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("nth"), F.lit(groups)).cast("int"))
     return dealt.groupBy("pack_group").applyInArrow(fill, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
