@@ -121,26 +121,26 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
-#: First labels of hosts whose pages make up the list of URLs.
-LISTED = r"^((www|m)\.)?(adult-x|casino-win|spam-farm)\."
+#: Pages with such a title are junk: their canonical URLs make up the list.
+JUNK = r"<title>[^<]*(%%%|###|\*\*\*)"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     host, path = url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url"))
-    listed = pages.where(host.rlike(LISTED)).select(url_filter.canonical(host, path).alias("url"))
+    listed = pages.where(F.col("html").rlike(JUNK)).select(url_filter.canonical(host, path).alias("url"))
     return url_filter.judge(pages, listed, RULES).drop("possible_hit")
 
 
 OP10_SQL = r"""
 WITH parts AS (
-  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+  SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
 split AS (
-  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  SELECT page_id, html, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
          coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM parts),
 canon AS (
   SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html|/+)$', '') AS c FROM split),
-listed AS (SELECT DISTINCT c FROM canon WHERE regexp_matches(host, '^((www|m)\.)?(adult-x|casino-win|spam-farm)\.')),
+listed AS (SELECT DISTINCT c FROM canon WHERE regexp_matches(html, '<title>[^<]*(%%%|###|\*\*\*)') AND c <> ''),
 rules(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 ruled AS (
   SELECT page_id, host, path, c, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS ruled

@@ -72,17 +72,19 @@ def bloom(listed: DataFrame, keys: int, most_blocks: int = 1 << 17, keys_per_blo
     return hashed.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule], most_blocks: int = 1 << 17) -> DataFrame:
     """page_id, host, path, rule, verdict, possible_hit of every row of pages (page_id, url).
 
     listed: url, a canonical URL each; repeats and nulls in it do no harm. A page that fits a rule has
     the rule's verdict; else it is blocked if its canonical URL is listed, and allowed if not. A null
-    url has empty host and path and is never listed. Other columns of pages are not read. The filter's
-    table has at most 2**17 rows whatever the list's size (a longer list lets more pages through to the
-    exact join), so it is broadcast; the list itself never is by request.
+    url has empty host and path and is never listed; repeated pages are judged alike; an empty list blocks nothing.
+    Other columns of pages are not read, and the pages are read once: what the filter tells of them is written to a
+    table, of which possible hits alone take part in the exact join. The filter's table has at most most_blocks rows
+    whatever the list's size (a longer list lets more pages through to that join), so it is broadcast; the list
+    itself never is by request.
     """
     listed = common.materialize(listed.select("url").where("url <> ''").distinct(), "listed-urls")
-    words, blocks = bloom(listed, listed.count())
+    words, blocks = bloom(listed, listed.count(), most_blocks)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     base = pages.select("page_id", host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
@@ -90,9 +92,10 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     base = base.withColumn("bloom_hash", F.xxhash64(F.lit("bloom"), "canonical"))
     block, bits = _block_and_bits(blocks)
     probed = base.withColumns({"block": block, "bits": bits}).join(F.broadcast(words), "block", "left")
-    probed = probed.withColumn("possible_hit", F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)) & F.col("ruled").isNull())
+    hit = F.coalesce(F.col("word").bitwiseAND(F.col("bits")) == F.col("bits"), F.lit(False)) & F.col("ruled").isNull()
+    probed = common.materialize(probed.select("page_id", "host", "path", "rule", "ruled", F.when(hit, F.col("canonical")).alias("canonical"), hit.alias("possible_hit")), "probed-urls")
     out = ["page_id", "host", "path", "rule"]
     maybe = probed.where("possible_hit").join(listed.select(F.col("url").alias("canonical"), F.lit(True).alias("is_listed")), "canonical", "left")
     maybe = maybe.select(*out, F.when(F.col("is_listed"), "block").otherwise("allow").alias("verdict"), "possible_hit")
-    rest = probed.where(~F.col("possible_hit")).select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"), "possible_hit")
+    rest = probed.where("not possible_hit").select(*out, F.coalesce("ruled", F.lit("allow")).alias("verdict"), "possible_hit")
     return rest.unionByName(maybe)

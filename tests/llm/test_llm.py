@@ -643,6 +643,17 @@ def test_url_rules_and_list(spark):
     assert url_filter.judge(pages.where("false"), listed.where("false"), queries.RULES).count() == 0
 
 
+def test_url_list_by_exact_join(spark):
+    """A filter of one block lets all pages through: the exact join removes all but those that are listed."""
+    pages = spark.createDataFrame([(i, f"http://{'www.' * (i % 2)}site{i % 40}.zz/p{i % 10}{'/' * (i % 3)}?q={i}") for i in range(400)], "page_id long, url string")
+    listed = [f"site{i}.zz/p{i % 10}" for i in range(0, 40, 3)] + [f"never{i % 100}.zz/x" for i in range(200)]
+    for most in (1, 1 << 17):
+        got = url_filter.judge(pages, spark.createDataFrame([(u,) for u in listed], "url string"), [], most).collect()
+        assert {r.page_id: r.verdict for r in got} == {i: "block" if f"site{i % 40}.zz/p{i % 10}" in listed else "allow" for i in range(400)}
+        false = sum(r.possible_hit and r.verdict == "allow" for r in got)
+        assert false > 200 if most == 1 else false < 40
+
+
 # ---- pipeline
 
 
