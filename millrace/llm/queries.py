@@ -46,32 +46,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(manifest)
 
 
+#: The versions of op4: the file of each, in tokenizers' or tiktoken's form.
+VERSIONS = {"word-bpe@1": "word_bpe_49k.json", "byte-bpe-multi@2": "byte_bpe_multi_50k.tiktoken"}
+
+
 def op4_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts every document's count, revises those of other languages than English under a newer tokenizer, deletes toxic documents, and commits a batch twice."""
+    """Inserts every document's token count, revises those of other languages than English under a newer tokenizer, deletes toxic documents, and commits a batch twice, after a snapshot."""
     docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
-    counts = docs.select("doc_id", "source", "lang", *[rollups.n_matches(F.col("text"), p).alias(n) for n, p in (("n1", rollups.WORDS), ("n2", rollups.WORDS_AND_MARKS))])
+    (one, two), newer = VERSIONS, F.coalesce(F.col("lang") != "en", F.lit(False))
+    counts = rollups.token_counts(docs.select("doc_id", "source", "lang", "text", F.col("text").alias("again")), tokens.path_of(VERSIONS[one]), "n1")
+    counts = rollups.token_counts(counts.withColumnRenamed("again", "text"), tokens.path_of(VERSIONS[two]), "n2", newer)
     counts = common.materialize(counts, "counts")
-    first, second, none = rollups.counted("words@1", F.col("n1")), rollups.counted("words-and-marks@2", F.col("n2")), F.lit(None)
-    newer = F.coalesce(F.col("lang") != "en", F.lit(False))
+    first, second, none = rollups.counted(one, F.col("n1")), rollups.counted(two, F.col("n2")), F.lit(None)
     toxic = counts.join(labels.where("toxic = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     store = rollups.RollupStore(spark, common.new_path(spark, "rollups"))
-    store.commit("1-insert", counts.select(none.alias("before"), first.alias("after")))
-    store.commit("2-revise", counts.where(newer).select(first.alias("before"), second.alias("after")))
-    store.commit("2-revise", counts.where(newer).select(first.alias("before"), second.alias("after")))
-    store.commit("3-delete", toxic.select(F.when(newer, second).otherwise(first).alias("before"), none.alias("after")))
+    store.commit("1 insert", counts.select(none.alias("before"), first.alias("after")))
+    store.commit("2 revise", counts.where(newer).select(first.alias("before"), second.alias("after")))
+    store.snapshot()
+    store.commit("2 revise", counts.where(newer).select(first.alias("before"), second.alias("after")))
+    store.commit("3 delete", toxic.select(F.when(newer, second).otherwise(first).alias("before"), none.alias("after")))
     return store.totals()
 
 
-OP4_SQL = r"""
-SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM (
-  SELECT source, lang, CASE WHEN lang <> 'en' THEN 'words-and-marks@2' ELSE 'words@1' END AS tokenizer,
-         CASE WHEN lang <> 'en' THEN len(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]'))
-              ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END AS n
-  FROM documents WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL))
-GROUP BY source, lang, tokenizer
-"""
-
-
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(common.table(spark, sf_dir, "documents"))
 
@@ -156,5 +152,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_benchmark_decontamination": OP2_SQL, "op4_token_rollups": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
+    found = {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -225,7 +225,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def default_path() -> str:
+def path_of(name: str) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
+
+
+def default_path() -> str:
+    return path_of("word_bpe_49k.json")

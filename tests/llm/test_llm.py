@@ -169,16 +169,55 @@ def test_best_fit_takes_the_tightest_bin():
 
 
 def test_rollups_replay(spark, tmp_path):
-    store = rollups.RollupStore(spark, f"file://{tmp_path}")
-    assert store.totals().count() == 0
+    store = rollups.RollupStore(spark, f"file://{tmp_path}/a b")
+    assert store.totals().count() == 0 and store.committed() == []
     c = "struct<source: string, lang: string, tokenizer: string, n_tokens: bigint>"
     batch = lambda *r: spark.createDataFrame(list(r), f"before {c}, after {c}")
     a, b = ("s", "en", "v1", 10), (None, None, "v2", 7)
-    assert store.commit("1", batch((None, a), (None, a), (None, b), (None, None)))
-    assert not store.commit("1", batch((None, a)))
+    assert store.commit("../1/x y%", batch((None, a), (None, a), (None, b), (None, None)))
+    assert not store.commit("../1/x y%", batch((None, a))) and store.snapshot() == 1
     assert store.commit("2", batch((a, ("s", "en", "v2", 12)), (b, None)))
-    assert sorted(map(tuple, store.totals().collect())) == [("s", "en", "v1", 1, 10), ("s", "en", "v2", 1, 12)]
-    assert store.committed() == ["1", "2"]
+    for _ in range(2):
+        assert sorted(map(tuple, store.totals().collect())) == [("s", "en", "v1", 1, 10), ("s", "en", "v2", 1, 12)]
+        store.snapshot()
+    assert store.commit("3", batch()) and store.committed() == ["../1/x y%", "2", "3"]
+    with pytest.raises(ValueError):
+        store.commit("", batch())
+
+
+def test_rollups_count_a_batch_of_two_writers_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = rollups.RollupStore(spark, f"file://{tmp_path}")
+    c = "struct<source: string, lang: string, tokenizer: string, n_tokens: bigint>"
+    changes = spark.createDataFrame([(None, ("s", "en", "v", 5))], f"before {c}, after {c}")
+    with ThreadPoolExecutor(4) as pool:
+        done = [*pool.map(lambda _: store.commit("one", changes), range(4))]
+    assert sum(done) == 1 and [tuple(r) for r in store.totals().collect()] == [("s", "en", "v", 1, 5)]
+
+
+def test_token_rollups_equal_brute_force(spark, docs):
+    import base64
+
+    import public_tokenizers as P
+    import tiktoken
+
+    ids, (one, two) = brute_ids(), queries.VERSIONS
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path(queries.VERSIONS[two]), "rb"))}
+    other = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    toxic = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic = 1").collect()}
+    want = {}
+    for r in docs.collect():
+        if r.doc_id not in toxic:
+            n = len(ids(r.text or "")) - 1 if r.lang is None or r.lang == "en" else len(other.encode_ordinary(r.text or ""))
+            key = (r.source, r.lang, one if r.lang is None or r.lang == "en" else two)
+            want[key] = (want.get(key, (0, 0))[0] + 1, want.get(key, (0, 0))[1] + n)
+    assert {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens) for r in queries.op4_token_rollups(spark, SF).collect()} == want
+
+
+def test_token_counts_odd_rows(spark, odd):
+    got = rollups.token_counts(odd.withColumnRenamed("text", "TEXT"), tokens.path_of("byte_bpe_multi_50k.tiktoken"), "n", F.col("doc_id") != 6)
+    assert got.columns == ["doc_id", "n", *odd.columns[2:]] and {r.doc_id: r.n for r in got.collect()}.items() >= {2: 0, 3: 0, 6: 0}.items() and got.where("doc_id = 5").first().n > 50_000
 
 
 # ---- op5
