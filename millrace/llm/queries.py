@@ -42,8 +42,7 @@ FROM docs d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_shards(common.table(spark, sf_dir, "documents"), common.new_path(spark, "token-files"), tokens.default_path())
-    return token_files.read_shards(manifest)
+    return token_files.read_shards(spark, token_files.write_shards(common.table(spark, sf_dir, "documents"), common.new_path(spark, "token-files"), tokens.default_path()))
 
 
 #: The versions of op4: the file of each, in tokenizers' or tiktoken's form.

@@ -105,25 +105,58 @@ def crc(ids):
 def test_token_files(spark, docs, odd, tmp_path):
     ids = brute_ids()
     for n, table in enumerate((docs, odd)):
-        manifest = token_files.write_shards(table, f"file://{tmp_path}/{n}", tokens.default_path(), docs_per_shard=50)
+        folder = token_files.write_shards(table, f"file://{tmp_path}/{n}", tokens.default_path(), shard_bytes=40_000)
         want, start = [], 0
-        for i, t in sorted(texts_of(table), key=lambda r: (r[0] is not None, r[0] or 0, len(ids(r[1])))):
+        for i, t in sorted(texts_of(table), key=lambda r: (r[0] is not None, r[0] or 0)):
             own = ids(t)
             want.append((i, start, len(own), crc(own)))
             start += len(own)
-        got = token_files.read_shards(manifest).collect()
+        got = token_files.read_shards(spark, folder).collect()
         assert sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got), key=lambda r: r[1]) == want
-    first = manifest.first()
-    with open(first.path.removeprefix("file://"), "rb") as f:
+        assert len([*(tmp_path / str(n)).glob("part-*")]) > 1
+    one = next(p for p in sorted((tmp_path / "1").glob("part-*")) if 6 in token_files.ShardReader(open(p, "rb")).doc_ids)
+    with open(one, "rb") as f:
         reader = token_files.ShardReader(f)
         assert reader.document(6).tolist() == ids(ODD[7][1])
         with pytest.raises(KeyError):
             reader.document(99)
-    data = bytearray(open(first.path.removeprefix("file://"), "rb").read())
+    data = bytearray(one.read_bytes())
     data[6] ^= 255
-    open(f"{tmp_path}/bad", "wb").write(data)
-    with pytest.raises(Exception), open(f"{tmp_path}/bad", "rb") as f:  # noqa: B017  zstd or the checksum refuses it
+    (tmp_path / "bad").write_bytes(data)
+    with pytest.raises(Exception), open(tmp_path / "bad", "rb") as f:  # noqa: B017  zstd or the checksum refuses it
         token_files.ShardReader(f).frame(0)
+    assert token_files.read_shards(spark, token_files.write_shards(odd.where("false"), f"file://{tmp_path}/none", tokens.default_path())).count() == 0
+
+
+def test_token_file_chunks_are_one_stream():
+    """Chunks with the separator after each are one zstandard stream, of which any frame reads alone."""
+    import io
+
+    import zstandard
+
+    writer, out, docs = token_files.ShardWriter(most=100), b"", [np.arange(k, k + 3 * k + 1, dtype="<u2") for k in range(40)]
+    for k, d in enumerate(docs):
+        data = d.tobytes()
+        for chunk in writer.add(k, zstandard.ZstdCompressor().compress(data), len(data), xxhash.xxh64_intdigest(data) & 0xFFFFFFFF):
+            out += chunk + token_files.LAST
+    out += writer.close() + token_files.LAST
+    reader = token_files.ShardReader(io.BytesIO(out))
+    assert [reader.document(k).tolist() for k in range(40)] == [d.tolist() for d in docs]
+    whole = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(out), read_across_frames=True).read()
+    assert whole == b"".join(d.tobytes() for d in docs)
+
+
+def test_token_shards_split_hot_keys(spark, tmp_path):
+    """Rows without doc_id, and rows that repeat as a whole, do not share one shard."""
+    data = [(None, f"text {i}") for i in range(600)] + [(7, "the same")] * 600 + [(i, f"other {i}") for i in range(20, 620)]
+    table = spark.createDataFrame(data, "doc_id long, text string").repartition(5)
+    folder = token_files.write_shards(table, f"file://{tmp_path}/hot", tokens.default_path(), shard_bytes=4000)
+    counts = [len(token_files.ShardReader(open(p, "rb")).doc_ids) for p in (tmp_path / "hot").glob("part-*") if p.stat().st_size]
+    assert len(counts) >= 8 and max(counts) < 450
+    got = sorted((r.start, r.doc_id, r.n_tokens) for r in token_files.read_shards(spark, folder).collect())
+    assert [d for _, d, _ in got] == [None] * 600 + [7] * 600 + [*range(20, 620)] and all(a[0] + a[2] == b[0] for a, b in zip(got, got[1:], strict=False))
+    d, h = np.array([5, 5, 5, 5, 9], np.int64), np.array([1, 2, 2, 3, 0], np.int64)
+    assert token_files.shard_of(d, h, (np.array([5, 5, 5]), np.array([2, 2, 3])), 0).tolist() == [0, 1, 0, 2, 3]
 
 
 def test_packing(docs, odd):
