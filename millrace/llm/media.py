@@ -559,14 +559,26 @@ def feature(tensor: np.ndarray) -> str:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What the files of store_texts hold, read back: checksums of payload and file, and a feature of the picture."""
+    """What the files of store_texts hold, read back: checksums of payload and file, a feature of the picture, and its RGB tensor (height, width, rgb: row-major 8-bit samples).
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "media", 2 << 20):
-            media, rows = batch.column(2).to_pylist(), []
-            for m, (tensor, data) in zip(media, decode(media), strict=True):
-                rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature(tensor)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+    A null file, or one that stores no payload, has nulls in their place. Repeated rows give repeated results, an empty table none.
+    """
 
-    return common.bounded(stored.select("doc_id", "n_bytes", "media")).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "media", 1 << 20):
+            media = batch.column(2).to_pylist()
+            found, rows = decode([m for m in media if m is not None]), []
+            for m in media:
+                if m is None:
+                    rows.append((None,) * 9)
+                    continue
+                tensor, data = next(found)
+                own = (None,) * 3 if data is None else (len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]))
+                rows.append((*own, len(m), hashlib.sha256(m).hexdigest(), feature(tensor), tensor.shape[0], tensor.shape[1], tensor.tobytes()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", "n_bytes", *DIGESTS])
+
+    return common.bounded(stored.select("doc_id", "n_bytes", "media")).mapInArrow(read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, height int, width int, rgb binary")
+
+
+DIGESTS = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "height", "width", "rgb"]

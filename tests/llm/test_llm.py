@@ -54,6 +54,210 @@ def test_media_round_trip(docs, odd):
     assert media.read_tensors(media.store_texts(odd)).where("length(rgb) = 3 * height * width").count() == len(ODD)
 
 
+def huffman_codes():
+    """Every symbol: 200 of 8 bits, then 56 of 10; and the table as it stands in a file."""
+    return [(k, 8) if k < 200 else (200 * 4 + k - 200, 10) for k in range(256)], bytes([0] * 7 + [200, 0, 56] + [0] * 6) + bytes(range(256))
+
+
+class ScanWriter:
+    """One progressive scan, symbol by symbol."""
+
+    CODES, TABLE = huffman_codes()
+
+    def __init__(self):
+        self.bits, self.out, self.run, self.pending = [], b"", 0, []
+
+    def put(self, value, n):
+        self.bits += [value >> (n - 1 - i) & 1 for i in range(n)]
+
+    def symbol(self, s):
+        self.put(*self.CODES[s])
+
+    def number(self, v):
+        n = abs(v).bit_length()
+        return n, v if v > 0 else v + (1 << n) - 1
+
+    def end_run(self):
+        if self.run:
+            n = self.run.bit_length() - 1
+            self.symbol(n << 4)
+            self.put(self.run - (1 << n), n)
+            self.bits += self.pending
+            self.run, self.pending = 0, []
+
+    def flush(self, marker=b""):
+        self.end_run()
+        self.bits += [1] * (-len(self.bits) % 8)
+        data = bytes(int("".join(map(str, self.bits[i : i + 8])), 2) for i in range(0, len(self.bits), 8))
+        self.out += data.replace(b"\xff", b"\xff\0") + marker
+        self.bits = []
+
+    def first(self, block, a, b, low):
+        zeros = 0
+        for k in range(a, b + 1):
+            v = (abs(block[k]) >> low) * (1 if block[k] > 0 else -1)
+            if v == 0:
+                zeros += 1
+                continue
+            self.end_run()
+            while zeros > 15:
+                self.symbol(0xF0)
+                zeros -= 16
+            n, code = self.number(v)
+            self.symbol(zeros << 4 | n)
+            self.put(code, n)
+            zeros = 0
+        self.run += zeros > 0
+
+    def refine(self, block, a, b, low):
+        size = [abs(v) >> low for v in block]
+        last = max((k for k in range(a, b + 1) if size[k] == 1), default=-1)
+        zeros, held = 0, []
+        for k in range(a, b + 1):
+            if size[k] == 0:
+                zeros += 1
+                continue
+            while zeros > 15 and k <= last:
+                self.end_run()
+                self.symbol(0xF0)
+                self.bits += held
+                zeros, held = zeros - 16, []
+            if size[k] > 1:
+                held.append(size[k] & 1)
+                continue
+            self.end_run()
+            self.symbol(zeros << 4 | 1)
+            self.bits += [int(block[k] > 0), *held]
+            zeros, held = 0, []
+        if zeros or held:
+            self.run += 1
+            self.pending += held
+
+
+def progressive_file(width, height, sampling, planes, quant, interval):
+    """A file of planes of coefficient blocks (rows of blocks, in zigzag order), in many scans."""
+    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+    parts = [b"\xff\xd8", media.segment(0xDB, bytes([0, *quant]))] + [media.segment(0xC4, bytes([k]) + ScanWriter.TABLE) for k in (0, 0x10)]
+    parts.append(media.segment(0xC2, bytes([8]) + height.to_bytes(2, "big") + width.to_bytes(2, "big") + bytes([len(planes)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(sampling))))
+    parts.append(media.segment(0xDD, interval.to_bytes(2, "big")))
+
+    def scan(comps, a, b, high, low):
+        w = ScanWriter()
+        if len(comps) > 1:
+            units = [[(c, planes[c][y * sampling[c][1] + j][x * sampling[c][0] + i]) for c in comps for j in range(sampling[c][1]) for i in range(sampling[c][0])] for y in range(down) for x in range(across)]
+        else:
+            h, v = sampling[comps[0]] if len(planes) > 1 else (1, 1)
+            wide, tall = -(-(-(-width * h // (hmax if len(planes) > 1 else 1))) // 8), -(-(-(-height * v // (vmax if len(planes) > 1 else 1))) // 8)
+            units = [[(comps[0], planes[comps[0]][y][x])] for y in range(tall) for x in range(wide)]
+        before = dict.fromkeys(comps, 0)
+        for k, unit in enumerate(units):
+            if interval and k and k % interval == 0:
+                w.flush(bytes([0xFF, 0xD0 + (k // interval - 1) % 8]))
+                before = dict.fromkeys(comps, 0)
+            for c, block in unit:
+                if a:
+                    w.refine(block, a, b, low) if high else w.first(block, a, b, low)
+                elif high:
+                    w.put(block[0] >> low & 1, 1)
+                else:
+                    n, code = w.number((block[0] >> low) - before[c])
+                    w.symbol(n)
+                    w.put(code, n)
+                    before[c] = block[0] >> low
+        w.flush()
+        parts.append(media.segment(0xDA, bytes([len(comps)]) + b"".join(bytes([c + 1, 0]) for c in comps) + bytes([a, b, high << 4 | low])) + w.out)
+
+    every = tuple(range(len(planes)))
+    scan(every, 0, 0, 0, 1)
+    for c in every:
+        scan((c,), 1, 5, 0, 2)
+        scan((c,), 6, 63, 0, 2)
+        scan((c,), 1, 63, 2, 1)
+    scan(every, 0, 0, 1, 0)
+    for c in every:
+        scan((c,), 1, 63, 1, 0)
+    return b"".join([*parts, b"\xff\xd9"])
+
+
+def slow_tensor(width, height, sampling, planes, quant):
+    """RGB by the cosine formula, sample by sample, chroma repeated."""
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
+    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    cos = [[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 ** 0.5 if u == 0 else 1) / 2 for u in range(8)] for x in range(8)]
+    full = []
+    for (h, v), plane in zip(sampling, planes, strict=True):
+        out = np.zeros((8 * len(plane), 8 * len(plane[0])))
+        for r, line in enumerate(plane):
+            for c, block in enumerate(line):
+                f = np.zeros((8, 8))
+                for k, i in enumerate(order):
+                    f[i // 8, i % 8] = block[k] * quant[k]
+                for y in range(8):
+                    for x in range(8):
+                        out[8 * r + y, 8 * c + x] = sum(cos[y][i] * cos[x][j] * f[i, j] for i in range(8) for j in range(8)) + 128
+        full.append([[min(255, max(0, round(out[y * v // vmax, x * h // hmax]))) for x in range(width)] for y in range(height)])
+    rgb = np.zeros((height, width, 3), int)
+    for y in range(height):
+        for x in range(width):
+            if len(full) == 1:
+                rgb[y, x] = full[0][y][x]
+            else:
+                l, b, r = (p[y][x] for p in full)
+                rgb[y, x] = [min(255, max(0, round(q))) for q in (l + 1.402 * (r - 128), l - 0.344136 * (b - 128) - 0.714136 * (r - 128), l + 1.772 * (b - 128))]
+    return rgb
+
+
+@pytest.mark.parametrize("sampling, size, interval", [([(1, 1)], (21, 13), 0), ([(1, 1)] * 3, (17, 9), 2), ([(2, 1), (1, 1), (1, 1)], (30, 19), 1), ([(2, 2), (1, 1), (1, 1)], (33, 20), 0), ([(2, 2), (1, 1), (1, 1)], (40, 40), 3), ([(1, 2), (1, 1), (1, 1)], (11, 25), 5)])
+def test_progressive_scans_of_all_kinds(sampling, size, interval):
+    """New coefficients in refinement scans, zero runs, end-of-band runs over blocks, restarts: coefficients and tensor."""
+    rnd = random.Random(str((sampling, size)))
+    (width, height), quant = size, [rnd.randint(1, 6) for _ in range(64)]
+    hmax, vmax = max(h for h, _ in sampling), max(v for _, v in sampling)
+    across, down = -(-width // (8 * hmax)), -(-height // (8 * vmax))
+
+    def block(full):
+        if not full:
+            return [0] * 64
+        dense = rnd.random()
+        return [rnd.randint(-60, 60)] + [rnd.choice([0, rnd.randint(-9, 9), rnd.choice([-1, 1])]) if rnd.random() < dense else 0 for _ in range(63)]
+
+    planes = []
+    for h, v in sampling:
+        inside = (-(-(-(-width * h // hmax)) // 8), -(-(-(-height * v // vmax)) // 8))
+        plane = [[block(rnd.random() < 0.8) for _ in range(across * h)] for _ in range(down * v)]
+        for r, line in enumerate(plane):  # blocks beyond the picture are in no scan of one component
+            for c, b in enumerate(line):
+                if len(sampling) > 1 and (c >= inside[0] or r >= inside[1]):
+                    b[1:] = [0] * 63
+        planes.append(plane)
+    data = progressive_file(width, height, sampling, planes, quant, interval)
+    image = media.Image(data)
+    (got,) = media.decode_coefficients([image])
+    assert got.tolist() == [b for plane in planes for line in plane for b in line]
+    tensor, stored = next(media.decode([data]))
+    assert stored is None and tensor.shape == (height, width, 3)
+    assert np.abs(tensor.astype(int) - slow_tensor(width, height, sampling, planes, quant)).max() <= 2
+
+
+def test_media_digests_of_other_files(spark, docs):
+    files = media.store_texts(docs).withColumn("media", F.when(F.col("doc_id") % 2 == 0, F.col("media")))
+    got = {r.doc_id: r for r in media.digests(files).collect()}
+    assert got[1].rgb is None and got[1].payload_bytes is None and got[2].payload_sha256 is not None and len(got) == docs.count()
+    one = media.store_texts(docs).where("doc_id = 2").first().media
+    image = media.Image(bytes(one))
+    (coef,) = media.decode_coefficients([image])
+    (h, w), planes, at = (image.height, image.width), [], 0
+    for i, (across, down) in enumerate(image.padded):
+        planes.append(coef[at : at + across * down].reshape(down, across, 64).tolist())
+        at += across * down
+    small = slow_tensor(min(w, 32), h, image.sampling, planes, [1] * 64)
+    tensor = np.frombuffer(got[2].rgb, np.uint8).reshape(h, w, 3)
+    assert np.abs(tensor[:, : min(w, 32)].astype(int) - small).max() <= 2
+    quarters = [tensor[a, b].reshape(-1, 3) for a in (slice(0, (h + 1) // 2), slice(h // 2, h)) for b in (slice(0, (w + 1) // 2), slice(w // 2, w))]
+    assert got[2].feature == f"{w}x{h}:" + ",".join(str(sum(int(p[c]) for p in q) * 100 // len(q)) for q in quarters for c in range(3)) and got[2].media_bytes == len(one) and got[2].media_sha256 == hashlib.sha256(one).hexdigest()
+
+
 # ---- op2
 
 
