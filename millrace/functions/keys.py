@@ -85,15 +85,23 @@ def agent_name(created_by: Column, lineage: Column) -> Column:
 def label_key(label: Column) -> Column:
     """ASCII lower case, white space collapsed."""
     lower = F.translate(label, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(lower, r"\s+", " "))
+    return F.trim(F.regexp_replace(lower, r"(?U)\s+", " "))
+
+
+def _trimmed(text: Column) -> Column:
+    """Without white space (of any script) at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
 def labels_in(text: Column) -> Column:
-    """array<struct<label, value>> of lines 'label: value' (ASCII or full-width colon); labels of 2 to 30 characters, not numbers, not a URL's scheme."""
-    pattern = r"(?m)^[ \t]*([^:：\n]{2,30})[:：][ \t]*([^\n]+)$"
-    labels, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    both = F.zip_with(labels, values, lambda a, b: F.struct(F.trim(a).alias("label"), F.trim(b).alias("value")))
-    return F.filter(both, lambda x: (F.length(x["label"]) >= 2) & ~x["label"].rlike(r"^[0-9]+$") & ~F.lower(x["label"]).isin("http", "https") & (x["value"] != ""))
+    """array<struct<label, value>> of lines 'label: value' (ASCII or full-width colon), in order.
+
+    A label has 2 to 30 characters and is neither made of digits and dots nor a URL's scheme. White space after the colon
+    may go over line ends, so a value on the next line counts; a value may be empty.
+    """
+    pattern = F.lit(r"(?Umd)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)")
+    both = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.struct(_trimmed(a).alias("label"), _trimmed(b).alias("value")))
+    return F.filter(both, lambda x: (F.length(x["label"]) >= 2) & ~x["label"].rlike(r"^[0-9.]+\z") & ~F.lower(x["label"]).isin("http", "https"))
 
 
 def richness(email: Column, generated_email: Column, name: Column, bio: Column, picture: Column, gallery: Column, attributes: Column) -> Column:

@@ -60,20 +60,96 @@ def split_terms(pattern: str) -> list[str]:
     return terms if len(terms) > 1 else [pattern]
 
 
+#: POSIX classes, and what they are in Java's and in Python's extended dialect.
+POSIX = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "ascii": "\\x00-\\x7F", "blank": "\\t\\x20", "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": "\\x20-~", "punct": "!-/:-@\\[-`{-~", "space": "\\t\\n\\x0B\\f\\r\\x20", "upper": "A-Z", "word": "0-9A-Za-z_", "xdigit": "0-9A-Fa-f",
+}
+_ESCAPE = re.compile(r"\\(?:[pP](?:\{\^?[\w=:. -]+\}|[A-Za-z])|x(?:[0-9A-Fa-f]{2}|\{[0-9A-Fa-f]+\})|u(?:[0-9A-Fa-f]{4}|\{[0-9A-Fa-f]+\})|U(?:[0-9A-Fa-f]{8}|\{[0-9A-Fa-f]+\})|[dDsSwWbBAzntrafv]|[^0-9A-Za-z<>])", re.S)
+_GROUP = re.compile(r"\(\?(?:P?<([A-Za-z_][A-Za-z0-9_]*)>|([imsxu-]*)([:)]))")
+_REPEAT = re.compile(r"(?:[*+?]|\{\d*(?:,\d*)?\})\??")
+
+
+def _escape(token: str, java: bool) -> str:
+    kind = token[1]
+    if kind in "xuU" and len(token) > 2:
+        code = int(token[2:].strip("{}"), 16)
+        return f"\\x{{{code:x}}}" if java else re.escape(chr(code))
+    return {"v": r"\x0B", "a": r"\x07", "z": r"\z" if java else r"\Z"}.get(kind, token)
+
+
+def translate(pattern: str, java: bool = True) -> str:
+    """A pattern in the syntax that searches take (linear-time: no look-around, back-references, atomic groups or possessive
+    repeats; POSIX classes in brackets), in Java's dialect or in that of Python's regex module; a ValueError for any other."""
+    bad = ValueError(f"not a valid pattern: {pattern}")
+    out, i, depth, names, lines = [], 0, 0, {}, re.search(r"\(\?[a-z]*m", pattern)
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            m = _ESCAPE.match(pattern, i)
+            if not m or depth and m[0][1] in "bBAz":
+                raise bad
+            out.append(_escape(m[0], java))
+            i = m.end()
+        elif depth and pattern.startswith("[:", i) and (m := re.compile(r"\[:(\^?)(\w+):\]").match(pattern, i)) and m[2] in POSIX:
+            out.append(f"[^{POSIX[m[2]]}]" if m[1] else POSIX[m[2]])
+            i = m.end()
+        elif c == "[":
+            depth += 1
+            m = re.compile(r"\[\^?\]?").match(pattern, i)
+            out.append(m[0].replace("]", r"\]"))
+            i = m.end()
+        elif depth:
+            depth -= c == "]"
+            out.append(c if c != "^" or out[-1].endswith("[") else r"\^")
+            i += 1
+        elif c == "(" and pattern.startswith("(?", i):
+            m = _GROUP.match(pattern, i)
+            if not m:
+                raise bad
+            if m[1]:
+                names.setdefault(m[1], f"n{len(names)}")
+                out.append(f"(?<{names[m[1]]}>")
+            else:
+                flags = m[2].replace("u", "") if m[2] != "-" else ""
+                out.append(f"(?{flags}{m[3]}" if flags or m[3] == ":" else "")
+            i = m.end()
+        elif c == "$":
+            out.append("$" if lines else r"\z" if java else r"\Z")
+            i += 1
+        elif m := _REPEAT.match(pattern, i):
+            if i == 0 or _REPEAT.match(pattern, m.end()):  # nothing to repeat, or possessive
+                raise bad
+            out.append(m[0])
+            i = m.end()
+        else:
+            out.append(c)
+            i += 1
+    if depth:
+        raise bad
+    return "".join(out)
+
+
 def is_portable(pattern: str) -> bool:
-    """Whether a pattern is a valid regular expression without look-around and back-references."""
+    """Whether a pattern is one that searches take."""
+    import regex
+
     try:
-        re.compile(pattern)
-    except re.error:
+        regex.compile(translate(pattern, java=False), regex.V1)
+    except (ValueError, regex.error):
         return False
-    bare = re.sub(r"\\\\", "", pattern)
-    return not re.search(r"\(\?(?:[=!]|<[=!]|P=)|\\[1-9]|\\k<", bare)
+    return True
+
+
+def java_pattern(pattern: str) -> str:
+    """For rlike: classes and boundaries of all scripts, and lines that end at \\n alone, where the pattern has any."""
+    return ("(?Ud)" if re.search(r"\\[dwsbDWSB]|\(\?[a-z]*[ims]", pattern) else "(?d)" if re.search(r"[.^$]", pattern) else "") + translate(pattern)
 
 
 def term_matches(text: Column, term: str, several: bool) -> Column:
     """A regular expression, or, among several terms, the literal text of one that is not valid."""
     if is_portable(term):
-        return text.rlike("(?U)" + term) if re.search(r"\\[dwsbDWSB]|\[\[:|\\p", term) else text.rlike(term)
+        return text.rlike(java_pattern(term))
     if several:
         return text.contains(term)
     raise ValueError(f"not a valid pattern: {term}")
@@ -87,55 +163,54 @@ def matches(text: Column, pattern: str) -> Column:
     return found
 
 
-def _compiled(pattern: str) -> list[re.Pattern]:
+def _compiled(pattern: str) -> list:
+    import regex
+
     terms = split_terms(pattern)
-    return [re.compile(t if is_portable(t) else re.escape(t)) for t in terms]
+    return [regex.compile(translate(t, java=False) if is_portable(t) else regex.escape(t), regex.V1) for t in terms]
 
 
-def char_ranges(text: str, patterns: list[re.Pattern]) -> list[tuple[int, int]]:
-    return sorted({m.span() for p in patterns for m in p.finditer(text)})[:MAX_RANGES]
+def char_ranges(text: str, patterns: list) -> list[tuple[int, int]]:
+    """All matches, sorted by start and end, each once."""
+    return sorted({m.span() for p in patterns for m in p.finditer(text)})
 
 
-def snippet_of(raw: str, start: int, size: int = SNIPPET_CHARS) -> str:
-    """size characters around start, with ... where text is cut, counted in the size."""
-    if len(raw) <= size:
+def snippet_of(raw: str, hit: int, size: int = SNIPPET_CHARS) -> str:
+    """size characters with the hit in the middle, as far as the text goes; ... stands for what is cut off and counts in the size."""
+    n = len(raw)
+    if n <= size:
         return raw
-    begin = max(0, min(start - size // 2, len(raw) - size))
-    head, tail = begin > 0, begin + size < len(raw)
-    body = raw[begin + 3 * head : begin + size - 3 * tail]
-    return "..." * head + body + "..." * tail
-
-
-def match_ranges(pattern: str):
-    """A vectorized function: text to the UTF-8 byte ranges of its matches, at most MAX_RANGES."""
+    hit = min(hit, n - 1)
+    marks, start, end = (hit > size // 2, n - hit > size // 2), 0, 0
+    for _ in range(8):  # which ends are cut depends on the room that the marks leave
+        body = size - 3 * sum(marks)
+        start = max(0, hit - body // 2)
+        start, end = (start, start + body) if start + body <= n else (n - body, n)
+        if marks == (start > 0, end < n):
+            break
+        marks = (start > 0, end < n)
+    return "..." * (start > 0) + raw[start:end] + "..." * (end < n)
+
+
+def matched(pattern: str, size: int = SNIPPET_CHARS):
+    """A vectorized function: (raw text, searched text) to struct<ranges, snippet>, in one search of each row.
+
+    ranges are the first MAX_RANGES matches as UTF-8 byte ranges of the searched text; the snippet is a piece of the raw
+    text around the first match. Null where the text is null.
+    """
     patterns = _compiled(pattern)
 
-    @pandas_udf("array<struct<start: int, end: int>>")
-    def ranges(text: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            found = char_ranges(t, patterns)
-            return [{"start": a, "end": b} for a, b in found] if t.isascii() else [{"start": len(t[:a].encode()), "end": len(t[:b].encode())} for a, b in found]
+    @pandas_udf("ranges array<struct<start: int, end: int>>, snippet string")
+    def found(raw: pd.Series, searched: pd.Series) -> pd.DataFrame:
+        ranges, snippets = [], []
+        for r, s in zip(raw, searched, strict=True):
+            spans = [] if s is None else char_ranges(s, patterns)[:MAX_RANGES]
+            places = spans if s is None or s.isascii() else [(len(s[:a].encode()), len(s[:b].encode())) for a, b in spans]
+            ranges.append(None if s is None else [{"start": a, "end": b} for a, b in places])
+            snippets.append(None if r is None else snippet_of(r, spans[0][0] if spans else 0, size))
+        return pd.DataFrame({"ranges": ranges, "snippet": snippets})
 
-        return text.map(one)
-
-    return ranges
-
-
-def snippet(pattern: str, size: int = SNIPPET_CHARS):
-    """A vectorized function: (raw text, searched text) to a piece of the raw text around the first match."""
-    patterns = _compiled(pattern)
-
-    @pandas_udf("string")
-    def cut(raw: pd.Series, searched: pd.Series) -> pd.Series:
-        def one(r, s):
-            found = char_ranges(s or "", patterns)
-            return None if r is None else snippet_of(r, found[0][0] if found else 0, size)
-
-        return pd.Series([one(r, s) for r, s in zip(raw, searched, strict=True)])
-
-    return cut
+    return found
 
 
 @pandas_udf(ArrayType(StringType()))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from millrace.operators.privacy import latest_decisions, policy_decision
+from millrace.operators.privacy import governing_decision, policy_decision, retraction_target
 
 MESSAGE_SCHEMAS = ("schema:slack-message", "schema:gmail-message", "schema:discord-message")
 CHANNEL_KEYS = ["source_instance", "communication_channel_kind", "communication_channel_external_id", "communication_sender_id", "communication_thread_ref"]
@@ -69,34 +69,37 @@ def meta(name: str) -> Column:
     return F.get_json_object("meta", f"$.{name}")
 
 
-def gate(drafts: DataFrame, observers: DataFrame, schemas: dict[str, dict], channels: DataFrame, decisions: DataFrame, blobs: DataFrame, now: str, role: str = "agent") -> DataFrame:
-    """drafts with outcome (accepted, rejected or quarantined), reason, and for messages reply_due_at.
+def gate(drafts: DataFrame, observers: DataFrame, schemas: dict[str, dict], channels: DataFrame, decisions: DataFrame, blobs: DataFrame, now: str) -> DataFrame:
+    """drafts with outcome (accepted, rejected or quarantined), reason, and for messages reply_due_at. idempotency_key names a draft.
 
     observers: observer, source_system, schemas (array; empty or * allows all), authority_model, capture_model;
     schemas: name to a JSON Schema with x-version and x-observers; channels: the dimension table; decisions:
     consent decisions; blobs: blob_ref. The small dimension tables join by equality; the first failing check
-    in order gives the reason.
+    in order gives the reason. Consent is the newest decision about the subject and, for messages, their sender and
+    channel; without one it is the channel's default. Policy is asked for a canonical write of the system with the
+    draft's authority, so a draft of dual reference needs review.
     """
     spark = drafts.sparkSession
     declared = spark.createDataFrame([(n, s.get("x-version", "1.0.0"), s.get("x-observers", [])) for n, s in schemas.items()], "schema string, declared_version string, declared_observers array<string>")
     known = observers.select("observer", F.col("source_system").alias("own_system"), F.col("schemas").alias("own_schemas"), F.col("authority_model").alias("own_authority"), F.col("capture_model").alias("own_capture"), F.lit(True).alias("known"))
-    rows = drafts.withColumn("draft_no", F.monotonically_increasing_id()).join(known, "observer", "left").join(declared, "schema", "left")
+    rows = drafts.join(known, "observer", "left").join(declared, "schema", "left")
     is_message = F.col("schema").isin(*MESSAGE_SCHEMAS)
-    dim = channels.select(F.col("id").alias("channel_id"), F.concat(F.lit("sys:"), "kind").alias("channel_system"), "source_instance_id", "external_id", "enabled", "reply_slo_seconds")
+    dim = channels.select(F.col("id").alias("channel_id"), F.concat(F.lit("sys:"), "kind").alias("channel_system"), "source_instance_id", "external_id", "enabled", "reply_slo_seconds", (F.col("default_consent_scope") if "default_consent_scope" in channels.columns else F.lit(None).cast("string")).alias("default_consent"))
     rows = rows.join(
         dim, is_message & (F.col("channel_system") == F.col("source_system")) & (F.col("source_instance_id") == meta("source_instance")) & (F.col("external_id") == meta("communication_channel_external_id")), "left"
     )
-    status = latest_decisions(decisions, "subject")
-    rows = rows.join(status, "subject", "left")
+    told = F.when(is_message, F.array_compact(F.array(meta("communication_sender_id"), meta("communication_channel_external_id"))))
+    status = governing_decision(drafts.select("idempotency_key", "subject", told.alias("told")), decisions, "idempotency_key", "subject", "told")
+    rows = rows.join(status, "idempotency_key", "left")
     # attachments that are not there
     missing = drafts.select(F.explode("attachments").alias("blob_ref")).distinct().join(blobs.select("blob_ref").distinct(), "blob_ref", "left_anti")
     lacking = drafts.select("idempotency_key", F.explode("attachments").alias("blob_ref")).join(missing, "blob_ref").select("idempotency_key", F.lit(True).alias("lacks_blob")).distinct()
     rows = rows.join(lacking, "idempotency_key", "left").withColumn("schema_problem", schema_problem(schemas)("schema", "payload"))
     heartbeat = F.col("schema") == "schema:observer-heartbeat"
     any_schema = (F.size("own_schemas") == 0) | F.array_contains("own_schemas", "*") | F.array_contains("own_schemas", F.col("schema"))
-    retracts = F.get_json_object("meta", "$.retracts")
     lacks_key = ~F.array_contains(F.array(*[meta(k).isNotNull() for k in CHANNEL_KEYS]), F.lit(False)) == F.lit(False)
-    decided = policy_decision(F.lit(role), F.lit("write_proposal"), F.coalesce("status", F.lit("restricted_capture")), F.lit("internal"), F.lit("lake"), F.col("authority_model"))
+    payload_id = F.when(F.col("schema") == "schema:gmail-message", F.get_json_object("payload", "$.account_id")).otherwise(F.get_json_object("payload", "$.channel_id"))
+    decided = policy_decision(F.lit("system_admin"), F.lit("write_canonical"), F.coalesce("status", "default_consent", F.lit("restricted_capture")), F.lit("internal"), F.lit("production"), F.col("authority_model"))
     checks = [
         (F.col("known").isNull(), "rejected", "unknown observer"),
         (F.col("declared_version").isNull() | (F.col("schema_version") != F.col("declared_version")), "rejected", "unknown schema version"),
@@ -106,11 +109,13 @@ def gate(drafts: DataFrame, observers: DataFrame, schemas: dict[str, dict], chan
         (~heartbeat & (F.col("own_capture") != F.col("capture_model")), "rejected", "capture mismatch"),
         ((F.size("declared_observers") > 0) & ~F.array_contains("declared_observers", F.col("observer")), "rejected", "observer not named by schema"),
         (F.col("schema_problem").isNotNull(), "rejected", "invalid payload"),
-        (retracts.isNotNull() & F.get_json_object(retracts, "$.observation_id").isNull() & F.get_json_object(retracts, "$.source_object_id").isNull(), "rejected", "invalid retraction"),
+        (~retraction_target(F.col("meta"))["valid"], "rejected", "invalid retraction"),
         (is_message & lacks_key, "quarantined", "missing channel metadata"),
         (is_message & F.col("channel_id").isNull(), "quarantined", "unregistered channel"),
         (is_message & ~F.coalesce("enabled", F.lit(False)), "quarantined", "disabled channel"),
-        (decided["decision"] != "allow", "quarantined", "policy"),
+        (is_message & ~payload_id.eqNullSafe(meta("communication_channel_external_id")), "quarantined", "channel differs from payload"),
+        (decided["decision"] == "deny", "quarantined", "policy denied"),
+        (decided["decision"] == "require_review", "quarantined", "policy review required"),
         (F.col("lacks_blob"), "rejected", "missing attachment"),
         (F.col("published") > F.to_timestamp(F.lit(now)) + F.expr(f"interval {CLOCK_SKEW_SECONDS} seconds"), "quarantined", "clock skew"),
     ]

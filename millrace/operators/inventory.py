@@ -9,14 +9,19 @@ from millrace.functions.keys import label_key, labels_in
 
 
 def label_inventory(texts: DataFrame, person: str, text: str, order: str) -> DataFrame:
-    """label, people, examples (the first five different values seen, then sorted), most people first."""
+    """key (the label as label_key), label (as first seen), people, examples (the first five different values that are not empty, then sorted), most people first.
+
+    A person counts once for a label, with the value of its first place, by (order, place in the text).
+    """
     found = texts.select(F.col(person).alias("person"), F.col(order).alias("seen"), F.posexplode(labels_in(F.col(text))).alias("nth", "x"))
-    rows = found.select("person", "seen", "nth", label_key(F.col("x.label")).alias("label"), F.col("x.value").alias("value"))
-    people = rows.groupBy("label").agg(F.countDistinct("person").alias("people"))
-    first = rows.groupBy("label", "value").agg(F.min(F.struct("seen", "nth")).alias("at"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy("at"))
-    examples = first.withColumn("r", nth).where("r <= 5").groupBy("label").agg(F.array_sort(F.collect_list("value")).alias("examples"))
-    return people.join(examples, "label").orderBy(F.desc("people"), "label")
+    rows = found.select("person", label_key(F.col("x.label")).alias("key"), F.struct("seen", "nth").alias("at"), "x.label", "x.value").where("key <> ''")
+    firsts = rows.groupBy("key", "person").agg(F.min(F.struct("at", "label", "value")).alias("f"))
+    people = firsts.groupBy("key").agg(F.count("*").alias("people"), F.min_by("f.label", "f.at").alias("label"))
+    values = firsts.where("f.value <> ''").groupBy("key", "f.value").agg(F.min("f.at").alias("at"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("at"))
+    examples = values.withColumn("r", nth).where("r <= 5").groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+    none = F.array().cast("array<string>")
+    return people.join(examples, "key", "left").select("key", "label", "people", F.coalesce("examples", none).alias("examples")).orderBy(F.desc("people"), "label")
 
 
 def import_inventory(records: DataFrame) -> DataFrame:

@@ -10,24 +10,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from millrace.functions.keys import json_string
 
 def latest_decisions(decisions: DataFrame, key: str) -> DataFrame:
     """key, status of the last decision by (published, recorded_at, id): order of arrival does not matter."""
     return decisions.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("status", F.struct("published", "recorded_at", "id")).alias("status"))
 
 
-def visible(rows: DataFrame, decisions: DataFrame, retractions: DataFrame, id: str = "id", object_id: str = "object_id", keys: str = "keys") -> DataFrame:
-    """Rows that neither a retraction nor the latest consent decision about one of their keys hides.
+def governing_decision(rows: DataFrame, decisions: DataFrame, id: str = "id", subject: str = "subject", keys: str = "keys") -> DataFrame:
+    """id, status of the newest decision by (published, recorded_at, id) about a row's subject or one of its identifiers.
 
-    decisions: subject, identifier (or null), status, published, recorded_at, id; retractions: observation_id,
-    source_object_id (either may be null). Only opted_out hides; no decision leaves a row visible. All joins
-    are anti joins on equal keys; rows without keys or object id are not touched by those.
+    rows: id, subject, keys (identifiers; null for none); decisions: subject, identifier (or null), status, published,
+    recorded_at, id. A decision counts for its subject and for its identifier. Rows without any are not in the result.
+    """
+    order = F.struct("published", "recorded_at", F.col("id").alias("decision_id"), "status")
+    about = decisions.select(F.explode(F.array(F.struct(F.lit("subject").alias("kind"), F.col("subject").alias("key")), F.struct(F.lit("identifier").alias("kind"), F.col("identifier").alias("key")))).alias("x"), order.alias("at"))
+    latest = about.where("x.key is not null").groupBy("x.kind", "x.key").agg(F.max("at").alias("at"))
+    named = F.concat(F.array(F.struct(F.lit("subject").alias("kind"), F.col(subject).alias("key"))), F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.struct(F.lit("identifier").alias("kind"), k.alias("key"))))
+    asked = rows.select(F.col(id).alias("row_id"), F.explode(named).alias("x")).select("row_id", "x.kind", "x.key")
+    return asked.join(latest, ["kind", "key"]).groupBy("row_id").agg(F.max("at").alias("at")).select(F.col("row_id").alias(id), "at.status")
+
+
+def retraction_target(meta: Column) -> Column:
+    """struct<observation_id, source_object_id, valid> of meta.retracts, null where meta has none.
+
+    It is valid if it is an object of these two fields alone, both strings, and names at least one target.
+    """
+    target = F.get_json_object(meta, "$.retracts")
+    fields, text = F.json_object_keys(target), lambda n: F.nullif(F.trim(json_string(target, f"$.{n}")), F.lit(""))
+    typed = F.forall(fields, lambda f: ((f == "observation_id") & json_string(target, "$.observation_id").isNotNull()) | ((f == "source_object_id") & json_string(target, "$.source_object_id").isNotNull()))
+    one, other = text("observation_id"), text("source_object_id")
+    valid = F.coalesce(typed & (one.isNotNull() | other.isNotNull()), F.lit(False))
+    there = F.array_contains(F.json_object_keys(meta), "retracts")
+    return F.when(there, F.struct(F.when(valid, one).alias("observation_id"), F.when(valid, other).alias("source_object_id"), valid.alias("valid")))
+
+
+def visible(rows: DataFrame, decisions: DataFrame, retractions: DataFrame, id: str = "id", object_id: str = "object_id", subject: str = "subject", keys: str = "keys") -> DataFrame:
+    """Rows that neither a retraction nor the newest consent decision about their subject and identifiers hides.
+
+    decisions as in governing_decision; only opted_out hides, and no decision leaves a row visible. retractions:
+    observation_id, source_object_id (either may be null), and optionally valid: one that is not valid hides everything.
+    Of rows that say so (schema, meta), consent decisions and retracting rows are hidden themselves. All joins are anti joins on equal
+    keys; rows without keys or object id are not touched by those.
     """
     names = rows.columns
+    if "valid" in retractions.columns and not retractions.where("not valid").isEmpty():
+        return rows.where("false")
+    if "schema" in names:
+        rows = rows.where(F.coalesce(F.col("schema") != "schema:consent-decision", F.lit(True)))
+    if "meta" in names:
+        rows = rows.where(retraction_target(F.col("meta")).isNull())
     gone = retractions.select(F.col("observation_id").alias(id)).where(F.col(id).isNotNull()).distinct()
     gone_objects = retractions.select(F.col("source_object_id").alias(object_id)).where(F.col(object_id).isNotNull()).distinct()
-    out = latest_decisions(decisions, "subject").unionByName(latest_decisions(decisions, "identifier").withColumnRenamed("identifier", "subject")).where("status = 'opted_out'")
-    hidden = rows.select(id, F.explode(keys).alias("subject")).join(out.select("subject").distinct(), "subject", "left_semi").select(id).distinct()
+    hidden = governing_decision(rows, decisions, id, subject, keys).where("status = 'opted_out'").select(id)
     return rows.join(gone, id, "left_anti").join(gone_objects, object_id, "left_anti").join(hidden, id, "left_anti").select(*names)
 
 

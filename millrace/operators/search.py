@@ -48,7 +48,7 @@ def grep(corpus: DataFrame, pattern: str, filters: Filters = Filters(), order: s
 
 def with_matches(page: DataFrame, pattern: str, searched: str = "text", raw: str = "text") -> DataFrame:
     """A page with match ranges (UTF-8 bytes of the searched text) and a snippet of the raw text."""
-    return page.withColumns({"ranges": T.match_ranges(pattern)(F.col(searched)), "snippet": T.snippet(pattern)(F.col(raw), F.col(searched))})
+    return page.withColumn("match_info", T.matched(pattern)(F.col(raw), F.col(searched))).select(*page.columns, "match_info.ranges", "match_info.snippet")
 
 
 def write_ngram_index(corpus: DataFrame, path: str, searched: str = "text", width: int = 3, buckets: int = 64) -> None:

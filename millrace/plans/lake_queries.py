@@ -110,7 +110,7 @@ def retention(spark, d):
 def _decisions(spark, d):
     e = read(spark, d, "events")
     return e.select(
-        F.concat(F.lit("user:"), "user_id").alias("subject"), F.lit(None).cast("string").alias("identifier"), F.when(F.col("event_type") == "error", "opted_out").otherwise("unrestricted").alias("status"),
+        F.concat(F.lit("user:"), "user_id").alias("subject"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("mail:"), F.col("user_id") % 40)).alias("identifier"), F.when(F.col("event_type") == "error", "opted_out").otherwise("unrestricted").alias("status"),
         F.date_trunc("day", "ts").alias("published"), F.col("ts").alias("recorded_at"), F.col("event_id").cast("string").alias("id"),
     )
 
@@ -123,17 +123,22 @@ LATEST_SQL = "SELECT 'user:' || user_id AS subject, CASE WHEN event_type = 'erro
 
 
 def consent_visible(spark, d):
-    """Orders of customers (as users) that neither consent nor a retraction hides; toxic labels retract by id, open orders by object."""
-    orders = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("-", "o_custkey", "o_orderstatus").alias("object_id"), F.array(F.concat(F.lit("user:"), "o_custkey")).alias("keys"))
+    """Orders of customers (as users, with a mail address of several) that neither the newest consent about either nor a retraction hides; toxic labels retract by id, open orders by object."""
+    mail = F.concat(F.lit("mail:"), F.col("o_custkey") % 97)
+    orders = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat_ws("-", "o_custkey", "o_orderstatus").alias("object_id"), F.concat(F.lit("user:"), "o_custkey").alias("subject"), F.array(mail).alias("keys"))
     labels, customers = read(spark, d, "labels"), read(spark, d, "customer")
     gone = labels.where("toxic = 1").select(F.col("doc_id").cast("string").alias("observation_id"), F.lit(None).cast("string").alias("source_object_id"))
     by_object = customers.where("c_acctbal < 0").select(F.lit(None).cast("string").alias("observation_id"), F.concat(F.col("c_custkey").cast("string"), F.lit("-O")).alias("source_object_id"))
     return privacy.visible(orders, _decisions(spark, d), gone.unionByName(by_object)).select("id", "object_id")
 
 
-VISIBLE_SQL = f"""
-WITH latest AS ({LATEST_SQL}), o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey || '-' || o_orderstatus AS object_id, 'user:' || o_custkey AS k FROM orders)
-SELECT id, object_id FROM o WHERE k NOT IN (SELECT subject FROM latest WHERE status = 'opted_out')
+VISIBLE_SQL = """
+WITH dec AS (SELECT 'user:' || user_id AS s, CASE WHEN event_id % 3 = 0 THEN 'mail:' || user_id % 40 END AS i, event_type = 'error' AS out, date_trunc('day', ts) AS p, ts, CAST(event_id AS VARCHAR) AS e FROM events),
+about AS (SELECT s AS k, out, p, ts, e FROM dec UNION ALL SELECT i, out, p, ts, e FROM dec WHERE i IS NOT NULL),
+latest AS (SELECT k, out, p, ts, e FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p DESC, ts DESC, e DESC) AS n FROM about) WHERE n = 1),
+o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey || '-' || o_orderstatus AS object_id, ['user:' || o_custkey, 'mail:' || o_custkey % 97] AS ks FROM orders),
+best AS (SELECT id, out FROM (SELECT o.id, l.out, row_number() OVER (PARTITION BY o.id ORDER BY p DESC, ts DESC, e DESC) AS n FROM (SELECT id, unnest(ks) AS k FROM o) o JOIN latest l USING (k)) WHERE n = 1)
+SELECT id, object_id FROM o WHERE id NOT IN (SELECT id FROM best WHERE out)
 AND id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) AND object_id NOT IN (SELECT c_custkey || '-O' FROM customer WHERE c_acctbal < 0)
 """
 

@@ -110,8 +110,22 @@ def byte_budget_page(spark, d):
 
 
 def label_inventory(spark, d):
-    turns = read(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(": ", "role", F.lower(F.substring("text", 1, 3))).alias("text"))
-    return inventory.label_inventory(turns, "conv_id", "text", "turn").select("label", "people")
+    """The labels of whole documents, with their sources as people."""
+    return inventory.label_inventory(read(spark, d, "documents"), "source", "text", "doc_id").withColumn("examples", F.array_join("examples", "|"))
+
+
+LABELS_CTE = r"""
+pairs AS (SELECT source, doc_id, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 1) AS ls, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 2) AS vs FROM documents),
+found AS (SELECT source, doc_id, nth, trim(l, ' \t\n\r\x0B\f') AS label, trim(v, ' \t\n\r\x0B\f') AS value FROM (SELECT source, doc_id, unnest(ls) AS l, unnest(vs) AS v, generate_subscripts(ls, 1) AS nth FROM pairs)),
+kept AS (SELECT *, trim(regexp_replace(translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key FROM found WHERE length(label) >= 2 AND NOT regexp_full_match(label, '[0-9.]+') AND lower(label) NOT IN ('http', 'https'))
+"""
+LABELS_SQL = f"""
+WITH {LABELS_CTE}, firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY doc_id, nth) AS r FROM kept WHERE key <> '') WHERE r = 1),
+people AS (SELECT key, count(*) AS people, arg_min(label, (doc_id, nth)) AS label FROM firsts GROUP BY key),
+vals AS (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY min((doc_id, nth))) AS r FROM firsts WHERE value <> '' GROUP BY key, value),
+ex AS (SELECT key, string_agg(value, '|' ORDER BY value) AS examples FROM vals WHERE r <= 5 GROUP BY key)
+SELECT key, label, people, coalesce(examples, '') AS examples FROM people LEFT JOIN ex USING (key)
+"""
 
 
 def import_inventory(spark, d):
@@ -149,10 +163,26 @@ def set_difference(spark, d):
     return inventory.difference(suppliers, nations)
 
 
+#: Attributes of the catalogue: name, aliases.
+ATTRIBUTES = [(1, "Email", ["email", "mail", "e-mail"]), (2, "Phone", ["tel", "phone", "call"]), (3, "License", ["license", "spdx-license-identifier"]), (4, "Copyright", []), (5, "Key", ["api key", "token"]), (6, "Name", ["author"]), (7, "ail", []), (8, "Card number", ["card"])]
+
+
 def attribute_suggestions(spark, d):
-    labels = read(spark, d, "documents").select(F.regexp_extract("text", "^[A-Za-z]+", 0).alias("label")).where("label <> ''").distinct()
-    names = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.element_at(F.array(*map(F.lit, ["the", "and", "of", "in", "er"])), F.pmod("n_nationkey", F.lit(5)) + 1).alias("name"))
-    return inventory.suggest_attributes(labels, names.withColumn("aliases", F.array(F.lower("name"))))
+    """The labels of whole documents against a catalogue of attributes; a label's first word stands for an AI key."""
+    labels = inventory.label_inventory(read(spark, d, "documents"), "source", "text", "doc_id").select("label", F.element_at(F.split("key", " "), 1).alias("ai_key"))
+    catalogue = spark.createDataFrame(ATTRIBUTES, "id int, name string, aliases array<string>")
+    return inventory.suggest_attributes(labels, catalogue).select("label", "id", "name", "score", "nth")
+
+
+ATTRIBUTES_SQL = f"""
+WITH {LABELS_CTE}, people AS (SELECT key, arg_min(label, (doc_id, nth)) AS label FROM (SELECT *, row_number() OVER (PARTITION BY key, source ORDER BY doc_id, nth) AS r FROM kept WHERE key <> '') WHERE r = 1 GROUP BY key),
+c(id, name, aliases) AS (VALUES {", ".join(f"({i}, '{n}', {a})" for i, n, a in ATTRIBUTES)}),
+s AS (SELECT p.label, c.id, c.name, CASE WHEN list_contains(c.aliases, p.key) THEN 100 ELSE 0 END + CASE WHEN lower(c.name) = p.key THEN 90 ELSE 0 END AS exact,
+  CASE WHEN contains(p.key, lower(c.name)) OR contains(lower(c.name), p.key) THEN 50 ELSE 0 END AS part, CASE WHEN list_contains(c.aliases, string_split(p.key, ' ')[1]) THEN 70 ELSE 0 END AS ai FROM people p, c),
+t AS (SELECT label, id, name, CASE WHEN exact > 0 THEN exact ELSE part END + ai AS score FROM s),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY score DESC, name, id) AS INT) AS nth FROM t WHERE score > 0)
+SELECT * FROM r WHERE nth <= 5
+"""
 
 
 QUERIES = {
@@ -183,7 +213,7 @@ QUERIES = {
         byte_budget_page,
         """SELECT event_id, event_type FROM (SELECT *, 1 + sum(1 + strlen('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}')) OVER (ORDER BY event_id) AS total FROM (SELECT event_id, event_type FROM events ORDER BY event_id LIMIT 100)) WHERE total <= 1000""",
     ),
-    "label_inventory": (label_inventory, "SELECT role AS label, count(DISTINCT conv_id) AS people FROM conversations WHERE regexp_matches(substr(text, 1, 3), '^[^\\n]') AND trim(substr(text, 1, 3)) <> '' AND NOT contains(substr(text, 1, 3), chr(10)) GROUP BY role"),
+    "label_inventory": (label_inventory, LABELS_SQL),
     "import_inventory": (
         import_inventory,
         "SELECT source, CAST(sum(n) AS BIGINT) AS total, count(*) AS \"unique\", CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum(b) AS BIGINT) AS bytes, CAST(sum(CASE WHEN lo <> hi THEN 1 ELSE 0 END) AS BIGINT) AS conflicts FROM (SELECT source, text, count(*) AS n, sum(strlen(text)) AS b, min(lang) AS lo, max(lang) AS hi FROM documents GROUP BY source, text) GROUP BY source",
@@ -194,5 +224,5 @@ QUERIES = {
     "relation_fingerprint": (relation_fingerprint, None),
     "corpus_watermark": (corpus_watermark, "SELECT coalesce(strftime(max(make_timestamp((1700000000 + 60 * doc_id) * 1000000)), '%Y-%m-%dT%H:%M:%S.%fZ'), 'empty') AS watermark FROM documents"),
     "set_difference": (set_difference, "SELECT DISTINCT c_nationkey AS n, 'added' AS change FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey, 'removed' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer)"),
-    "attribute_suggestions": (attribute_suggestions, None),
+    "attribute_suggestions": (attribute_suggestions, ATTRIBUTES_SQL),
 }

@@ -178,26 +178,35 @@ def _messages(spark, d):
     )
 
 
-def ingest_gate(spark, d):
-    """Messages through the gate: every fifth conversation's channel is disabled, every seventh is not registered; systems may not write."""
+def _gate_input(spark, d):
+    """Messages of conversations, a draft each: every fifth conversation's channel is disabled, every seventh is not registered, every eleventh refers to the source as well; some have attachments, and systems opted out and may have consented again by channel."""
     drafts = messages.discord(_messages(spark, d)).withColumn("meta", F.concat(F.lit('{"source_instance":"one",'), F.expr("substring(meta, 2)")))
+    conv_id, turn = F.regexp_extract("subject", r"ch(\d+):", 1).cast("long"), F.regexp_extract("subject", r"-(\d+)$", 1).cast("long")
+    drafts = drafts.withColumns({"authority_model": F.when(conv_id % 11 == 4, "dual_reference").otherwise(F.col("authority_model")), "attachments": F.when(turn % 4 == 3, F.array(F.concat(F.lit("blob:"), (conv_id % 6).cast("string")))).otherwise(F.col("attachments"))})
     conv = read(spark, d, "conversations").select("conv_id").distinct()
     channels = conv.where("conv_id % 7 <> 3").select(
         F.concat(F.lit("channel:"), F.col("conv_id").cast("string")).alias("id"), F.lit("discord").alias("kind"), F.lit("one").alias("source_instance_id"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("external_id"), (F.col("conv_id") % 5 != 2).alias("enabled"), F.lit(3600).cast("long").alias("reply_slo_seconds")
     )
-    observers = spark.createDataFrame([("obs:discord-crawler", "sys:discord", ["schema:discord-message"], "lake_authoritative", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
-    decisions = spark.createDataFrame([], "subject string, identifier string, status string, published timestamp, recorded_at timestamp, id string")
-    blobs = spark.createDataFrame([], "blob_ref string")
+    observers = spark.createDataFrame([("obs:discord-crawler", "sys:discord", ["schema:discord-message"], "dual_reference", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
+    old = spark.createDataFrame([("person:x", "user", "opted_out", "a")], "subject string, identifier string, status string, id string").withColumns({"published": minute(1), "recorded_at": minute(1)})
+    again = conv.where("conv_id % 2 = 0").select(F.lit("person:y").alias("subject"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("identifier"), F.lit("unrestricted").alias("status"), F.col("conv_id").cast("string").alias("id"), minute(2).alias("published"), minute(2).alias("recorded_at"))
+    blobs = spark.createDataFrame([(f"blob:{i}",) for i in range(5)], "blob_ref string")
+    return drafts, observers, channels, old.unionByName(again), blobs
+
+
+def ingest_gate(spark, d):
+    drafts, observers, channels, decisions, blobs = _gate_input(spark, d)
     return ingest.gate(drafts, observers, SCHEMAS, channels, decisions, blobs, "2023-11-14 22:10:00").select("subject", "outcome", "reason", "reply_due_at")
 
 
-GATE_SQL = """
-WITH m AS (SELECT 'message:discord:ch' || conv_id || ':' || conv_id || '-' || turn AS subject, conv_id, make_timestamp((1700000000 + 60 * turn) * 1000000) AS tm FROM conversations),
-r AS (SELECT *, conv_id % 7 <> 3 AS registered FROM m)
-SELECT subject, CASE WHEN NOT registered OR conv_id % 5 = 2 OR tm > TIMESTAMP '2023-11-14 22:20:00' THEN 'quarantined' ELSE 'accepted' END AS outcome,
-  CASE WHEN NOT registered THEN 'unregistered channel' WHEN conv_id % 5 = 2 THEN 'disabled channel' WHEN tm > TIMESTAMP '2023-11-14 22:20:00' THEN 'clock skew' END AS reason,
-  CASE WHEN registered THEN tm + INTERVAL 1 HOUR END AS reply_due_at FROM r
+GATE_ROWS_SQL = """
+m AS (SELECT 'message:discord:ch' || conv_id || ':' || conv_id || '-' || turn AS subject, conv_id, turn, role, text, make_timestamp((1700000000 + 60 * turn) * 1000000) AS tm FROM conversations),
+r AS (SELECT *, conv_id % 7 <> 3 AS registered FROM m),
+g AS (SELECT *, CASE WHEN NOT registered THEN 'unregistered channel' WHEN conv_id % 5 = 2 THEN 'disabled channel' WHEN role = 'user' AND conv_id % 2 = 1 THEN 'policy denied'
+  WHEN conv_id % 11 = 4 THEN 'policy review required' WHEN turn % 4 = 3 AND conv_id % 6 = 5 THEN 'missing attachment' WHEN tm > TIMESTAMP '2023-11-14 22:20:00' THEN 'clock skew' END AS reason FROM r),
+gated AS (SELECT *, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason = 'missing attachment' THEN 'rejected' ELSE 'quarantined' END AS outcome FROM g)
 """
+GATE_SQL = f"WITH {GATE_ROWS_SQL} SELECT subject, outcome, reason, CASE WHEN registered THEN tm + INTERVAL 1 HOUR END AS reply_due_at FROM gated"
 
 
 def corpus_projection(spark, d):

@@ -15,7 +15,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def minute(number: str):
-    return F.timestamp_seconds(F.lit(EPOCH) + 60 * F.col(number))
+    return F.timestamp_seconds(F.lit(EPOCH) + 60 * (F.col(number) if isinstance(number, str) else F.lit(number)))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,48 @@ def test_terms_and_patterns(spark):
 
 def test_ranges_are_utf8_bytes_and_snippets_fit(spark):
     text = "é" * 300 + "needle" + "z" * 300
-    row = spark.createDataFrame([(text,), (None,)], "t string").select(T.match_ranges("needle")("t").alias("r"), T.snippet("needle")("t", "t").alias("s")).collect()
+    row = spark.createDataFrame([(text,), (None,)], "t string").select(T.matched("needle")("t", "t").alias("x")).select(F.col("x.ranges").alias("r"), F.col("x.snippet").alias("s")).collect()
     assert [(x.start, x.end) for x in row[0].r] == [(600, 606)]
     assert len(row[0].s) == 240 and row[0].s.startswith("...") and row[0].s.endswith("...") and "needle" in row[0].s
     assert row[1].r is None and row[1].s is None
-    assert len(T.char_ranges("a" * 50, T._compiled("a"))) == 20
+    many = spark.createDataFrame([("a" * 50,)], "t string").select(T.matched("a")("t", "t").alias("x")).first()
+    assert len(many.x.ranges) == 20 and many.x.snippet == "a" * 50
+
+
+def slow_snippet(text, hit):
+    """All windows of the budget, by the marks that they need: the one whose marks agree."""
+    n = len(text)
+    if n <= 240:
+        return text
+    found = []
+    for marks in ((a, b) for a in (False, True) for b in (False, True)):
+        body = 240 - 3 * sum(marks)
+        start = max(0, hit - body // 2)
+        if start + body > n:
+            start = n - body
+        if (start > 0, start + body < n) == marks:
+            found.append("..." * marks[0] + text[start : start + body] + "..." * marks[1])
+    assert found
+    return found[0]
+
+
+def test_snippets_at_all_places():
+    for n in (200, 240, 241, 300, 600):
+        text = "".join(chr(97 + i % 26) for i in range(n))
+        for hit in range(n):
+            assert T.snippet_of(text, hit) == slow_snippet(text, hit), (n, hit)
+
+
+def test_pattern_syntax(spark):
+    for good in (r"\p{L}+", r"a\z", r"[[:alpha:]]+", r"[^[:space:]]x", r"(?P<y>\d{2,})", r"(?i)abc", r"a{2}?", r"[a-z&&[^b]]", r"\x{41}", r"\u00e9", r"a|b", r"[]a]", "^x$", "(?:a)*", r"\."):
+        assert T.is_portable(good), good
+    for bad in (r"(?>a)", "a++", "a*+", r"(a)\1", "(?=a)", "(?!a)", "(?<=a)", r"\Qa\E", "[a", "(a", "*a", r"\k<n>", r"\G", "a)", r"\Z", "(?#c)"):
+        assert not T.is_portable(bad), bad
+    texts = ["abc", "ÉCOLE 42", "x\n", "x", "a b", "\u0663", "line\rx", "A]", "--", "tab\t"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern, want in {r"^x$": ["x"], r"\p{L}+\s\d+": ["ÉCOLE 42"], "[[:alpha:]]{3}": ["abc", "ÉCOLE 42", "line\rx", "tab\t"], r"\d": ["ÉCOLE 42", "\u0663"], "(?m)^x$": ["x\n", "x"], "e.x": ["line\rx"], "[]]": ["A]"], r"(?i)école": ["ÉCOLE 42"], r"[[:punct:]]": ["A]", "--"]}.items():
+        assert sorted(r.t for r in df.where(T.matches(F.col("t"), pattern)).collect()) == sorted(want), pattern
+        assert sorted(t for t in texts if T.char_ranges(t, T._compiled(pattern))) == sorted(want), pattern
 
 
 def test_canonical_json(spark):
@@ -117,10 +154,23 @@ def test_delta_rules_and_generations(spark, tmp_path):
 
 
 def test_privacy(spark):
-    decisions = spark.createDataFrame([("u", None, "opted_out", 1, 1, "a"), ("u", None, "unrestricted", 2, 1, "b"), ("u", None, "opted_out", 1, 9, "c"), ("x", "mail", "opted_out", 5, 5, "d")], "subject string, identifier string, status string, published int, recorded_at int, id string")
-    rows = spark.createDataFrame([("1", "o1", ["u"]), ("2", "o2", ["mail"]), ("3", "o3", None), ("4", None, ["q"]), ("5", "o5", [])], "id string, object_id string, keys array<string>")
+    """The newest decision over the subject and all identifiers governs a row."""
+    decisions = spark.createDataFrame(
+        [("u", None, "opted_out", 1, 1, "a"), ("u", None, "unrestricted", 2, 1, "b"), ("u", None, "opted_out", 1, 9, "c"), ("x", "mail", "opted_out", 5, 5, "d"), ("z", "phone", "unrestricted", 6, 1, "e"), ("mail", None, "unrestricted", 9, 9, "f")],
+        "subject string, identifier string, status string, published int, recorded_at int, id string",
+    )
+    rows = spark.createDataFrame(
+        [("1", "o1", "u", None), ("2", "o2", "q", ["mail"]), ("3", "o3", "q", None), ("4", None, "q", ["q"]), ("5", "o5", "q", []), ("6", "o6", "x", ["phone"]), ("7", "o7", "u", ["mail", "none"]), ("8", "o8", "q", ["u"])], "id string, object_id string, subject string, keys array<string>"
+    )
     gone = spark.createDataFrame([("4", None), (None, "o5")], "observation_id string, source_object_id string")
-    assert sorted(r.id for r in privacy.visible(rows, decisions, gone).collect()) == ["1", "3"]
+    assert sorted(r.id for r in privacy.visible(rows, decisions, gone).collect()) == ["1", "3", "6", "8"]
+    odd = rows.withColumns({"schema": F.when(F.col("id") == "3", "schema:consent-decision").otherwise("s"), "meta": F.when(F.col("id") == "1", '{"retracts": null}').otherwise("{}")})
+    assert sorted(r.id for r in privacy.visible(odd, decisions, gone).collect()) == ["6", "8"]
+    meta = [("{}",), (None,), ('{"retracts": {"observation_id": "a"}}',), ('{"retracts": {"source_object_id": " b "}}',), ('{"retracts": {}}',), ('{"retracts": "a"}',), ('{"retracts": {"observation_id": 1}}',), ('{"retracts": {"observation_id": "a", "x": 1}}',)]
+    got = [r.t for r in spark.createDataFrame(meta, "m string").select(privacy.retraction_target(F.col("m")).alias("t")).collect()]
+    assert [None if t is None else tuple(t) for t in got] == [None, None, ("a", None, True), (None, "b", True)] + [(None, None, False)] * 4
+    broken = gone.withColumn("valid", F.col("observation_id").isNull())
+    assert privacy.visible(rows, decisions, broken).count() == 0
 
 
 def test_mask_payload(spark):
@@ -189,9 +239,9 @@ def test_fingerprint(spark):
 
 
 def test_gate_order(spark):
-    observers = spark.createDataFrame([("o", "sys:s", [], "lake_authoritative", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
+    observers = spark.createDataFrame([("o", "sys:s", [], "lake_authoritative", "event"), ("d", "sys:s", [], "dual_reference", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
     base = dict(schema="schema:note", schema_version="1.0.0", observer="o", source_system="sys:s", authority_model="lake_authoritative", capture_model="event", subject="s", target=None, payload='{"t": "x"}', attachments=[], published="2024-01-01 00:00:00", meta="{}")
-    cases = {"ok": ({}, "accepted", None), "obs": ({"observer": "?"}, "rejected", "unknown observer"), "ver": ({"schema_version": "9.0.0"}, "rejected", "unknown schema version"), "sys": ({"source_system": None}, "rejected", "source system mismatch"), "auth": ({"authority_model": "source_authoritative"}, "rejected", "authority mismatch"), "pay": ({"payload": "{}"}, "rejected", "invalid payload"), "ret": ({"meta": '{"retracts": {"x": 1}}'}, "rejected", "invalid retraction"), "out": ({"subject": "gone"}, "quarantined", "policy"), "blob": ({"attachments": ["blob:1"]}, "rejected", "missing attachment"), "late": ({"published": "2024-01-01 00:10:01"}, "quarantined", "clock skew"), "edge": ({"published": "2024-01-01 00:10:00"}, "accepted", None)}
+    cases = {"ok": ({}, "accepted", None), "obs": ({"observer": "?"}, "rejected", "unknown observer"), "ver": ({"schema_version": "9.0.0"}, "rejected", "unknown schema version"), "sys": ({"source_system": None}, "rejected", "source system mismatch"), "auth": ({"authority_model": "source_authoritative"}, "rejected", "authority mismatch"), "pay": ({"payload": "{}"}, "rejected", "invalid payload"), "ret": ({"meta": '{"retracts": {"x": 1}}'}, "rejected", "invalid retraction"), "out": ({"subject": "gone"}, "quarantined", "policy denied"), "dual": ({"observer": "d", "authority_model": "dual_reference"}, "quarantined", "policy review required"), "blob": ({"attachments": ["blob:1"]}, "rejected", "missing attachment"), "late": ({"published": "2024-01-01 00:10:01"}, "quarantined", "clock skew"), "edge": ({"published": "2024-01-01 00:10:00"}, "accepted", None)}
     names = [*base, "idempotency_key"]
     rows = [tuple(({**base, **change, "idempotency_key": k})[n] for n in names) for k, (change, _, _) in cases.items()]
     drafts = spark.createDataFrame(rows, ", ".join(f"{n} {'array<string>' if n == 'attachments' else 'string'}" for n in names)).withColumn("published", F.to_timestamp("published"))
@@ -249,9 +299,9 @@ def test_views_equal_batch(spark, tmp_path):
 
 
 def test_inventory(spark):
-    text = spark.createDataFrame([(1, "Name: Ann\nAge：5\nhttp://x\n12: z", 1), (2, "name : Bob", 2)], "p int, t string, n int")
-    got = {r.label: (r.people, r.examples) for r in inventory.label_inventory(text, "p", "t", "n").collect()}
-    assert got == {"name": (2, ["Ann", "Bob"]), "age": (1, ["5"])}
+    text = spark.createDataFrame([(1, "Name: Ann\nAge：5\nhttp://x\n12.30: z\nx: y\n  City:\n Oslo\nname: later", 1), (2, "name : Bob\nempty:", 2), (2, "Name: no", 3), (3, "nothing here", 4), (4, None, 5)], "p int, t string, n int")
+    got = [(r.key, r.label, r.people, r.examples) for r in inventory.label_inventory(text, "p", "t", "n").collect()]
+    assert got == [("name", "Name", 2, ["Ann", "Bob"]), ("age", "Age", 1, ["5"]), ("city", "City", 1, ["Oslo"]), ("empty", "empty", 1, [])]
 
 
 def test_attribute_scores_add_up(spark):
