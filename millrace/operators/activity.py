@@ -86,29 +86,35 @@ def timeline(slides: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def resume(supplementals: DataFrame) -> DataFrame:
-    """project, last_activity, summary (latest that is not null), parkings and open claims by created_at.
+    """project, last_activity, summary (latest that is not null), numbers and oldest times of parkings and open claims.
 
-    supplementals: project, kind, id, created_at, text, state.
+    supplementals: project, kind, id, created_at, text, state. The parkings and claims themselves are resume_items.
     """
-    listed = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.struct("created_at", "id", "text"))))
+    parking, claim = F.col("kind") == "parking@1", (F.col("kind") == "claim@1") & (F.col("state") == "open")
     return supplementals.groupBy("project").agg(
         F.max("created_at").alias("last_activity"),
         F.max_by(F.col("text"), F.when((F.col("kind") == "session-summary@1") & F.col("text").isNotNull(), F.struct("created_at", "id"))).alias("summary"),
-        listed(F.col("kind") == "parking@1").alias("parkings"),
-        listed((F.col("kind") == "claim@1") & (F.col("state") == "open")).alias("open_claims"),
-    )
+        F.count_if(parking).alias("parkings"), F.min(F.when(parking, F.col("created_at"))).alias("oldest_parking"),
+        F.count_if(F.coalesce(claim, F.lit(False))).alias("open_claims"), F.min(F.when(claim, F.col("created_at"))).alias("oldest_claim"),
+    )
+
+
+def resume_items(supplementals: DataFrame) -> DataFrame:
+    """project, item (parking or open_claim), id, created_at, text, in order of time: rows, whatever their number."""
+    item = F.when(F.col("kind") == "parking@1", "parking").when((F.col("kind") == "claim@1") & (F.col("state") == "open"), "open_claim")
+    return supplementals.withColumn("item", item).where("item is not null").select("project", "item", "id", "created_at", "text").orderBy("project", "item", "created_at", "id")
 
 
 def plan_state(resumes: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
     """Projects of either side: numbers and oldest ages of open claims and parkings, and how many current decisions."""
     current = decisions.where("is_current").groupBy("project").agg(F.count("*").alias("decisions"), F.max("created_at").alias("last_decision"))
-    oldest = lambda c: F.unix_timestamp(at(now)) - F.unix_timestamp(F.array_min(F.transform(c, lambda x: x["created_at"])))
+    age = lambda c: F.unix_timestamp(at(now)) - F.unix_timestamp(c)
     return resumes.join(current, "project", "full_outer").select(
         "project",
-        F.coalesce(F.size("open_claims"), F.lit(0)).alias("open_claims"),
-        oldest("open_claims").alias("oldest_claim_seconds"),
-        F.coalesce(F.size("parkings"), F.lit(0)).alias("parkings"),
-        oldest("parkings").alias("oldest_parking_seconds"),
+        F.coalesce("open_claims", F.lit(0)).alias("open_claims"),
+        age("oldest_claim").alias("oldest_claim_seconds"),
+        F.coalesce("parkings", F.lit(0)).alias("parkings"),
+        age("oldest_parking").alias("oldest_parking_seconds"),
         F.coalesce("decisions", F.lit(0)).alias("decisions"),
         "last_decision",
     )

@@ -48,6 +48,15 @@ def stream_append(spark, d):
     return append.stream_append(requests)
 
 
+STREAM_APPEND_SQL = """
+WITH RECURSIVE r AS (SELECT row_number() OVER w AS seq, user_id AS stream_id, CAST(event_id AS VARCHAR) AS idempotency_key,
+  CASE WHEN event_type = 'error' THEN 0 ELSE row_number() OVER w - 1 - sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) END AS expected FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT stream_id, CAST(0 AS BIGINT) AS seq, CAST(0 AS HUGEINT) AS version, false AS taken FROM (SELECT DISTINCT stream_id FROM r)
+  UNION ALL SELECT f.stream_id, r.seq, CASE WHEN r.expected = f.version THEN f.version + 1 ELSE f.version END, r.expected = f.version FROM f JOIN r ON r.stream_id = f.stream_id AND r.seq = f.seq + 1)
+SELECT CAST(r.seq AS INT) AS seq, r.stream_id, CAST(r.expected AS BIGINT) AS expected_version, r.idempotency_key, CASE WHEN f.taken THEN 'appended' ELSE 'version_conflict' END AS outcome FROM r JOIN f USING (stream_id, seq)
+"""
+
+
 def record_versions(spark, d):
     e = read(spark, d, "events")
     rows = e.select(F.concat_ws("|", "user_id", "event_type").alias("id"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "signup", "append_only").otherwise("managed_cache").alias("mutability"))
@@ -272,25 +281,48 @@ SELECT o_orderkey AS observation_id, sent_at, CAST(epoch(sent_at) - epoch(o_orde
 """
 
 
+def _supplementals(e, kind):
+    return e.select(F.col("user_id").alias("project"), kind.alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, F.col("props")).alias("text"), F.when(F.col("value") > 10, "open").otherwise("verified").alias("state"))
+
+
+def resume_cards(spark, d):
+    """Users as projects: last activity, latest summary that is there, and how many parkings and open claims."""
+    e = read(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "parking@1").when(F.col("event_type") == "click", "claim@1").when(F.col("event_type") == "view", "session-summary@1").otherwise("other")
+    return activity.resume(_supplementals(e, kind))
+
+
+RESUME_SQL = """
+SELECT user_id AS project, max(ts) AS last_activity, arg_max(props, (ts, event_id)) FILTER (event_type = 'view' AND event_id % 4 > 0) AS summary, count(*) FILTER (event_type = 'signup') AS parkings, min(ts) FILTER (event_type = 'signup') AS oldest_parking,
+  count(*) FILTER (event_type = 'click' AND value > 10) AS open_claims, min(ts) FILTER (event_type = 'click' AND value > 10) AS oldest_claim FROM events GROUP BY user_id
+"""
+
+
+def resume_items(spark, d):
+    e = read(spark, d, "events")
+    kind = F.when(F.col("event_type") == "signup", "parking@1").when(F.col("event_type") == "click", "claim@1").otherwise("other")
+    return activity.resume_items(_supplementals(e, kind)).select("project", "item", "id")
+
+
 def plan_state(spark, d):
     """Users as projects: parkings are signups, open claims clicks, summaries views; current decisions are purchases."""
     e = read(spark, d, "events")
     kind = F.when(F.col("event_type") == "signup", "parking@1").when(F.col("event_type") == "click", "claim@1").when(F.col("event_type") == "view", "session-summary@1").otherwise("other")
-    resumes = activity.resume(e.select(F.col("user_id").alias("project"), kind.alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.col("props").alias("text"), F.when(F.col("value") > 10, "open").otherwise("verified").alias("state")))
+    resumes = activity.resume(_supplementals(e, kind))
     decisions = e.where("event_type = 'purchase'").select(F.col("user_id").alias("project"), (F.col("value") > 10).alias("is_current"), F.col("ts").alias("created_at"))
     return activity.plan_state(resumes, decisions, NOW)
 
 
 PLAN_SQL = f"""
-SELECT user_id AS project, CAST(count(*) FILTER (event_type = 'click' AND value > 10) AS INT) AS open_claims, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'click' AND value > 10))) AS BIGINT) AS oldest_claim_seconds,
-  CAST(count(*) FILTER (event_type = 'signup') AS INT) AS parkings, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'signup'))) AS BIGINT) AS oldest_parking_seconds,
+SELECT user_id AS project, count(*) FILTER (event_type = 'click' AND value > 10) AS open_claims, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'click' AND value > 10))) AS BIGINT) AS oldest_claim_seconds,
+  count(*) FILTER (event_type = 'signup') AS parkings, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'signup'))) AS BIGINT) AS oldest_parking_seconds,
   count(*) FILTER (event_type = 'purchase' AND value > 10) AS decisions, max(ts) FILTER (event_type = 'purchase' AND value > 10) AS last_decision FROM events GROUP BY user_id
 """
 
 QUERIES = {
     "idempotent_append": (idempotent_append, APPEND_SQL),
     "append_to_lake": (append_to_lake, LAKE_SQL),
-    "stream_append": (stream_append, None),
+    "stream_append": (stream_append, STREAM_APPEND_SQL),
     "record_versions": (record_versions, VERSIONS_SQL),
     "projection_delta": (projection_delta, DELTA_SQL),
     "identity_bridge": (identity_bridge, BRIDGE_SQL),
@@ -310,4 +342,6 @@ QUERIES = {
     "person_activity": (person_activity, PERSON_SQL),
     "reply_latency": (reply_latency, REPLY_SQL),
     "plan_state": (plan_state, PLAN_SQL),
+    "resume_cards": (resume_cards, RESUME_SQL),
+    "resume_items": (resume_items, "SELECT user_id AS project, CASE WHEN event_type = 'signup' THEN 'parking' ELSE 'open_claim' END AS item, event_id AS id FROM events WHERE event_type = 'signup' OR event_type = 'click' AND value > 10"),
 }

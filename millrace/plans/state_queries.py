@@ -37,13 +37,18 @@ SELECT k AS claim_id, state, taken, n - taken AS refused, updated FROM (SELECT *
 """
 
 
+def _card_events(li, malformed=True):
+    kind = F.when(F.col("l_returnflag") == "N", "send-record@1").otherwise("reply-approval@1")
+    event = states.card_event(kind, F.when(F.col("l_returnflag") == "A", "approved").otherwise("skipped"), F.when(F.col("l_linestatus") == "F", "approved").otherwise("automatic"))
+    event = F.when(F.col("l_quantity") <= 45, event) if malformed else event
+    return li.select(F.col("l_orderkey").alias("draft_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_shipdate").alias("created_at"), kind.alias("kind"), event.alias("event"))
+
+
 def card_states(spark, d):
     """Orders as drafts, their lines as approvals and sends."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
     drafts = o.select(F.col("o_orderkey").alias("draft_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") != "P", F.expr("timestamp'2023-06-01' + make_interval(0, 0, 0, cast(o_custkey % 400 as int))")).alias("expires_at"))
-    kind = F.when(F.col("l_returnflag") == "N", "send-record@1").otherwise("reply-approval@1")
-    event = states.card_event(kind, F.when(F.col("l_returnflag") == "A", "approved").otherwise("skipped"), F.when(F.col("l_linestatus") == "F", "approved").otherwise("automatic"))
-    events = li.select(F.col("l_orderkey").alias("draft_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_shipdate").alias("created_at"), event.alias("event"))
+    events = _card_events(li, malformed=False)
     return states.cards(drafts, events, NOW).select("draft_id", "state", "updated_at", "taken")
 
 
@@ -66,12 +71,55 @@ def _claims(spark, d):
 
 
 def claim_dedup(spark, d):
-    return states.dedup_claims(_claims(spark, d)).select("claim_id", "payload_hash", F.size("absorbed").cast("long").alias("absorbed"))
+    return states.dedup_claims(_claims(spark, d)).select("claim_id", "payload_hash", "absorbed")
 
 
 def claim_groups(spark, d):
-    claims = _claims(spark, d).select(F.col("id").alias("claim_id"), F.array("source", F.lit("lake")).alias("source_refs"))
-    return states.claim_groups(claims).select("group_id", "claims", F.array_min("claim_ids").alias("first_claim"))
+    return states.claim_groups(_claims(spark, d).select(F.col("id").alias("claim_id"), F.array("source", F.lit("lake")).alias("source_refs")))
+
+
+def claim_history(spark, d):
+    """Labels as events of documents' claims, through the claim that stands for all copies of a text; some anchor nothing or ask for nothing."""
+    members = states.claim_members(_claims(spark, d))
+    n = F.col("doc_id")
+    asked = F.element_at(F.array(*[F.lit(s) for s in ("dispatched", "parked", "open", "verified", "inconclusive")], F.lit(None).cast("string")), (n % 6 + 1).cast("int"))
+    anchor = F.when(n % 9 == 8, -n).otherwise(n)
+    events = read(spark, d, "labels").select(F.col("doc_id").alias("id"), minute("doc_id").alias("created_at"), F.array(anchor, F.floor(anchor / 2)).alias("claims"), asked.alias("to_state"))
+    return states.claim_history(events, members).select("claim_id", "id", "from_state", "to_state", "audit")
+
+
+CLAIM_HISTORY_SQL = """
+WITH RECURSIVE m AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang, text) AS c FROM documents),
+e AS (SELECT doc_id AS id, CASE WHEN doc_id % 9 = 8 THEN -doc_id ELSE doc_id END AS a, (['dispatched', 'parked', 'open', 'verified', 'inconclusive', NULL])[doc_id % 6 + 1] AS s FROM labels),
+t AS (SELECT DISTINCT e.id, m.c, e.s FROM (SELECT id, a, s FROM e UNION ALL SELECT id, CAST(floor(a / 2) AS BIGINT), s FROM e) e JOIN m ON m.id = e.a),
+o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY id) AS n FROM t WHERE s IS NOT NULL),
+nexts(a, b) AS (VALUES ('open', 'dispatched'), ('open', 'inconclusive'), ('open', 'verified'), ('open', 'parked'), ('dispatched', 'inconclusive'), ('dispatched', 'verified'), ('dispatched', 'parked'),
+  ('inconclusive', 'dispatched'), ('inconclusive', 'parked'), ('parked', 'open'), ('parked', 'dispatched'), ('open', 'open'), ('dispatched', 'dispatched'), ('inconclusive', 'inconclusive'), ('parked', 'parked'), ('verified', 'verified')),
+f AS (SELECT c, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS was, CAST(NULL AS VARCHAR) AS s, 'open' AS state, true AS ok FROM (SELECT DISTINCT c FROM o)
+  UNION ALL SELECT f.c, o.n, o.id, f.state, o.s, CASE WHEN x.a IS NULL THEN f.state ELSE o.s END, x.a IS NOT NULL FROM f JOIN o ON o.c = f.c AND o.n = f.n + 1 LEFT JOIN nexts x ON x.a = f.state AND x.b = o.s)
+SELECT c AS claim_id, id, was AS from_state, s AS to_state, CASE WHEN NOT ok THEN 'invalid_transition' END AS audit FROM f WHERE n > 0
+UNION ALL SELECT c, id, NULL, NULL, 'invalid_state_event' FROM t WHERE s IS NULL
+UNION ALL SELECT NULL, id, NULL, s, 'missing_claim_anchor' FROM e WHERE id NOT IN (SELECT id FROM t)
+"""
+
+
+def card_audit(spark, d):
+    """Orders as drafts, of which cancelled ones are unknown; their lines as approvals and sends, some malformed."""
+    drafts = read(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("draft_id"))
+    return states.card_audit(drafts, _card_events(read(spark, d, "lineitem"))).select("draft_id", "id", "audit")
+
+
+CARD_AUDIT_SQL = """
+WITH RECURSIVE e AS (SELECT l_orderkey AS k, l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_returnflag <> 'N' AS approval,
+  CASE WHEN l_quantity > 45 THEN '?' WHEN l_returnflag = 'A' THEN 'approved' WHEN l_returnflag <> 'N' THEN 'skipped' WHEN l_linestatus = 'F' THEN 'send_approved' ELSE 'send_automatic' END AS s,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber || '-' || l_partkey || '-' || l_suppkey) AS n FROM lineitem),
+steps(s, a, b) AS (VALUES ('approved', 'pending', 'approved'), ('skipped', 'pending', 'skipped'), ('send_automatic', 'pending', 'sent'), ('send_automatic', 'approved', 'sent'), ('send_approved', 'approved', 'sent')),
+f AS (SELECT o_orderkey AS k, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS id, 'pending' AS was, 'pending' AS state, false AS approval, '' AS s FROM orders WHERE o_orderstatus <> 'P'
+  UNION ALL SELECT f.k, e.n, e.id, f.state, coalesce(x.b, f.state), e.approval, CASE WHEN x.b IS NULL THEN CASE WHEN e.s = '?' THEN '?' ELSE 'refused' END ELSE 'taken' END FROM f JOIN e ON e.k = f.k AND e.n = f.n + 1 LEFT JOIN steps x ON x.s = e.s AND x.a = f.state)
+SELECT k AS draft_id, id, CASE WHEN approval AND s = '?' AND was = 'pending' THEN 'malformed_approval' WHEN NOT approval AND s = '?' THEN 'malformed_send_record' WHEN NOT approval AND s = 'refused' THEN 'invalid_send_transition' END AS audit
+FROM f WHERE n > 0 AND (approval AND s = '?' AND was = 'pending' OR NOT approval AND s <> 'taken')
+UNION ALL SELECT k, id, 'unknown_draft_anchor' FROM e WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')
+"""
 
 
 def _candidates(spark, d):
@@ -246,6 +294,8 @@ def stream_latest_consent(spark, d):
 QUERIES = {
     "claim_states": (claim_states, CLAIM_SQL),
     "card_states": (card_states, CARD_SQL),
+    "claim_history": (claim_history, CLAIM_HISTORY_SQL),
+    "card_audit": (card_audit, CARD_AUDIT_SQL),
     "claim_dedup": (claim_dedup, "SELECT min(doc_id) AS claim_id, sha256(text) AS payload_hash, count(*) - 1 AS absorbed FROM documents GROUP BY lang, text"),
     "claim_groups": (claim_groups, """SELECT sha256(CASE WHEN source < 'lake' THEN '["' || source || '","lake"]' ELSE '["lake","' || source || '"]' END) AS group_id, count(*) AS claims, min(doc_id) AS first_claim FROM documents GROUP BY source"""),
     "identity_components": (identity_components, IDENTITY_SQL),
