@@ -137,12 +137,13 @@ def shard_of(d: np.ndarray, h: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]
     return out
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer: str, shard_bytes: int = 256 << 20, level: int = 3, width: int = 2) -> str:
+def write_shards(docs: DataFrame, folder: str, tokenizer: str, shard_bytes: int = 64 << 20, level: int = 3, width: int = 2) -> str:
     """Encodes every document and writes the shard files into a new folder, part-00000 and so on; returns the folder.
 
     docs: doc_id, text; other columns are not read. A null or empty text is the end id alone. Documents of equal
     doc_id lie side by side in the order of a hash of their text; those without doc_id come first, and neither they
-    nor repeated rows share a shard if they are too many for one. An empty table gives no file with content.
+    nor repeated rows share a shard if they are too many for one. A task that reads a file holds it whole, so shard_bytes bounds
+    its memory. An empty table gives no file with content.
     """
     docs = keys(docs.select("doc_id", "text"))
     bounds = shard_bounds(docs, shard_bytes)
