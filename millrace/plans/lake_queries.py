@@ -266,14 +266,18 @@ SELECT p AS person_id, CAST(sum(m) AS BIGINT) AS messages, CAST(sum(e) AS BIGINT
 """
 
 
-def reply_latency(spark, d):
-    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+def reply_latencies(o, li):
+    """Latencies of orders that lines answer."""
     incoming = o.select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderdate").alias("published"), F.expr("o_orderdate + interval 900 days").alias("due_at"))
     drafts = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("draft_id"), F.col("l_orderkey").alias("observation_id")).distinct()
     sends = li.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("draft_id"), F.col("l_shipdate").alias("sent_at"))
     return activity.reply_latency(incoming, drafts, sends, NOW).select("observation_id", "sent_at", "latency_seconds", "status")
 
 
+def reply_latency(spark, d):
+    return reply_latencies(read(spark, d, "orders"), read(spark, d, "lineitem"))
+
+
 REPLY_SQL = f"""
 WITH s AS (SELECT l_orderkey AS k, min(l_shipdate) AS sent_at FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS observation_id, sent_at, CAST(epoch(sent_at) - epoch(o_orderdate) AS BIGINT) AS latency_seconds,

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import keys as K
 from millrace.operators import activity, append, graph, lake, paging, states
 from millrace.operators import corpus as C
-from millrace.plans.lake_queries import reply_latency
+from millrace.plans.lake_queries import REPLY_SQL, SESSION_SQL, reply_latencies, reply_latency
+from millrace.plans.state_queries import CARD_SQL
 from millrace.plans.tables import NOW, corpus, minute, read
 from millrace.shared import new_path
 from millrace.streaming import views
@@ -275,33 +276,114 @@ def session_roots(spark, d):
     return tree.groupBy("root").agg(F.count("*").alias("sessions"))
 
 
+def _stream(spark, rows, order, tag, files=4, at_once=2):
+    """A folder of its own, and rows as a stream of files in order, some at a time."""
+    folder = new_path(spark, tag)
+    rows.repartitionByRange(files, order).write.parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/in")
+
+
+def _run(stream, fold, folder):
+    views.run_available(stream, fold, f"{folder}/checkpoint").awaitTermination()
+
+
 def stream_corpus(spark, d):
-    """A corpus kept by micro-batches: all documents, then the retractions of toxic ones."""
-    docs = corpus(spark, d)
-    toxic = read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("record_id"))
-    gone = []
+    """A corpus kept by micro-batches from a lake of documents and, after them, retractions of toxic ones."""
+    docs, toxic = corpus(spark, d), read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("record_id"))
+    lake = docs.select(F.lit(1).alias("seq"), "record_id").unionByName(toxic.select(F.lit(2).alias("seq"), "record_id"))
+    folder, stream = _stream(spark, lake, "seq", "corpus-view")
 
     def recompute(ids):
-        rows = docs.join(ids, "record_id", "left_semi")
-        return rows.join(gone[0], "record_id", "left_anti") if gone else rows
+        gone = spark.read.parquet(f"{folder}/in").where("seq = 2").select("record_id")
+        return docs.select("record_id", "source_type", "container", "timestamp").join(ids, "record_id", "left_semi").join(gone, "record_id", "left_anti")
+
+    view = views.RecomputedView(spark, f"{folder}/view", "record_id", lambda batch: batch, recompute)
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
+def stream_cards(spark, d):
+    """Reply cards kept by micro-batches of their events, each time from all events of the cards that a batch touches."""
+    from millrace.plans import state_queries as S
+
+    drafts, li = S.card_drafts(spark, d), read(spark, d, "lineitem")
+    folder, stream = _stream(spark, li.select("l_orderkey", "l_shipdate"), "l_shipdate", "cards-view")
+    mine = lambda rows, keys, key: rows.join(keys.select(F.col("draft_id").alias(key)), key, "left_semi")
+    recompute = lambda keys: states.cards(mine(drafts, keys, "draft_id"), S._card_events(mine(li, keys, "l_orderkey"), malformed=False), NOW).select("draft_id", "state", "updated_at", "taken")
+    view = views.RecomputedView(spark, f"{folder}/view", "draft_id", lambda batch: batch.withColumnRenamed("l_orderkey", "draft_id"), recompute)
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
+CARDS_SQL = f"SELECT c.* FROM ({CARD_SQL}) c WHERE draft_id IN (SELECT l_orderkey FROM lineitem)"
+
 
-    view = views.CorpusView(spark, new_path(spark, "corpus-view"), lambda batch: batch.select("record_id"), recompute)
-    view.fold(docs)
-    gone.append(toxic)
-    view.fold(toxic)
-    return view.store.read().select("record_id", "source_type", "container", "timestamp")
+def stream_replies(spark, d):
+    """Latencies of replies kept by micro-batches of incoming orders and of sends, in any order."""
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    facts = o.select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderdate").alias("at")).unionByName(li.select(F.col("l_orderkey").alias("observation_id"), F.col("l_shipdate").alias("at")))
+    folder, stream = _stream(spark, facts, "at", "replies-view")
+    recompute = lambda keys: reply_latencies(o.join(keys, F.col("o_orderkey") == F.col("observation_id"), "left_semi"), li.join(keys, F.col("l_orderkey") == F.col("observation_id"), "left_semi"))
+    view = views.RecomputedView(spark, f"{folder}/view", "observation_id", lambda batch: batch, recompute)
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
+def stream_sessions(spark, d):
+    """Summaries of sessions kept by micro-batches of history entries."""
+    t = read(spark, d, "conversations")
+    rows = t.select(F.col("conv_id").alias("session_ref"), minute("turn").alias("published_at"), F.col("role").alias("surface"), F.substring("role", 1, 1).alias("channel"))
+    folder, stream = _stream(spark, rows.select("session_ref", "published_at"), "published_at", "sessions-view")
+    recompute = lambda keys: activity.sessions(rows.join(keys, "session_ref", "left_semi")).withColumns({c: F.array_join(c, ",") for c in ("surfaces", "channels")})
+    view = views.RecomputedView(spark, f"{folder}/view", "session_ref", lambda batch: batch, recompute)
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
+def stream_components(spark, d):
+    """Components of parts and suppliers kept by micro-batches of order lines of a few parts."""
+    edges = read(spark, d, "lineitem").where("l_partkey % 7 = 1").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), "l_orderkey")
+    folder, stream = _stream(spark, edges, "l_orderkey", "components-view")
+    view = views.ComponentsView(spark, f"{folder}/view")
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
+COMPONENTS_SQL = """
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey % 7 = 1), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT a AS node, a AS to_node FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.to_node = g.a)
+SELECT node, min(to_node) AS component FROM r GROUP BY node
+"""
+
+
+def stream_index(spark, d):
+    """An n-gram index kept by micro-batches: turns come in, then those of systems are retracted; postings by n-gram."""
+    t = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), "role", "text")
+    lake = t.select(F.lit(1).alias("seq"), "record_id").unionByName(t.where("role = 'system'").select(F.lit(2).alias("seq"), "record_id"))
+    folder, stream = _stream(spark, lake, "seq", "index-view")
+
+    def corpus_of(keys):
+        gone = spark.read.parquet(f"{folder}/in").where("seq = 2").select("record_id")
+        return t.join(keys, "record_id", "left_semi").join(gone, "record_id", "left_anti")
+
+    view = views.IndexView(spark, f"{folder}/view", corpus_of)
+    _run(stream, view.fold, folder)
+    return view.postings.read().groupBy("ngram").agg(F.count("*").alias("records"))
+
+
+INDEX_SQL = """
+SELECT ngram, count(DISTINCT id) AS records FROM (SELECT conv_id || '-' || turn AS id, unnest(list_transform(range(1, greatest(1, length(text) - 1)), lambda i: text[i:i + 2])) AS ngram FROM conversations WHERE role <> 'system' AND length(text) >= 3) GROUP BY ngram
+"""
 
 
 def stream_freshness(spark, d):
-    """The latest time of each source, kept by micro-batches, against thresholds."""
+    """The latest time of each source, kept by micro-batches, against the thresholds that the view was made for."""
     e = read(spark, d, "events").select(F.col("event_type").alias("source"), F.col("ts").alias("published"), F.col("ts").alias("recorded_at"))
-    folder = new_path(spark, "freshness")
-    e.repartitionByRange(4, "published").write.parquet(f"{folder}/in")
-    view = views.KeyedView(spark, f"{folder}/view", "source", "recorded_at", ["published"])
-    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    views.run_available(stream, view.fold, f"{folder}/checkpoint").awaitTermination()
+    folder, stream = _stream(spark, e, "published", "freshness")
     limits = spark.createDataFrame([("click", 3600), ("error", 600), ("view", 10**7), ("nothing", 60)], "source string, max_age_seconds long")
-    return activity.freshness(view.current(), limits, NOW).select("source", "last_at", "status")
+    view = views.FreshnessView(spark, f"{folder}/view", limits)
+    _run(stream, view.fold, folder)
+    return activity.freshness(view.current(), view.thresholds(), NOW).select("source", "last_at", "status")
 
 
 STREAM_FRESH_SQL = f"""
@@ -351,4 +433,9 @@ QUERIES = {
         "SELECT CAST(doc_id AS VARCHAR) AS record_id, source AS source_type, lang AS container, make_timestamp((1700000000 + 60 * doc_id) * 1000000) AS timestamp FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     ),
     "stream_freshness": (stream_freshness, STREAM_FRESH_SQL),
+    "stream_cards": (stream_cards, CARDS_SQL),
+    "stream_replies": (stream_replies, REPLY_SQL),
+    "stream_sessions": (stream_sessions, SESSION_SQL),
+    "stream_components": (stream_components, COMPONENTS_SQL),
+    "stream_index": (stream_index, INDEX_SQL),
 }

@@ -44,12 +44,13 @@ def _card_events(li, malformed=True):
     return li.select(F.col("l_orderkey").alias("draft_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("l_shipdate").alias("created_at"), kind.alias("kind"), event.alias("event"))
 
 
+def card_drafts(spark, d):
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("draft_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") != "P", F.expr("timestamp'2023-06-01' + make_interval(0, 0, 0, cast(o_custkey % 400 as int))")).alias("expires_at"))
+
+
 def card_states(spark, d):
     """Orders as drafts, their lines as approvals and sends."""
-    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    drafts = o.select(F.col("o_orderkey").alias("draft_id"), F.col("o_orderdate").alias("created_at"), F.when(F.col("o_orderstatus") != "P", F.expr("timestamp'2023-06-01' + make_interval(0, 0, 0, cast(o_custkey % 400 as int))")).alias("expires_at"))
-    events = _card_events(li, malformed=False)
-    return states.cards(drafts, events, NOW).select("draft_id", "state", "updated_at", "taken")
+    return states.cards(card_drafts(spark, d), _card_events(read(spark, d, "lineitem"), malformed=False), NOW).select("draft_id", "state", "updated_at", "taken")
 
 
 CARD_SQL = f"""

@@ -291,11 +291,32 @@ def test_views_equal_batch(spark, tmp_path):
     assert sorted(map(tuple, view.current().collect())) == sorted(map(tuple, view.reduce(df).collect()))
     assert views.propagate(["a", "b", "c"], {"b": ["a"], "c": []}, lambda n: 1 / (n != "a")) == {"a": "broken", "b": "degraded", "c": "ok"}
     lake = {"rows": [("1", "a"), ("2", "b")]}
-    corpus = views.CorpusView(spark, str(tmp_path / "c"), lambda b: b.select("record_id"), lambda ids: spark.createDataFrame(lake["rows"], "record_id string, text string").join(ids, "record_id", "left_semi"))
-    corpus.fold(spark.createDataFrame([("1",), ("2",)], "record_id string"))
+    corpus = views.RecomputedView(spark, str(tmp_path / "c"), "record_id", lambda b: b, lambda ids: spark.createDataFrame(lake["rows"], "record_id string, text string").join(ids, "record_id", "left_semi"))
+    both = spark.createDataFrame([("1",), ("2",)], "record_id string")
+    corpus.fold(both)
     lake["rows"] = [("2", "b2")]  # 1 is retracted, 2 is edited
-    corpus.fold(spark.createDataFrame([("1",), ("2",)], "record_id string"))
-    assert [tuple(r) for r in corpus.store.read().collect()] == [("2", "b2")]
+    corpus.fold(both)
+    assert [tuple(r) for r in corpus.current().collect()] == [("2", "b2")]
+    lake["rows"] = []
+    corpus.fold(both)
+    assert corpus.current().count() == 0
+    limits = spark.createDataFrame([("a", 1)], "source string, max_age_seconds long")
+    views.FreshnessView(spark, str(tmp_path / "f"), limits)
+    views.FreshnessView(spark, str(tmp_path / "f"), limits)
+    with pytest.raises(ValueError):
+        views.FreshnessView(spark, str(tmp_path / "f"), limits.withColumn("max_age_seconds", F.lit(2).cast("long")))
+
+
+def test_components_under_new_edges(spark, tmp_path):
+    rnd = random.Random(8)
+    view, seen = views.ComponentsView(spark, str(tmp_path / "v")), []
+    for n in (12, 1, 12):
+        edges = [(rnd.randint(0, 40), rnd.randint(0, 40)) for _ in range(n)]
+        seen += edges
+        view.fold(spark.createDataFrame(edges, "a int, b int"))
+        want = {r.node: r.component for r in components.connected_components(spark.createDataFrame(seen, "a int, b int")).collect()}
+        want |= {a: a for a, b in seen if a == b and a not in want}
+        assert {r.node: r.component for r in view.current().collect()} == want
 
 
 def test_inventory(spark):
