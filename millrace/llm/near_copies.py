@@ -40,7 +40,7 @@ class Hashes(dict):
     """XXH64 of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 1 << 17:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
