@@ -110,6 +110,7 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
             break
     named = common.materialize(reduce(DataFrame.unionByName, found), "windows")
     first = named.groupBy("m", "rank", "last_rank").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = common.materialize(first.drop("n"), "first-places")  # a join of two tables: adaptive execution can split a frequent interval
     return named.join(first, ["m", "rank", "last_rank"]).where("place <> first").select("row", "pos", "m")
 
 
@@ -133,11 +134,10 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
 
     docs has doc_id and text. Its rows are numbered once, in a table in the shared folder. A run is of min_words words or more, parted
     by ASCII white space; lines are equal if their bytes are, but for white space at their ends. A null
-    text stays null with 0 lines; no row is dropped. Of repeated rows the first keeps its lines. Columns
-    of docs that are named as the two counts are replaced.
+    text stays null with 0 lines; no row is dropped; an empty table gives none. Of repeated rows the first keeps its
+    lines. A column of docs that is named as a count stays as it is: the count then has an underscore after its name.
     """
-    docs = docs.drop(*counts)
-    names = docs.columns
+    names, counts = docs.columns, tuple(common.unused(docs, c) for c in counts)
     place, copies_place, copies = (common.unused(docs, n) for n in ("place", "copies_place", "copies"))
     numbered = common.numbered(docs, place)
     found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines

@@ -707,6 +707,10 @@ def test_line_dedup_odd_rows(odd):
     got = line_runs.remove_later_copies(odd, 2).orderBy("doc_id").collect()
     assert len(got) == len(ODD) and sorted(r.text for r in got if r.doc_id == 1) == ["", "a b c"] and [r.text for r in got if r.doc_id == 2] == [None]
     assert line_runs.remove_later_copies(odd.where("false")).count() == 0
+    clash = odd.select("*", *[F.lit(n).alias(n) for n in ("place", "n_lines", "N_Gone", "copies", "k1", "stays")]).withColumnRenamed("text", "Text")
+    got = line_runs.remove_later_copies(clash, 2)
+    assert got.columns == [*clash.columns, "n_lines_", "n_gone_"] and {r.n_lines for r in got.collect()} == {"n_lines"} and got.where("Text is null").count() == 1
+    assert near_copies.keep_one(clash).columns == clash.columns
 
 
 def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path):
