@@ -6,7 +6,7 @@ import base64
 import json
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -112,6 +112,13 @@ def richness(email: Column, generated_email: Column, name: Column, bio: Column,
     return there(email, 10) + there(generated_email, 4) + full(name, 4) + full(bio, 12) + there(picture, 6) + 2 * many(gallery) + many(attributes)
 
 
+def normalized_profile(profiles: DataFrame, text: list[str], email: list[str], url: list[str]) -> DataFrame:
+    """profiles with trimmed texts and urls and lower-case addresses, null for what is blank; generated_email only where there is no email."""
+    clean = lambda c: F.nullif(_trimmed(F.col(c)), F.lit(""))
+    out = profiles.withColumns({c: clean(c) for c in (*text, *url)} | {c: F.lower(clean(c)) for c in email})
+    return out.withColumn("generated_email", F.when(F.col("email").isNull(), F.col("generated_email"))) if "generated_email" in email else out
+
+
 def privacy_keys(subject: Column, meta: Column, payload: Column) -> Column:
     """Subject, sender and the identifiers of a payload: what consent decisions may name."""
     fields = [F.get_json_object(payload, f"$.{n}") for n in ("identifier", "user_id", "from", "author_id", "email")]

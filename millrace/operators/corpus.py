@@ -7,11 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import privacy_keys
 from millrace.functions.text import nfkc
 
 #: Source types by source system and by schema, and github object types.
 BY_SYSTEM = {"sys:claude-ai": "claude-ai", "sys:claude-code": "claude-code", "sys:codex": "codex", "sys:gmail": "gmail", "sys:discord": "discord"}
-BY_SCHEMA = {"schema:claude-message": "claude-ai", "schema:gmail-message": "gmail", "schema:discord-message": "discord"}
 GITHUB_TYPES = {"issue": "github-issue", "pull_request": "github-pr", "issue_comment": "github-comment", "pull_request_review": "github-comment", "pull_request_review_comment": "github-comment", "commit": "github-commit"}
 CODING = ("claude-code", "codex")
 SHARING = ["private", "specific_users", "domain", "anyone_with_link", "public"]
@@ -121,6 +121,32 @@ def thread_key() -> Column:
     )
 
 
+#: Payload fields that the metadata of a source type repeats.
+METADATA = {
+    "gmail": ["account_id", "message_id", "thread_id", "from", "in_reply_to", "references"],
+    "discord": ["channel_id", "message_id", "author_id", "guild_id", "referenced_message_id"],
+}
+
+
+def metadata() -> Column:
+    """JSON of what a record can be found and fetched again by; fields that are not there are left out."""
+    kind, coding = F.col("source_type"), F.col("source_type").isin(*CODING)
+    keys = privacy_keys(F.col("subject"), F.col("meta"), F.col("payload"))
+    fields = [
+        F.col("id").alias("observation_id"), F.col("schema"), kind.alias("source_type"), F.coalesce(at("object_id", "meta"), F.col("id")).alias("source_object_id"),
+        F.concat(F.array("subject"), F.array_remove(keys, F.col("subject"))).alias("privacy_keys"), F.col("source_system"), thread_key().alias("thread_key"), at("object_type").alias("object_type"), at("repo").alias("repo"),
+    ]
+    own = sorted({(f, k) for k, fs in METADATA.items() for f in fs})
+    names = list(dict.fromkeys(f for f, _ in own))
+    fields += [F.when(kind.isin(*[k for g, k in own if g == f]), at(f)).alias(f) for f in names if f != "message_id"]
+    fields += [
+        F.when(coding, F.coalesce(at("session_id"), at("session.id"))).alias("session_id"), F.when(coding, F.coalesce(at("parent_thread_id"), at("session.parent_id"))).alias("parent_session_id"),
+        F.when(coding, F.coalesce(at("is_sidechain") == "true", F.lit(False))).alias("is_sidechain"), F.coalesce(F.when(coding, F.coalesce(at("object_id"), at("message.id"))), F.when(kind.isin(*[k for g, k in own if g == "message_id"]), at("message_id"))).alias("message_id"),
+        F.when(coding, F.coalesce(at("parent_message_uuid"), at("parent_message_id"))).alias("parent_message_id"),
+    ]
+    return F.to_json(F.struct(*fields))
+
+
 @dataclass(frozen=True)
 class Config:
     channel_pattern: str = r"^\d{3}_"
@@ -169,12 +195,13 @@ def corpus(observations: DataFrame, config: Config = Config()) -> DataFrame:
     typed = observations.withColumn("source_type", source_type())
     drive = F.col("schema") == "schema:workspace-object-snapshot"
     content = F.col("schema") == "schema:form-response-content"
+    typed = typed if "meta" in typed.columns else typed.withColumn("meta", F.lit("{}"))
     kept = typed.where(~content & F.when(F.col("source_type") == "slack", slack_allowed(config)).when(drive, drive_allowed(config)).otherwise(True))
     sheets = linked_sheets(observations)
     kept = kept.withColumn("file_id", at("artifact.sourceObjectId")).join(sheets, F.col("file_id") == F.col("sheet_id"), "left_anti")
     rows = kept.select(
         F.col("id").alias("record_id"), "source_type", anchor_url().alias("anchor_url"), title().alias("source_title"), location().alias("source_location"),
         F.col("published").alias("timestamp"), F.coalesce("published_nanos", F.unix_micros("published") * 1000).alias("ts_nanos"), text().alias("text"),
-        thread_key().alias("thread_ts"), container().alias("container"), F.to_json(F.struct("schema", "subject", "observer", "source_system")).alias("metadata"),
+        thread_key().alias("thread_ts"), container().alias("container"), metadata().alias("metadata"),
     )
     return rows.where(F.trim(F.coalesce("text", F.lit(""))) != "").withColumn("normalized_text", nfkc("text"))

@@ -3,42 +3,69 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from millrace.operators.append import classify_append
 from millrace.operators.privacy import governing_decision, policy_decision, retraction_target
+from millrace.shared import materialize
 
 MESSAGE_SCHEMAS = ("schema:slack-message", "schema:gmail-message", "schema:discord-message")
 CHANNEL_KEYS = ["source_instance", "communication_channel_kind", "communication_channel_external_id", "communication_sender_id", "communication_thread_ref"]
 CLOCK_SKEW_SECONDS = 600
 
 
+#: JSON types and what they are in Python.
+KINDS = {"string": str, "object": dict, "array": list, "boolean": bool, "number": (int, float), "integer": int, "null": type(None)}
+
+
+def _problem(value, spec: dict, where: str) -> str | None:
+    """The first rule of a JSON Schema (type, enum, const, required, properties, items, bounds, pattern) that a value breaks, at any depth."""
+    types = spec.get("type", [])
+    types = [types] if isinstance(types, str) else types
+    if types and not any(isinstance(value, KINDS[t]) and (t == "boolean" or not isinstance(value, bool)) or t == "integer" and isinstance(value, float) and value.is_integer() for t in types if t in KINDS):
+        return f"{where} is not {' or '.join(types)}"
+    if "enum" in spec and value not in spec["enum"] or "const" in spec and value != spec["const"]:
+        return f"{where} is not allowed"
+    if isinstance(value, str):
+        if not spec.get("minLength", 0) <= len(value) <= spec.get("maxLength", len(value)):
+            return f"{where} is too short or too long"
+        if "pattern" in spec and not re.search(spec["pattern"], value):
+            return f"{where} does not match its pattern"
+    if isinstance(value, (int, float)) and not isinstance(value, bool) and not spec.get("minimum", value) <= value <= spec.get("maximum", value):
+        return f"{where} is out of bounds"
+    if isinstance(value, dict):
+        rules = spec.get("properties", {})
+        for field in spec.get("required", []):
+            if field not in value:
+                return f"missing {field}" if where == "payload" else f"{where} misses {field}"
+        for field, rule in rules.items():
+            if field in value and (found := _problem(value[field], rule, field if where == "payload" else f"{where}.{field}")):
+                return found
+        if spec.get("additionalProperties") is False and (more := sorted(value.keys() - rules.keys())):
+            return f"{where} has {more[0]}"
+    if isinstance(value, list):
+        if not spec.get("minItems", 0) <= len(value) <= spec.get("maxItems", len(value)):
+            return f"{where} has too few or too many items"
+        for i, item in enumerate(value):
+            if "items" in spec and (found := _problem(item, spec["items"], f"{where}[{i}]")):
+                return found
+    return None
+
+
 def schema_problem(schemas: dict[str, dict]):
-    """A vectorized check of (schema name, payload JSON): what is wrong with required fields, types and enums, or null."""
-    kinds = {"string": str, "object": dict, "array": list, "boolean": bool, "number": (int, float), "integer": int}
+    """A vectorized check of (schema name, payload JSON) against the schema, at any depth: what is wrong, or null. A payload is an object unless its schema says otherwise."""
 
     def one(name: str, text: str | None) -> str | None:
-        spec = schemas.get(name) or {}
         try:
             value = json.loads(text or "null")
         except ValueError:
             return "payload is not JSON"
-        if spec.get("type", "object") == "object" and not isinstance(value, dict):
-            return "payload is not an object"
-        for field in spec.get("required", []):
-            if field not in value:
-                return f"missing {field}"
-        for field, rule in spec.get("properties", {}).items():
-            v = value.get(field)
-            kind = kinds.get(rule.get("type"))
-            if v is not None and kind and (not isinstance(v, kind) or isinstance(v, bool) and kind is not bool):
-                return f"{field} is not {rule['type']}"
-            if v is not None and "enum" in rule and v not in rule["enum"]:
-                return f"{field} is not allowed"
-        return None
+        return _problem(value, {"type": "object"} | (schemas.get(name) or {}), "payload")
 
     @pandas_udf("string")
     def problem(schema: pd.Series, payload: pd.Series) -> pd.Series:
@@ -127,6 +154,33 @@ def gate(drafts: DataFrame, observers: DataFrame, schemas: dict[str, dict], chan
     return rows.select(*drafts.columns, outcome.alias("outcome"), reason.alias("reason"), due.alias("reply_due_at"))
 
 
+def ingest_page(gated: DataFrame, lake: DataFrame | None = None, content: str = "canonical", seq: str = "seq", atomic: bool = False) -> DataFrame:
+    """gated (what gate() gives, with seq and canonical) with result: ingested, duplicate, rejected or quarantined, and reason.
+
+    What the gate accepts goes on to the append: equal content of a known key is a duplicate, other content a collision and
+    quarantined. Nothing that the gate refuses claims a key. atomic: if any draft of the page is refused, none is
+    ingested (page refused).
+    """
+    names = gated.columns
+    accepted = classify_append(gated.where("outcome = 'accepted'").drop("outcome", "reason"), lake, content=content, seq=seq)
+    judged = accepted.select(*[n for n in names if n not in ("outcome", "reason")], F.col("outcome").alias("result"), F.when(F.col("outcome") == "conflict", "canonical collision").alias("reason"))
+    judged = judged.withColumn("result", F.when(F.col("result") == "appended", "ingested").when(F.col("result") == "conflict", "quarantined").otherwise(F.col("result")))
+    refused = gated.where("outcome <> 'accepted'").select(*[n for n in names if n not in ("outcome", "reason")], F.col("outcome").alias("result"), "reason")
+    page = judged.unionByName(refused)
+    if not atomic:
+        return page
+    page = materialize(page, "page")
+    if page.where("result not in ('ingested', 'duplicate')").isEmpty():
+        return page
+    good = F.col("result") == "ingested"
+    return page.withColumns({"result": F.when(good, "rejected").otherwise(F.col("result")), "reason": F.when(good, "page refused").otherwise(F.col("reason"))})
+
+
+def dead_letters(page: DataFrame, now: str) -> DataFrame:
+    """What ingest_page refused, as rows to append to the dead letters: idempotency_key, result, reason, at."""
+    return page.where("result in ('rejected', 'quarantined')").select("idempotency_key", "result", "reason", F.to_timestamp(F.lit(now)).alias("at"))
+
+
 def evolution_problems(old: dict, new: dict, old_version: str, new_version: str) -> list[str]:
     """What forbids a schema's new version: it must be later, and in one major version fields keep their meaning."""
     from millrace.functions.keys import parse_version

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.keys import identity_key
 from millrace.functions.text import nfkc
 
 
@@ -30,6 +31,43 @@ def with_privacy_keys(rows: DataFrame, wanted: DataFrame, id: str = "id", keys:
     return rows.join(hits, id, "left_semi")
 
 
+def by_anchor(records: DataFrame, wanted: DataFrame, anchors: str = "observations") -> DataFrame:
+    """anchor, id, kind of derived records (id, kind, an array of anchors) that refer to the wanted anchors (column anchor)."""
+    refs = records.select(F.explode(anchors).alias("anchor"), "id", "kind").distinct()
+    return refs.join(wanted.select("anchor").distinct(), "anchor", "left_semi")
+
+
+def operational_filter(events: DataFrame, since: str | None = None, until: str | None = None, **equal) -> DataFrame:
+    """Events that are equal in every given column (stream_id, event_type, actor_id, correlation_id, causation_id) and lie within occurred_at, ends included; since after until is an error."""
+    if since and until and since > until:
+        raise ValueError("since lies after until")
+    for name, value in equal.items():
+        events = events.where(F.col(name) == value) if value is not None else events
+    events = events.where(F.col("occurred_at") >= F.to_timestamp(F.lit(since))) if since else events
+    return events.where(F.col("occurred_at") <= F.to_timestamp(F.lit(until))) if until else events
+
+
+def retired(generations: DataFrame, keep: int) -> DataFrame:
+    """projection, generation of those that neither are among the keep newest of their projection nor are pinned: what may be cleaned up."""
+    nth = F.row_number().over(Window.partitionBy("projection").orderBy(F.desc("n")))
+    return generations.withColumn("nth", nth).where((F.col("nth") > keep) & ~F.coalesce("pinned", F.lit(False))).select("projection", "generation")
+
+
+def verified_identities(drafts: DataFrame) -> DataFrame:
+    """drafts (source, source_instance, object_id, container, canonical, idempotency_key) with identity_problem: what forbids their key, or null.
+
+    An object id and valid canonical JSON are needed, the key must be the one derived from them, and a container starts with its source instance.
+    """
+    key = identity_key(F.col("source"), F.col("object_id"), F.col("canonical"))
+    problem = (
+        F.when(F.trim(F.coalesce("object_id", F.lit(""))) == "", "no object id")
+        .when(F.try_parse_json("canonical").isNull(), "canonical JSON is not valid")
+        .when(~F.col("idempotency_key").eqNullSafe(key), "key is not the derived one")
+        .when(F.col("container").isNotNull() & ~F.startswith("container", F.concat("source_instance", F.lit(":"))), "container of another instance")
+    )
+    return drafts.withColumn("identity_problem", problem)
+
+
 def missing_anchors(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """Rows whose anchor is not known; an append of derived records asks for none."""
     return rows.join(known.select(key), key, "left_anti")

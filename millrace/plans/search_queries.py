@@ -151,7 +151,15 @@ def timeline_union(spark, d):
 
 
 def relation_fingerprint(spark, d):
-    return activity.fingerprint(read(spark, d, "documents"))
+    return activity.fingerprint(read(spark, d, "orders").select("o_orderkey", "o_orderpriority"))
+
+
+FINGERPRINT_SQL = """
+WITH h AS (SELECT sha256('{"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '"}') AS h FROM orders),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || h[1:16] AS UBIGINT)) AS a, sum(CAST('0x' || h[17:32] AS UBIGINT)) AS b, sum(CAST('0x' || h[33:48] AS UBIGINT)) AS c, sum(CAST('0x' || h[49:64] AS UBIGINT)) AS d FROM h),
+c3 AS (SELECT *, d % 18446744073709551616 AS d0, c + d // 18446744073709551616 AS c1 FROM s), c2 AS (SELECT *, c1 % 18446744073709551616 AS c0, b + c1 // 18446744073709551616 AS b1 FROM c3), c1 AS (SELECT *, b1 % 18446744073709551616 AS b0, (a + b1 // 18446744073709551616) % 18446744073709551616 AS a0 FROM c2)
+SELECT n AS rows, lpad(lower(to_hex(CAST(a0 AS UBIGINT))), 16, '0') || lpad(lower(to_hex(CAST(b0 AS UBIGINT))), 16, '0') || lpad(lower(to_hex(CAST(c0 AS UBIGINT))), 16, '0') || lpad(lower(to_hex(CAST(d0 AS UBIGINT))), 16, '0') AS fingerprint FROM c1
+"""
 
 
 def corpus_watermark(spark, d):
@@ -159,7 +167,7 @@ def corpus_watermark(spark, d):
 
 
 def set_difference(spark, d):
-    nations, suppliers = read(spark, d, "customer").select(F.col("c_nationkey").alias("n")).distinct(), read(spark, d, "supplier").select(F.col("s_nationkey").alias("n")).distinct()
+    nations, suppliers = read(spark, d, "customer").where("c_nationkey % 4 <> 1").select(F.col("c_nationkey").alias("n")).distinct(), read(spark, d, "supplier").where("s_nationkey % 3 <> 1").select(F.col("s_nationkey").alias("n")).distinct()
     return inventory.difference(suppliers, nations)
 
 
@@ -221,8 +229,8 @@ QUERIES = {
     "source_overlaps": (source_overlaps, "SELECT sha256(text) AS identity, count(DISTINCT source) AS sources FROM documents GROUP BY text HAVING count(DISTINCT source) > 1"),
     "partition_window": (partition_window, "SELECT CAST(year(l_shipdate) AS INT) AS year, CAST(month(l_shipdate) AS INT) AS month, count(*) AS records, max(l_shipdate) AS last FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_shipdate < TIMESTAMP '2000-01-01' GROUP BY 1, 2"),
     "timeline_union": (timeline_union, "SELECT 'slide' AS kind, o_orderdate AS at, o_orderkey AS id, o_orderpriority AS title FROM orders UNION ALL SELECT 'message', ts, event_id, event_type FROM events"),
-    "relation_fingerprint": (relation_fingerprint, None),
+    "relation_fingerprint": (relation_fingerprint, FINGERPRINT_SQL),
     "corpus_watermark": (corpus_watermark, "SELECT coalesce(strftime(max(make_timestamp((1700000000 + 60 * doc_id) * 1000000)), '%Y-%m-%dT%H:%M:%S.%fZ'), 'empty') AS watermark FROM documents"),
-    "set_difference": (set_difference, "SELECT DISTINCT c_nationkey AS n, 'added' AS change FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier) UNION ALL SELECT DISTINCT s_nationkey, 'removed' FROM supplier WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer)"),
+    "set_difference": (set_difference, "WITH c AS (SELECT DISTINCT c_nationkey AS n FROM customer WHERE c_nationkey % 4 <> 1), s AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_nationkey % 3 <> 1) SELECT n, 'added' AS change FROM c WHERE n NOT IN (SELECT n FROM s) UNION ALL SELECT n, 'removed' FROM s WHERE n NOT IN (SELECT n FROM c)"),
     "attribute_suggestions": (attribute_suggestions, ATTRIBUTES_SQL),
 }

@@ -271,9 +271,12 @@ SELECT 'message:discord:ch' || conv_id || ':' || conv_id || '-' || turn AS recor
 
 
 def undeclared_fields(spark, d):
-    e = read(spark, d, "events")
-    counted = ingest.undeclared({"schema:event": {"properties": {"j": {}}}})
-    return e.select("event_id", counted(F.lit("schema:event"), "props").alias("undeclared"))
+    """Orders as payloads, with fields at several depths that their schema does not declare in some."""
+    o = read(spark, d, "orders")
+    extra = lambda cond: F.when(F.expr(cond), 1)
+    payload = F.to_json(F.struct("o_orderkey", extra("o_orderstatus = 'F'").alias("x"), F.struct(F.lit(1).alias("a"), extra("o_custkey % 2 = 0").alias("b")).alias("part"), F.array(F.struct(extra("o_custkey % 3 = 0").alias("c"), F.lit(2).alias("d"), extra("o_custkey % 5 = 0").alias("e"))).alias("list")))
+    counted = ingest.undeclared({"schema:order": {"properties": {"o_orderkey": {}, "part": {"properties": {"a": {}}}, "list": {"items": {"properties": {"d": {}}}}}}})
+    return o.select("o_orderkey", counted(F.lit("schema:order"), payload).alias("undeclared"))
 
 
 # ---- streaming
@@ -311,6 +314,6 @@ QUERIES = {
     "session_tree": (session_tree, "SELECT conv_id || '-' || turn AS session, conv_id || '-0' AS root, turn AS depth FROM conversations"),
     "ingest_gate": (ingest_gate, GATE_SQL),
     "corpus_projection": (corpus_projection, CORPUS_PROJECTION_SQL),
-    "undeclared_fields": (undeclared_fields, "SELECT event_id, CAST(1 AS BIGINT) AS undeclared FROM events"),
+    "undeclared_fields": (undeclared_fields, "SELECT o_orderkey, CAST(o_orderstatus = 'F' AS BIGINT) + CAST(o_custkey % 2 = 0 AS BIGINT) + CAST(o_custkey % 3 = 0 AS BIGINT) + CAST(o_custkey % 5 = 0 AS BIGINT) AS undeclared FROM orders"),
     "stream_latest_consent": (stream_latest_consent, "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"),
 }

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.keys import identity_key, slack_time
+from millrace.functions.keys import identity_key, rfc3339, slack_time
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -22,8 +22,8 @@ def bad_lines(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("_bad").isNotNull()).select("_bad")
 
 
-def draft(rows: DataFrame, source: str, schema: str, object_id: Column, subject: Column, published: Column, payload: Column, meta: dict[str, Column], attachments: Column | None = None, retracts: Column | None = None, version: str = "1.0.0") -> DataFrame:
-    """Drafts with an identity key over the canonical payload."""
+def draft(rows: DataFrame, source: str, schema: str, object_id: Column, subject: Column, published: Column, payload: Column, meta: dict[str, Column], attachments: Column | None = None, retracts: Column | None = None, version: str = "1.0.0", key: Column | None = None) -> DataFrame:
+    """Drafts with an identity key over the canonical payload, or a key of their own."""
     text = F.to_json(payload)
     fields = [F.lit("1").alias("sourceAdapterVersion"), object_id.alias("object_id"), *[c.alias(k) for k, c in meta.items()]]
     if retracts is not None:
@@ -32,7 +32,7 @@ def draft(rows: DataFrame, source: str, schema: str, object_id: Column, subject:
         F.lit(f"schema:{schema}").alias("schema"), F.lit(version).alias("schema_version"), F.lit(f"obs:{source}-crawler").alias("observer"), F.lit(f"sys:{source}").alias("source_system"),
         F.lit("lake_authoritative").alias("authority_model"), F.lit("event").alias("capture_model"), subject.alias("subject"), F.lit(None).cast("string").alias("target"), text.alias("payload"),
         (attachments if attachments is not None else F.array().cast("array<string>")).alias("attachments"), published.alias("published"),
-        identity_key(F.lit(source), object_id, text).alias("idempotency_key"), F.to_json(F.struct(*fields)).alias("meta"),
+        (identity_key(F.lit(source), object_id, text) if key is None else key).alias("idempotency_key"), F.to_json(F.struct(*fields)).alias("meta"),
     )
 
 
@@ -54,6 +54,16 @@ def slack(messages: DataFrame) -> DataFrame:
     return draft(rows, "slack", "slack-message", object_id, F.concat(F.lit("message:slack:"), object_id), F.col("at"), F.struct(*names), meta, attachments, F.col("message_type") == "delete")
 
 
+SLACK_CHANNELS = "channel_id string, channel_name string, purpose string, topic string, member_count bigint, members array<string>, is_archived boolean, snapshot_at timestamp"
+
+
+def slack_channels(snapshots: DataFrame) -> DataFrame:
+    """A draft for each snapshot of a channel; two of one minute have one key."""
+    names = ["channel_id", "channel_name", "purpose", "topic", "member_count", "members", "is_archived", "snapshot_at"]
+    key = F.concat(F.lit("slack:channel:"), "channel_id", F.lit(":snapshot:"), F.date_format("snapshot_at", "yyyy-MM-dd'T'HH:mm"))
+    return draft(snapshots, "slack", "slack-channel-snapshot", F.col("channel_id"), F.concat(F.lit("channel:slack:"), "channel_id"), F.col("snapshot_at"), F.struct(*names), {}, key=key)
+
+
 GMAIL = "account_id string, message_id string, thread_id string, date string, `from` string, `to` array<string>, cc array<string>, subject string, text string, references array<string>, in_reply_to string, labels array<string>"
 
 
@@ -123,6 +133,55 @@ def codex(lines: DataFrame, path: str = "path", line_no: str = "line_no") -> Dat
     return draft(items, "codex", "coding-agent-item", object_id, F.concat(F.lit("message:codex:"), object_id), F.col("timestamp"), payload, {"session_id": F.col("session.id")})
 
 
+#: Types of transcript lines that hold no message.
+TRANSCRIPT_EXTRAS = ["ai-title", "attachment", "file-history-snapshot", "last-prompt", "mode", "permission-mode", "queue-operation", "system"]
+
+
+def _blocks(content: Column, kind: str, field: str) -> Column:
+    """A field of the blocks of one type in a message's content, which is a text or an array of blocks."""
+    blocks = F.from_json(content, "array<struct<type: string, text: string, name: string>>")
+    found = F.transform(F.filter(blocks, lambda b: (b["type"] == kind) & b[field].isNotNull()), lambda b: b[field])
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def transcript(lines: DataFrame) -> DataFrame:
+    """Lines (path, line_no, line: a JSON object) of assistants' transcripts with kind, role, text, tool_name, and why one makes no draft.
+
+    User lines give their text, assistant lines their text or, if they call tools, the tools' names joined by +; lines about
+    the program, meta lines, and tool results alone make none; a line of unknown type or without its parts is told apart.
+    """
+    at = lambda p: F.get_json_object("line", f"$.{p}")
+    rows = lines.where("trim(line) <> ''").select("path", "line_no", F.try_parse_json("line").isNotNull().alias("is_json"), at("type").alias("type"), at("sessionId").alias("session_id"), at("uuid").alias("uuid"), at("parentUuid").alias("parent_message_id"), (F.coalesce(at("isSidechain"), F.lit("false")) == "true").alias("is_sidechain"), F.coalesce(at("parentSessionId"), at("parent_session_id")).alias("parent_thread_id"), at("timestamp").alias("time"), (F.coalesce(at("isMeta"), F.lit("false")) == "true").alias("is_meta"), at("message").alias("message"), at("message.role").alias("said_by"), at("message.content").alias("content"), at("name").alias("tool"))
+    plain = F.when(~F.startswith(F.ltrim("content"), F.lit("[")), F.col("content"))
+    parts = F.filter(F.coalesce(F.when(plain.isNotNull(), F.array(plain)), _blocks(F.col("content"), "text", "text")), lambda t: F.trim(t) != "")
+    text, tools = F.when(F.size(parts) > 0, F.array_join(parts, "\n")), F.when(F.col("type") == "assistant", _blocks(F.col("content"), "tool_use", "name"))
+    rows = rows.withColumns({"text": text, "tools": F.coalesce(tools, F.array().cast("array<string>"))})
+    user, called = F.col("type") == "user", F.size("tools") > 0
+    why = (
+        F.when(~F.col("is_json"), "malformed line")
+        .when(F.col("type").isin(*TRANSCRIPT_EXTRAS), "known type without a message")
+        .when(F.col("type").isNull() | ~F.col("type").isin("user", "assistant", "tool_use"), "unknown type")
+        .when(user & F.col("is_meta"), "meta line")
+        .when((F.col("type") != "tool_use") & F.col("message").isNull(), "no message")
+        .when((F.col("type") != "tool_use") & ~F.coalesce(F.col("said_by") == F.col("type"), F.lit(False)), "other role")
+        .when((F.col("type") != "tool_use") & F.col("content").isNull(), "no content")
+        .when(user & F.col("text").isNull(), "tool result or no text")
+        .when((F.col("type") == "assistant") & ~called & F.col("text").isNull(), "thinking or no text")
+        .when((F.trim(F.coalesce("session_id", F.lit(""))) == "") | (F.trim(F.coalesce("uuid", F.lit(""))) == "") | rfc3339(F.col("time")).isNull(), "no session, id or time")
+    )
+    call = (F.col("type") == "tool_use") | called
+    return rows.select("path", "line_no", "session_id", "uuid", "parent_message_id", "is_sidechain", "parent_thread_id", rfc3339(F.col("time")).alias("published"), F.when(call, "tool_call").otherwise("message").alias("kind"), F.when(~call, F.col("type")).alias("role"), F.when(~call, F.col("text")).alias("text"), F.when(F.col("type") == "tool_use", F.col("tool")).otherwise(F.when(called, F.array_join("tools", "+"))).alias("tool_name"), why.alias("reason"))
+
+
+def claude_code(lines: DataFrame) -> DataFrame:
+    """Drafts of the lines of transcript() that make one."""
+    rows = transcript(lines).where("reason is null")
+    object_id, source = F.concat_ws(":", "session_id", "uuid"), F.when(F.col("is_sidechain"), "sidechain").otherwise("main")
+    payload = F.struct("session_id", F.col("session_id").alias("transcript_id"), "parent_message_id", "is_sidechain", "parent_thread_id", object_id.alias("object_id"), F.struct("kind", "role", "text", "tool_name").alias("item"))
+    meta = {"coding_agent_source": F.lit("claude-code"), "session_id": F.col("session_id"), "transcript_id": F.col("session_id"), "thread_source": source, "parent_thread_id": F.col("parent_thread_id"), "source_container": F.col("session_id")}
+    return draft(rows, "claude-code", "coding-agent-message", object_id, F.concat(F.lit("message:claude-code:"), object_id), F.col("published"), payload, meta)
+
+
 CHAT_TREE = "id string, title string, mapping map<string, struct<id: string, parent: string, message: struct<id: string, author: struct<role: string>, create_time: double, content: struct<parts: array<string>>>>>"
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys
 from millrace.functions import text as T
-from millrace.operators import activity, append, components, graph, identity, ingest, inventory, paging, privacy, search, states
+from millrace.operators import activity, append, components, graph, identity, ingest, inventory, lake, paging, privacy, search, states
 from millrace.sources import documents, messages
 from millrace.streaming import views
 
@@ -252,6 +252,28 @@ def test_gate_order(spark):
     assert ingest.evolution_problems({"properties": {"a": 1}}, {"properties": {"a": 1, "b": 1}}, "1.0.0", "1.0.1") == ["new fields need a new minor version"]
 
 
+def test_schema_rules_at_depth():
+    spec = {"type": "object", "required": ["a"], "properties": {"a": {"type": ["string", "null"], "pattern": "^x", "maxLength": 3}, "b": {"type": "object", "required": ["c"], "additionalProperties": False, "properties": {"c": {"type": "array", "minItems": 1, "items": {"type": "integer", "minimum": 2}}}}, "k": {"const": 1}}}
+    good = [{"a": "x"}, {"a": None, "b": {"c": [2, 3.0]}, "more": 1}, {"a": "xyz", "k": 1}]
+    bad = {"missing a": {}, "a does not match its pattern": {"a": "y"}, "a is too short or too long": {"a": "xxxx"}, "a is not string or null": {"a": True}, "b misses c": {"a": "x", "b": {}}, "b has d": {"a": "x", "b": {"c": [2], "d": 1}}, "b.c[1] is out of bounds": {"a": "x", "b": {"c": [2, 1]}}, "b.c[0] is not integer": {"a": "x", "b": {"c": [True]}}, "b.c has too few or too many items": {"a": "x", "b": {"c": []}}, "k is not allowed": {"a": "x", "k": 2}, "payload is not object": [1]}
+    assert all(ingest._problem(v, spec, "payload") is None for v in good)
+    assert [ingest._problem(v, spec, "payload") for v in bad.values()] == [*bad]
+
+
+def test_atomic_pages_and_dead_letters(spark):
+    gated = spark.createDataFrame([(1, "k", "a", "accepted", None), (2, "k", "a", "accepted", None), (3, "j", "b", "accepted", None)], "seq int, idempotency_key string, canonical string, outcome string, reason string")
+    bad = spark.createDataFrame([(4, "k", "c", "accepted", None), (5, "z", "c", "rejected", "why")], gated.schema)
+    result = lambda page: {r.seq: (r.result, r.reason) for r in page.collect()}
+    assert result(ingest.ingest_page(gated, atomic=True)) == {1: ("ingested", None), 2: ("duplicate", None), 3: ("ingested", None)}
+    both = gated.unionByName(bad)
+    assert result(ingest.ingest_page(both)) == {1: ("ingested", None), 2: ("duplicate", None), 3: ("ingested", None), 4: ("quarantined", "canonical collision"), 5: ("rejected", "why")}
+    page = ingest.ingest_page(both, atomic=True)
+    assert {k: v[0] for k, v in result(page).items()} == {1: "rejected", 2: "duplicate", 3: "rejected", 4: "quarantined", 5: "rejected"}
+    assert ingest.dead_letters(page, "2024-01-01 00:00:00").count() == 4
+    with pytest.raises(ValueError):
+        lake.operational_filter(gated, "2024-01-02", "2024-01-01")
+
+
 def test_sources(spark, tmp_path):
     p = tmp_path / "s.jsonl"
     p.write_text('{"channel_id":"C","ts":"1700000000.5","user_id":"U","text":"hi","ingress_kind":"api","message_type":"delete","files":[{"id":"f","blob_ref":"blob:1"}]}\n{bad\n{"channel_id":"C","ts":"x","ingress_kind":"api"}\n')
@@ -271,6 +293,10 @@ def test_sources(spark, tmp_path):
     for c in ("from", "to", "cc", "subject", "text", "references", "in_reply_to", "labels"):
         gm = gm.withColumn(c, F.lit(None).cast("string"))
     assert [str(r.published) for r in messages.gmail(gm).select(F.col("published").cast("string").alias("published")).collect()] == ["2024-01-01 01:00:00"]
+    lines = spark.createDataFrame([("p", i, x) for i, x in enumerate(['{"type": "tool_use", "name": "T", "sessionId": "S", "uuid": "u", "timestamp": "2024-01-01T00:00:00Z"}', '{"type": "odd"}', "{}", "", '{"type": "user", "sessionId": "S", "uuid": "v", "parentUuid": "u", "isSidechain": true, "timestamp": "2024-01-01T00:00:01Z", "message": {"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "tool_result"}, {"type": "text", "text": "b"}]}}'])], "path string, line_no int, line string")
+    assert {r.line_no: r.reason for r in messages.transcript(lines).collect()} == {0: None, 1: "unknown type", 2: "unknown type", 4: None}
+    got = {r.subject: (json.loads(r.payload)["item"], json.loads(r.meta)["thread_source"]) for r in messages.claude_code(lines).collect()}
+    assert got == {"message:claude-code:S:u": ({"kind": "tool_call", "tool_name": "T"}, "main"), "message:claude-code:S:v": ({"kind": "message", "role": "user", "text": "a\nb"}, "sidechain")}
     docs = spark.createDataFrame([("d", "r", [("BODY", "pre"), ("HEADING_1", "H"), ("BODY", "a"), ("BODY", "b"), ("HEADING_2", "I")])], "document_id string, revision_id string, paragraphs array<struct<style: string, text: string>>")
     assert [(r.heading, r.text) for r in documents.doc_chunks(docs).orderBy("chunk").collect()] == [("", "pre"), ("H", "a\nb"), ("I", "")]
     files = spark.createDataFrame([("a", "root"), ("b", "a"), ("c", "b"), ("a", "c"), ("z", "y")], "file_id string, parent_id string")
