@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import common, decontaminate, langid, line_runs, media, packing, pii, rollups, simhash, token_files, tokens, url_filter
 
 
@@ -146,10 +144,7 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN c IN (SELECT c FROM
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
-    return found | {"pipeline": corpus_pipeline.run}
-
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
\ No newline at end of file

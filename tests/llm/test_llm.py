@@ -937,17 +937,120 @@ def test_url_list_by_exact_join(spark):
 # ---- pipeline
 
 
-def test_pipeline(spark, docs):
+def brute_identified(docs):
+    """The documents that the nearest of four centroids a language, made of all labelled texts that are not held out, does not reject."""
+    size = 4096
+    learn = {}
+    for d in docs:
+        if d["lang"] is not None and d["text"] and zlib.crc32(str(d["doc_id"]).encode()) % 5 and any(c.isalpha() for c in d["text"]):
+            learn.setdefault(d["lang"], set()).add(d["text"])
+    tf = {g: sorted((np.array(brute_vector(t, size), "<u4") for t in ts), key=lambda v: v.tobytes()) for g, ts in sorted(learn.items())}
+    assert all(len(ts) < 400 for ts in learn.values())  # all texts are the sample
+    n = sum(map(len, tf.values()))
+    idf = np.log((1 + n) / (1 + sum((v > 0).astype(int) for vs in tf.values() for v in vs))) + 0.1
+    unit = lambda v: v / (np.sqrt((v * v).sum()) or 1.0)
+    centroids, least = [], []
+    for vs in tf.values():
+        rows = [unit(np.log1p(v.astype(float)) * idf) for v in vs]
+        c = [unit(sum(rows) / len(rows))]
+        while len(c) < min(4, len(rows)):
+            c.append(min(rows, key=lambda r: max(r @ x for x in c)))
+        for _ in range(8):
+            own = [max(range(len(c)), key=lambda k: r @ c[k]) for r in rows]
+            c = [unit(sum(r for r, o in zip(rows, own, strict=True) if o == k)) if k in own else c[k] for k in range(len(c))]
+        own = [max(range(len(c)), key=lambda k: r @ c[k]) for r in rows]
+        centroids += c
+        least += [0.6 * np.quantile([r @ c[k] for r, o in zip(rows, own, strict=True) if o == k] or [0.0], 0.01) for k in range(len(c))]
+    kept = []
+    for d in docs:
+        if d["text"] and any(c.isalpha() for c in d["text"]):
+            v = unit(np.log1p(np.array(brute_vector(d["text"], size), float)) * idf)
+            k = max(range(len(centroids)), key=lambda k: v @ centroids[k])
+            kept += [d] if v @ centroids[k] >= least[k] else []
+    return kept
+
+
+def brute_line_dedup(docs, least=50):
+    """Every window of whole lines of 50 words or more that occurs earlier goes, in the order of doc_id."""
+    docs = sorted(docs, key=lambda d: d["doc_id"])
+    seq = [[(k, x.strip()) for k, x in enumerate((d["text"] or "").encode().split(b"\n")) if x.split()] for d in docs]
+    gone = [set() for _ in docs]
+    for n in range(1, least + 1):
+        seen = set()
+        for i, lines in enumerate(seq):
+            for s in range(len(lines) - n + 1):
+                run = tuple(x for _, x in lines[s : s + n])
+                if sum(len(x.split()) for x in run) >= least:
+                    if run in seen:
+                        gone[i] |= {k for k, _ in lines[s : s + n]}
+                    seen.add(run)
+    out = []
+    for d, lines, g in zip(docs, seq, gone, strict=True):
+        if g and len(g) == len(lines):
+            continue
+        keep, held, full = [], True, {k for k, _ in lines}
+        for k, line in enumerate((d["text"] or "").split("\n")):
+            held = k not in g if k in full else held
+            keep += [line] if held else []
+        text = "\n".join(keep) if g else d["text"]
+        out.append({**d, "text": text, "n_chars": len(text) if g else d["n_chars"]})
+    return out
+
+
+def brute_near_dedup(docs):
+    def words(t):
+        return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+    def join(items, linked):
+        root = list(range(len(items)))
+        for i in range(len(items)):
+            for j in range(i):
+                if linked(items[i], items[j]):
+                    a, b = sorted((root[i], root[j]))
+                    root = [a if r == b else r for r in root]
+        return [x for i, x in enumerate(items) if root[i] == i]
+
+    docs = sorted(docs, key=lambda d: d["doc_id"])
+    fps = {d["doc_id"]: brute_fingerprint(d["text"] or "") for d in docs}
+    docs = join(docs, lambda x, y: (fps[x["doc_id"]] ^ fps[y["doc_id"]]).bit_count() <= 3)
+    sets = {d["doc_id"]: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d in docs for w in [words(d["text"])]}
+    return join(docs, lambda x, y: 5 * len(sets[x["doc_id"]] & sets[y["doc_id"]]) >= 4 * len(sets[x["doc_id"]] | sets[y["doc_id"]]))
+
+
+def brute_clean(docs, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = {}
+    for t in items:
+        w = split(t)
+        n = min(10, len(w))
+        grams.setdefault(n, set()).update(tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0))
+    hit = lambda w: any(tuple(w[i : i + n]) in g for n, g in grams.items() if n for i in range(len(w) - n + 1))
+    return [d for d in docs if not hit(split(d["text"]))]
+
+
+def test_pipeline_equals_brute_force(spark, docs):
+    """Every stage's rows, from what the stage before it kept."""
     import corpus_pipeline as p
 
-    kept = docs
-    for name, stage in p.STAGES[:-1]:
-        before = kept
+    items = [r.text for r in common.table(spark, SF, "benchmark").collect()]
+    brute = [brute_identified, brute_line_dedup, brute_near_dedup, lambda d: brute_clean(d, items)]
+    kept, n = docs, [docs.count()]
+    for (name, stage), slow in zip(p.STAGES[:-1], brute, strict=True):
+        before = [r.asDict() for r in kept.collect()]
         kept = common.materialize(stage(spark, kept, SF), name)
-        assert kept.columns == docs.columns and kept.count() <= before.count()
-    bench = common.table(spark, SF, "benchmark")
-    assert decontaminate.report(decontaminate.find(kept, bench)).where("contaminated").count() == 0
-    groups = simhash.near_duplicates(kept)
-    assert groups.select("component_id").distinct().count() == kept.count()
-    packed = p.run(spark, SF)
-    assert packed.select("doc_id").distinct().count() == kept.count()
+        assert kept.columns == docs.columns
+        order = lambda rows: sorted(rows, key=lambda d: d["doc_id"])
+        assert order(r.asDict() for r in kept.collect()) == order(slow(before)), name
+        n.append(kept.count())
+    assert all(a > b for a, b in zip(n[1:], n[2:], strict=False))
+    ids, packed = brute_ids(), p.run(spark, SF).toPandas()
+    want = [(d, k // 4096, k, len(own[k : k + 4096]), crc(own[k : k + 4096])) for d, t in texts_of(kept) for own in [ids(t)] for k in range(0, len(own), 4096)]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.itertuples()) == sorted(want)
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 4096
+
+
+def test_pipeline_of_nothing(spark, docs):
+    import corpus_pipeline as p
+
+    for _, stage in p.STAGES:
+        assert stage(spark, docs.where("false"), SF).count() == 0
