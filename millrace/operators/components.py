@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from millrace.shared import materialize
+from millrace.shared import materialize, scratch
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -13,24 +13,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Edges with a null end and loops are dropped; repeated and reversed edges do no harm; no edge gives
     no rows. Each round groups by node with partial aggregation, joins the minimum back (a hub is an
-    ordinary skewed join key) and writes its edges to the shared folder, so the plan stays short.
+    ordinary skewed join key) and writes its edges to the shared folder, so the plan stays short; their number and
+    a sum of their hashes are taken as they are written, and tell when a round changes nothing.
     """
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-    e = materialize(e.distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if now["n"] == 0 or now == before:
-            break
-        before = now
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        star = star.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = star.groupBy("u").agg(F.min("v").alias("m"))
-        e = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = materialize(e.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
+
+    def written(edges: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")), "edges")
+        return table, seen.get
+
+    with scratch(edges.sparkSession):  # the rounds' tables
+        e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
+        e, now = written(e.distinct())
+        before = None
+        for _ in range(most_rounds):
+            if now["n"] == 0 or now == before:
+                break
+            before = now
+            both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            star = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            star = star.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+            low = star.groupBy("u").agg(F.min("v").alias("m"))
+            e = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e, now = written(e.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        else:
+            raise RuntimeError("components did not settle")
+        e = materialize(e, "components", keep=True)
     found = e.groupBy("u").agg(F.min("v").alias("component"))
     return found.select(F.col("u").alias("node"), "component").unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
