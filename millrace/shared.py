@@ -32,12 +32,12 @@ _scratch: list[list[str]] = []
 def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, so that a lost executor costs no recomputation.
 
-    Within scratch() the table goes when that ends, unless keep is true.
+    Within scratch() the table goes when that ends; one to keep goes with the scratch around it, if there is one.
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
