@@ -10,7 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.shared import materialize, new_path, shared_dir  # noqa: F401
+from millrace.shared import materialize, new_path, scratch, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,7 @@ def keep_keys(df: DataFrame, every: DataFrame, kept: DataFrame) -> DataFrame:
     names = [f"`{n}`" for n in df.columns]
     k1, k2 = unused(df, "k1"), unused(df, "k2")
     each = every.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").where("n > 1 or stays is null")
-    each = materialize(each.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce("stays", F.lit(False)).alias(unused(df, "stays"))), "keys-gone")
+    each = materialize(each.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce("stays", F.lit(False)).alias(unused(df, "stays"))), "keys-gone", keep=True)
     keyed = with_key(df, k1, k2)
     left = keyed.join(each, [k1, k2], "left_anti").select(*names)
     again = each.where(f"`{unused(df, 'stays')}`")

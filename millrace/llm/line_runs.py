@@ -140,7 +140,9 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
     names, counts = docs.columns, tuple(common.unused(docs, c) for c in counts)
     place, copies_place, copies = (common.unused(docs, n) for n in ("place", "copies_place", "copies"))
     numbered = common.numbered(docs, place)
-    found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words).groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies))  # bounded by the document's lines
+    with common.scratch(docs.sparkSession):
+        found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words)
+        found = common.materialize(found.groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies)), "copies", keep=True)  # bounded by the document's lines
     both = numbered.join(found, F.col(place) == F.col(copies_place), "left").select(*[f"`{n}`" for n in names], copies)
     at = common.place_of(docs, "text")
 
