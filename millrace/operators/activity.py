@@ -10,6 +10,11 @@ def at(now: str) -> Column:
     return F.to_timestamp(F.lit(now))
 
 
+def source_of() -> Column:
+    """What an observation counts for: its channel if meta names one, else its source system."""
+    return F.coalesce(F.nullif(F.trim(F.get_json_object("meta", "$.communication_channel_id")), F.lit("")), F.col("source_system"))
+
+
 def freshness(observations: DataFrame, thresholds: DataFrame, now: str) -> DataFrame:
     """source, max_published, max_recorded, last_at, age_seconds, status for each configured source (source, max_age_seconds).
 

@@ -128,19 +128,51 @@ class Generations:
         """Writes a generation, then adds the pointer to it; readers see the old one until then."""
         name = uuid.uuid4().hex
         items.write.parquet(f"{self.folder}/generation={name}")
+        return self._point(name)
+
+    def _point(self, name: str) -> str:
         pointers = self._pointers()
         n = (pointers.agg(F.max("n")).first()[0] or 0) if pointers is not None else 0
         self.spark.createDataFrame([(n + 1, name)], "n long, generation string").coalesce(1).write.mode("append").parquet(f"{self.folder}/pointers")
         return name
 
+    def publish_all(self, relations: dict[str, DataFrame]) -> str:
+        """Several relations as one generation: readers see all of them or none."""
+        name = uuid.uuid4().hex
+        for relation, rows in relations.items():
+            rows.write.parquet(f"{self.folder}/generation={name}/{relation}")
+        return self._point(name)
+
+    def rollback(self, generation: str) -> str:
+        """Makes an older generation the head again; those after it stay until they are cleaned up."""
+        return self._point(generation)
+
+    def cleanup(self, keep: int = 2) -> list[str]:
+        """Removes the folders of all generations but the head and the keep newest; returns their names."""
+        pointers = self._pointers()
+        if pointers is None:
+            return []
+        last = pointers.groupBy("generation").agg(F.max("n").alias("n")).withColumns({"projection": F.lit(self.folder), "pinned": F.lit(False)})
+        gone = [r["generation"] for r in retired(last, keep).collect()]  # one row a generation
+        for name in gone:
+            p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/generation={name}")
+            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        return gone
+
     def head(self) -> str | None:
         pointers = self._pointers()
         return pointers.agg(F.max_by("generation", "n")).first()[0] if pointers is not None else None
 
-    def read(self, generation: str | None = None) -> DataFrame | None:
-        """The published items, or those of a pinned generation; None before the first (an empty one is a table)."""
+    def read(self, generation: str | None = None, relation: str = "") -> DataFrame | None:
+        """The published items (or one of several relations), or those of a pinned generation; None before the first (an empty one is a table)."""
         name = generation or self.head()
-        return self.spark.read.parquet(f"{self.folder}/generation={name}") if name else None
+        return self.spark.read.parquet(f"{self.folder}/generation={name}/{relation}".rstrip("/")) if name else None
+
+
+def retired(generations: DataFrame, keep: int) -> DataFrame:
+    """projection, generation of those that neither are among the keep newest (by n) of their projection nor are pinned: what may be cleaned up."""
+    nth = F.row_number().over(Window.partitionBy("projection").orderBy(F.desc("n")))
+    return generations.withColumn("nth", nth).where((F.col("nth") > keep) & ~F.coalesce("pinned", F.lit(False))).select("projection", "generation")
 
 
 def orphans(blobs: DataFrame, references: DataFrame, key: str = "blob_ref") -> DataFrame:

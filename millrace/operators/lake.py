@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from millrace.functions.keys import identity_key
 from millrace.functions.text import nfkc
@@ -47,12 +51,6 @@ def operational_filter(events: DataFrame, since: str | None = None, until: str |
     return events.where(F.col("occurred_at") <= F.to_timestamp(F.lit(until))) if until else events
 
 
-def retired(generations: DataFrame, keep: int) -> DataFrame:
-    """projection, generation of those that neither are among the keep newest of their projection nor are pinned: what may be cleaned up."""
-    nth = F.row_number().over(Window.partitionBy("projection").orderBy(F.desc("n")))
-    return generations.withColumn("nth", nth).where((F.col("nth") > keep) & ~F.coalesce("pinned", F.lit(False))).select("projection", "generation")
-
-
 def verified_identities(drafts: DataFrame) -> DataFrame:
     """drafts (source, source_instance, object_id, container, canonical, idempotency_key) with identity_problem: what forbids their key, or null.
 
@@ -113,12 +111,25 @@ def items_by_owner(items: DataFrame, owners: list[str] | None = None) -> DataFra
     return kept.groupBy("owner_key").agg(F.count("*").alias("items"))
 
 
-def poll_queue(threads: DataFrame, generation: int, limit: int) -> DataFrame:
-    """The threads to poll next: active ones, then others that are due in this generation; by generation and thread."""
+def poll_queue(threads: DataFrame, generation: int, limit: int, current: int | None = None, **equal) -> DataFrame:
+    """The threads to poll next: active ones, then others that are due in this generation; by generation and thread.
+
+    equal: values that columns must have (source, channel). A generation after the current one is an error.
+    """
+    if current is not None and generation > current:
+        raise ValueError("a generation that has not come yet")
+    for name, value in equal.items():
+        threads = threads.where(F.col(name) == value)
     due = threads.where(F.col("active") | (F.col("next_poll_generation") <= generation))
     return due.orderBy(F.col("active").desc(), "next_poll_generation", "thread_ts").limit(limit)
 
 
+def changed_tails(positions: DataFrame, watermarks: DataFrame, key: str = "leaf_id") -> DataFrame:
+    """key, after, upto of partitions (key, last) that have rows past their watermark (key, position; none: 0)."""
+    both = positions.join(watermarks.select(key, "position"), key, "left").withColumn("after", F.coalesce("position", F.lit(0)))
+    return both.where(F.col("last") > F.col("after")).select(key, "after", F.col("last").alias("upto"))
+
+
 def violations(checks: dict[str, DataFrame]) -> DataFrame:
     """violation, records: each check that has rows, and how many."""
     counted = [rows.agg(F.count("*").alias("records")).select(F.lit(name).alias("violation"), "records") for name, rows in checks.items()]
@@ -150,11 +161,32 @@ def resolve_reference(entries: DataFrame, reference: str) -> DataFrame:
     return entries.where((F.col("event_id") == reference) | (F.col("source_message_ref") == reference) | (F.col("raw_blob_ref") == reference))
 
 
-def attribute_paths(documents: DataFrame, id: str, json: str) -> DataFrame:
-    """path, documents that have it, and the first five different values seen, for the top-level fields of a JSON object."""
-    found = documents.select(id, F.explode(F.from_json(json, "map<string,string>")).alias("path", "value"))
-    per = found.groupBy("path").agg(F.countDistinct(id).alias("documents"))
+def _leaves(value, path: str = "") -> list[tuple[str, str]]:
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in _leaves(v, f"{path}.{k}" if path else k)]
+    if isinstance(value, list):
+        return [x for v in value for x in _leaves(v, f"{path}[]")]
+    return [] if value is None else [(path, value if isinstance(value, str) else json.dumps(value))]
+
+
+@pandas_udf(ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())])))
+def json_leaves(text: pd.Series) -> pd.Series:
+    """Paths and values of a JSON document's scalars, at any depth; a.b for fields, a[] for items; none for what is not JSON."""
+
+    def one(t):
+        try:
+            return [{"path": p, "value": v} for p, v in _leaves(json.loads(t or "null"))]
+        except ValueError:
+            return []
+
+    return text.map(one)
+
+
+def attribute_paths(documents: DataFrame, id: str, json_column: str) -> DataFrame:
+    """path, documents that have it, occurrences, and the first five different values seen, of all scalars of a JSON document; most documents first."""
+    found = documents.select(id, F.explode(json_leaves(json_column)).alias("x")).select(id, "x.path", "x.value")
+    per = found.groupBy("path").agg(F.countDistinct(id).alias("documents"), F.count("*").alias("occurrences"))
     first = found.groupBy("path", "value").agg(F.min(id).alias("seen"))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("seen", "value"))
     kept = first.withColumn("nth", nth).where("nth <= 5").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("nth", "value"))).alias("x"))
-    return per.join(kept, "path").select("path", "documents", F.col("x.value").alias("examples")).orderBy(F.desc("documents"), "path")
+    return per.join(kept, "path").select("path", "documents", "occurrences", F.col("x.value").alias("examples")).orderBy(F.desc("documents"), "path")

@@ -56,13 +56,18 @@ def scan_after(df: DataFrame, seq: str, after: int, upto: int | None = None) ->
     return rows.where(F.col(seq) <= upto) if upto is not None else rows
 
 
-def budgeted_rows(df: DataFrame, seq: str, after: int, watermark: int, most: int) -> DataFrame:
-    """A page of an export: in order of position, between a cursor and the watermark that the export pinned."""
-    return scan_after(df, seq, after, watermark).orderBy(seq).limit(most)
-
-
-def merge_sorted(parts: list[DataFrame], keys: list[tuple[str, bool]]) -> DataFrame:
-    """All partitions of a relation in one order."""
+def budgeted_rows(df: DataFrame, seq: str, after: int, watermark: int, most: int, scan: int | None = None) -> DataFrame:
+    """A page of an export: in order of position, between a cursor and the watermark that the export pinned, and at most scan positions on."""
+    upto = watermark if scan is None else min(watermark, after + scan)
+    return scan_after(df, seq, after, upto).orderBy(seq).limit(most)
+
+
+def merge_sorted(parts: list[DataFrame], keys: list[tuple[str, bool]], position: str | None = None) -> DataFrame:
+    """All partitions of a relation in one order. With position (a row's place in its partition) a partition that is not in that order is an error."""
+    for part in parts if position else []:
+        now, last = (F.struct(*[F.col(n) for n, _ in keys]), F.lag(F.struct(*[F.col(n) for n, _ in keys])).over(Window.orderBy(position)))
+        if not part.select(now.alias("now"), last.alias("last")).where("last > now").isEmpty():
+            raise ValueError("a partition is not sorted")
     return in_order(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), keys)
 
 

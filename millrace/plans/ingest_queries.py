@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import keys as K
+from millrace.functions.text import canonical_array
 from millrace.operators import corpus as C
-from millrace.operators import ingest, lake, paging
+from millrace.operators import activity, append, ingest, lake, paging
 from millrace.plans.state_queries import GATE_ROWS_SQL, SCHEMAS, _gate_input, _messages
 from millrace.plans.tables import minute, read
 from millrace.sources import messages
@@ -118,7 +119,7 @@ SELECT doc_id, CASE WHEN doc_id % 11 = 5 THEN 'no object id' WHEN doc_id % 7 = 3
 def retired_generations(spark, d):
     """Orders as generations of their customers' projections; large ones are pinned."""
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("projection"), F.col("o_orderkey").alias("generation"), F.col("o_orderkey").alias("n"), (F.col("o_totalprice") > 200000).alias("pinned"))
-    return lake.retired(o, 3)
+    return append.retired(o, 3)
 
 
 RETIRED_SQL = "SELECT o_custkey AS projection, o_orderkey AS generation FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS nth FROM orders) WHERE nth > 3 AND o_totalprice <= 200000"
@@ -132,7 +133,70 @@ def normalized_profiles(spark, d):
 
 PROFILE_SQL = "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'a' || source || '@x.org' END AS email, CASE WHEN doc_id % 3 = 0 THEN 'm@x.org' END AS generated_email, CASE WHEN doc_id % 2 = 1 THEN lang END AS bio, 'https://x.org/' AS url FROM documents"
 
+
+
+def event_lookup(spark, d):
+    """One event by its id; the comparison reaches the scan."""
+    return read(spark, d, "events").where("event_id = 77").limit(1).select("event_id", "user_id", "event_type")
+
+
+def person_list(spark, d):
+    """People by their last activity, those without any last."""
+    last = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("person")).agg(F.max("o_orderdate").alias("last_activity"))
+    people = read(spark, d, "customer").select(F.col("c_custkey").alias("person")).join(last, "person", "left")
+    return paging.keyset_page(people, [("last_activity", True), ("person", False)], 120)
+
+
+def merged_partitions(spark, d):
+    """Order lines of three partitions in one order."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return paging.merge_sorted([li.where(F.col("l_returnflag") == f) for f in "ANR"], [("l_orderkey", False), ("l_linenumber", False)])
+
+
+def export_scan(spark, d):
+    """A page of an export that may look at 300 positions."""
+    return paging.budgeted_rows(read(spark, d, "events").where("event_type = 'click'").select("event_id"), "event_id", 100, 900, 50, 300)
+
+
+def changed_leaves(spark, d):
+    """Order states as partitions: those with orders past what was committed."""
+    o = read(spark, d, "orders")
+    last = o.groupBy(F.col("o_orderstatus").alias("leaf_id")).agg(F.max("o_orderkey").alias("last"))
+    marks = o.where("o_orderstatus <> 'P' and (o_orderstatus = 'F' or o_orderkey < 500)").groupBy(F.col("o_orderstatus").alias("leaf_id")).agg(F.max("o_orderkey").alias("position"))
+    return lake.changed_tails(last, marks)
+
+
+LEAVES_SQL = """
+WITH l AS (SELECT o_orderstatus AS s, max(o_orderkey) AS last FROM orders GROUP BY 1), m AS (SELECT o_orderstatus AS s, max(o_orderkey) AS p FROM orders WHERE o_orderstatus = 'F' OR o_orderstatus <> 'P' AND o_orderkey < 500 GROUP BY 1)
+SELECT s AS leaf_id, coalesce(p, 0) AS after, last AS upto FROM l LEFT JOIN m USING (s) WHERE last > coalesce(p, 0)
+"""
+
+
+def profile_scores(spark, d):
+    """Richness of profiles, privacy keys, anchors as one sorted array, and sources by channel."""
+    docs, n = read(spark, d, "documents"), F.col("doc_id")
+    some = lambda m, c: F.when(n % m > 0, c)
+    none = F.array().cast("array<string>")
+    score = K.richness(some(2, F.lit("a")), some(3, F.lit("b")), F.when(n % 4 > 0, F.lit("n")).otherwise(F.lit(" ")), some(5, F.lit("bio")), some(7, F.lit("p")), F.when(n % 3 == 1, F.array(F.lit("g"), F.lit("h"))).otherwise(none), F.when(n % 3 == 2, F.array(F.lit("t"))))
+    meta = F.to_json(F.struct(F.when(n % 2 == 0, F.lit("sender")).alias("communication_sender_id"), F.when(n % 3 == 0, F.lit("ch")).when(n % 3 == 1, F.lit(" ")).alias("communication_channel_id")))
+    payload = F.to_json(F.struct(F.when(n % 5 == 0, F.lit("x@y")).alias("email"), F.when(n % 7 == 0, F.col("source")).alias("user_id")))
+    rows = docs.select("doc_id", score.cast("long").alias("score"), F.col("source").alias("source_system"), meta.alias("meta"), payload.alias("payload"), canonical_array(F.concat(F.array("lang"), F.array(F.lit("b"), F.lit("a"), F.lit("b")))).alias("anchors"))
+    return rows.select("doc_id", "score", "anchors", F.array_join(K.privacy_keys(F.col("source_system"), F.col("meta"), F.col("payload")), ",").alias("keys"), activity.source_of().alias("source"))
+
+
+SCORES_SQL = """
+SELECT doc_id, CAST(CASE WHEN doc_id % 2 > 0 THEN 10 ELSE 0 END + CASE WHEN doc_id % 3 > 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 4 > 0 THEN 4 ELSE 0 END + CASE WHEN doc_id % 5 > 0 THEN 12 ELSE 0 END + CASE WHEN doc_id % 7 > 0 THEN 6 ELSE 0 END + CASE doc_id % 3 WHEN 1 THEN 4 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS score,
+  '["' || array_to_string(list_sort(list_distinct(['a', 'b', lang])), '","') || '"]' AS anchors,
+  array_to_string(list_sort(list_distinct(list_filter([source, CASE WHEN doc_id % 2 = 0 THEN 'sender' END, CASE WHEN doc_id % 5 = 0 THEN 'x@y' END], lambda x: x IS NOT NULL))), ',') AS keys, CASE WHEN doc_id % 3 = 0 THEN 'ch' ELSE source END AS source FROM documents
+"""
+
 QUERIES = {
+    "event_lookup": (event_lookup, "SELECT event_id, user_id, event_type FROM events WHERE event_id = 77"),
+    "person_list": (person_list, "SELECT c_custkey AS person, max(o_orderdate) AS last_activity FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey ORDER BY last_activity DESC NULLS LAST, person LIMIT 120"),
+    "merged_partitions": (merged_partitions, "SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem"),
+    "export_scan": (export_scan, "SELECT event_id FROM events WHERE event_type = 'click' AND event_id > 100 AND event_id <= 400 ORDER BY event_id LIMIT 50"),
+    "changed_leaves": (changed_leaves, LEAVES_SQL),
+    "profile_scores": (profile_scores, SCORES_SQL),
     "ingest_page": (ingest_page, PAGE_SQL),
     "transcript_lines": (transcript_lines, TRANSCRIPT_SQL),
     "channel_snapshots": (channel_snapshots, CHANNELS_SQL),

@@ -189,7 +189,7 @@ def attribute_paths(spark, d):
 
 PATHS_SQL = """
 WITH f AS (SELECT event_id, json_extract_string(props, '$.k') AS v FROM events WHERE json_exists(props, '$.k')), u AS (SELECT v, min(event_id) AS seen FROM f GROUP BY v ORDER BY seen LIMIT 5)
-SELECT 'k' AS path, (SELECT count(DISTINCT event_id) FROM f) AS documents, (SELECT string_agg(v, ',' ORDER BY seen) FROM u) AS examples
+SELECT 'k' AS path, (SELECT count(DISTINCT event_id) FROM f) AS documents, (SELECT count(*) FROM f) AS occurrences, (SELECT string_agg(v, ',' ORDER BY seen) FROM u) AS examples
 """
 
 

@@ -114,6 +114,14 @@ def test_pages_cover_all_rows_once(spark):
     assert seen == sorted(data, key=lambda r: (-r[0], r[1]))
     with pytest.raises(ValueError):
         paging.byte_budget_page(df, order, 5, 10)
+    placed = spark.createDataFrame([(1, 1), (2, 3), (3, 2)], "place int, k int")
+    assert [r.k for r in paging.merge_sorted([placed.where("place < 3"), placed.where("place = 3")], [("k", False)], "place").collect()] == [1, 2, 3]
+    with pytest.raises(ValueError):
+        paging.merge_sorted([placed], [("k", False)], "place")
+    paths = lake.attribute_paths(spark.createDataFrame([(1, '{"a": {"b": [1, "x"]}, "c": null}'), (2, '{"a": {"b": [1]}}'), (3, "no")], "i int, j string"), "i", "j").collect()
+    assert [tuple(r) for r in paths] == [("a.b[]", 2, 3, ["1", "x"])]
+    with pytest.raises(ValueError):
+        lake.poll_queue(df, 5, 1, current=4)
 
 
 def test_append_twice_is_once(spark, tmp_path):
@@ -151,6 +159,10 @@ def test_delta_rules_and_generations(spark, tmp_path):
     old = store.publish(items)
     store.publish(items.where("false"))
     assert store.read().count() == 0 and store.read(old).count() == 2
+    assert store.rollback(old) == old and store.read().count() == 2
+    both = store.publish_all({"records": items, "view": items.where("item_key = 1")})
+    assert store.read(relation="view").count() == 1 and store.read(both, "records").count() == 2
+    assert len(store.cleanup(1)) == 2 and store.cleanup(1) != [both] and store.read(relation="records").count() == 2
 
 
 def test_privacy(spark):
@@ -301,6 +313,25 @@ def test_sources(spark, tmp_path):
     assert [(r.heading, r.text) for r in documents.doc_chunks(docs).orderBy("chunk").collect()] == [("", "pre"), ("H", "a\nb"), ("I", "")]
     files = spark.createDataFrame([("a", "root"), ("b", "a"), ("c", "b"), ("a", "c"), ("z", "y")], "file_id string, parent_id string")
     assert {r.file_id: r.depth for r in documents.files_below(files, ["root"]).collect()} == {"root": 0, "a": 1, "b": 2, "c": 3}
+    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}") for i in range(1, 80)], "file_id string, parent_id string")
+    assert documents.files_below(deep, ["n0"]).where("depth = 79").count() == 1
+    deck = spark.createDataFrame([("p", "r1", "Deck", None, "own", ["e1"], "words", "http://u")], documents.SLIDES)
+    (slide,) = documents.slides(deck).collect()
+    assert json.loads(slide.payload) == {"title": "Deck", "relations": {"editors": ["e1"], "owner": "own"}, "artifact": {"sourceObjectId": "p", "canonicalUri": "http://u"}, "native": {"text": "words"}} and json.loads(slide.meta)["object_id"] == "p:rev:r1"
+    form = spark.createDataFrame([("f", "Form", "sh", [("q1", "Name"), ("q2", "Age"), ("q3", "Not asked")], [("r1", None, "who", {"q2": "5", "q1": "Ann"})])], documents.FORMS)
+    forms = {r.schema: json.loads(r.payload) for r in documents.forms(form).collect()}
+    assert forms["schema:form-response-content"]["text"] == "Name: Ann\nAge: 5" and forms["schema:form-structure"]["linkedSheetId"] == "sh" and forms["schema:form-response"]["respondent"] == "who" and len(forms) == 3
+    dump = '{"repo":"r",' + ",".join(f'"{n}":[{{"id":{i},"created_at":"2024-01-01T00:00:00Z"}}]' for i, n in enumerate(messages.GITHUB_ARRAYS)) + "}"
+    (tmp_path / "all.jsonl").write_text(dump + "\n")
+    assert sorted(json.loads(r.payload)["object_type"] for r in messages.github(messages.read_jsonl(spark, str(tmp_path / "all.jsonl"), messages.GITHUB)).collect()) == sorted(messages.GITHUB_ARRAYS.values())
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
+        z.writestr("conversations.json", '[{"uuid": "c"}]')
+        z.writestr("readme.txt", "no")
+    assert [(r.name, r.json) for r in messages.zipped_json(spark, str(tmp_path / "x.zip")).collect()] == [("conversations.json", '[{"uuid": "c"}]')]
+    chats = spark.createDataFrame([("c", "n", [("m", "human", "hi", None), (None, "assistant", "yo", None)])], messages.CHAT_LIST)
+    assert sorted(r.subject for r in messages.chat_list(chats).collect()) == ["message:claude-ai:c:1", "message:claude-ai:c:m"]
     sheets = spark.createDataFrame([("s", [("t", [["x", ""], ["y"]])])], documents.SHEETS)
     assert [(r.row, r.col, r.value) for r in documents.sheet_cells(sheets).collect()] == [(0, 0, "x"), (1, 0, "y")]
 
