@@ -31,17 +31,21 @@ def classify_append(batch: DataFrame, lake: DataFrame | None = None, key: str =
     return batch.join(first, key, "left").withColumn("outcome", outcome).drop("first", "known")
 
 
-def append(batch: DataFrame, path: str, **names) -> DataFrame:
-    """Appends the new rows of a batch to a Parquet lake, once each, and returns the outcomes."""
+def append(batch: DataFrame, path: str, key: str = "idempotency_key", content: str = "canonical", seq: str = "seq", buckets: int = 64) -> DataFrame:
+    """Appends the new rows of a batch to a Parquet lake in folders by a hash of the key, once each, and returns the outcomes.
+
+    Of the lake, key and content of the folders that the batch touches are read, and no others. A batch that runs again
+    finds its own rows as duplicates. For one writer at a time.
+    """
     spark = batch.sparkSession
-    try:
-        lake = spark.read.parquet(path)
-    except Exception as e:  # noqa: BLE001  the lake does not exist before its first batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        lake = None
-    outcomes = materialize(classify_append(batch, lake, **names), "outcomes")
-    outcomes.where("outcome = 'appended'").drop("outcome").write.mode("append").parquet(path)
+    bucket = F.pmod(F.hash(key), F.lit(buckets))
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    lake = None
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # buckets numbers at most
+        lake = spark.read.parquet(path).where(F.col("bucket").isin(touched)).select(key, content)
+    outcomes = materialize(classify_append(batch, lake, key, content, seq), "outcomes")
+    outcomes.where("outcome = 'appended'").drop("outcome").withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").parquet(path)
     return outcomes
 
 
