@@ -74,7 +74,7 @@ def _pieces(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Encoder:
     """encode(texts) gives the ids of all texts, one after the other, and the number of ids of each."""
 
-    def __init__(self, path: str, remember: int = 1_000_000, bits: int = 21) -> None:
+    def __init__(self, path: str, remember: int = 300_000, bits: int = 20) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
