@@ -35,7 +35,10 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     Within scratch() the table goes when that ends; one to keep goes with the scratch around it, if there is one.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    writer = df.write
+    if _scratch:  # many short-lived tables of numbers: no codec, whose buffers lie outside the heap until they are collected
+        writer = writer.option("compression", "none")
+    writer.parquet(path)
     if len(_scratch) > keep:
         _scratch[-1 - keep].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
