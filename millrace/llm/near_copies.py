@@ -40,7 +40,7 @@ class Hashes(dict):
     """XXH64 of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 17:
+        if len(self) > 1 << 15:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFra
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, most_bytes=1 << 20):
             texts = batch.column(3).to_pylist()
             fps = np.fromiter(map(simhash.fingerprint, texts), np.uint64, len(texts))
             sets = [shingles(t, hashes) for t in texts]
@@ -164,7 +164,7 @@ def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = [c[first[-1]] for c in columns] if first[-1] >= 0 else None
 
 
-def rest(most: int = 1 << 22):
+def rest(most: int = 1 << 18):
     """All pairs (a, b) of different components that a list's members (h, n, row, at, s1, s2, component; sorted) can make."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
