@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, line_runs, media, packing, pii, rollups, simhash, token_files, tokens, url_filter
+from . import common, decontaminate, langid, line_runs, media, packing, pii, prefix_trie, repair, rollups, simhash, token_files, tokens, url_filter
+from .conversation_sql import OP11_SQL, OP12_SQL
 
 
 def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,8 +144,17 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN c IN (SELECT c FROM
 """
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rollup(common.table(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(common.table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter, op11_prefix_trie, op12_structure_repair)}
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL}
\ No newline at end of file
+    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
\ No newline at end of file
