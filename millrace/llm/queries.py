@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, decontaminate, langid, line_runs, media, packing, pii, prefix_trie, repair, rollups, simhash, token_files, tokens, url_filter
+from . import common, decontaminate, langid, line_runs, media, packing, path_graph, pii, prefix_trie, repair, rollups, simhash, token_files, tokens, url_filter
 from .conversation_sql import OP11_SQL, OP12_SQL
 
 
@@ -152,9 +152,25 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(common.table(spark, sf_dir, "conversations"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return path_graph.digest(path_graph.without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+wins AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM wins WHERE g IN (SELECT g FROM wins GROUP BY g HAVING count(*) > 1)),
+removed AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r),
+kept AS (
+  SELECT x.r, string_agg(word, ' ' ORDER BY x.k) AS text FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM docs) x ANTI JOIN gone USING (r, k) GROUP BY x.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN removed USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter, op11_prefix_trie, op12_structure_repair)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_benchmark_decontamination, op3_token_files, op4_token_rollups, op5_pii, op6_line_dedup, op7_best_fit_packing, op8_simhash, op9_language_id, op10_url_filter, op11_prefix_trie, op12_structure_repair, op13_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL}
\ No newline at end of file
+    return {"op2_benchmark_decontamination": OP2_SQL, "op6_line_dedup": OP6_SQL, "op10_url_filter": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_structure_repair": OP12_SQL, "op13_substring_dedup": OP13_SQL}
\ No newline at end of file
