@@ -84,6 +84,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most_byt
         yield batch.slice(start)
 
 
+def bounded_rows(batches: Iterator[pa.RecordBatch], columns: tuple[int, ...], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that some binary columns of each hold about most_bytes together at most, or one row."""
+    for batch in batches:
+        sizes = sum(pa.compute.binary_length(batch.column(c)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = np.cumsum(sizes) // most_bytes
+        cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
     """Columns (integers without nulls) of sorted rows, cut only between groups of equal keys.
 

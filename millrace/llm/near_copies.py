@@ -6,12 +6,15 @@ filter), with enough of both sets left after it (position filter), and m is at l
 a sample shows to be frequent come last in the order, which keeps the lists short; the sample decides
 the cost alone.
 
-Of the pairs that a list can make, those whose 128-bit SimHashes differ in more than MOST_BITS bits are left
-out (a pair of similarity 0.8 differs in 20 of them on average, and in more than 44 with a chance of
-under one in a million); the others are compared by their whole sets.
+Of the pairs that a list can make, those go that a count sketch rules out: numbers of shingles by bucket, modulo 16. Sets
+that reach the similarity differ in a ninth of m + n shingles at most, each of which moves one count by one, so
+the distances of their counts add up to no more: no similar pair is lost. A sketch of 32 buckets rules out nearly all other pairs of sets
+of up to 500 shingles; larger sets have a second one, with a bucket for each 8 to 16 shingles, which their pairs
+meet next. What is left is compared by whole sets.
 
 A list first links its members to its smallest one. Only pairs that this leaves in different components
-are compared after that, so that a large group of near copies does not cost all its pairs.
+are compared after that, so that a large group of near copies does not cost all its pairs. A list that still has many members is dealt
+into blocks, and each two blocks of it are a group of their own.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from . import common, simhash
 WORDS = 5
 #: The least similarity, as a fraction; two sets of m and n shingles that reach it share OVER / (OVER + UNDER) of m + n.
 OVER, UNDER = 4, 5
-MOST_BITS = 44
-#: The bits of each byte.
-BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
+BUCKETS = 32
+#: Sets of more shingles have a second sketch.
+LARGE = 500
+#: Members of a block of a list.
+BLOCK = 4096
 
 
 class Hashes(dict):
@@ -64,14 +69,40 @@ def shingles(text: str | None, hashes: Hashes | None = None) -> np.ndarray:
     return np.unique(out)
 
 
-def simhash_of(own: np.ndarray) -> tuple[int, int]:
-    """128 bits, each set if it is in over half the hashes of a set; the second 64 are those of other hashes."""
-    both = np.concatenate([own, (own ^ (own >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)]).view(np.uint8).reshape(2, -1, 8)
-    counts = np.stack([np.bincount(both[i, :, k], minlength=256) for i in range(2) for k in range(8)]) @ BITS
-    one, two = np.packbits(2 * counts > len(own), axis=1).reshape(2, 8).copy().view(np.int64)[:, 0].tolist()
+def counted(own: np.ndarray, buckets: int) -> np.ndarray:
+    """The numbers, modulo 16, of a set's shingles in each of buckets (a power of two), by the upper bits of another hash."""
+    h = (own ^ (own >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return np.bincount((h >> np.uint64(32)).astype(np.int64) % buckets, minlength=buckets).astype(np.uint8) & 15
+
+
+def sketch_of(own: np.ndarray) -> tuple[int, int]:
+    """The first sketch of a set: 32 counts of four bits."""
+    c = counted(own, BUCKETS)
+    one, two = (c[::2] << 4 | c[1::2]).view(np.int64).tolist()
     return one, two
 
 
+def large_sketch(own: np.ndarray) -> bytes | None:
+    """The second sketch of a large set, whose length follows its size: a byte a bucket."""
+    return counted(own, 1 << int(len(own) // 8).bit_length() - 1).tobytes() if len(own) > LARGE else None
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least sum of differences that counts (modulo 16, last axis) can have."""
+    d = (x - y) & 15
+    return np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
+
+
+def may_be_alike(x: bytes | None, y: bytes | None, m: int, n: int) -> bool:
+    """Whether second sketches of sets of m and n shingles allow the similarity; a longer one is folded first."""
+    if x is None or y is None:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (c.reshape(-1, size).sum(0, dtype=np.uint8) & 15 for c in (a, b))  # the low bits of a bucket stay
+    return (OVER + UNDER) * int(apart(a, b)) <= m + n
+
+
 def frequent(docs: DataFrame, least: int = 4_000, share: int = 50, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a sample, sorted, and how many of its rows have each.
 
@@ -103,7 +134,7 @@ def prefix(own: np.ndarray, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """k1, k2, doc_id, fp (op8's), one and two (name of the set), s1 and s2 (its SimHash), n (its size), prefix of every row of docs (k1, k2, doc_id, text)."""
+    """k1, k2, doc_id, fp (op8's), one and two (name of the set), s1 and s2 (its sketch), big (its second one), n (its size), prefix of every row of docs (k1, k2, doc_id, text)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -114,11 +145,11 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray]) -> DataFra
             names = [xxhash.xxh128_intdigest(s.tobytes()) for s in sets]
             one, two = [(h >> 64) - (1 << 63) for h in names], [(h & (1 << 64) - 1) - (1 << 63) for h in names]
             lists = pa.array([prefix(s, often).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            s1, s2 = zip(*map(simhash_of, sets), strict=True)
-            columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), *(pa.array(c, pa.int64()) for c in (one, two, s1, s2)), pa.array(list(map(len, sets)), pa.int32()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "s1", "s2", "n", "prefix"])
+            s1, s2 = zip(*map(sketch_of, sets), strict=True)
+            columns = [*batch.columns[:3], pa.array(fps.view(np.int64)), *(pa.array(c, pa.int64()) for c in (one, two, s1, s2)), pa.array(map(large_sketch, sets), pa.binary()), pa.array(list(map(len, sets)), pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["k1", "k2", "doc_id", "fp", "one", "two", "s1", "s2", "big", "n", "prefix"])
 
-    return common.bounded(docs.select("k1", "k2", "doc_id", "text")).mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, s1 long, s2 long, n int, prefix array<long>")
+    return common.bounded(docs.select("k1", "k2", "doc_id", "text")).mapInArrow(compute, "k1 long, k2 long, doc_id long, fp long, one long, two long, s1 long, s2 long, big binary, n int, prefix array<long>")
 
 
 def fits(m: np.ndarray, i: np.ndarray, n: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -131,9 +162,11 @@ def first_ninth(m: np.ndarray, i: np.ndarray) -> np.ndarray:
     return fits(m, i, m, i)
 
 
-def alike(s1: np.ndarray, s2: np.ndarray, t1: np.ndarray, t2: np.ndarray) -> np.ndarray:
-    """Whether SimHashes are close enough for sets that reach the similarity."""
-    return np.bitwise_count((s1 ^ t1).view(np.uint64)).astype(np.int64) + np.bitwise_count((s2 ^ t2).view(np.uint64)) <= MOST_BITS
+def alike(s1: np.ndarray, s2: np.ndarray, t1: np.ndarray, t2: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether first sketches allow the similarity of sets of m and n shingles."""
+    counts = lambda one, two: np.stack(np.broadcast_arrays(one, two), -1).view(np.uint8).reshape(-1, 16)
+    x, y = counts(s1, s2), counts(t1, t2)
+    return (OVER + UNDER) * (apart(x >> 4, y >> 4) + apart(x & 15, y & 15)) <= m + n
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -159,39 +192,60 @@ def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = np.flatnonzero((lead >= 0) & (lead != np.arange(len(h))))
         x = x[lead[x] < x]
         y = lead[x]
-        ok = fits(n[y], at[y], n[x], at[x]) & alike(s1[y], s2[y], s1[x], s2[x])
+        ok = fits(n[y], at[y], n[x], at[x])
+        x, y = x[ok], y[ok]
+        ok = alike(s1[y], s2[y], s1[x], s2[x], n[y], n[x])
         yield _pairs(row[y[ok]], row[x[ok]])
         head = [c[first[-1]] for c in columns] if first[-1] >= 0 else None
 
 
 def rest(most: int = 1 << 18):
-    """All pairs (a, b) of different components that a list's members (h, n, row, at, s1, s2, component; sorted) can make."""
+    """All pairs (a, b) of different components that members of one group can make: rows (h, i, j, b, n, row, at, s1, s2, component) sorted by h, i, j, n.
+
+    A group is a block (i = j) or two blocks of a list, of which it has the pairs across.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for now, _ in common.whole_groups(batches, ["h"], 1 << 62):
-            h, n, row, at, s1, s2, component = (now[c].astype(np.int64) for c in ("h", "n", "row", "at", "s1", "s2", "component"))
-            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+        for now, _ in common.whole_groups(batches, ["h", "i", "j"], 1 << 62):  # a group has about two blocks' members
+            h, i_, j_, block, n, row, at, s1, s2, component = (now[c].astype(np.int64) for c in ("h", "i", "j", "b", "n", "row", "at", "s1", "s2", "component"))
+            ends = np.append(np.flatnonzero((h[1:] != h[:-1]) | (i_[1:] != i_[:-1]) | (j_[1:] != j_[:-1])) + 1, len(h))
             able, (a, b, held) = first_ninth(n, at), ([], [], 0)
             for start, end in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True):
-                for c in np.unique(component[start:end]).tolist():
-                    mine = component[start:end] == c
-                    others = start + np.flatnonzero(~mine)
-                    for i in (start + np.flatnonzero(mine & able[start:end])).tolist():
-                        x = others[np.searchsorted(others, i) :]
-                        x = x[: np.searchsorted(n[x], UNDER * n[i] // OVER, "right")]
-                        x = x[fits(n[i], at[i], n[x], at[x]) & alike(s1[i], s2[i], s1[x], s2[x])]
-                        a.append(np.full(len(x), row[i]))
-                        b.append(row[x])
-                        held += len(x)
-                        if held > most:
-                            yield _pairs(np.concatenate(a), np.concatenate(b))
-                            a, b, held = [], [], 0
+                across = i_[start] != j_[start]
+                for i in (start + np.flatnonzero(able[start:end])).tolist():
+                    x = np.arange(i + 1, start + int(np.searchsorted(n[start:end], UNDER * n[i] // OVER, "right")))
+                    x = x[component[x] != component[i]]
+                    if across:
+                        x = x[block[x] != block[i]]
+                    x = x[fits(n[i], at[i], n[x], at[x])]
+                    x = x[alike(s1[i], s2[i], s1[x], s2[x], n[i], n[x])] if len(x) else x
+                    a.append(np.full(len(x), row[i]))
+                    b.append(row[x])
+                    held += len(x)
+                    if held > most:
+                        yield _pairs(np.concatenate(a), np.concatenate(b))
+                        a, b, held = [], [], 0
             if held:
                 yield _pairs(np.concatenate(a), np.concatenate(b))
 
     return run
 
 
+def possible(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the second sketches of found (row, n, big) allow; pairs without a large set are all left."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.bounded_rows(batches, (2, 3)):
+            ok = [may_be_alike(*r) for r in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4, 5)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    big = found.where("big is not null").select("row", "n", "big")
+    x, y = (big.select(F.col("row").alias(c), F.col("big").alias(f"{c}_big"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    both = common.materialize(pairs.join(x.select("a", "a_n"), "a", "left").join(y.select("b", "b_n"), "b", "left"), "near-sized")
+    large = both.where("a_n is not null and b_n is not null").select("a", "b").join(x, "a").join(y, "b").select("a", "b", "a_big", "b_big", "a_n", "b_n")
+    return both.where("a_n is null or b_n is null").select("a", "b").unionByName(large.mapInArrow(check, "a long, b long"))
+
+
 def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets (row, hs) reach the similarity."""
 
@@ -246,7 +300,8 @@ def links(keyed: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     index = dealt(found.select(F.posexplode("prefix").alias("at", "h"), "n", "row").select("h", "n", "row", "at")).mapInArrow(many, "h long, n int, row long, at int")
     bits = common.materialize(found.select("row", "s1", "s2").join(reps, "row", "left_semi"), "near-bits")
     index = common.materialize(common.materialize(index, "near-lists").join(bits, "row").select("h", "n", "row", "at", "s1", "s2"), "near-index")
-    first = common.materialize(dealt(index).mapInArrow(star, "a long, b long").distinct(), "near-star")
+    first = common.materialize(dealt(index).mapInArrow(star, "a long, b long").distinct(), "near-star-all")
+    first = common.materialize(possible(first, found), "near-star")
     ends = lambda p: p.select(F.col("a").alias("row")).unionByName(p.select(F.col("b").alias("row"))).distinct()
     names = found.select("row", "k1", "k2")
     sets = common.materialize(sets_of(keyed, names.join(ends(first), "row", "left_semi")), "near-sets")
@@ -254,8 +309,12 @@ def links(keyed: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
     parts = connected_components(linked).withColumnRenamed("node", "row")
     parted = common.materialize(index.join(parts, "row", "left").select("h", "n", "row", "at", "s1", "s2", F.coalesce("component", "row").alias("component")), "near-parts")
     mixed = parted.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    other = dealt(parted.join(mixed.select("h"), "h", "left_semi")).mapInArrow(rest(), "a long, b long").distinct()
-    other = common.materialize(other.join(first, ["a", "b"], "left_anti"), "near-rest")
+    blocks = mixed.select("h", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    own = parted.join(blocks, "h").withColumn("b", F.pmod(F.xxhash64("row"), "blocks").cast("int"))
+    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "n", "row", "at", "s1", "s2", "component")
+    other = own.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "n", "row").mapInArrow(rest(), "a long, b long").distinct()
+    other = common.materialize(other.join(first, ["a", "b"], "left_anti"), "near-rest-all")
+    other = common.materialize(possible(other, found), "near-rest")
     more = sets_of(keyed, names.join(ends(other).join(ends(first), "row", "left_anti"), "row", "left_semi"))
     more = common.materialize(sets.join(ends(other), "row", "left_semi").unionByName(more), "near-sets")
     return linked.unionByName(similar(other, more))

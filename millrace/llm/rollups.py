@@ -149,18 +149,34 @@ class RollupStore:
         fs.delete(p, True)  # another writer was first
         return False
 
+    def _sums(self, batches: dict[str, str], last: dict) -> DataFrame:
+        """The totals of just these batches (name to path), of which those that last, a snapshot, holds are read from it."""
+        paths = [p for b, p in sorted(batches.items()) if b not in {*last["batches"]}] + ([last["path"]] if last["path"] else [])
+        rows = self.spark.read.schema(ROLLUP).parquet(*paths) if paths else self.spark.createDataFrame([], ROLLUP)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+
+    def _last(self) -> tuple[int, dict]:
+        """The newest snapshot's number, and what it says: its path and its batches."""
+        snapshots = self._marks("snapshots")
+        newest = max(map(int, snapshots), default=0)
+        return newest, json.loads(snapshots[str(newest)]) if newest else {"path": None, "batches": []}
+
     def snapshot(self) -> int:
-        """Sums up all committed batches in a new snapshot; how many batches it holds. Old snapshots stay until no reader needs them."""
+        """Sums up committed batches in a new snapshot; how many batches it holds, or 0 if another writer's took its number.
+
+        One list of batches is taken, and the snapshot holds those, whatever is committed meanwhile. Old snapshots stay until no reader
+        needs them.
+        """
+        newest, last = self._last()  # before the list: what it holds is in the list
         batches, path = self._marks("batches"), f"{self.folder}/rows/{uuid.uuid4().hex}"
-        self.totals().coalesce(1).write.parquet(path)
-        number = max((int(n) for n in self._marks("snapshots")), default=0) + 1
-        self._publish("snapshots", str(number), json.dumps({"path": path, "batches": sorted(batches)}))
-        return len(batches)
+        self._sums(batches, last).coalesce(1).write.parquet(path)
+        if self._publish("snapshots", str(newest + 1), json.dumps({"path": path, "batches": sorted(batches)})):
+            return len(batches)
+        fs, p = self._fs(path)
+        fs.delete(p, True)
+        return 0
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens of all committed batches; keys without documents or tokens are left out."""
-        batches, snapshots = self._marks("batches"), self._marks("snapshots")
-        last = json.loads(snapshots[max(snapshots, key=int)]) if snapshots else {"path": None, "batches": []}
-        paths = [p for b, p in sorted(batches.items()) if b not in {*last["batches"]}] + ([last["path"]] if last["path"] else [])
-        rows = self.spark.read.schema(ROLLUP).parquet(*paths) if paths else self.spark.createDataFrame([], ROLLUP)
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        _, last = self._last()
+        return self._sums(self._marks("batches"), last)

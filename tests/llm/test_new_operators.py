@@ -227,9 +227,10 @@ def test_substrings(spark, seed, tmp_path):
 
 def test_chunks_and_names(monkeypatch):
     """Names do not depend on where a chunk or a piece of the text begins."""
-    text = " ".join(random.Random(5).choice(["one", "two", "three", "vier", "fünf"]) for _ in range(3000)).encode()
+    r = random.Random(5)
+    text = " ".join(r.choice(["one", "two", "three", "vier", "fünf"]) for _ in range(3000)).encode()
     starts, ends = path_graph.words_of(text)
-    assert [text[a:b] for a, b in zip(starts, ends)] == text.split()
+    assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == text.split()
     whole = path_graph.word_names(text, starts, ends, 1)
     assert (whole == path_graph.word_names(text, starts, ends, 1, 100)).all()
     assert len(set(whole.tolist())) == 5
