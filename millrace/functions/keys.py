@@ -24,6 +24,13 @@ def json_bool(doc: Column, path: str) -> Column:
     return _typed(doc, path, "boolean")
 
 
+def utc_text(time: Column) -> Column:
+    """A UTC time with as many digits after the second (none, three or six) as it needs."""
+    micros = F.pmod(F.unix_micros(time), F.lit(1_000_000))
+    form = lambda p: F.date_format(F.to_utc_timestamp(time, F.current_timezone()), f"yyyy-MM-dd'T'HH:mm:ss{p}'Z'")
+    return F.when(micros == 0, form("")).when(micros % 1000 == 0, form(".SSS")).otherwise(form(".SSSSSS"))
+
+
 def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

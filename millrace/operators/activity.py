@@ -10,6 +10,11 @@ def at(now: str) -> Column:
     return F.to_timestamp(F.lit(now))
 
 
+def seconds_between(start: Column | str, end: Column | str) -> Column:
+    """Whole seconds from start to end: the difference is cut, not the times."""
+    return F.timestamp_diff("SECOND", F.col(start) if isinstance(start, str) else start, F.col(end) if isinstance(end, str) else end)
+
+
 def source_of() -> Column:
     """What an observation counts for: its channel if meta names one, else its source system."""
     return F.coalesce(F.nullif(F.trim(F.get_json_object("meta", "$.communication_channel_id")), F.lit("")), F.col("source_system"))
@@ -22,7 +27,7 @@ def freshness(observations: DataFrame, thresholds: DataFrame, now: str) -> DataF
     """
     seen = observations.groupBy("source").agg(F.max("published").alias("max_published"), F.max("recorded_at").alias("max_recorded"))
     rows = thresholds.join(seen, "source", "left").withColumn("last_at", F.greatest("max_published", "max_recorded"))
-    age = F.unix_timestamp(at(now)) - F.unix_timestamp("last_at")
+    age = seconds_between("last_at", at(now))
     status = F.when(F.col("last_at").isNull(), "unobserved").when(age > F.col("max_age_seconds"), "missing").otherwise("fresh")
     return rows.select("source", "max_published", "max_recorded", "last_at", age.alias("age_seconds"), status.alias("status"))
 
@@ -77,7 +82,7 @@ def reply_latency(incoming: DataFrame, drafts: DataFrame, sends: DataFrame, now:
     """
     first = drafts.join(sends, "draft_id").groupBy("observation_id").agg(F.min("sent_at").alias("sent_at"))
     status = F.when(F.col("sent_at") <= F.col("due_at"), "sent_on_time").when(F.col("sent_at").isNotNull(), "sent_late").when(at(now) > F.col("due_at"), "overdue").otherwise("pending")
-    latency = F.unix_timestamp("sent_at") - F.unix_timestamp("published")
+    latency = seconds_between("published", "sent_at")
     return incoming.join(first, "observation_id", "left").select("observation_id", "published", "due_at", "sent_at", latency.alias("latency_seconds"), status.alias("status"))
 
 
@@ -113,7 +118,7 @@ def resume_items(supplementals: DataFrame) -> DataFrame:
 def plan_state(resumes: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
     """Projects of either side: numbers and oldest ages of open claims and parkings, and how many current decisions."""
     current = decisions.where("is_current").groupBy("project").agg(F.count("*").alias("decisions"), F.max("created_at").alias("last_decision"))
-    age = lambda c: F.unix_timestamp(at(now)) - F.unix_timestamp(c)
+    age = lambda c: seconds_between(c, at(now))
     return resumes.join(current, "project", "full_outer").select(
         "project",
         F.coalesce("open_claims", F.lit(0)).alias("open_claims"),

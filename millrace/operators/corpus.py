@@ -14,7 +14,7 @@ from millrace.functions.text import nfkc
 BY_SYSTEM = {"sys:claude-ai": "claude-ai", "sys:claude-code": "claude-code", "sys:codex": "codex", "sys:gmail": "gmail", "sys:discord": "discord"}
 GITHUB_TYPES = {"issue": "github-issue", "pull_request": "github-pr", "issue_comment": "github-comment", "pull_request_review": "github-comment", "pull_request_review_comment": "github-comment", "commit": "github-commit"}
 CODING = ("claude-code", "codex")
-SHARING = ["private", "specific_users", "domain", "anyone_with_link", "public"]
+SHARING = ["specific_users", "domain", "anyone_with_link", "public"]
 
 
 def at(path: str, column: str = "payload") -> Column:
@@ -156,6 +156,7 @@ class Config:
     excluded_files: tuple[str, ...] = ()
     allowed_folders: tuple[str, ...] = ()
     least_sharing: str = "domain"
+    exclude_form_response_sheets: bool = True
 
 
 def _is_true(c: Column) -> Column:
@@ -177,12 +178,12 @@ def slack_allowed(config: Config) -> Column:
 
 
 def drive_allowed(config: Config) -> Column:
-    """Not excluded, in an allowed folder, and shared as widely as asked for."""
+    """Not excluded, in an allowed folder, and shared as widely as asked for; an unknown or private level is that of specific users."""
     parents = F.coalesce(F.from_json(at("metadata.parentIds"), "array<string>"), F.array().cast("array<string>"))
-    level = F.coalesce(F.array_position(F.array(*map(F.lit, SHARING)), F.coalesce(at("metadata.sharingLevel"), F.lit("specific_users"))), F.lit(2))
+    level = F.coalesce(F.array_position(F.array(*map(F.lit, SHARING)), F.translate(at("metadata.sharingLevel"), "-", "_")), F.lit(0))
     inside = F.arrays_overlap(parents, F.array(*map(F.lit, config.allowed_folders))) if config.allowed_folders else F.lit(False)
     excluded = F.coalesce(at("artifact.sourceObjectId").isin(*config.excluded_files), F.lit(False)) if config.excluded_files else F.lit(False)
-    return ~excluded & inside & (level >= 1 + SHARING.index(config.least_sharing))
+    return ~excluded & inside & (F.greatest(level, F.lit(1)) >= 1 + SHARING.index(config.least_sharing))
 
 
 def linked_sheets(observations: DataFrame) -> DataFrame:
@@ -193,7 +194,7 @@ def linked_sheets(observations: DataFrame) -> DataFrame:
 def corpus(observations: DataFrame, config: Config = Config()) -> DataFrame:
     """Corpus rows of observations that are already filtered for privacy; rows without text make none."""
     typed = observations.withColumn("source_type", source_type())
-    drive = F.col("schema") == "schema:workspace-object-snapshot"
+    drive = F.coalesce((F.col("schema") == "schema:workspace-object-snapshot") & (at("artifact.service") == "drive"), F.lit(False))
     content = F.col("schema") == "schema:form-response-content"
     typed = typed if "meta" in typed.columns else typed.withColumn("meta", F.lit("{}"))
     kept = typed.where(~content & F.when(F.col("source_type") == "slack", slack_allowed(config)).when(drive, drive_allowed(config)).otherwise(True))

@@ -41,11 +41,11 @@ def persons(candidates: DataFrame, accepted: DataFrame | None = None, cross_sour
 
 
 def name_pairs(candidates: DataFrame) -> DataFrame:
-    """Medium pairs (a, b, key) to be accepted or not: for each name, one candidate of each source with the least of all."""
+    """Medium pairs (a, b, key) to be accepted or not: for each name, the least candidate of each source, paired with that of the first source by name."""
     keyed = candidates.select("candidate", "source", F.nullif(name_key(F.col("name")), F.lit("")).alias("key")).where("key is not null")
     each = keyed.groupBy("key", "source").agg(F.min("candidate").alias("b"))
-    least = each.groupBy("key").agg(F.min("b").alias("a"))
-    return each.join(least, "key").where("a <> b").select("a", "b", "key")
+    first = each.groupBy("key").agg(F.min(F.struct("source", "b")).alias("first"))
+    return each.join(first, "key").where(F.col("source") != F.col("first.source")).select(F.col("first.b").alias("a"), "b", "key")
 
 
 def owned(identities: DataFrame, observations: DataFrame) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.plans import ingest_queries, lake_queries, record_queries, search_queries, state_queries
+from millrace.plans import ingest_queries, lake_queries, record_queries, search_queries, state_queries, workspace_queries
 
-_MODULES = (search_queries, lake_queries, state_queries, record_queries, ingest_queries)
+_MODULES = (search_queries, lake_queries, state_queries, record_queries, ingest_queries, workspace_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -17,14 +17,14 @@ def ingest_page(spark, d):
     """The gate's drafts on to the append: conversations with one opening word share a key, and the lake knows some keys."""
     drafts, observers, channels, decisions, blobs = _gate_input(spark, d)
     word = F.coalesce(F.element_at(F.split(F.get_json_object("payload", "$.content"), " "), 1), F.lit(""))
-    drafts = drafts.withColumns({"seq": F.col("subject"), "short": F.concat_ws("|", F.col("authority_model"), word), "canonical": F.substring(F.get_json_object("payload", "$.author_id"), 1, 1)})
-    gated = ingest.gate(drafts, observers, SCHEMAS, channels, decisions, blobs, "2023-11-14 22:10:00").drop("idempotency_key").withColumnRenamed("short", "idempotency_key")
+    drafts = drafts.withColumns({"seq": F.col("subject"), "idempotency_key": F.concat_ws("|", F.col("authority_model"), word), "canonical": F.get_json_object("payload", "$.author_id")})
+    gated = ingest.gate(drafts, observers, SCHEMAS, channels, decisions, blobs, "2023-11-14 22:10:00")
     known = gated.where("idempotency_key like '%|T%'").groupBy("idempotency_key").agg(F.min("canonical").alias("canonical"))
     return ingest.ingest_page(gated, known).select("subject", "result", "reason")
 
 
 PAGE_SQL = f"""
-WITH {GATE_ROWS_SQL}, k AS (SELECT *, CASE WHEN conv_id % 11 = 4 THEN 'dual_reference' ELSE 'lake_authoritative' END || '|' || coalesce(string_split(text, ' ')[1], '') AS k, role[1] AS c FROM gated),
+WITH {GATE_ROWS_SQL}, k AS (SELECT *, CASE authority WHEN 'dual' THEN 'dual_reference' WHEN 'source' THEN 'source_authoritative' ELSE 'lake_authoritative' END || '|' || coalesce(string_split(text, ' ')[1], '') AS k, role AS c FROM gated),
 known AS (SELECT k, min(c) AS c FROM k WHERE k LIKE '%|T%' GROUP BY k),
 a AS (SELECT k.*, known.c AS kc, first_value(k.c) OVER w AS fc, row_number() OVER w AS n FROM k LEFT JOIN known USING (k) WHERE outcome = 'accepted' WINDOW w AS (PARTITION BY k.k ORDER BY subject))
 SELECT subject, CASE WHEN kc IS NULL AND n = 1 THEN 'ingested' WHEN c = coalesce(kc, fc) THEN 'duplicate' ELSE 'quarantined' END AS result,

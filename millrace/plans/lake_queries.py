@@ -199,16 +199,28 @@ SELECT c_custkey, CASE WHEN consent = 'opted_out' OR NOT able THEN 'deny' WHEN t
 # ---- projections
 
 
+def late(time, number):
+    """A time that is up to a second later, by a number: times have fractions, in the events that lie behind a limit too."""
+    return F.timestamp_micros(F.unix_micros(time.cast("timestamp")) + F.pmod(F.col(number) * 377_717, F.lit(1_000_000)))
+
+
+LATE_SQL = "make_timestamp(epoch_us({}) + {} * 377717 % 1000000)"
+
+
 def freshness(spark, d):
+    """Events by type and part of a day as sources, whose limits are the whole seconds that their ages come close to."""
     e = read(spark, d, "events")
-    seen = e.select(F.col("event_type").alias("source"), F.col("ts").alias("published"), F.col("ts").alias("recorded_at"))
-    limits = spark.createDataFrame([("click", 3600), ("error", 600), ("view", 10**7), ("nothing", 60)], "source string, max_age_seconds long")
-    return activity.freshness(seen, limits, NOW).select("source", "last_at", "age_seconds", "status")
+    at = late(F.col("ts"), "event_id")
+    seen = e.select(F.concat_ws(":", "event_type", F.hour("ts")).alias("source"), at.alias("published"), at.alias("recorded_at"))
+    limits = seen.groupBy("source").agg(F.max(F.unix_micros("published")).alias("m")).select("source", (F.ceil((F.lit(1_706_659_200_250_000) - F.col("m")) / 1_000_000) - F.length("source") % 2).alias("max_age_seconds"))
+    limits = limits.unionByName(spark.createDataFrame([("nothing", 60)], "source string, max_age_seconds long"))
+    return activity.freshness(seen, limits, "2024-01-31 00:00:00.25").select("source", "last_at", "age_seconds", "status")
 
 
 FRESH_SQL = f"""
-WITH limits(source, most) AS (VALUES ('click', 3600), ('error', 600), ('view', 10000000), ('nothing', 60)), seen AS (SELECT event_type AS source, max(ts) AS last_at FROM events GROUP BY 1),
-r AS (SELECT l.source, s.last_at, l.most, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(s.last_at)) AS BIGINT) AS age_seconds FROM limits l LEFT JOIN seen s USING (source))
+WITH seen AS (SELECT event_type || ':' || hour(ts) AS source, max({LATE_SQL.format('ts', 'event_id')}) AS last_at FROM events GROUP BY 1),
+limits AS (SELECT source, CAST(ceil((1706659200250000 - epoch_us(last_at)) / 1000000) AS BIGINT) - length(source) % 2 AS most FROM seen UNION ALL SELECT 'nothing', 60),
+r AS (SELECT l.source, s.last_at, l.most, (1706659200250000 - epoch_us(s.last_at)) // 1000000 AS age_seconds FROM limits l LEFT JOIN seen s USING (source))
 SELECT source, last_at, age_seconds, CASE WHEN last_at IS NULL THEN 'unobserved' WHEN age_seconds > most THEN 'missing' ELSE 'fresh' END AS status FROM r
 """
 
@@ -275,13 +287,16 @@ def reply_latencies(o, li):
 
 
 def reply_latency(spark, d):
-    return reply_latencies(read(spark, d, "orders"), read(spark, d, "lineitem"))
+    """Orders and the lines that answer them, both at fractions of a second."""
+    o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
+    return reply_latencies(o.withColumn("o_orderdate", late(F.col("o_orderdate"), "o_orderkey")), li.withColumn("l_shipdate", late(F.col("l_shipdate"), "l_partkey")))
 
 
 REPLY_SQL = f"""
-WITH s AS (SELECT l_orderkey AS k, min(l_shipdate) AS sent_at FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS observation_id, sent_at, CAST(epoch(sent_at) - epoch(o_orderdate) AS BIGINT) AS latency_seconds,
-  CASE WHEN sent_at <= o_orderdate + INTERVAL 900 DAY THEN 'sent_on_time' WHEN sent_at IS NOT NULL THEN 'sent_late' WHEN TIMESTAMP '{NOW}' > o_orderdate + INTERVAL 900 DAY THEN 'overdue' ELSE 'pending' END AS status FROM orders LEFT JOIN s ON o_orderkey = k
+WITH s AS (SELECT l_orderkey AS k, min({LATE_SQL.format('l_shipdate', 'l_partkey')}) AS sent_at FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, {LATE_SQL.format('o_orderdate', 'o_orderkey')} AS published, {LATE_SQL.format('o_orderdate', 'o_orderkey')} + INTERVAL 900 DAY AS due FROM orders)
+SELECT o_orderkey AS observation_id, sent_at, CAST(trunc((epoch_us(sent_at) - epoch_us(published)) / 1000000) AS BIGINT) AS latency_seconds,
+  CASE WHEN sent_at <= due THEN 'sent_on_time' WHEN sent_at IS NOT NULL THEN 'sent_late' WHEN TIMESTAMP '{NOW}' > due THEN 'overdue' ELSE 'pending' END AS status FROM o LEFT JOIN s ON o_orderkey = k
 """
 
 
@@ -318,8 +333,8 @@ def plan_state(spark, d):
 
 
 PLAN_SQL = f"""
-SELECT user_id AS project, count(*) FILTER (event_type = 'click' AND value > 10) AS open_claims, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'click' AND value > 10))) AS BIGINT) AS oldest_claim_seconds,
-  count(*) FILTER (event_type = 'signup') AS parkings, CAST(epoch(TIMESTAMP '{NOW}') - floor(epoch(min(ts) FILTER (event_type = 'signup'))) AS BIGINT) AS oldest_parking_seconds,
+SELECT user_id AS project, count(*) FILTER (event_type = 'click' AND value > 10) AS open_claims, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(ts) FILTER (event_type = 'click' AND value > 10))) // 1000000 AS oldest_claim_seconds,
+  count(*) FILTER (event_type = 'signup') AS parkings, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(min(ts) FILTER (event_type = 'signup'))) // 1000000 AS oldest_parking_seconds,
   count(*) FILTER (event_type = 'purchase' AND value > 10) AS decisions, max(ts) FILTER (event_type = 'purchase' AND value > 10) AS last_decision FROM events GROUP BY user_id
 """
 

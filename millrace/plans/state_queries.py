@@ -124,14 +124,15 @@ UNION ALL SELECT k, id, 'unknown_draft_anchor' FROM e WHERE k NOT IN (SELECT o_o
 
 
 def _candidates(spark, d):
+    """Customers (of two sources) and suppliers; neither the order of sources nor that of candidates follows the other."""
     c, s = read(spark, d, "customer"), read(spark, d, "supplier")
-    a = c.select(F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("candidate"), F.lit("crm").alias("source"), F.concat_ws("@", F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("email"), F.concat(F.lit(" Acct "), F.floor("c_acctbal").cast("string")).alias("name"))
-    b = s.select(F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("candidate"), F.lit("erp").alias("source"), F.concat(F.lit("building@"), F.col("s_nationkey").cast("string")).alias("email"), F.concat(F.lit("acct "), F.floor("s_acctbal").cast("string")).alias("name"))
+    a = c.select(F.concat(F.lit("c"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("candidate"), F.when(F.col("c_custkey") % 3 == 0, "web").otherwise(F.lit("crm")).alias("source"), F.concat_ws("@", F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("email"), F.concat(F.lit(" Acct "), F.floor("c_acctbal").cast("string")).alias("name"))
+    b = s.select(F.concat(F.lit("s"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("candidate"), F.lit("audit").alias("source"), F.concat(F.lit("building@"), F.col("s_nationkey").cast("string")).alias("email"), F.concat(F.lit("acct "), F.floor("s_acctbal").cast("string")).alias("name"))
     return a.unionByName(b)
 
 
-CANDIDATES_SQL = """cand AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS candidate, 'crm' AS source, lower(c_mktsegment || '@' || c_nationkey) AS email, 'acct ' || CAST(floor(c_acctbal) AS BIGINT) AS name FROM customer
-  UNION ALL SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'erp', 'building@' || s_nationkey, 'acct ' || CAST(floor(s_acctbal) AS BIGINT) FROM supplier)"""
+CANDIDATES_SQL = """cand AS (SELECT 'c' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS candidate, CASE WHEN c_custkey % 3 = 0 THEN 'web' ELSE 'crm' END AS source, lower(c_mktsegment || '@' || c_nationkey) AS email, 'acct ' || CAST(floor(c_acctbal) AS BIGINT) AS name FROM customer
+  UNION ALL SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), 'audit', 'building@' || s_nationkey, 'acct ' || CAST(floor(s_acctbal) AS BIGINT) FROM supplier)"""
 
 
 def identity_components(spark, d):
@@ -154,7 +155,7 @@ def name_pairs(spark, d):
     return identity.name_pairs(_candidates(spark, d))
 
 
-NAME_SQL = f"WITH {CANDIDATES_SQL}, f AS (SELECT name, source, min(candidate) AS c FROM cand GROUP BY name, source), m AS (SELECT name, min(c) AS a FROM f GROUP BY name) SELECT a, c AS b, f.name AS key FROM f JOIN m ON f.name = m.name AND c <> a"
+NAME_SQL = f"WITH {CANDIDATES_SQL}, f AS (SELECT name, source, min(candidate) AS c FROM cand GROUP BY name, source), m AS (SELECT name, min(source) AS source, arg_min(c, source) AS a FROM f GROUP BY name) SELECT a, c AS b, f.name AS key FROM f JOIN m ON f.name = m.name AND f.source <> m.source"
 
 
 def ownership(spark, d):
@@ -214,7 +215,7 @@ def session_tree(spark, d):
 
 # ---- ingestion and corpus
 
-SCHEMAS = {"schema:discord-message": {"type": "object", "required": ["content"], "properties": {"content": {"type": "string"}, "channel_id": {"type": "string"}}, "x-version": "1.0.0"}, "schema:note": {"x-version": "2.0.0"}}
+SCHEMAS = {"schema:discord-message": {"type": "object", "required": ["content"], "properties": {"content": {"type": "string"}, "channel_id": {"type": "string"}}, "x-version": "1.0.0"}, "schema:observer-heartbeat": {"x-version": "1.0.0"}, "schema:note": {"x-version": "2.0.0"}}
 
 
 def _messages(spark, d):
@@ -228,15 +229,28 @@ def _messages(spark, d):
 
 
 def _gate_input(spark, d):
-    """Messages of conversations, a draft each: every fifth conversation's channel is disabled, every seventh is not registered, every eleventh refers to the source as well; some have attachments, and systems opted out and may have consented again by channel."""
-    drafts = messages.discord(_messages(spark, d)).withColumn("meta", F.concat(F.lit('{"source_instance":"one",'), F.expr("substring(meta, 2)")))
+    """Messages of conversations, a draft each, of lake and of dual observers. Every fifth conversation's channel is disabled, every seventh is not registered, every eleventh's drafts refer to the
+    source as well. Some first turns are heartbeats of any authority and capture, some senders are numbers, some drafts name a channel by id (their own, another's or none); some have attachments; every other is sent at half a
+    second; systems opted out and may have consented again by channel. Drafts of one turn share a key."""
+    drafts = messages.discord(_messages(spark, d))
     conv_id, turn = F.regexp_extract("subject", r"ch(\d+):", 1).cast("long"), F.regexp_extract("subject", r"-(\d+)$", 1).cast("long")
-    drafts = drafts.withColumns({"authority_model": F.when(conv_id % 11 == 4, "dual_reference").otherwise(F.col("authority_model")), "attachments": F.when(turn % 4 == 3, F.array(F.concat(F.lit("blob:"), (conv_id % 6).cast("string")))).otherwise(F.col("attachments"))})
+    beat = (turn == 0) & (conv_id % 13 == 5)
+    named = F.when(conv_id % 19 == 7, conv_id.cast("string")).when(conv_id % 19 == 8, F.lit("0")).when(conv_id % 19 == 9, F.lit("none"))
+    more = F.concat(F.lit('{"source_instance":"one",'), F.coalesce(F.concat(F.lit('"communication_channel_id":"channel:'), named, F.lit('",')), F.lit("")), F.expr("substring(meta, 2)"))
+    drafts = drafts.withColumns({
+        "meta": F.when(conv_id % 17 == 6, F.regexp_replace(more, '"communication_sender_id":"[^"]*"', '"communication_sender_id":7')).otherwise(more),
+        "schema": F.when(beat, "schema:observer-heartbeat").otherwise(F.col("schema")),
+        "observer": F.when(conv_id % 3 == 1, "obs:dual").otherwise(F.lit("obs:lake")),
+        "authority_model": F.when(beat & (conv_id % 4 == 1), "source_authoritative").when(conv_id % 11 == 4, "dual_reference").otherwise(F.lit("lake_authoritative")),
+        "capture_model": F.when(beat & (conv_id % 4 == 2), "snapshot").otherwise(F.col("capture_model")),
+        "idempotency_key": F.concat(F.lit("turn:"), turn.cast("string")),
+        "attachments": F.when(turn % 4 == 3, F.array(F.concat(F.lit("blob:"), (conv_id % 6).cast("string")))).otherwise(F.col("attachments")),
+        "published": F.timestamp_micros(F.unix_micros("published") + turn % 2 * 500_000)})
     conv = read(spark, d, "conversations").select("conv_id").distinct()
     channels = conv.where("conv_id % 7 <> 3").select(
-        F.concat(F.lit("channel:"), F.col("conv_id").cast("string")).alias("id"), F.lit("discord").alias("kind"), F.lit("one").alias("source_instance_id"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("external_id"), (F.col("conv_id") % 5 != 2).alias("enabled"), F.lit(3600).cast("long").alias("reply_slo_seconds")
-    )
-    observers = spark.createDataFrame([("obs:discord-crawler", "sys:discord", ["schema:discord-message"], "dual_reference", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
+        F.concat(F.lit("channel:"), F.col("conv_id").cast("string")).alias("id"), F.lit("discord").alias("kind"), F.lit("one").alias("source_instance_id"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("external_id"), (F.col("conv_id") % 5 != 2).alias("enabled"), F.lit(3600).cast("long").alias("reply_slo_seconds"),
+        F.lit(60).cast("long").alias("freshness_threshold_seconds"))
+    observers = spark.createDataFrame([(o, "sys:discord", [], a, "event") for o, a in (("obs:lake", "lake_authoritative"), ("obs:dual", "dual_reference"))], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
     old = spark.createDataFrame([("person:x", "user", "opted_out", "a")], "subject string, identifier string, status string, id string").withColumns({"published": minute(1), "recorded_at": minute(1)})
     again = conv.where("conv_id % 2 = 0").select(F.lit("person:y").alias("subject"), F.concat(F.lit("ch"), F.col("conv_id").cast("string")).alias("identifier"), F.lit("unrestricted").alias("status"), F.col("conv_id").cast("string").alias("id"), minute(2).alias("published"), minute(2).alias("recorded_at"))
     blobs = spark.createDataFrame([(f"blob:{i}",) for i in range(5)], "blob_ref string")
@@ -245,17 +259,26 @@ def _gate_input(spark, d):
 
 def ingest_gate(spark, d):
     drafts, observers, channels, decisions, blobs = _gate_input(spark, d)
-    return ingest.gate(drafts, observers, SCHEMAS, channels, decisions, blobs, "2023-11-14 22:10:00").select("subject", "outcome", "reason", "reply_due_at")
+    told = lambda n: F.get_json_object("meta", f"$.communication.{n}").alias(f"told_{n}")
+    return ingest.gate(drafts, observers, SCHEMAS, channels, decisions, blobs, "2023-11-14 22:10:00").select("subject", "outcome", "reason", "reply_due_at", told("channel_id"), told("sender"), told("reply_due_at"), told("reply_slo_seconds"), F.get_json_object("meta", "$.communication_thread_ref").alias("thread"))
 
 
+#: A draft of lake authority passes where its observer has that too, one of dual reference passes everywhere and is reviewed. A draft of a dual observer must be dual, but for heartbeats.
 GATE_ROWS_SQL = """
-m AS (SELECT 'message:discord:ch' || conv_id || ':' || conv_id || '-' || turn AS subject, conv_id, turn, role, text, make_timestamp((1700000000 + 60 * turn) * 1000000) AS tm FROM conversations),
-r AS (SELECT *, conv_id % 7 <> 3 AS registered FROM m),
-g AS (SELECT *, CASE WHEN NOT registered THEN 'unregistered channel' WHEN conv_id % 5 = 2 THEN 'disabled channel' WHEN role = 'user' AND conv_id % 2 = 1 THEN 'policy denied'
-  WHEN conv_id % 11 = 4 THEN 'policy review required' WHEN turn % 4 = 3 AND conv_id % 6 = 5 THEN 'missing attachment' WHEN tm > TIMESTAMP '2023-11-14 22:20:00' THEN 'clock skew' END AS reason FROM r),
-gated AS (SELECT *, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason = 'missing attachment' THEN 'rejected' ELSE 'quarantined' END AS outcome FROM g)
+m AS (SELECT 'message:discord:ch' || conv_id || ':' || conv_id || '-' || turn AS subject, conv_id, turn, role, text, make_timestamp((1700000000 + 60 * turn) * 1000000 + turn % 2 * 500000) AS tm, turn = 0 AND conv_id % 13 = 5 AS beat,
+  CASE conv_id % 19 WHEN 7 THEN CAST(conv_id AS VARCHAR) WHEN 8 THEN '0' WHEN 9 THEN 'none' END AS named, conv_id % 3 = 1 AS dual_observer FROM conversations),
+r AS (SELECT *, CASE WHEN beat AND conv_id % 4 = 1 THEN 'source' WHEN conv_id % 11 = 4 THEN 'dual' ELSE 'lake' END AS authority,
+  CASE WHEN beat THEN NULL WHEN named = 'none' THEN NULL WHEN named = '0' THEN 0 WHEN conv_id % 7 <> 3 THEN conv_id END AS channel FROM m),
+g AS (SELECT *, CASE WHEN authority <> 'dual' AND (authority <> CASE WHEN beat OR NOT dual_observer THEN 'lake' ELSE 'dual' END) THEN 'authority mismatch' WHEN beat AND conv_id % 4 = 2 THEN 'capture mismatch'
+  WHEN NOT beat AND conv_id % 17 = 6 THEN 'missing channel metadata' WHEN NOT beat AND channel IS NULL THEN 'unregistered channel' WHEN NOT beat AND channel % 5 = 2 THEN 'disabled channel' WHEN NOT beat AND channel <> conv_id THEN 'channel is another''s'
+  WHEN NOT beat AND role = 'user' AND conv_id % 2 = 1 THEN 'policy denied' WHEN authority = 'dual' THEN 'policy review required'
+  WHEN turn % 4 = 3 AND conv_id % 6 = 5 THEN 'missing attachment' WHEN tm > TIMESTAMP '2023-11-14 22:20:00' THEN 'clock skew' END AS reason FROM r),
+gated AS (SELECT *, CASE WHEN reason IS NULL THEN 'accepted' WHEN reason IN ('missing attachment', 'authority mismatch', 'capture mismatch') THEN 'rejected' ELSE 'quarantined' END AS outcome,
+  reason IS NULL AND NOT beat AS told FROM g)
 """
-GATE_SQL = f"WITH {GATE_ROWS_SQL} SELECT subject, outcome, reason, CASE WHEN registered THEN tm + INTERVAL 1 HOUR END AS reply_due_at FROM gated"
+GATE_SQL = f"""WITH {GATE_ROWS_SQL} SELECT subject, outcome, reason, CASE WHEN channel IS NOT NULL THEN tm + INTERVAL 1 HOUR END AS reply_due_at, CASE WHEN told THEN 'channel:' || channel END AS told_channel_id, CASE WHEN told THEN role END AS told_sender,
+  CASE WHEN told THEN strftime(tm + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S') || CASE WHEN turn % 2 = 1 THEN '.500Z' ELSE 'Z' END END AS told_reply_due_at, CASE WHEN told THEN '3600' END AS told_reply_slo_seconds,
+  'discord:thread:' || conv_id || '-' || CASE WHEN turn > 0 THEN 0 ELSE turn END AS thread FROM gated"""
 
 
 def corpus_projection(spark, d):

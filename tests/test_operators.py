@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions import keys
 from millrace.functions import text as T
-from millrace.operators import activity, append, components, graph, identity, ingest, inventory, lake, paging, privacy, search, states
-from millrace.sources import documents, messages
+from millrace.operators import activity, append, components, corpus, graph, identity, ingest, inventory, lake, paging, privacy, search, states, workspace
+from millrace.sources import documents, messages, snapshots
 from millrace.streaming import views
 
 
@@ -394,3 +394,74 @@ def test_roots_beyond_64_levels(spark):
     sup = [("s0", ["o"], [])] + [(f"s{i}", [], [f"s{i - 1}"]) for i in range(1, 150)]
     got = graph.source_roots(spark.createDataFrame(sup, "id string, observations array<string>, parents array<string>")).collect()
     assert len(got) == 150 and all(r.roots == ["o"] for r in got)
+
+
+def test_gate_by_its_rules(spark):
+    """Lake and dual observers, heartbeats, drafts that share a key, metadata of other types, channels by id, and what an accepted message tells."""
+    observers = spark.createDataFrame([("lake", "sys:slack", [], "lake_authoritative", "event"), ("dual", "sys:slack", [], "dual_reference", "snapshot"), ("n", "sys:notes", [], "lake_authoritative", "event")], "observer string, source_system string, schemas array<string>, authority_model string, capture_model string")
+    note = dict(schema="schema:note", schema_version="1.0.0", observer="lake", source_system="sys:slack", authority_model="lake_authoritative", capture_model="event", subject="s", target=None, payload="{}", attachments=[], published="2024-01-01 00:00:00.5", idempotency_key="same", meta="{}")
+    meta = {"source_instance": "i", "communication_channel_kind": "slack", "communication_channel_external_id": "C", "communication_sender_id": "U", "communication_thread_ref": "t", "kept": [1, {"a": None}]}
+    message = note | {"schema": "schema:slack-message", "payload": '{"channel_id": "C"}', "meta": json.dumps(meta)}
+    beat = note | {"schema": "schema:observer-heartbeat", "observer": "dual"}
+    told = lambda **more: message | {"meta": json.dumps(meta | more)}
+    cases = [
+        (note, "accepted", None), (note | {"authority_model": "dual_reference"}, "quarantined", "policy review required"), (note | {"authority_model": "source_authoritative"}, "rejected", "authority mismatch"),
+        (note | {"observer": "dual", "capture_model": "snapshot"}, "rejected", "authority mismatch"), (note | {"observer": "dual", "authority_model": "dual_reference"}, "rejected", "capture mismatch"),
+        (note | {"observer": "dual", "authority_model": "dual_reference", "capture_model": "snapshot"}, "quarantined", "policy review required"),
+        (beat, "accepted", None), (beat | {"capture_model": "snapshot"}, "rejected", "capture mismatch"), (beat | {"authority_model": "source_authoritative"}, "rejected", "authority mismatch"), (beat | {"authority_model": "dual_reference"}, "quarantined", "policy review required"),
+        (note | {"subject": "gone"}, "quarantined", "policy denied"), (note | {"subject": "stays"}, "accepted", None), (note | {"attachments": ["b"]}, "rejected", "missing attachment"), (note | {"attachments": ["a"]}, "accepted", None),
+        (message, "accepted", None), (told(communication_sender_id=7), "quarantined", "missing channel metadata"), (told(communication_channel_id="c1"), "accepted", None), (told(communication_channel_id=5), "accepted", None),
+        (told(communication_channel_id="c9"), "quarantined", "unregistered channel"), (told(communication_channel_id="c2"), "quarantined", "channel is another's"), (told(communication_channel_id="c3"), "quarantined", "disabled channel"),
+        (told(source_instance="j"), "quarantined", "unregistered channel"), (message | {"payload": '{"channel_id": 1}'}, "quarantined", "channel differs from payload"), (told(communication_sender_id="V"), "quarantined", "policy denied"),
+        (message | {"observer": "n", "source_system": "sys:notes", "meta": "{}"}, "accepted", None),  # a system without channels
+    ]
+    names = [*note, "nr"]
+    drafts = spark.createDataFrame([tuple((case | {"nr": i})[n] for n in names) for i, (case, _, _) in enumerate(cases)], ", ".join(f"{n} {'array<string>' if n == 'attachments' else 'int' if n == 'nr' else 'string'}" for n in names)).withColumn("published", F.to_timestamp("published"))
+    channels = spark.createDataFrame([("c1", "slack", "i", "C", True, 90, 5, True, ["boss"]), ("c2", "slack", "i", "D", True, 90, 5, None, None), ("c3", "slack", "i", "C3", False, 90, 5, None, None)], "id string, kind string, source_instance_id string, external_id string, enabled boolean, reply_slo_seconds long, freshness_threshold_seconds long, break_glass_channel boolean, break_glass_senders array<string>")
+    decisions = spark.createDataFrame([("gone", None, "opted_out", 1, 1, "a"), ("x", "V", "opted_out", 1, 1, "b")], "subject string, identifier string, status string, published int, recorded_at int, id string")
+    schemas = {n: {} for n in ("schema:note", "schema:slack-message", "schema:observer-heartbeat")}
+    got = {r.nr: r for r in ingest.gate(drafts, observers, schemas, channels, decisions, spark.createDataFrame([("a",)], "blob_ref string"), "2024-01-01 00:00:00").select("*", F.unix_micros("reply_due_at").alias("due")).collect()}
+    assert [(got[i].outcome, got[i].reason) for i in range(len(cases))] == [(o, w) for _, o, w in cases]
+    (full,) = {i: json.loads(r.meta) for i, r in got.items() if cases[i][0] is message}.values()
+    assert full["kept"] == meta["kept"] and full["communication_channel_id"] == "c1" and full["communication"] == {
+        "channel_id": "c1", "kind": "slack", "source_instance": "i", "external_id": "C", "sender": "U", "thread_ref": "t", "reply_slo_seconds": 90, "reply_due_at": "2024-01-01T00:01:30.500Z",
+        "freshness_threshold_seconds": 5, "break_glass_channel": True, "break_glass_senders": ["boss"]}
+    assert got[14].due == 1704067290_500000 and got[0].due is None and json.loads(got[0].meta) == {} and "communication" not in json.loads(got[23].meta)
+
+
+def test_workspace_corpus(spark):
+    """Parts of snapshots: chunks with their number in the tree, rows without text, values of other types, sheets of responses, folders and owners."""
+    snapshot = lambda id, service, kind=None, **more: (id, "schema:workspace-object-snapshot", json.dumps({"title": f"T{id}", **more, "artifact": {"service": service, "objectType": kind, "canonicalUri": f"u{id}", "sourceObjectId": f"o{id}", "containerId": "k", **more.get("artifact", {})}}), "{}")
+    chunks = [{"heading": "Intro", "anchor": "h.intro", "text": "Alpha"}, {"text": " 　\n"}, {"heading": 5, "text": 7}, {"heading": "Plan", "text": "Beta"}, "odd", None]
+    rows = [{"rowNumber": 2, "cells": [{"header": "Name", "value": "Cable"}, {"header": None, "value": "3"}, {"header": "x", "value": 4}]}, {"rowNumber": 3, "cells": [{}]}, {"rowNumber": -1, "cells": [{"value": "neg"}]}, {"rowNumber": "9", "cells": [{"value": "text"}]}, 5]
+    tabs = [{"name": "Items", "rows": rows}, {"rows": [{"cells": [{"value": "nameless"}]}]}, {"name": "none"}]
+    observations = [
+        snapshot("d", "docs", native={"chunks": chunks}), snapshot("d2", "docs", native={"chunks": {"text": "no array"}}), snapshot("d3", "docs"), snapshot("s", "sheets", native={"tabs": tabs}),
+        snapshot("r", "sheets", native={"tabs": tabs}, metadata={"formResponseSheet": True}), snapshot("r2", "sheets", native={"tabs": tabs}), snapshot("f", "forms", "form", native={"questions": [{"title": "A?"}, {"title": 1}, {"title": "B?"}]}, metadata={"linkedSheetId": "or2"}),
+        snapshot("f1", "forms", "form-response-fact", response={"respondent": None, "submittedAt": "then"}), snapshot("f2", "forms", "form-response-content", response={"answers": {"q": "secret"}}),
+        snapshot("p", "slides", native={"slides": [{"b": "two", "a": ["one", 1, {"z": "in"}]}, "three"]}), snapshot("p2", "slides", relations={"owner": "quits"}), snapshot("v", "drive", "pdf", native={"text": "body"}, metadata={"parentIds": ["in"], "sharingLevel": "anyone-with-link"}),
+        snapshot("v2", "drive", "pdf", metadata={"parentIds": ["in"], "sharingLevel": "private"}), snapshot("v3", "drive", "pdf", metadata={"parentIds": ["out"], "sharingLevel": "public"}), snapshot("v4", "drive", "pdf", metadata={"sharingLevel": "public"}), snapshot("x", "other"),
+        ("bot", "schema:bot-answer-log", '{"artifact": {"service": "docs"}, "native": {"chunks": [{"text": "out"}]}}', "{}"), ("bad", "schema:workspace-object-snapshot", "{", "{}"), ("gone", "schema:workspace-object-snapshot", snapshot("d", "docs", native={"chunks": chunks})[2], '{"retracts": {}}'), (None, "schema:workspace-object-snapshot", None, None),
+        ("m", "schema:slack-message", '{"channel_name": "001_a", "channel_id": "C", "ts": "1.2", "text": "hi", "user_name": "U", "is_public_channel": true}', '{"object_id": "C-1.2"}'), ("m2", "schema:slack-message", '{"channel_name": "001_a", "text": "hi"}', "{}"),
+    ]
+    table = spark.createDataFrame(observations, "id string, schema string, payload string, meta string").withColumn("published", F.timestamp_seconds(F.lit(5)))
+    config = corpus.Config(opted_out_people=("quits",), allowed_folders=("in",))
+    got = {r.record_id: r for r in workspace.workspace_corpus(table, config).collect()}
+    assert sorted(got) == sorted(["corpus:docs:d:0", "corpus:docs:d:3", "corpus:sheets:s:Items:2", "corpus:sheets:s:Items:0", "corpus:sheets:s:Sheet:0", "corpus:forms:f:form", "corpus:forms:f1:form-response-fact", "corpus:slides:p", "corpus:drive:v", "corpus:slack:C:1.2"])
+    assert (got["corpus:docs:d:0"].anchor_url, got["corpus:docs:d:0"].source_location, got["corpus:docs:d:3"].anchor_url) == ("ud#h.intro", "Intro", "ud")
+    assert (got["corpus:sheets:s:Items:2"].text, got["corpus:sheets:s:Items:2"].source_location, got["corpus:sheets:s:Items:2"].anchor_url) == ("Name: Cable\n3", "Items row 2", "us#gid=Items&range=2:2")
+    assert got["corpus:forms:f:form"].text == "Tf\nA?\nB?" and got["corpus:forms:f1:form-response-fact"].text == "unknown answered at then" and json.loads(got["corpus:forms:f:form"].metadata)["linked_sheet_id"] == "or2"
+    assert got["corpus:slides:p"].text == "one\n\nin\ntwo\nthree" and got["corpus:drive:v"].text == "body" and json.loads(got["corpus:slack:C:1.2"].metadata) == {"observation_id": "m", "source_object_id": "C-1.2", "channel_id": "C", "author": "U"}
+    kept = workspace.workspace_corpus(table, corpus.Config(exclude_form_response_sheets=False, allowed_folders=("in",), least_sharing="specific_users"))
+    assert kept.where("source_type = 'sheets'").count() == 12 and kept.where("source_type = 'drive'").count() == 2 and kept.where("record_id = 'corpus:slides:p2'").count() == 1
+    assert workspace.workspace_corpus(table.where("false")).count() == 0
+
+
+def test_snapshots_reach_the_corpus(spark):
+    deck = snapshots.slides(spark.createDataFrame([("p", "r", "Deck", "http://p", None, "own", ["e"], None, None, "blob:sha256:n", ["blob:sha256:a", "b"])], snapshots.SLIDES).withColumn("modified", F.timestamp_micros(F.lit(1_500_000))))
+    (row,) = deck.collect()
+    assert row.attachments == ["blob:sha256:a", "b", "blob:sha256:n"] and json.loads(row.payload)["native"] == {"encoding": "blob-ref", "blobRef": "blob:sha256:n"} and json.loads(row.payload)["revision"]["sourceModifiedAt"] == "1970-01-01T00:00:01.500Z"
+    assert json.loads(json.loads(row.meta)["canonical_json"]) == {"attachment_sha256": ["a", "n"], "modified_time": "1970-01-01T00:00:01.500000Z", "presentation_id": "p", "revision_id": "r"} and row.authority_model == "source_authoritative"
+    sheet = snapshots.sheets(spark.createDataFrame([("s", "r", "Sheet", None, None, False, [("T", [["a", "b"], ["1", "2", "3"]]), ("E", [])])], snapshots.SHEETS).withColumn("modified", F.timestamp_seconds(F.lit(1))))
+    both = workspace.workspace_corpus(deck.unionByName(sheet).withColumn("id", F.get_json_object("meta", "$.object_id")))
+    assert {r.source_type: r.text for r in both.collect() if r.source_type == "sheets"} == {"sheets": "a: 1\nb: 2\n3"} and both.where("source_type = 'slides' and text like '%Deck'").count() == 1
