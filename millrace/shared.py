@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -46,7 +47,10 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes the tables that are materialized within it; what is returned from it reads kept tables alone."""
+    """Removes the tables that are materialized within it; what is returned from it reads kept tables alone.
+
+    The shuffles of its steps are asked to go as well: Spark removes a shuffle's files once the driver's garbage collector has found it unused.
+    """
     _scratch.append([])
     try:
         yield
@@ -54,3 +58,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for path in _scratch.pop():
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        spark._jvm.System.gc()
