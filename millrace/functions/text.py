@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -177,38 +179,39 @@ def char_ranges(text: str, patterns: list) -> list[tuple[int, int]]:
 
 def snippet_of(raw: str, hit: int, size: int = SNIPPET_CHARS) -> str:
     """size characters with the hit in the middle, as far as the text goes; ... stands for what is cut off and counts in the size."""
-    n = len(raw)
+    n, one, two = len(raw), size - 3, size - 6  # what is left beside one mark, and beside two
     if n <= size:
         return raw
     hit = min(hit, n - 1)
-    marks, start, end = (hit > size // 2, n - hit > size // 2), 0, 0
-    for _ in range(8):  # which ends are cut depends on the room that the marks leave
-        body = size - 3 * sum(marks)
-        start = max(0, hit - body // 2)
-        start, end = (start, start + body) if start + body <= n else (n - body, n)
-        if marks == (start > 0, end < n):
-            break
-        marks = (start > 0, end < n)
-    return "..." * (start > 0) + raw[start:end] + "..." * (end < n)
+    if hit <= one // 2:
+        return raw[:one] + "..."
+    if hit - one // 2 + one >= n:
+        return "..." + raw[n - one :]
+    start = hit - two // 2
+    return f"...{raw[start : start + two]}..."
 
 
-def matched(pattern: str, size: int = SNIPPET_CHARS):
-    """A vectorized function: (raw text, searched text) to struct<ranges, snippet>, in one search of each row.
+MATCHED = "ranges array<struct<start: int, end: int>>, snippet string"
+
+
+def matched(pattern: str, raw: int, searched: int, size: int = SNIPPET_CHARS):
+    """A function over Arrow batches that adds ranges and snippet (MATCHED) to rows, in one search of each; raw and searched are places of text columns.
 
     ranges are the first MAX_RANGES matches as UTF-8 byte ranges of the searched text; the snippet is a piece of the raw
     text around the first match. Null where the text is null.
     """
-    patterns = _compiled(pattern)
-
-    @pandas_udf("ranges array<struct<start: int, end: int>>, snippet string")
-    def found(raw: pd.Series, searched: pd.Series) -> pd.DataFrame:
-        ranges, snippets = [], []
-        for r, s in zip(raw, searched, strict=True):
-            spans = [] if s is None else char_ranges(s, patterns)[:MAX_RANGES]
-            places = spans if s is None or s.isascii() else [(len(s[:a].encode()), len(s[:b].encode())) for a, b in spans]
-            ranges.append(None if s is None else [{"start": a, "end": b} for a, b in places])
-            snippets.append(None if r is None else snippet_of(r, spans[0][0] if spans else 0, size))
-        return pd.DataFrame({"ranges": ranges, "snippet": snippets})
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = _compiled(pattern)
+        for batch in batches:
+            ranges, snippets = [], []
+            for r, s in zip(batch.column(raw).to_pylist(), batch.column(searched).to_pylist(), strict=True):
+                spans = [] if s is None else char_ranges(s, patterns)[:MAX_RANGES]
+                places = spans if s is None or s.isascii() else [(len(s[:a].encode()), len(s[:b].encode())) for a, b in spans]
+                ranges.append(None if s is None else [{"start": a, "end": b} for a, b in places])
+                snippets.append(None if r is None else snippet_of(r, spans[0][0] if spans else 0, size))
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranges, kind), pa.array(snippets, pa.string())], [*batch.schema.names, "ranges", "snippet"])
 
     return found
 

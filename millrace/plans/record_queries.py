@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from millrace.functions import keys as K
 from millrace.operators import activity, append, graph, lake, paging, states
 from millrace.operators import corpus as C
-from millrace.plans.lake_queries import REPLY_SQL, SESSION_SQL, reply_latencies, reply_latency
+from millrace.plans.lake_queries import REPLY_SQL, SESSION_SQL, late, reply_latencies, reply_latency
 from millrace.plans.state_queries import CARD_SQL
 from millrace.plans.tables import NOW, corpus, minute, read
 from millrace.shared import new_path
-from millrace.streaming import views
+from millrace.streaming import folds, views
 
 
 def observation_page(spark, d):
@@ -223,7 +223,7 @@ SELECT id AS record_id, 'slack' AS source_type, '#' || room AS source_title, CAS
 def drive_corpus(spark, d):
     """Parts as files: in an allowed folder, shared widely enough, not excluded, and not the sheet of a form."""
     p = read(spark, d, "part")
-    level = F.element_at(F.array(*map(F.lit, C.SHARING)), (F.col("p_size") % 5 + 1).cast("int"))
+    level = F.element_at(F.array(*map(F.lit, ("private", *C.SHARING))), (F.col("p_size") % 5 + 1).cast("int"))
     file = F.to_json(
         F.struct(
             F.struct(F.col("p_partkey").cast("string").alias("sourceObjectId"), F.lit("drive").alias("containerId")).alias("artifact"), F.struct(F.array(F.col("p_brand")).alias("parentIds"), level.alias("sharingLevel")).alias("metadata"), F.col("p_name").alias("title")
@@ -288,43 +288,54 @@ def _run(stream, fold, folder):
 
 
 def stream_corpus(spark, d):
-    """A corpus kept by micro-batches from a lake of documents and, after them, retractions of toxic ones."""
+    """A corpus kept by micro-batches from a lake of documents and, after some of them, retractions of toxic ones, in files that mix both."""
     docs, toxic = corpus(spark, d), read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("record_id"))
-    lake = docs.select(F.lit(1).alias("seq"), "record_id").unionByName(toxic.select(F.lit(2).alias("seq"), "record_id"))
-    folder, stream = _stream(spark, lake, "seq", "corpus-view")
+    lake = docs.select("record_id", "source_type", "container", "timestamp", F.lit(False).alias("retracts")).unionByName(toxic.withColumn("retracts", F.lit(True)), allowMissingColumns=True)
+    folder, stream = _stream(spark, lake.withColumn("file", F.hash("record_id", "retracts")), "file", "corpus-view")
 
-    def recompute(ids):
-        gone = spark.read.parquet(f"{folder}/in").where("seq = 2").select("record_id")
-        return docs.select("record_id", "source_type", "container", "timestamp").join(ids, "record_id", "left_semi").join(gone, "record_id", "left_anti")
+    def compute(rows):
+        gone = rows.where("retracts").select("record_id")
+        return rows.where("not retracts").join(gone, "record_id", "left_anti").select("record_id", "source_type", "container", "timestamp").dropDuplicates(["record_id"])
 
-    view = views.RecomputedView(spark, f"{folder}/view", "record_id", lambda batch: batch, recompute)
+    view = views.ArrivedView(spark, folder, "record_id", compute)
     _run(stream, view.fold, folder)
     return view.current()
 
 
-def stream_cards(spark, d):
-    """Reply cards kept by micro-batches of their events, each time from all events of the cards that a batch touches."""
+def card_facts(spark, d):
+    """Drafts of reply cards and the events about them as facts of one stream: draft_id, kind, id, at, expires_at, event."""
     from millrace.plans import state_queries as S
 
-    drafts, li = S.card_drafts(spark, d), read(spark, d, "lineitem")
-    folder, stream = _stream(spark, li.select("l_orderkey", "l_shipdate"), "l_shipdate", "cards-view")
-    mine = lambda rows, keys, key: rows.join(keys.select(F.col("draft_id").alias(key)), key, "left_semi")
-    recompute = lambda keys: states.cards(mine(drafts, keys, "draft_id"), S._card_events(mine(li, keys, "l_orderkey"), malformed=False), NOW).select("draft_id", "state", "updated_at", "taken")
-    view = views.RecomputedView(spark, f"{folder}/view", "draft_id", lambda batch: batch.withColumnRenamed("l_orderkey", "draft_id"), recompute)
-    _run(stream, view.fold, folder)
-    return view.current()
+    events = S._card_events(read(spark, d, "lineitem"), malformed=False)
+    drafts = S.card_drafts(spark, d).select("draft_id", F.lit("draft").alias("kind"), F.lit(None).cast(events.schema["id"].dataType).alias("id"), F.col("created_at").alias("at"), "expires_at", F.lit(None).cast("string").alias("event"))
+    told = events.select("draft_id", F.lit("event").alias("kind"), "id", F.col("created_at").alias("at"), F.lit(None).cast(drafts.schema["expires_at"].dataType).alias("expires_at"), "event")
+    return drafts.unionByName(told)
+
+
+def stream_cards(spark, d):
+    """Reply cards folded in the state of a stream from drafts and events alone, whose files are in no order of time."""
+    facts = card_facts(spark, d)
+    folder, stream = _stream(spark, facts.withColumn("file", F.hash("draft_id", "kind", "id")), "file", "cards-state", 6, 2)
+    view = folds.CardsView(spark, folder)
+    folds.run_cards(stream.drop("file"), view, f"{folder}/checkpoint")
+    return view.current(NOW).select("draft_id", "state", "updated_at", "taken")
 
 
-CARDS_SQL = f"SELECT c.* FROM ({CARD_SQL}) c WHERE draft_id IN (SELECT l_orderkey FROM lineitem)"
+CARDS_SQL = f"SELECT * FROM ({CARD_SQL})"
 
 
 def stream_replies(spark, d):
     """Latencies of replies kept by micro-batches of incoming orders and of sends, in any order."""
     o, li = read(spark, d, "orders"), read(spark, d, "lineitem")
-    facts = o.select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderdate").alias("at")).unionByName(li.select(F.col("l_orderkey").alias("observation_id"), F.col("l_shipdate").alias("at")))
-    folder, stream = _stream(spark, facts, "at", "replies-view")
-    recompute = lambda keys: reply_latencies(o.join(keys, F.col("o_orderkey") == F.col("observation_id"), "left_semi"), li.join(keys, F.col("l_orderkey") == F.col("observation_id"), "left_semi"))
-    view = views.RecomputedView(spark, f"{folder}/view", "observation_id", lambda batch: batch, recompute)
+    facts = o.select(F.col("o_orderkey").alias("observation_id"), F.lit("in").alias("kind"), late(F.col("o_orderdate"), "o_orderkey").alias("at"), F.lit(0).alias("line"))
+    facts = facts.unionByName(li.select(F.col("l_orderkey").alias("observation_id"), F.lit("sent").alias("kind"), late(F.col("l_shipdate"), "l_partkey").alias("at"), F.col("l_linenumber").cast("int").alias("line")))
+    folder, stream = _stream(spark, facts.withColumn("file", F.hash("observation_id", "kind", "line")), "file", "replies-view")
+
+    def compute(rows):
+        orders = rows.where("kind = 'in'").select(F.col("observation_id").alias("o_orderkey"), F.col("at").alias("o_orderdate")).distinct()
+        return reply_latencies(orders, rows.where("kind = 'sent'").select(F.col("observation_id").alias("l_orderkey"), F.col("line").alias("l_linenumber"), F.col("at").alias("l_shipdate")))
+
+    view = views.ArrivedView(spark, folder, "observation_id", compute)
     _run(stream, view.fold, folder)
     return view.current()
 
@@ -333,16 +344,15 @@ def stream_sessions(spark, d):
     """Summaries of sessions kept by micro-batches of history entries."""
     t = read(spark, d, "conversations")
     rows = t.select(F.col("conv_id").alias("session_ref"), minute("turn").alias("published_at"), F.col("role").alias("surface"), F.substring("role", 1, 1).alias("channel"))
-    folder, stream = _stream(spark, rows.select("session_ref", "published_at"), "published_at", "sessions-view")
-    recompute = lambda keys: activity.sessions(rows.join(keys, "session_ref", "left_semi")).withColumns({c: F.array_join(c, ",") for c in ("surfaces", "channels")})
-    view = views.RecomputedView(spark, f"{folder}/view", "session_ref", lambda batch: batch, recompute)
+    folder, stream = _stream(spark, rows, "published_at", "sessions-view")
+    view = views.ArrivedView(spark, folder, "session_ref", lambda mine: activity.sessions(mine).withColumns({c: F.array_join(c, ",") for c in ("surfaces", "channels")}))
     _run(stream, view.fold, folder)
     return view.current()
 
 
 def stream_components(spark, d):
-    """Components of parts and suppliers kept by micro-batches of order lines of a few parts."""
-    edges = read(spark, d, "lineitem").where("l_partkey % 7 = 1").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"), "l_orderkey")
+    """Components of parts and suppliers kept by micro-batches of order lines: only lines of small quantity join a part and a supplier, so that there are many."""
+    edges = read(spark, d, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.when(F.col("l_quantity") <= 1, F.concat(F.lit("s"), "l_suppkey")).otherwise(F.concat(F.lit("p"), "l_partkey")).alias("b"), "l_orderkey")
     folder, stream = _stream(spark, edges, "l_orderkey", "components-view")
     view = views.ComponentsView(spark, f"{folder}/view")
     _run(stream, view.fold, folder)
@@ -350,24 +360,30 @@ def stream_components(spark, d):
 
 
 COMPONENTS_SQL = """
-WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_partkey % 7 = 1), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, CASE WHEN l_quantity <= 1 THEN 's' || l_suppkey ELSE 'p' || l_partkey END AS b FROM lineitem), g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS to_node FROM g UNION SELECT r.node, g.b FROM r JOIN g ON r.to_node = g.a)
 SELECT node, min(to_node) AS component FROM r GROUP BY node
 """
 
 
 def stream_index(spark, d):
-    """An n-gram index kept by micro-batches: turns come in, then those of systems are retracted; postings by n-gram."""
+    """An n-gram index kept by micro-batches: turns come in, and those of systems are retracted, in files that mix both; postings by n-gram."""
     t = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), "role", "text")
-    lake = t.select(F.lit(1).alias("seq"), "record_id").unionByName(t.where("role = 'system'").select(F.lit(2).alias("seq"), "record_id"))
-    folder, stream = _stream(spark, lake, "seq", "index-view")
+    lake = t.select("record_id", "text", F.lit(False).alias("retracts")).unionByName(t.where("role = 'system'").select("record_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("retracts")))
+    folder, stream = _stream(spark, lake.withColumn("file", F.hash("record_id", "retracts")), "file", "index-view")
+    arrivals = views.Arrivals(spark, f"{folder}/arrived", "record_id")
 
     def corpus_of(keys):
-        gone = spark.read.parquet(f"{folder}/in").where("seq = 2").select("record_id")
-        return t.join(keys, "record_id", "left_semi").join(gone, "record_id", "left_anti")
+        rows = arrivals.of(keys, stream)
+        return rows.where("not retracts").select("record_id", "text").join(rows.where("retracts").select("record_id"), "record_id", "left_anti").dropDuplicates(["record_id"])
 
     view = views.IndexView(spark, f"{folder}/view", corpus_of)
-    _run(stream, view.fold, folder)
+
+    def fold(batch, number):
+        arrivals.take(batch, number)
+        view.fold(batch, number)
+
+    _run(stream, fold, folder)
     return view.postings.read().groupBy("ngram").agg(F.count("*").alias("records"))
 
 
@@ -392,11 +408,7 @@ SELECT l.source, s.last_at, CASE WHEN s.last_at IS NULL THEN 'unobserved' WHEN e
 """
 
 BLOBS_SQL = "SELECT DISTINCT 'blob:sha256:' || sha256(text) AS blob_ref FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"
-REPLIES_SQL = f"""
-WITH s AS (SELECT l_orderkey AS k, min(l_shipdate) AS sent_at FROM lineitem GROUP BY 1), r AS (SELECT o_orderkey AS observation_id, sent_at, CAST(epoch(sent_at) - epoch(o_orderdate) AS BIGINT) AS latency_seconds,
-  CASE WHEN sent_at > o_orderdate + INTERVAL 900 DAY THEN 'sent_late' WHEN sent_at IS NULL AND TIMESTAMP '{NOW}' > o_orderdate + INTERVAL 900 DAY THEN 'overdue' END AS status FROM orders LEFT JOIN s ON o_orderkey = k)
-SELECT * FROM r WHERE status IS NOT NULL
-"""
+REPLIES_SQL = f"SELECT * FROM ({REPLY_SQL}) WHERE status IN ('sent_late', 'overdue')"
 
 QUERIES = {
     "observation_page": (observation_page, "SELECT event_id, user_id FROM events WHERE event_type = 'click' AND event_id > 100 ORDER BY event_id LIMIT 50"),

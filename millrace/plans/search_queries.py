@@ -37,6 +37,16 @@ def grep_with_matches(spark, d):
     return search.with_matches(search.grep(corpus(spark, d), r"[Tt]h[a-z]+ing"), r"[Tt]h[a-z]+ing").select("record_id", F.col("ranges").cast("string").alias("ranges"), "snippet")
 
 
+MATCHES_SQL = f"""
+WITH {CORPUS_SQL}, page AS (SELECT record_id, text FROM corpus WHERE regexp_matches(text, '[Tt]h[a-z]+ing') ORDER BY timestamp DESC, record_id LIMIT 100),
+m AS (SELECT *, regexp_extract_all(text, '[Tt]h[a-z]+ing') AS hits, string_split_regex(text, '[Tt]h[a-z]+ing') AS rest FROM page),
+r AS (SELECT *, length(rest[1]) AS hit, length(text) AS n, list_transform(range(1, least(len(hits), {T.MAX_RANGES}) + 1), lambda i: strlen(array_to_string(rest[1:i], '')) + strlen(array_to_string(hits[1:i - 1], ''))) AS starts FROM m)
+SELECT record_id, '[' || array_to_string(list_transform(starts, lambda s, i: '{{' || s || ', ' || (s + strlen(hits[i])) || '}}'), ', ') || ']' AS ranges,
+  CASE WHEN n <= {T.SNIPPET_CHARS} THEN text WHEN hit <= {(T.SNIPPET_CHARS - 3) // 2} THEN text[1:{T.SNIPPET_CHARS - 3}] || '...' WHEN hit - {(T.SNIPPET_CHARS - 3) // 2} + {T.SNIPPET_CHARS - 3} >= n THEN '...' || text[n - {T.SNIPPET_CHARS - 3} + 1:n]
+    ELSE '...' || text[hit - {(T.SNIPPET_CHARS - 6) // 2} + 1:hit - {(T.SNIPPET_CHARS - 6) // 2} + {T.SNIPPET_CHARS - 6}] || '...' END AS snippet FROM r
+"""
+
+
 def grep_normalized(spark, d):
     found = corpus(spark, d).withColumn("normalized_text", T.nfkc("text"))
     return search.grep(found, "é[a-z]+ê", searched="normalized_text").select(*PAGE)
@@ -203,7 +213,7 @@ QUERIES = {
         grep_filtered_page,
         f"WITH {CORPUS_SQL} SELECT record_id, source_type, container, timestamp FROM corpus WHERE regexp_matches(text, 'e[a-z]') AND source_type IN ('src1', 'src2', 'src3') AND container IN ('en', 'fr') AND timestamp >= TIMESTAMP '2023-11-14 22:30:00' AND (timestamp > TIMESTAMP '2023-11-14 23:00:00' OR timestamp = TIMESTAMP '2023-11-14 23:00:00' AND record_id > '40') ORDER BY timestamp, record_id LIMIT 20",
     ),
-    "grep_with_matches": (grep_with_matches, None),
+    "grep_with_matches": (grep_with_matches, MATCHES_SQL),
     "match_counts": (match_counts, "SELECT CAST(doc_id AS VARCHAR) AS record_id, CAST(len(regexp_extract_all(text, '[Tt]h[a-z]+ing')) AS BIGINT) AS matches FROM documents"),
     "canonical_bodies": (canonical_bodies, "SELECT doc_id, sha256(nfc_normalize(replace(text, chr(13) || chr(10), chr(10)))) AS sha256 FROM documents"),
     "source_type_counts": (source_type_counts, "SELECT source AS source_type, count(*) AS records FROM documents GROUP BY source"),

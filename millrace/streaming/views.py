@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from millrace.functions import text as T
 from millrace.operators.components import connected_components
@@ -24,10 +25,18 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
 
 
 class Buckets:
-    """A table whose rows lie in folders by a hash of their key; a few folders are replaced at a time."""
+    """A table whose rows lie in folders by a hash of their key; a few folders are replaced at a time.
+
+    The number of buckets is that of the first write: it is in the table's path, and a later n does not change it.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, key: str, n: int = 32) -> None:
-        self.spark, self.folder, self.key, self.n = spark, folder.rstrip("/"), key, n
+        self.spark, self.key = spark, key
+        top = spark._jvm.org.apache.hadoop.fs.Path(folder.rstrip("/"))
+        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+        made = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+        self.n = next((int(name.split("-")[1]) for name in made if name.startswith("buckets-")), n)
+        self.folder = f"{folder.rstrip('/')}/buckets-{self.n}"
 
     def bucket(self) -> Column:
         return F.pmod(F.hash(self.key), F.lit(self.n))
@@ -117,6 +126,54 @@ class RecomputedView:
         return self.store.read()
 
 
+class Arrivals:
+    """What a view has taken in so far, by micro-batch and bucket of the key; nothing else of the source is ever read.
+
+    A batch that runs again replaces what it had written, so nothing is taken twice.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, n: int = 32) -> None:
+        self.spark, self.folder, self.key, self.n = spark, folder.rstrip("/"), key, n
+
+    def bucket(self) -> Column:
+        return F.pmod(F.hash(self.key), F.lit(self.n))
+
+    def take(self, batch: DataFrame, number: int) -> None:
+        rows = batch.where(F.col(self.key).isNotNull()).withColumn("arrival_bucket", self.bucket())
+        rows.repartition("arrival_bucket").write.mode("overwrite").partitionBy("arrival_bucket").parquet(f"{self.folder}/arrival={number}")
+
+    def rows(self, like: DataFrame) -> DataFrame:
+        """All rows that have arrived, in the columns of like."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if not p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p):
+            return like.where("false")
+        schema = StructType([*like.schema.fields, StructField("arrival_bucket", IntegerType()), StructField("arrival", LongType())])
+        return self.spark.read.schema(schema).parquet(self.folder)
+
+    def of(self, keys: DataFrame, like: DataFrame) -> DataFrame:
+        """The rows of some keys that have arrived, from their buckets alone."""
+        here = sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())
+        return self.rows(like).where(F.col("arrival_bucket").isin(here)).join(keys, self.key, "left_semi").select(*like.columns)
+
+
+class ArrivedView(RecomputedView):
+    """A table by key, recomputed for the keys that a batch touches from the rows of theirs that have arrived.
+
+    compute(rows) gives a table by key of rows of the stream, which may come late, doubled or in any order.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> None:
+        super().__init__(spark, f"{folder}/view", key, lambda batch: batch, compute)
+        self.arrivals = Arrivals(spark, f"{folder}/arrived", key)
+
+    def fold(self, batch: DataFrame, number: int = 0) -> None:
+        self.arrivals.take(batch, number)
+        keys = materialize(batch.select(self.key).where(F.col(self.key).isNotNull()).distinct(), "touched")
+        buckets = self.store.touched(keys)
+        rows, old = self.recompute(self.arrivals.of(keys, batch)), self.store.read(buckets)
+        self.store.replace(buckets, old.join(keys, self.key, "left_anti").unionByName(rows) if old is not None else rows)
+
+
 class IndexView:
     """Postings (ngram, record_id) of a corpus that changes: what a record had goes, what it has comes in.
 

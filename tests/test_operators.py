@@ -1,5 +1,6 @@
 """Semantics that the driver tables do not reach, each against a small brute-force version."""
 
+import datetime
 import hashlib
 import json
 import random
@@ -11,7 +12,8 @@ from millrace.functions import keys
 from millrace.functions import text as T
 from millrace.operators import activity, append, components, corpus, graph, identity, ingest, inventory, lake, paging, privacy, search, states, workspace
 from millrace.sources import documents, messages, snapshots
-from millrace.streaming import views
+from millrace.streaming import folds, views
+from tests.conftest import SF
 
 
 def test_terms_and_patterns(spark):
@@ -25,12 +27,15 @@ def test_terms_and_patterns(spark):
 
 def test_ranges_are_utf8_bytes_and_snippets_fit(spark):
     text = "é" * 300 + "needle" + "z" * 300
-    row = spark.createDataFrame([(text,), (None,)], "t string").select(T.matched("needle")("t", "t").alias("x")).select(F.col("x.ranges").alias("r"), F.col("x.snippet").alias("s")).collect()
+    row = search.with_matches(spark.createDataFrame([(text,), (None,)], "t string"), "needle", "t", "t").select(F.col("ranges").alias("r"), F.col("snippet").alias("s")).collect()
     assert [(x.start, x.end) for x in row[0].r] == [(600, 606)]
     assert len(row[0].s) == 240 and row[0].s.startswith("...") and row[0].s.endswith("...") and "needle" in row[0].s
     assert row[1].r is None and row[1].s is None
-    many = spark.createDataFrame([("a" * 50,)], "t string").select(T.matched("a")("t", "t").alias("x")).first()
-    assert len(many.x.ranges) == 20 and many.x.snippet == "a" * 50
+    many = search.with_matches(spark.createDataFrame([("a" * 50,)], "t string"), "a", "t", "t").first()
+    assert len(many.ranges) == 20 and many.snippet == "a" * 50
+    plan = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").cast("string").alias("record_id"), "text", F.timestamp_seconds("doc_id").alias("timestamp"))
+    text = search.with_matches(search.grep(plan, "th[a-z]+ing"), "th[a-z]+ing")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=100" in text and text.index("MapInArrow") < text.index("TakeOrderedAndProject") and "rangepartitioning" not in text  # the top-k is below Python
 
 
 def slow_snippet(text, hit):
@@ -465,3 +470,38 @@ def test_snapshots_reach_the_corpus(spark):
     sheet = snapshots.sheets(spark.createDataFrame([("s", "r", "Sheet", None, None, False, [("T", [["a", "b"], ["1", "2", "3"]]), ("E", [])])], snapshots.SHEETS).withColumn("modified", F.timestamp_seconds(F.lit(1))))
     both = workspace.workspace_corpus(deck.unionByName(sheet).withColumn("id", F.get_json_object("meta", "$.object_id")))
     assert {r.source_type: r.text for r in both.collect() if r.source_type == "sheets"} == {"sheets": "a: 1\nb: 2\n3"} and both.where("source_type = 'slides' and text like '%Deck'").count() == 1
+
+
+def test_cards_fold_what_has_arrived(spark, tmp_path):
+    """After each run the cards are those of the facts that have arrived: drafts after their events, events out of order, doubled files, and a restart."""
+    facts = "draft_id long, kind string, id string, at timestamp, expires_at timestamp, event string"
+    rnd, ts = random.Random(21), lambda s: datetime.datetime.fromtimestamp(1_700_000_000 + s, datetime.UTC).replace(tzinfo=None)
+    rows = [(d, "draft", None, ts(d), ts(500) if d % 2 else None, None) for d in range(20)]
+    rows += [(d, "event", f"e{k}", ts(rnd.randint(0, 6)), None, rnd.choice([*states.CARD_STEPS, "noise", None])) for d in range(22) for k in range(rnd.randint(0, 6))]
+    rnd.shuffle(rows)
+    parts = [rows[:30], rows[30:31], rows[25:60], rows[60:]]
+    view, seen = folds.CardsView(spark, str(tmp_path / "view")), []
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, facts).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        seen += part
+        folds.run_cards(spark.readStream.schema(facts).parquet(f"{tmp_path}/in/*"), view, str(tmp_path / "checkpoint"))
+        arrived = spark.createDataFrame(seen, facts).distinct()
+        drafts = arrived.where("kind = 'draft'").select("draft_id", F.col("at").alias("created_at"), "expires_at")
+        events = arrived.where("kind = 'event'").select("draft_id", "id", F.col("at").alias("created_at"), "event")
+        now = "2023-11-14 22:21:41"
+        want = states.cards(drafts, events, now).select("draft_id", "state", "updated_at", "taken")
+        assert sorted(map(tuple, view.current(now).collect())) == sorted(map(tuple, want.collect())), n
+
+
+def test_views_read_nothing_that_has_not_arrived(spark, tmp_path):
+    """A view over part of the rows equals the batch result of that part; a batch that runs again changes nothing; the number of buckets stays."""
+    rows = spark.createDataFrame([(k % 5, k) for k in range(40)], "key long, n long")
+    compute = lambda r: r.distinct().groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    view = views.ArrivedView(spark, str(tmp_path), "key", compute)
+    for number, part in enumerate((rows.where("n < 7"), rows.where("n % 2 = 0"), rows.where("n % 2 = 0"), rows)):
+        for _ in range(2):
+            view.fold(part, number)
+        arrived = [rows.where("n < 7"), rows.where("n % 2 = 0"), rows.where("n % 2 = 0"), rows][: number + 1]
+        want = compute(arrived[0] if number == 0 else arrived[0].unionByName(arrived[1]) if number < 3 else rows)
+        assert sorted(map(tuple, view.current().collect())) == sorted(map(tuple, want.collect()))
+    assert views.Buckets(spark, f"{tmp_path}/view", "key", 7).n == 32 and views.Buckets(spark, f"{tmp_path}/none", "key", 7).n == 7
