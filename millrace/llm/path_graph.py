@@ -107,10 +107,28 @@ def segments(data: bytes, size: int) -> list[np.ndarray]:
     return [np.concatenate(c) if c else np.zeros(0, np.int64) for c in found]
 
 
-def edges(data: bytes, starts: np.ndarray, ends: np.ndarray, first: int, count: int, size: int) -> list[np.ndarray]:
-    """The names (two lanes) of count windows from word first on."""
-    a, b = first, first + count + size - 1
-    return [Runs(word_names(data, starts[a:b], ends[a:b], lane), lane).named(np.arange(count), size) for lane in (0, 1)]
+class Named:
+    """A text's words, and the names of its runs of words; for the texts that spans or requests meet."""
+
+    def __init__(self, data: bytes, lanes: tuple[int, ...] = (0, 1)) -> None:
+        self.starts, self.ends = words_of(data)
+        self.lanes = [Runs(word_names(data, self.starts, self.ends, lane), lane) for lane in lanes]
+
+    def named(self, start: np.ndarray, size: np.ndarray | int) -> list[np.ndarray]:
+        return [r.named(start, size) for r in self.lanes]
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, first + 1, ... (n of them) for each pair, and how far each is from first."""
+    off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(first, n) + off, off
+
+
+def fields_of(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each row's structs (of integers) begin and end, and the columns of all structs; a null row has none."""
+    ends = np.stack([lists.offsets[:-1].to_numpy(), lists.offsets[1:].to_numpy()], 1).astype(np.int64)
+    ends[np.asarray(lists.is_null())] = 0
+    return ends, [c.fill_null(0).to_numpy() for c in lists.values.flatten()]
 
 
 def _lists(columns: list[list[np.ndarray]], kinds: list[pa.DataType]) -> list[pa.Array]:
@@ -150,7 +168,8 @@ def walks(docs: DataFrame, size: int) -> DataFrame:
 
 def shared_segments(table: DataFrame) -> DataFrame:
     """Segments of walks whose minimizer another segment has too: ref, i (number in its text), m, s1, s2, next (s1 of the next segment or null), first, n."""
-    often = table.select(F.explode("m").alias("m")).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m")
+    # Written, so that the join has an exchange of its own on both sides, whose frequent keys adaptive execution can split.
+    often = common.materialize(table.select(F.explode("m").alias("m")).groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "often")
     ahead = F.concat(F.expr("slice(s1, 2, size(s1))"), F.array(F.lit(None).cast("long")))
     each = table.select("ref", F.posexplode(F.arrays_zip("m", "s1", "s2", ahead.alias("next"), "first", "n")).alias("i", "x")).select("ref", "i", "x.m", "x.s1", "x.s2", "x.next", "x.first", "x.n")
     return each.join(often, "m")
@@ -169,16 +188,14 @@ def compared(docs: DataFrame, owners: DataFrame, kinds: DataFrame, size: int) ->
         before = None
         for batch in common.slices(batches, 2):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for t1, t2, text, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            ends, (sid, first, n, c) = fields_of(batch.column(3))
+            for t1, t2, text, (a, b) in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), ends.tolist(), strict=True):
                 if before == (t1, t2):  # rows of equal texts come together; one that comes again elsewhere does no harm
                     continue
                 before = (t1, t2)
-                data = text.encode("utf-8", "surrogatepass")
-                starts, ends = words_of(data)
-                for x in asked:
-                    n = x["n"]
-                    for c, v in zip(out, (*edges(data, starts, ends, x["first"], n, size), np.full(n, x["sid"]), np.arange(n), np.full(n, x["c"] > 1)), strict=True):
-                        c.append(v)
+                at, off = spread(first[a:b].astype(np.int64), n[a:b].astype(np.int64))
+                for column, v in zip(out, (*Named(text.encode("utf-8", "surrogatepass")).named(at, size), np.repeat(sid[a:b], n[a:b]), off, np.repeat(c[a:b] > 1, n[a:b])), strict=True):
+                    column.append(v)
             if out[0]:
                 columns = [np.concatenate(c) for c in out]
                 kinds = [np.int64, np.int64, np.int64, np.int32, bool]
@@ -187,6 +204,7 @@ def compared(docs: DataFrame, owners: DataFrame, kinds: DataFrame, size: int) ->
     both = common.bounded(texts.join(asked, ["t1", "t2"]).select("t1", "t2", "text", "asked"))
     table = common.materialize(both.mapInArrow(name, "e1 long, e2 long, sid long, off int, many boolean"), "edges")
     repeated = table.groupBy("e1", "e2").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.max("many").alias("many")).where("many or lo < hi").select("e1", "e2")
+    repeated = common.materialize(repeated, "repeated-edges")
     found = table.where("not many").join(repeated, ["e1", "e2"]).groupBy("sid").agg(F.collect_set("off").alias("offs"))  # at most a segment's windows
     return kinds.join(found, "sid").select("ref", "first", F.explode("offs").alias("off")).select("ref", (F.col("first") + F.col("off")).alias("start"))
 
@@ -204,7 +222,7 @@ def repeated_spans(docs: DataFrame, size: int = 35) -> DataFrame:
     kinds = shared.groupBy("m", "s1", "s2").agg(F.count("*").alias("c"), F.min(F.struct("ref", "first", "n")).alias("at"))
     kinds = common.materialize(kinds.select("m", "s1", "s2", "c", "at.ref", "at.first", "at.n").withColumn("sid", F.monotonically_increasing_id()), "kinds")
     # Different segments of one minimizer, one of which occurs once.
-    several = kinds.groupBy("m").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("m")
+    several = common.materialize(kinds.groupBy("m").agg(F.count("*").alias("k"), F.min("c").alias("least")).where("k > 1 and least = 1").select("m"), "several")
     single = common.materialize(compared(docs, owners, kinds.join(several, "m", "left_semi").select("sid", "ref", "first", "n", "c"), size), "single")
     # Nonbranching links between repeated segments, and the paths that they make up.
     many = kinds.where("c > 1").select("s1", "c")
@@ -219,16 +237,17 @@ def repeated_spans(docs: DataFrame, size: int = 35) -> DataFrame:
     return common.materialize(both, "spans", keep=True)
 
 
-def without_repeats(docs: DataFrame, size: int = 35, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 35, counts: tuple[str, str] = ("n_words", "n_removed"), digest: str | None = None) -> DataFrame:
     """docs, with all columns, in which text is without the words of repeated windows, and n_words, n_removed.
 
     docs has text and is read from files or a written table. A window is size consecutive words, parted by ASCII white space,
     of one text; its words go, at all places, if the same words start at another place of any text, the same text included.
     Windows are judged on the given texts. The words that stay are joined by a space in a text that loses words; other texts
-    stay as they are. A null text stays null and has no words; repeated rows are copies like any others; an empty table gives none. A column of docs
-    that is named as a count stays as it is: the count then has an underscore after its name.
+    stay as they are. digest: also a column of that name with the SHA-256 of the words that stay, joined by a space. A null text stays null and has
+    no words; repeated rows are copies like any others; an empty table gives none. A column of docs that is named as a count
+    stays as it is: the count then has an underscore after its name.
     """
-    names, counts = docs.columns, tuple(common.unused(docs, c) for c in counts)
+    names, counts = docs.columns, tuple(common.unused(docs, c) for c in (*counts, *([digest] if digest else [])))
     t1, t2, spans = (common.unused(docs, n) for n in ("t1", "t2", "spans"))
     with common.scratch(docs.sparkSession):
         found = repeated_spans(docs, size)
@@ -236,43 +255,35 @@ def without_repeats(docs: DataFrame, size: int = 35, counts: tuple[str, str] = (
     both = digested(docs, t1, t2).join(found, [t1, t2], "left").select(*[f"`{n}`" for n in names], spans)
     at = common.place_of(docs, "text")
 
+    def cut(data: bytes, start: np.ndarray, stop: np.ndarray, check_n: np.ndarray, check: np.ndarray) -> tuple[bytes, int, int]:
+        """The words that stay, joined by a space, the number of words, and how many go. Spans are verified at their places first."""
+        words = Named(data, (0,))
+        n, told = len(words.starts), check_n > 0
+        if stop.max() > n or (words.named(start[told], check_n[told] + size - 1)[0].view(np.int64) != check[told]).any():
+            raise RuntimeError("a text is not as it was when its spans were found")
+        goes = np.cumsum(np.bincount(start, minlength=n + 1)[: n + 1] - np.bincount(stop, minlength=n + 1)[: n + 1])[:-1] > 0
+        edge = np.diff(np.concatenate([[1], goes.astype(np.int8), [1]]))
+        runs = zip(words.starts[np.flatnonzero(edge == -1)].tolist(), words.ends[np.flatnonzero(edge == 1) - 1].tolist(), strict=True)
+        return b" ".join([b" ".join(data[a:b].split()) for a, b in runs]), n, int(goes.sum())
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, at):
-            texts, totals, gone = [], [], []
-            for text, own in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+            texts, more = [], ([], [], [])
+            ends, own = fields_of(batch.column(len(names)))
+            for text, (a, b) in zip(batch.column(at).to_pylist(), ends.tolist(), strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                if not own:
+                if a < b:
+                    left, total, gone = cut(data, *(c[a:b].astype(np.int64) for c in own))
+                    texts.append(left.decode("utf-8", "surrogatepass"))
+                else:
+                    parts, gone = data.split(), 0
                     texts.append(text)
-                    totals.append(len(data.split()))
-                    gone.append(0)
-                    continue
-                starts, ends = words_of(data)
-                goes = np.zeros(len(starts) + 1, np.int64)
-                for s in own:
-                    goes[s["start"]] += 1
-                    goes[s["stop"]] -= 1
-                    if s["check_n"]:
-                        a, b = s["start"], s["start"] + s["check_n"] + size - 1
-                        if b > len(starts) or Runs(word_names(data, starts[a:b], ends[a:b], 0), 0).named(np.zeros(1, int), b - a).view(np.int64)[0] != s["check"]:
-                            raise RuntimeError("a text is not as it was when its spans were found")
-                goes = np.cumsum(goes)[:-1] > 0
-                texts.append(b" ".join(data[a:b] for a, b in zip(starts[~goes].tolist(), ends[~goes].tolist(), strict=True)).decode("utf-8", "surrogatepass"))
-                totals.append(len(starts))
-                gone.append(int(goes.sum()))
-            columns = [*batch.columns[: len(names)], pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
+                    total, left = len(parts), b" ".join(parts) if digest else b""
+                for column, v in zip(more, (total, gone, hashlib.sha256(left).hexdigest() if digest else None), strict=True):
+                    column.append(v)
+            columns = [*batch.columns[: len(names)], *(pa.array(c, k) for c, k in zip(more, (pa.int64(), pa.int64(), pa.string()), strict=True))][: len(names) + len(counts)]
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [*names, *counts])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return common.bounded(both).mapInArrow(apply, f"{fields}, {counts[0]} long, {counts[1]} long")
-
-
-def digest(done: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the words that are left, joined by a space) of without_repeats (doc_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 3):
-            kept = [hashlib.sha256(b" ".join((t or "").encode("utf-8", "surrogatepass").split())).hexdigest() for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return common.bounded(done.select("doc_id", "n_words", "n_removed", "text")).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    return common.bounded(both).mapInArrow(apply, ", ".join([*fields, *[f"{c} {k}" for c, k in zip(counts, ("long", "long", "string"))]]))

@@ -153,7 +153,7 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_graph.digest(path_graph.without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return path_graph.without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), digest="kept_sha256").drop("text")
 
 
 OP13_SQL = r"""

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from millrace.llm import path_graph, prefix_trie, repair
+from millrace.llm import common, path_graph, prefix_trie, repair
 
 TURNS = "conv_id long, turn long, role string, text string, conv string, g1 string"
 
@@ -216,10 +216,12 @@ def test_substrings(spark, seed, tmp_path):
     rows = planted(seed)
     spark.createDataFrame([(*x, 1, "s") for x in rows], "doc_id long, text string, n_words int, spans string").repartition(4).write.parquet(f"{tmp_path}/d")
     docs = spark.read.parquet(f"{tmp_path}/d")
-    done = path_graph.without_repeats(docs)
-    assert done.columns == ["doc_id", "text", "n_words", "spans", "n_words_", "n_removed"]
+    done = common.materialize(path_graph.without_repeats(docs, digest="kept_sha256"), "done")
+    assert done.columns == ["doc_id", "text", "n_words", "spans", "n_words_", "n_removed", "kept_sha256"]
     got = done.withColumnRenamed("n_words", "old").withColumnRenamed("n_words_", "n_words")
-    assert answer(path_graph.digest(got), SPANS) == brute_spans(rows)
+    assert answer(got, SPANS) == brute_spans(rows)
+    assert all(r.kept_sha256 == hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest() for r in done.collect())
+    assert path_graph.without_repeats(docs).columns == done.columns[:-1]
     assert done.where("n_removed = 0").select("text").subtract(docs.select("text")).isEmpty()
     assert path_graph.without_repeats(docs.where("false")).count() == 0
     assert path_graph.without_repeats(docs.where("doc_id < 3 and text is null")).count() == 0
@@ -234,8 +236,10 @@ def test_chunks_and_names(monkeypatch):
     whole = path_graph.word_names(text, starts, ends, 1)
     assert (whole == path_graph.word_names(text, starts, ends, 1, 100)).all()
     assert len(set(whole.tolist())) == 5
-    long = path_graph.edges(text, starts, ends, 0, len(starts) - 34, 35)[0]
+    long = path_graph.Named(text).named(np.arange(len(starts) - 34), 35)[0]
     monkeypatch.setattr(path_graph, "CHUNK", 64)
     _, s1, _, first, n = path_graph.segments(text, 35)
     assert first.tolist() == [0, *np.cumsum(n)[:-1].tolist()] and n.sum() == len(starts) - 34
-    assert all(path_graph.edges(text, starts, ends, int(f), 1, 35)[0][0] == long[f] for f in first)
+    assert (s1 == path_graph.Named(text).named(first, n + 34)[0]).all() and len(long) == len(starts) - 34
+    assert (path_graph.Named(text[starts[7] :]).named(np.arange(50), 35)[0] == long[7:57]).all()
+    assert [x.tolist() for x in path_graph.spread(np.array([5, 9, 2]), np.array([2, 0, 3]))] == [[5, 6, 2, 3, 4], [0, 1, 0, 1, 2]]
