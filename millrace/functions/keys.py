@@ -106,6 +106,7 @@ def labels_in(text: Column) -> Column:
     A label has 2 to 30 characters and is neither made of digits and dots nor a URL's scheme. White space after the colon
     may go over line ends, so a value on the next line counts; a value may be empty.
     """
+    #: Fixed value: a line with a label.
     pattern = F.lit(r"(?Umd)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)")
     both = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.struct(_trimmed(a).alias("label"), _trimmed(b).alias("value")))
     return F.filter(both, lambda x: (F.length(x["label"]) >= 2) & ~x["label"].rlike(r"^[0-9.]+\z") & ~F.lower(x["label"]).isin("http", "https"))

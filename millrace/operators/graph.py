@@ -43,17 +43,19 @@ def superseded(decisions: DataFrame) -> DataFrame:
 def source_roots(supplementals: DataFrame) -> DataFrame:
     """id, roots: the observations at the end of all derivation paths, or the direct anchors if there are none.
 
-    supplementals: id, observations (array), parents (array of supplementals). Paths double in each round, so a chain of n
-    links takes log2(n) rounds; it ends, with cycles too, when a round adds no pair.
+    supplementals: id, observations (array), parents (array of supplementals). Round k adds the roots of the ancestors 2**k links
+    above, whose pairs are doubled in turn: a chain of n links takes log2(n) rounds of n pairs, and pairs of all ancestors
+    are never held. A round that adds no root is the last, with cycles too: a root that is farther away would be new to a node nearer to it.
     """
-    edges = supplementals.select("id", F.explode("parents").alias("at")).where("at is not null")
-    reached = materialize(supplementals.select("id", F.col("id").alias("at")).unionByName(edges).distinct(), "reach")
-    before, now = -1, reached.count()
-    while now != before:
-        ahead = reached.select(F.col("id").alias("at"), F.col("at").alias("at2"))
-        reached = materialize(reached.join(ahead, "at").select("id", F.col("at2").alias("at")).unionByName(reached).distinct(), "reach")
-        before, now = now, reached.count()
-    found = reached.join(supplementals.select(F.col("id").alias("at"), F.explode("observations").alias("root")), "at").groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+    jumps = materialize(supplementals.select("id", F.explode("parents").alias("at")).where("at is not null").distinct(), "jumps")
+    roots = materialize(supplementals.select("id", F.explode("observations").alias("root")).where("root is not null").distinct(), "roots")
+    before, now = -1, roots.count()
+    while now != before and not jumps.isEmpty():
+        above = jumps.join(roots.withColumnRenamed("id", "at"), "at").select("id", "root")
+        roots = materialize(roots.unionByName(above).distinct(), "roots")
+        jumps = materialize(jumps.join(jumps.select(F.col("id").alias("at"), F.col("at").alias("at2")), "at").select("id", F.col("at2").alias("at")).distinct(), "jumps")
+        before, now = now, roots.count()
+    found = roots.groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
     direct = F.array_sort(F.array_distinct(F.concat("observations", "parents")))
     return supplementals.join(found, "id", "left").select("id", F.coalesce("roots", direct).alias("roots"))
 

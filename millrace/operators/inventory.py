@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.keys import label_key, labels_in
@@ -46,22 +46,37 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.exceptAll(old).withColumn("change", F.lit("added")).unionByName(old.exceptAll(new).withColumn("change", F.lit("removed")))
 
 
+def _pieces(text: Column, lengths: Column) -> Column:
+    """The different substrings of a text that have one of some lengths."""
+    cut = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))
+    return F.array_distinct(F.flatten(F.transform(F.filter(lengths, lambda n: (n > 0) & (n <= F.length(text))), cut)))
+
+
+def containing(long: DataFrame, short: DataFrame) -> DataFrame:
+    """long with the rows of short whose k it contains (long: lk; short: k): an equi-join on the substrings of lk that have a length which occurs in short.
+
+    Lengths are distinct small integers, gathered by aggregation into one row.
+    """
+    lengths = short.select(F.length("k").alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("lengths"))
+    return long.crossJoin(F.broadcast(lengths)).withColumn("k", F.explode(_pieces(F.col("lk"), F.col("lengths")))).drop("lengths").join(short, "k")
+
+
 def suggest_attributes(labels: DataFrame, attributes: DataFrame, top: int = 5) -> DataFrame:
     """The best attributes for each label: the sum of alias 100, equal name 90 and, if neither, a name within the other 50, and
     of an alias equal to the AI key 70; ties by name and id.
 
-    labels: label, and an optional ai_key, which is then in the result; attributes: id, name, aliases. Exact scores come from an
-    equi-join. Containment compares distinct labels with the attribute catalogue, which is read whole and refused beyond 10,000 rows.
+    labels: label, and an optional ai_key, which is then in the result; attributes: id, name, aliases. All scores come from equi-joins, those of
+    containment on substrings: of labels (of 30 characters at most, as labels_in gives them) and of names. Empty keys contain nothing.
     """
-    if attributes.limit(10_001).count() > 10_000:
-        raise ValueError("the attribute catalogue has more than 10,000 rows")
     keys = [c for c in ("label", "ai_key") if c in labels.columns]
     names = attributes.select("id", "name", F.explode(F.concat(F.array(F.struct(label_key(F.col("name")).alias("k"), F.lit(90).alias("s"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(label_key(a).alias("k"), F.lit(100).alias("s"))))).alias("x"))
     names = names.select("id", "name", "x.k", "x.s")
     wanted = labels.select(*keys, label_key(F.col("label")).alias("lk")).distinct()
     found = wanted.join(names, F.col("lk") == F.col("k")).select(*keys, "id", "name", "s")
-    within = (F.col("lk") != "") & (F.col("k") != "") & (F.col("lk").contains(F.col("k")) | F.col("k").contains(F.col("lk")))
-    found = found.unionByName(wanted.join(F.broadcast(names.where("s = 90")), within).select(*keys, "id", "name", F.lit(50).alias("s")))
+    own, asked = names.where("s = 90 and k <> ''").select("id", "name", "k"), wanted.where("lk <> ''")
+    within = containing(asked, own).select(*keys, "id", "name")
+    around = containing(own.withColumnRenamed("k", "lk"), asked.withColumnRenamed("lk", "k")).select(*keys, "id", "name")
+    found = found.unionByName(within.unionByName(around).select(*keys, "id", "name", F.lit(50).alias("s")))
     if "ai_key" in keys:
         found = found.unionByName(wanted.join(names.where("s = 100"), label_key(F.col("ai_key")) == F.col("k")).select(*keys, "id", "name", F.lit(70).alias("s")))
     has = lambda n: F.max((F.col("s") == n).cast("int")) * n

@@ -11,7 +11,7 @@ from millrace.plans.lake_queries import REPLY_SQL, SESSION_SQL, late, reply_late
 from millrace.plans.state_queries import CARD_SQL
 from millrace.plans.tables import NOW, corpus, minute, read
 from millrace.shared import new_path
-from millrace.streaming import folds, views
+from millrace.streaming import folds, people, views
 
 
 def observation_page(spark, d):
@@ -366,6 +366,36 @@ SELECT node, min(to_node) AS component FROM r GROUP BY node
 """
 
 
+def stream_people(spark, d):
+    """Users as nodes that share addresses and numbers, which some of their events tell: people, their totals and consent, kept by micro-batches in no order of time."""
+    e, node = read(spark, d, "events"), F.col("user_id")
+    ident = F.when(F.col("event_type") == "purchase", F.concat(F.lit("mail:"), node % 60)).when(F.col("event_type") == "signup", F.concat(F.lit("phone:"), F.floor(node / 3))).when(F.col("event_type") == "click", F.concat(F.lit("uid:"), node))
+    decides = (F.col("event_type") == "error") & (F.col("event_id") % 5 == 0)
+    facts = e.select(
+        F.when(~decides, node).alias("node"), F.when(decides, F.concat(F.lit("mail:"), node % 60)).otherwise(ident).alias("ident"), F.when(F.col("event_type") == "click", "exclusive").otherwise("joins").alias("rule"),
+        F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("user "), node)).alias("name"), F.lit(1).cast("long").alias("n"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 1000).alias("at"), F.col("event_type").alias("channel"),
+        F.when(decides, F.when(F.col("value") > 10, "opted_out").otherwise("unrestricted")).alias("status"), F.hash("event_id").alias("file"))
+    folder, stream = _stream(spark, facts, "file", "people-view", 4, 2)
+    view = people.PeopleView(spark, folder)
+    _run(stream.drop("file"), view.fold, folder)
+    return view.current().withColumn("channels", F.array_join("channels", ","))
+
+
+PEOPLE_SQL = """
+WITH RECURSIVE f AS (
+  SELECT user_id AS node, event_type, event_id, event_type = 'error' AND event_id % 5 = 0 AS decides, ts + to_microseconds(event_id % 1000) AS moment, value,
+    CASE event_type WHEN 'purchase' THEN 'mail:' || user_id % 60 WHEN 'signup' THEN 'phone:' || user_id // 3 END AS ident FROM events),
+told AS (SELECT * FROM f WHERE NOT decides),
+g AS (SELECT DISTINCT a.node AS a, b.node AS b FROM (SELECT DISTINCT node, ident FROM told WHERE ident IS NOT NULL) a JOIN (SELECT DISTINCT node, ident FROM told WHERE ident IS NOT NULL) b USING (ident)),
+r AS (SELECT DISTINCT node AS a, node AS b FROM told UNION SELECT r.a, g.b FROM r JOIN g ON r.b = g.a),
+c AS (SELECT a AS node, min(b) AS component FROM r GROUP BY a),
+d AS (SELECT 'mail:' || node % 60 AS ident, max({'moment': moment, 'status': CASE WHEN value > 10 THEN 'opted_out' ELSE 'unrestricted' END}) AS decision FROM f WHERE decides GROUP BY 1),
+s AS (SELECT component, struct_extract(max(decision), 'status') AS status FROM d JOIN (SELECT DISTINCT component, ident FROM told JOIN c USING (node)) USING (ident) GROUP BY component)
+SELECT 'person:component-' || component AS person, count(DISTINCT node) AS nodes, count(*) AS n, min(moment) AS first_at, max(moment) AS last_at, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS channels,
+  'user ' || min(node) FILTER (event_id % 3 = 0) AS name, any_value(status) AS status FROM told JOIN c USING (node) LEFT JOIN s USING (component) GROUP BY component
+"""
+
+
 def stream_index(spark, d):
     """An n-gram index kept by micro-batches: turns come in, and those of systems are retracted, in files that mix both; postings by n-gram."""
     t = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("record_id"), "role", "text")
@@ -450,4 +480,5 @@ QUERIES = {
     "stream_sessions": (stream_sessions, SESSION_SQL),
     "stream_components": (stream_components, COMPONENTS_SQL),
     "stream_index": (stream_index, INDEX_SQL),
+    "stream_people": (stream_people, PEOPLE_SQL),
 }

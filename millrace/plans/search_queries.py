@@ -119,14 +119,23 @@ def byte_budget_page(spark, d):
     return paging.byte_budget_page(rows, [("event_id", False)], 1000, 100)
 
 
+def labelled(spark, d):
+    """Whole documents below lines of labels: plain, with a full-width colon, with spaces, and one whose value is the text's first line."""
+    n, lang = F.col("doc_id"), F.coalesce("lang", F.lit(""))
+    head = F.concat(F.lit("Source: "), "source", F.lit("\nE-mail：u"), n % 7, F.lit("@x.org\n card  number : "), n % 11, F.lit("\nGroup "), n % 5, F.lit(": "), lang, F.lit("\nphone:\n"))
+    return read(spark, d, "documents").withColumn("text", F.concat(head, F.coalesce("text", F.lit(""))))
+
+
 def label_inventory(spark, d):
-    """The labels of whole documents, with their sources as people."""
-    return inventory.label_inventory(read(spark, d, "documents"), "source", "text", "doc_id").withColumn("examples", F.array_join("examples", "|"))
+    """The labels of documents, with their sources as people."""
+    return inventory.label_inventory(labelled(spark, d), "source", "text", "doc_id").withColumn("examples", F.array_join("examples", "|"))
 
 
+#: Fixed value: what a line with a label looks like, as in functions.keys.
 LABELS_CTE = r"""
-pairs AS (SELECT source, doc_id, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 1) AS ls, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 2) AS vs FROM documents),
-found AS (SELECT source, doc_id, nth, trim(l, ' \t\n\r\x0B\f') AS label, trim(v, ' \t\n\r\x0B\f') AS value FROM (SELECT source, doc_id, unnest(ls) AS l, unnest(vs) AS v, generate_subscripts(ls, 1) AS nth FROM pairs)),
+labelled AS (SELECT doc_id, source, 'Source: ' || source || chr(10) || 'E-mail：u' || doc_id % 7 || '@x.org' || chr(10) || ' card  number : ' || doc_id % 11 || chr(10) || 'Group ' || doc_id % 5 || ': ' || coalesce(lang, '') || chr(10) || 'phone:' || chr(10) || coalesce(text, '') AS text FROM documents),
+pairs AS (SELECT source, doc_id, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 1) AS ls, regexp_extract_all(text, '(?m)^\s*([^\n:：]{1,30}?)\s*[：:]\s*(.*)', 2) AS vs FROM labelled),
+found AS (SELECT source, doc_id, nth, regexp_replace(l, '^\s+|\s+$', '', 'g') AS label, regexp_replace(v, '^\s+|\s+$', '', 'g') AS value FROM (SELECT source, doc_id, unnest(ls) AS l, unnest(vs) AS v, generate_subscripts(ls, 1) AS nth FROM pairs)),
 kept AS (SELECT *, trim(regexp_replace(translate(label, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\s+', ' ', 'g')) AS key FROM found WHERE length(label) >= 2 AND NOT regexp_full_match(label, '[0-9.]+') AND lower(label) NOT IN ('http', 'https'))
 """
 LABELS_SQL = f"""
@@ -186,8 +195,8 @@ ATTRIBUTES = [(1, "Email", ["email", "mail", "e-mail"]), (2, "Phone", ["tel", "p
 
 
 def attribute_suggestions(spark, d):
-    """The labels of whole documents against a catalogue of attributes; a label's first word stands for an AI key."""
-    labels = inventory.label_inventory(read(spark, d, "documents"), "source", "text", "doc_id").select("label", F.element_at(F.split("key", " "), 1).alias("ai_key"))
+    """The labels of documents against a catalogue of attributes; a label's first word stands for an AI key."""
+    labels = inventory.label_inventory(labelled(spark, d), "source", "text", "doc_id").select("label", F.element_at(F.split("key", " "), 1).alias("ai_key"))
     catalogue = spark.createDataFrame(ATTRIBUTES, "id int, name string, aliases array<string>")
     return inventory.suggest_attributes(labels, catalogue).select("label", "id", "name", "score", "nth")
 

@@ -12,7 +12,7 @@ from millrace.functions import keys
 from millrace.functions import text as T
 from millrace.operators import activity, append, components, corpus, graph, identity, ingest, inventory, lake, paging, privacy, search, states, workspace
 from millrace.sources import documents, messages, snapshots
-from millrace.streaming import folds, views
+from millrace.streaming import folds, people, views
 from tests.conftest import SF
 
 
@@ -505,3 +505,71 @@ def test_views_read_nothing_that_has_not_arrived(spark, tmp_path):
         want = compute(arrived[0] if number == 0 else arrived[0].unionByName(arrived[1]) if number < 3 else rows)
         assert sorted(map(tuple, view.current().collect())) == sorted(map(tuple, want.collect()))
     assert views.Buckets(spark, f"{tmp_path}/view", "key", 7).n == 32 and views.Buckets(spark, f"{tmp_path}/none", "key", 7).n == 7
+
+
+def test_roots_of_cycles_and_wide_graphs(spark):
+    """Random graphs with cycles against a walk."""
+    rnd = random.Random(31)
+    ids = [f"s{i}" for i in range(60)]
+    sup = [(i, [f"o{rnd.randrange(9)}"] if rnd.random() < 0.2 else [], rnd.sample(ids, rnd.choice([0, 1, 1, 2, 3]))) for i in ids]
+    parents, own = {i: p for i, _, p in sup}, {i: o for i, o, _ in sup}
+
+    def walked(start):
+        seen, todo = {start}, [start]
+        while todo:
+            for p in parents[todo.pop()]:
+                if p not in seen:
+                    seen.add(p)
+                    todo.append(p)
+        return sorted({o for i in seen for o in own[i]})
+
+    got = {r.id: r.roots for r in graph.source_roots(spark.createDataFrame(sup, "id string, observations array<string>, parents array<string>")).collect()}
+    assert got == {i: walked(i) or sorted(set(own[i] + parents[i])) for i in ids}
+
+
+def test_people_after_each_batch(spark, tmp_path):
+    """After each batch people equal those of all facts so far; a batch that runs again counts once; names stay; a second claim is an error and changes nothing."""
+    rnd, ts = random.Random(41), lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    facts, at = [], iter(range(10**6))
+    for _ in range(70):
+        node, kind = rnd.randrange(40), rnd.random()
+        if kind < 0.15:
+            facts.append((None, f"mail:{rnd.randrange(30)}", "joins", None, None, ts(next(at)), None, rnd.choice(["opted_out", "unrestricted"])))
+        else:
+            ident, rule = (f"mail:{rnd.choice([node % 30, rnd.randrange(30)])}", "joins") if kind < 0.5 else (f"uid:{node}", "exclusive") if kind < 0.8 else (None, None)
+            facts.append((node, ident, rule, f"n{node}" if rnd.random() < 0.5 else None, rnd.randrange(5), ts(next(at)), rnd.choice("abc"), None))
+    view, seen, names = people.PeopleView(spark, str(tmp_path)), [], {}
+    for number, part in enumerate((facts[:25], facts[25:50], facts[50:])):
+        batch = spark.createDataFrame(part, people.FACTS)
+        view.fold(batch, number)
+        if number == 1:
+            view.fold(batch, number)  # again, from its journal
+        seen += part
+        nodes = sorted({f[0] for f in seen if f[0] is not None})
+        root = {n: n for n in nodes}
+        claims = {}
+        for f in seen:
+            if f[0] is not None and f[2] == "joins":
+                claims.setdefault(f[1], set()).add(f[0])
+        for _ in nodes:
+            for members in claims.values():
+                least = min(root[m] for m in members)
+                root = {n: least if r in {root[m] for m in members} else r for n, r in root.items()}
+        want = {}
+        for n in nodes:
+            want.setdefault(root[n], []).append(n)
+        got = {r.person: r for r in view.current().collect()}
+        assert set(got) == {f"person:component-{c}" for c in want}
+        for c, members in want.items():
+            mine, r = [f for f in seen if f[0] in members], got[f"person:component-{c}"]
+            known = {i for i, m in claims.items() if m & set(members)}
+            decided = max(((f[5], f[7]) for f in seen if f[7] and f[1] in known), default=(None, None))[1]
+            called = min(((f[0], f[3]) for f in mine if f[3]), default=(None, None))[1]
+            assert (r.nodes, r.n, r.first_at, r.last_at, r.channels, r.name, r.status) == (len(members), sum(f[4] for f in mine), min(f[5] for f in mine), max(f[5] for f in mine), sorted({f[6] for f in mine}), called, decided)
+        assert all(root[n] <= names.get(n, n) for n in nodes)  # a name only gives way to an older one
+        names = dict(root)
+    before = sorted(view.current().collect(), key=repr)
+    owner = next(f for f in seen if f[2] == "exclusive")
+    with pytest.raises(ValueError):
+        view.fold(spark.createDataFrame([(owner[0] + 1, owner[1], "exclusive", None, 1, ts(9), "a", None)], people.FACTS), 9)
+    assert sorted(view.current().collect(), key=repr) == before
