@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from millrace.functions import keys as K
 from millrace.operators import activity, append, graph, lake, paging, states
 from millrace.operators import corpus as C
-from millrace.plans.lake_queries import REPLY_SQL, SESSION_SQL, late, reply_latencies, reply_latency
+from millrace.plans.lake_queries import BRIDGE_SQL, REPLY_SQL, SESSION_SQL, late, reply_latencies, reply_latency
 from millrace.plans.state_queries import CARD_SQL
 from millrace.plans.tables import NOW, corpus, minute, read
 from millrace.shared import new_path
-from millrace.streaming import folds, people, views
+from millrace.streaming import folds, journal, people, views
 
 
 def observation_page(spark, d):
@@ -366,6 +366,16 @@ SELECT node, min(to_node) AS component FROM r GROUP BY node
 """
 
 
+def stream_bridge(spark, d):
+    """The bridge of new identities kept by pages that come in no order of position."""
+    docs = read(spark, d, "documents")
+    rows = docs.select(F.concat_ws("|", "source", "lang").alias("v2_key"), F.col("doc_id").alias("append_seq"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("canonical"), F.hash("doc_id").alias("file"))
+    folder, stream = _stream(spark, rows, "file", "bridge-view")
+    view = journal.BridgeView(spark, folder)
+    _run(stream, view.fold, folder)
+    return view.current()
+
+
 def stream_people(spark, d):
     """Users as nodes that share addresses and numbers, which some of their events tell: people, their totals and consent, kept by micro-batches in no order of time."""
     e, node = read(spark, d, "events"), F.col("user_id")
@@ -481,4 +491,5 @@ QUERIES = {
     "stream_components": (stream_components, COMPONENTS_SQL),
     "stream_index": (stream_index, INDEX_SQL),
     "stream_people": (stream_people, PEOPLE_SQL),
+    "stream_bridge": (stream_bridge, BRIDGE_SQL),
 }

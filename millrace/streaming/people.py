@@ -11,14 +11,12 @@ it changes is first written to a journal. A batch that runs again after a fault
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators.components import connected_components
 from millrace.shared import materialize
-from millrace.streaming.views import Buckets
+from millrace.streaming.journal import Journal
 
 FACTS = "node long, ident string, rule string, name string, n long, at timestamp, channel string, status string"
 
@@ -42,45 +40,18 @@ class PeopleView:
     """facts: node (its number; null for a decision), ident, rule (joins or exclusive), name, n, at, channel, status (of a decision about an identifier)."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.journal = spark, f"{folder}/journal"
-        self.tables = {"claims": Buckets(spark, f"{folder}/claims", "ident"), "members": Buckets(spark, f"{folder}/members", "node"), "rosters": Buckets(spark, f"{folder}/rosters", "component"), "people": Buckets(spark, f"{folder}/people", "component")}
-
-    def _ready(self, number: int):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.journal}/{number}/ready")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _looked_up(self, table: str, keys: DataFrame, like: str) -> DataFrame:
-        """The rows of some keys, from their buckets; an empty table (like: its schema) before the first batch."""
-        store = self.tables[table]
-        rows = store.read(store.touched(keys))
-        return rows.join(keys, store.key, "left_semi") if rows is not None else self.spark.createDataFrame([], like)
-
-    def _plan(self, number: int, table: str, gone: DataFrame, rows: DataFrame, into: dict) -> None:
-        """Notes in the journal that keys (gone) give way to rows: the whole content of the buckets of both."""
-        store = self.tables[table]
-        rows = materialize(rows, table)
-        keys = materialize(gone.select(store.key).unionByName(rows.select(store.key)).distinct(), "keys")
-        buckets = store.touched(keys)
-        old = store.read(buckets)
-        whole = old.join(keys, store.key, "left_anti").unionByName(rows) if old is not None else rows
-        whole.write.mode("overwrite").parquet(f"{self.journal}/{number}/{table}")
-        into[table] = buckets
+        self.spark, self.journal = spark, Journal(spark, folder, {"claims": "ident", "members": "node", "rosters": "component", "people": "component"})
 
     def fold(self, batch: DataFrame, number: int = 0) -> None:
-        fs, ready = self._ready(number)
-        if not fs.exists(ready):
-            self._note(batch, number)
-        buckets = json.loads(self.spark.read.text(str(ready), wholetext=True).first().value)
-        for table, store in self.tables.items():
-            store.replace(buckets[table], self.spark.read.parquet(f"{self.journal}/{number}/{table}"))
-
-    def _note(self, batch: DataFrame, number: int) -> None:
-        """Writes what a batch changes to its journal, and then that it is whole."""
+        self.journal.once(number, lambda: self._note(batch))
+
+    def _note(self, batch: DataFrame) -> None:
+        """Notes what a batch changes."""
         facts = materialize(batch.select(*[x.split()[0] for x in FACTS.split(", ")]), "facts")
         decided = F.max(F.when(F.col("status").isNotNull(), F.struct("at", "status"))).alias("decision")
         said = F.when(F.col("status").isNull(), F.col("node"))
         new = materialize(facts.where("ident is not null").groupBy("ident").agg(F.min(said).alias("lo"), F.max(said).alias("hi"), F.max("rule").alias("rule"), decided), "claims")
-        old = self._looked_up("claims", new.select("ident"), "ident string, owner long, rule string, decision struct<at: timestamp, status: string>")
+        old = self.journal.looked_up("claims", new.select("ident"), "ident string, owner long, rule string, decision struct<at: timestamp, status: string>")
         both = new.join(old.select("ident", "owner", F.col("rule").alias("old_rule"), F.col("decision").alias("old_decision")), "ident", "left")
         claims = both.select("ident", F.least("owner", "lo").alias("owner"), F.coalesce("old_rule", "rule").alias("rule"), F.greatest("decision", "old_decision").alias("decision"), "lo", "hi", F.col("owner").alias("before"))
         claims = materialize(claims, "claims")
@@ -91,42 +62,35 @@ class PeopleView:
         told = facts.where("status is null and node is not null")
         links = told.where("ident is not null").select("node", "ident").distinct().join(claims.where("rule = 'joins'").select("ident", F.coalesce("before", "owner").alias("to")), "ident")
         nodes = materialize(told.select("node").unionByName(claims.where("owner is not null").select(F.col("owner").alias("node"))).unionByName(claims.where("before is not null").select(F.col("before").alias("node"))).distinct(), "nodes")
-        known = materialize(self._looked_up("members", nodes, "node long, component long"), "known")
+        known = materialize(self.journal.looked_up("members", nodes, "node long, component long"), "known")
         placed = materialize(nodes.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.col("component").isNull().alias("fresh")), "placed")
         of = lambda c: placed.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
         joined = connected_components(links.select(F.col("node").alias("a"), F.col("to").alias("b")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")))
         moves = materialize(placed.select("component").distinct().join(joined.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("component", F.coalesce("now", "component").alias("now")), "moves")
         # Members of components that give way, and new ones, have the least node's name.
-        rosters = self._looked_up("rosters", moves.select("component"), "component long, node long")
+        rosters = self.journal.looked_up("rosters", moves.select("component"), "component long, node long")
         fresh = placed.where("fresh").select("component", "node")
         moved = materialize(rosters.unionByName(fresh).join(moves, "component").select(F.col("now").alias("component"), "node").distinct(), "moved")
-        changes: dict[str, list[int]] = {}
-        self._plan(number, "claims", claims, claims.select("ident", "owner", "rule", "decision"), changes)
-        self._plan(number, "members", moved, moved.select("node", "component"), changes)
-        self._plan(number, "rosters", moves, moved, changes)
+        self.journal.change("claims", claims, claims.select("ident", "owner", "rule", "decision"))
+        self.journal.change("members", moved, moved.select("node", "component"))
+        self.journal.change("rosters", moves, moved)
         # Aggregates of components that unite, and what the batch adds to them.
         shape = "component long, nodes long, n long, first_at timestamp, last_at timestamp, channels array<string>, called struct<node: bigint, name: string>, decision struct<at: timestamp, status: string>"
-        have = self._looked_up("people", moves.select("component"), shape)
+        have = self.journal.looked_up("people", moves.select("component"), shape)
         now = placed.join(moves, "component").select("node", F.col("now").alias("component"))
         nothing = lambda c, t: F.lit(None).cast(t).alias(c)
         blank = {x.split(" ", 1)[0]: x.split(" ", 1)[1] for x in ("first_at timestamp", "last_at timestamp", "channels array<string>", "called struct<node: bigint, name: string>")}
         counted = placed.where("fresh").join(moves, "component").select(F.col("now").alias("component"), F.lit(1).cast("long").alias("nodes"), F.lit(0).cast("long").alias("n"), *[nothing(c, t) for c, t in blank.items()], nothing("decision", "struct<at: timestamp, status: string>"))
         heard = claims.where("decision is not null and owner is not null").join(now, F.col("owner") == F.col("node")).select("component", F.lit(0).cast("long").alias("nodes"), F.lit(0).cast("long").alias("n"), *[nothing(c, t) for c, t in blank.items()], "decision")
         parts = have.join(moves, "component").drop("component").withColumnRenamed("now", "component").unionByName(counted).unionByName(heard).unionByName(parts_of(told.join(now, "node")))
-        self._plan(number, "people", moves, merged(parts), changes)
-        fs, ready = self._ready(number)
-        aside = ready.suffix("-aside")
-        out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(changes).encode()))
-        out.close()
-        fs.rename(aside, ready)
+        self.journal.change("people", moves, merged(parts))
 
     def current(self) -> DataFrame | None:
         """person (its public name), nodes, n, first_at, last_at, channels, name (of the least node that has one), status (of the newest decision about its identifiers)."""
-        rows = self.tables["people"].read()
+        rows = self.journal.tables["people"].read()
         if rows is None:
             return None
         return rows.select(F.concat(F.lit("person:component-"), "component").alias("person"), "nodes", "n", "first_at", "last_at", "channels", F.col("called.name").alias("name"), F.col("decision.status").alias("status"))
 
     def members(self) -> DataFrame | None:
-        return self.tables["members"].read()
+        return self.journal.tables["members"].read()

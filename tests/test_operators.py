@@ -12,7 +12,7 @@ from millrace.functions import keys
 from millrace.functions import text as T
 from millrace.operators import activity, append, components, corpus, graph, identity, ingest, inventory, lake, paging, privacy, search, states, workspace
 from millrace.sources import documents, messages, snapshots
-from millrace.streaming import folds, people, views
+from millrace.streaming import folds, journal, people, views
 from tests.conftest import SF
 
 
@@ -573,3 +573,17 @@ def test_people_after_each_batch(spark, tmp_path):
     with pytest.raises(ValueError):
         view.fold(spark.createDataFrame([(owner[0] + 1, owner[1], "exclusive", None, 1, ts(9), "a", None)], people.FACTS), 9)
     assert sorted(view.current().collect(), key=repr) == before
+
+
+def test_bridge_pages_in_any_order(spark, tmp_path):
+    """Pages in several orders, one of them twice, give the one-shot bridge; null keys make no state."""
+    rnd = random.Random(51)
+    rows = [(f"k{rnd.randrange(12)}" if i % 9 else None, i, f"r{i}", rnd.choice(["a", "b", None]) if i % 2 else "a") for i in range(90)]
+    schema = "v2_key string, append_seq long, id string, canonical string"
+    want = append.identity_bridge(spark.createDataFrame(rows, schema).where("v2_key is not null").fillna("", ["canonical"]))
+    want = sorted(map(tuple, want.select("v2_key", "winner", "multiplicity", "collision").collect()))
+    for order in ((0, 1, 2), (2, 0, 0, 1)):
+        view = journal.BridgeView(spark, str(tmp_path / str(order)))
+        for page in order:
+            view.fold(spark.createDataFrame(rows[30 * page : 30 * page + 30], schema), page)
+        assert sorted(map(tuple, view.current().collect())) == want
