@@ -6,7 +6,7 @@ import json
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -96,9 +96,42 @@ def import_outcomes(records: DataFrame) -> DataFrame:
     return records.join(each, "identity", "left").select(*records.columns, outcome.alias("outcome"))
 
 
-def session_index(entries: DataFrame) -> DataFrame:
-    """source, session, first and last time, number of entries."""
-    return entries.groupBy("source", "session").agg(F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"), F.count("*").alias("entries"))
+def session_index(entries: DataFrame, sources: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """source, session, first and last time, number of entries; with sources (source, manifest), only theirs, with their manifest. More than most sessions are an error."""
+    found = entries.groupBy("source", "session").agg(F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"), F.count("*").alias("entries"))
+    found = found.join(sources.select("source", "manifest"), "source") if sources is not None else found
+    if most is not None and found.limit(most + 1).count() > most:
+        raise ValueError(f"the index has more than {most} sessions")
+    return found
+
+
+def routing_key(rows: DataFrame, year_first: bool = False) -> DataFrame:
+    """rows (published, source_system, source_container) with the axes of their routing key: month, year (either first), source, container, and the time to the nanosecond.
+
+    All are UTC. published_nanos, if there, tells the nanoseconds within the second; a row without a container has an empty one.
+    """
+    utc = F.to_utc_timestamp("published", F.current_timezone())
+    nanos = F.col("published_nanos") % 1_000_000_000 if "published_nanos" in rows.columns else F.lit(None).cast("long")
+    nanos = F.coalesce(nanos, F.pmod(F.unix_micros("published"), F.lit(1_000_000)) * 1000)
+    axes = {"coarse_month": F.date_format(utc, "MM"), "coarse_year": F.date_format(utc, "yyyy")}
+    axes = dict(reversed(axes.items())) if year_first else axes
+    fine = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss."), F.lpad(nanos.cast("string"), 9, "0"), F.lit("Z"))
+    return rows.withColumns(axes | {"source": F.col("source_system"), "container": F.coalesce("source_container", F.lit("")), "fine_published": fine})
+
+
+def write_reverse_index(rows: DataFrame, path: str, seq: str = "append_seq", keys: str = "keys") -> None:
+    """(key, position) of each row's keys, range-partitioned and sorted, so that a file's row groups hold few keys and a page reads those that can have its own.
+
+    A key with very many rows lies in several files, in order of position.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = rows.select(F.explode(keys).alias("key"), F.col(seq).alias("position")).distinct()
+    each.repartitionByRange(parts, "key", "position").sortWithinPartitions("key", "position").write.parquet(path)
+
+
+def key_page(spark: SparkSession, path: str, key: str, after: int, limit: int) -> DataFrame:
+    """The next positions of a key: both conditions reach the scan, which skips row groups by their statistics."""
+    return spark.read.parquet(path).where((F.col("key") == key) & (F.col("position") > after)).orderBy("position").limit(limit)
 
 
 def break_glass(channels: DataFrame) -> DataFrame:

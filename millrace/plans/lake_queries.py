@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from millrace.operators import activity, append, privacy
+from millrace.operators import activity, append, lake, paging, privacy
 from millrace.plans.tables import NOW, minute, read
+from millrace.shared import new_path
 
 
 def idempotent_append(spark, d):
@@ -338,7 +339,47 @@ SELECT user_id AS project, count(*) FILTER (event_type = 'click' AND value > 10)
   count(*) FILTER (event_type = 'purchase' AND value > 10) AS decisions, max(ts) FILTER (event_type = 'purchase' AND value > 10) AS last_decision FROM events GROUP BY user_id
 """
 
+def privacy_key_page(spark, d):
+    """A page of one key's order lines, from an index of lines by the keys of their parts and suppliers."""
+    li = read(spark, d, "lineitem")
+    rows = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("append_seq"), F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")).alias("keys"))
+    path = new_path(spark, "reverse-index")
+    lake.write_reverse_index(rows, path)
+    return lake.key_page(spark, path, "s7", 1_000, 50)
+
+
+def audit_page(spark, d):
+    """The audit's events after a (time, id)."""
+    e = read(spark, d, "events").select("event_id", "ts", "event_type")
+    return paging.keyset_page(e, [("ts", False), ("event_id", False)], 50, ["2024-01-10 00:00:00", 300])
+
+
+def import_sessions(spark, d):
+    """Sessions of an import with the manifest of their source; sources that are not listed have none."""
+    t = read(spark, d, "conversations").select(F.col("role").alias("source"), F.col("conv_id").alias("session"), minute("turn").alias("published_at"))
+    sources = read(spark, d, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "user").otherwise("system").alias("source"), F.col("r_name").alias("manifest"))
+    return lake.session_index(t, sources)
+
+
+def routing_keys(spark, d):
+    """Order lines at fractions of a second by the axes of their routing key."""
+    li = read(spark, d, "lineitem")
+    at = late(F.col("l_shipdate"), "l_partkey")
+    rows = li.select("l_orderkey", "l_linenumber", at.alias("published"), F.concat(F.lit("sys:"), "l_linestatus").alias("source_system"), F.when(F.col("l_linenumber") > 1, F.col("l_returnflag")).alias("source_container"), F.when(F.col("l_linenumber") % 2 == 0, F.unix_micros(at) * 1000 + F.col("l_suppkey")).alias("published_nanos"))
+    return lake.routing_key(rows).drop("published", "published_nanos", "source_system", "source_container")
+
+
+ROUTING_SQL = f"""
+WITH r AS (SELECT *, {LATE_SQL.format('l_shipdate', 'l_partkey')} AS t FROM lineitem)
+SELECT l_orderkey, l_linenumber, strftime(t, '%m') AS coarse_month, strftime(t, '%Y') AS coarse_year, 'sys:' || l_linestatus AS source, CASE WHEN l_linenumber > 1 THEN l_returnflag ELSE '' END AS container,
+  strftime(t, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(t) % 1000000 * 1000 + CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey ELSE 0 END AS VARCHAR), 9, '0') || 'Z' AS fine_published FROM r
+"""
+
 QUERIES = {
+    "privacy_key_page": (privacy_key_page, "SELECT DISTINCT 's7' AS key, l_orderkey * 10 + l_linenumber AS position FROM lineitem WHERE l_suppkey = 7 AND l_orderkey * 10 + l_linenumber > 1000 ORDER BY position LIMIT 50"),
+    "audit_page": (audit_page, "SELECT event_id, ts, event_type FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-10', 300) ORDER BY ts, event_id LIMIT 50"),
+    "import_sessions": (import_sessions, "SELECT role AS source, conv_id AS session, make_timestamp((1700000000 + 60 * min(turn)) * 1000000) AS first_at, make_timestamp((1700000000 + 60 * max(turn)) * 1000000) AS last_at, count(*) AS entries, any_value(r_name) AS manifest FROM conversations JOIN region ON role = CASE r_regionkey WHEN 0 THEN 'user' ELSE 'system' END AND r_regionkey < 2 GROUP BY role, conv_id"),
+    "routing_keys": (routing_keys, ROUTING_SQL),
     "idempotent_append": (idempotent_append, APPEND_SQL),
     "append_to_lake": (append_to_lake, LAKE_SQL),
     "stream_append": (stream_append, STREAM_APPEND_SQL),

@@ -587,3 +587,23 @@ def test_bridge_pages_in_any_order(spark, tmp_path):
         for page in order:
             view.fold(spark.createDataFrame(rows[30 * page : 30 * page + 30], schema), page)
         assert sorted(map(tuple, view.current().collect())) == want
+
+
+def test_key_pages_skip_row_groups(spark, tmp_path):
+    """A page's conditions reach the scan, and of an index with many row groups it reads few rows."""
+    rows = spark.range(40_000).select(F.col("id").alias("append_seq"), F.array(F.concat(F.lit("k"), F.lpad((F.col("id") % 100).cast("string"), 3, "0")), F.lit("all")).alias("keys"))
+    spark.sparkContext._jsc.hadoopConfiguration().set("parquet.block.size", "20000")
+    try:
+        lake.write_reverse_index(rows, str(tmp_path / "index"))
+    finally:
+        spark.sparkContext._jsc.hadoopConfiguration().unset("parquet.block.size")
+    for key, after, want in (("k042", 20_000, [20_042 + 100 * i for i in range(5)]), ("all", 39_996, [39_997, 39_998, 39_999]), ("none", 0, [])):
+        page = lake.key_page(spark, str(tmp_path / "index"), key, after, 5)
+        assert [r.position for r in page.collect()] == want
+        plan = page._jdf.queryExecution().executedPlan()
+        assert "EqualTo(key" in plan.toString() and "GreaterThan(position" in plan.toString()
+        scan = (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).collectLeaves().head()
+        read = scan.metrics().apply("numOutputRows").value()
+        assert read <= 8_000, (key, read)  # of 80,000
+    with pytest.raises(ValueError):
+        lake.session_index(spark.createDataFrame([("s", i, None) for i in range(3)], "source string, session int, published_at timestamp"), most=2)
