@@ -221,12 +221,12 @@ SELECT id AS record_id, 'slack' AS source_type, '#' || room AS source_title, CAS
 
 
 def drive_corpus(spark, d):
-    """Parts as files: in an allowed folder, shared widely enough, not excluded, and not the sheet of a form."""
+    """Parts as files: in an allowed folder, shared widely enough, not excluded, and not the sheet of a form; some are presentations, which the rule for files leaves alone."""
     p = read(spark, d, "part")
     level = F.element_at(F.array(*map(F.lit, ("private", *C.SHARING))), (F.col("p_size") % 5 + 1).cast("int"))
     file = F.to_json(
         F.struct(
-            F.struct(F.col("p_partkey").cast("string").alias("sourceObjectId"), F.lit("drive").alias("containerId")).alias("artifact"), F.struct(F.array(F.col("p_brand")).alias("parentIds"), level.alias("sharingLevel")).alias("metadata"), F.col("p_name").alias("title")
+            F.struct(F.when(F.col("p_partkey") % 9 > 0, "drive").otherwise(F.lit("slides")).alias("service"), F.col("p_partkey").cast("string").alias("sourceObjectId"), F.lit("drive").alias("containerId")).alias("artifact"), F.struct(F.array(F.col("p_brand")).alias("parentIds"), level.alias("sharingLevel")).alias("metadata"), F.col("p_name").alias("title")
         )
     )
     rows = lambda schema, payload: p.select(F.col("p_partkey").cast("string").alias("id"), F.lit(schema).alias("schema"), F.lit("s").alias("subject"), F.lit("o").alias("observer"), F.lit(None).cast("string").alias("source_system"), payload.alias("payload"), minute("p_partkey").alias("published"), F.lit(None).cast("long").alias("published_nanos"))
@@ -238,7 +238,7 @@ def drive_corpus(spark, d):
 
 DRIVE_SQL = """
 SELECT CAST(p_partkey AS VARCHAR) AS record_id, 'workspace-object-snapshot' AS source_type, p_name AS source_title, p_name AS text, 'drive' AS container FROM part
-WHERE regexp_matches(p_brand, '^Brand#[123][1-5]$') AND p_partkey NOT IN (1, 2, 3) AND p_size % 5 >= 2 AND p_size <= 40 AND trim(p_name) <> ''
+WHERE (p_partkey % 9 = 0 OR regexp_matches(p_brand, '^Brand#[123][1-5]$') AND p_partkey NOT IN (1, 2, 3) AND p_size % 5 >= 2) AND p_size <= 40 AND trim(p_name) <> ''
 """
 
 
