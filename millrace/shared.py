@@ -37,8 +37,8 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     writer = df.write
-    if _scratch:  # many short-lived tables of numbers: no codec, whose buffers lie outside the heap until they are collected
-        writer = writer.option("compression", "none")
+    if _scratch:  # many short-lived tables of numbers: this codec frees its buffers when a file is closed, not when they are collected
+        writer = writer.option("compression", "zstd")
     writer.parquet(path)
     if len(_scratch) > keep:
         _scratch[-1 - keep].append(path)
