@@ -277,10 +277,10 @@ def session_roots(spark, d):
 
 
 def _stream(spark, rows, order, tag, files=4, at_once=2):
-    """A folder of its own, and rows as a stream of files in order, some at a time."""
-    folder = new_path(spark, tag)
-    rows.repartitionByRange(files, order).write.parquet(f"{folder}/in")
-    return folder, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/in")
+    """A folder of its own, and rows as a stream of files in order, some at a time: at_once in files parts of them, each in as many files as the splits of the input ask for, so that no task writes or reads a whole part."""
+    folder, each = new_path(spark, tag), max(1, -(-rows.rdd.getNumPartitions() // files))
+    rows.repartitionByRange(files * each, order).write.parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once * each).parquet(f"{folder}/in")
 
 
 def _run(stream, fold, folder):
@@ -313,7 +313,7 @@ def card_facts(spark, d):
 
 
 def stream_cards(spark, d):
-    """Reply cards folded in the state of a stream from drafts and events alone, whose files are in no order of time."""
+    """Reply cards kept by micro-batches from drafts and events alone, whose files are in no order of time."""
     facts = card_facts(spark, d)
     folder, stream = _stream(spark, facts.withColumn("file", F.hash("draft_id", "kind", "id")), "file", "cards-state", 6, 2)
     view = folds.CardsView(spark, folder)

@@ -1,71 +1,46 @@
-"""Folds whose state is the stream's own: reply cards from drafts and events that arrive in any order, doubled or late.
+"""Folds of events into states, kept by a stream: reply cards from drafts and events that arrive in any order, doubled or late.
 
-State lives in the stream's state store (RocksDB), by draft: its times, and its events by (time, id), where an event that
-comes twice has one place. What a batch touches is folded again in the order of events, so an event that comes after
-later ones still has its effect. State goes with the checkpoint: a restart goes on where it was. A draft's events, which are a
-few decisions about one reply, are sorted in memory; nothing else is held.
+Facts are kept as they arrive, by micro-batch and bucket of the draft. The cards that a batch touches are folded again from all facts of
+theirs, in the order of events and with the fold of the batch operator, so an event that comes after later ones still has its
+effect, and one that comes twice, by time and id, counts once. Nothing is held in a worker: a draft's events are sorted by Spark.
+The stream's checkpoint tells what has been taken in: a restart goes on where it was, and a batch that runs again replaces itself.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from millrace.operators.states import CARD_STEPS
+from millrace.operators.states import CARD_STATES, CARD_STEPS, fold
 from millrace.shared import materialize
-from millrace.streaming.views import Buckets
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CARD = "state string, updated_us long, taken long, expires_us long"
-
-
-class CardFold(StatefulProcessor):
-    """The state of one draft's card; rows have kind (draft or event), at_us, expires_us, id, event."""
-
-    def __init__(self, key: str, key_type: str) -> None:
-        self.key, self.output = key, f"{key} {key_type}, {CARD}"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.draft = handle.getValueState("draft", "created_us long, expires_us long")
-        self.events = handle.getMapState("events", "at_us long, id string", "event string")
+from millrace.streaming.views import Arrivals, Buckets, run_available
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        for batch in rows:
-            for r in batch.itertuples(index=False):
-                if r.kind == "draft":
-                    self.draft.update((int(r.at_us), None if pd.isna(r.expires_us) else int(r.expires_us)))
-                else:
-                    self.events.updateValue((int(r.at_us), r.id), (r.event,))
-        if not self.draft.exists():  # events of a draft that has not arrived wait for it
-            return
-        created, expires = self.draft.get()
-        state, updated, taken = "pending", created, 0
-        for (at, _), (event,) in sorted(self.events.iterator(), key=lambda e: e[0]):
-            if to := CARD_STEPS.get(event, {}).get(state):
-                state, updated, taken = to, at, taken + 1
-        row = pd.DataFrame({self.key: [key[0]], "state": [state], "updated_us": [updated], "taken": [taken]})
-        yield row.assign(expires_us=pd.array([expires], dtype="Int64"))
 
-    def close(self) -> None:
-        pass
+def fold_cards(facts: DataFrame, key: str) -> DataFrame:
+    """The card of each draft in facts (key, kind, id, at_us, expires_us, event, arrival): key, state, updated_us, taken, expires_us. Of a draft or an event that comes again, the one that arrived last counts."""
+    draft = F.col("kind") == "draft"
+    drafts = facts.where(draft).groupBy(key).agg(F.max_by(F.struct("at_us", "expires_us"), "arrival").alias("draft"))
+    events = facts.where(~draft).groupBy(key, "at_us", "id").agg(F.max_by(F.struct("event"), "arrival").alias("e"))
+    told = events.where(F.col("e.event").isin(*CARD_STEPS)).select(key, "id", F.timestamp_micros("at_us").alias("at"), "e.event")  # others leave a state as it is
+    folded = fold(told, key, ["id"], "event", CARD_STATES, CARD_STEPS, "pending", "at")
+    state, updated = F.coalesce("state", F.lit("pending")), F.coalesce(F.unix_micros("updated"), "draft.at_us")
+    return drafts.join(folded, key, "left").select(key, state.alias("state"), updated.alias("updated_us"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "draft.expires_us")
 
 
 class CardsView:
-    """The latest card of each draft, as the fold gives it; a batch that runs again writes the same rows."""
+    """The latest card of each draft, as the fold gives it; events of a draft that has not arrived wait for it. A batch that runs again writes the same rows."""
 
     def __init__(self, spark: SparkSession, folder: str, key: str = "draft_id") -> None:
         self.spark, self.key, self.store = spark, key, Buckets(spark, f"{folder}/cards", key)
+        self.arrivals = Arrivals(spark, f"{folder}/arrived", key)
 
-    def fold(self, batch: DataFrame, _: int = 0) -> None:
-        now = materialize(batch, "cards")
-        buckets = self.store.touched(now)
+    def fold(self, batch: DataFrame, number: int = 0) -> None:
+        self.arrivals.take(batch, number)
+        keys = materialize(batch.select(self.key).distinct(), "touched")
+        now = fold_cards(self.arrivals.of(keys, batch, "arrival"), self.key)
+        buckets = self.store.touched(keys)
         old = self.store.read(buckets)
-        self.store.replace(buckets, old.join(now, self.key, "left_anti").unionByName(now) if old is not None else now)
+        self.store.replace(buckets, old.join(keys, self.key, "left_anti").unionByName(now) if old is not None else now)
 
     def current(self, now: str) -> DataFrame | None:
         """draft_id, state, updated_at, taken, as of a time: a pending card that expires before it is expired."""
@@ -78,15 +53,7 @@ class CardsView:
 
 def run_cards(facts: DataFrame, view: CardsView, checkpoint: str) -> None:
     """Folds what a stream of facts (draft_id, kind, id, at, expires_at, event) has by now into a view; goes on from its checkpoint."""
-    spark, key = view.spark, view.key
+    key = view.key
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias(f"{c}_us")
     rows = facts.where(F.col(key).isNotNull() & F.col("at").isNotNull()).select(key, "kind", F.coalesce("id", F.lit("")).alias("id"), micros("at"), micros("expires_at").alias("expires_us"), "event")
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
-        fold = CardFold(key, facts.schema[key].dataType.simpleString())
-        cards = rows.groupBy(key).transformWithStateInPandas(statefulProcessor=fold, outputStructType=fold.output, outputMode="Update", timeMode="None")
-        query = cards.writeStream.foreachBatch(view.fold).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
+    run_available(rows, view.fold, checkpoint).awaitTermination()

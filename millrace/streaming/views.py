@@ -24,6 +24,11 @@ def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], che
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def balanced(rows: DataFrame, bucket: str) -> DataFrame:
+    """rows dealt by bucket, for a write of folders: adaptive execution cuts a bucket that has become large into several tasks and files, and gives small ones to one task."""
+    return rows.hint("rebalance", F.col(bucket))
+
+
 class Buckets:
     """A table whose rows lie in folders by a hash of their key; a few folders are replaced at a time.
 
@@ -62,7 +67,7 @@ class Buckets:
         rows = materialize(rows.withColumns({"live": F.lit(True), "bucket": self.bucket()}), "bucket-rows")
         marks = self.spark.createDataFrame([(b,) for b in buckets], "bucket int").withColumn("live", F.lit(False))
         both = rows.unionByName(marks, allowMissingColumns=True).select(*[c for c in rows.columns if c != "bucket"], "bucket")
-        both.repartition(len(buckets) or 1, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
+        balanced(both, "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.folder)
 
 
 class KeyedView:
@@ -140,7 +145,7 @@ class Arrivals:
 
     def take(self, batch: DataFrame, number: int) -> None:
         rows = batch.where(F.col(self.key).isNotNull()).withColumn("arrival_bucket", self.bucket())
-        rows.repartition("arrival_bucket").write.mode("overwrite").partitionBy("arrival_bucket").parquet(f"{self.folder}/arrival={number}")
+        balanced(rows, "arrival_bucket").write.mode("overwrite").partitionBy("arrival_bucket").parquet(f"{self.folder}/arrival={number}")
 
     def rows(self, like: DataFrame) -> DataFrame:
         """All rows that have arrived, in the columns of like."""
@@ -150,10 +155,10 @@ class Arrivals:
         schema = StructType([*like.schema.fields, StructField("arrival_bucket", IntegerType()), StructField("arrival", LongType())])
         return self.spark.read.schema(schema).parquet(self.folder)
 
-    def of(self, keys: DataFrame, like: DataFrame) -> DataFrame:
-        """The rows of some keys that have arrived, from their buckets alone."""
+    def of(self, keys: DataFrame, like: DataFrame, *more: str) -> DataFrame:
+        """The rows of some keys that have arrived, from their buckets alone; more: arrival, the number of the batch."""
         here = sorted(r[0] for r in keys.select(self.bucket()).distinct().collect())
-        return self.rows(like).where(F.col("arrival_bucket").isin(here)).join(keys, self.key, "left_semi").select(*like.columns)
+        return self.rows(like).where(F.col("arrival_bucket").isin(here)).join(keys, self.key, "left_semi").select(*like.columns, *more)
 
 
 class ArrivedView(RecomputedView):

@@ -615,3 +615,12 @@ def test_routing_key_keeps_nanoseconds_beyond_the_second(spark):
     rows = rows.select("k", F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("us")).alias("published"), (F.lit(1_700_000_000_000_000_000) + F.col("us") * 1000 + F.col("ns")).alias("published_nanos"), F.lit("s").alias("source_system"), F.lit("c").alias("source_container"))
     got = {r.k: r.fine_published for r in lake.routing_key(rows).collect()}
     assert got == {1: "2023-11-14T22:13:20.999999500Z", 2: "2023-11-14T22:13:20.100000500Z", 3: "2023-11-14T22:13:20.000005007Z"}
+
+
+def test_cards_are_folded_without_python_state(spark):
+    """What arrived last of a draft or an event counts, noise and events of unknown drafts do not; no row goes through Python."""
+    rows = [(1, "draft", "", 0, None, None, 0), (1, "draft", "", 5, 9, None, 1), (1, "event", "a", 7, None, "approved", 0), (1, "event", "a", 7, None, "skipped", 1), (1, "event", "b", 8, None, "noise", 1), (2, "event", "a", 1, None, "approved", 0), (3, "draft", "", 2, 4, None, 0)]
+    facts = spark.createDataFrame(rows, "draft_id long, kind string, id string, at_us long, expires_us long, event string, arrival long")
+    cards = folds.fold_cards(facts, "draft_id")
+    assert {tuple(r) for r in cards.collect()} == {(1, "skipped", 7, 1, 9), (3, "pending", 2, 0, 4)}
+    assert "Python" not in cards._jdf.queryExecution().executedPlan().toString()
