@@ -624,3 +624,21 @@ def test_cards_are_folded_without_python_state(spark):
     cards = folds.fold_cards(facts, "draft_id")
     assert {tuple(r) for r in cards.collect()} == {(1, "skipped", 7, 1, 9), (3, "pending", 2, 0, 4)}
     assert "Python" not in cards._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_a_stream_are_many_files(spark):
+    """A stream's part is in as many files as the input's splits ask for, and one trigger takes them all; a bucket that is large is written by several tasks."""
+    from millrace.plans import record_queries
+
+    folder, stream = record_queries._stream(spark, spark.range(0, 4000, 1, 16), "id", "parts")
+    batches = []
+    record_queries._run(stream, lambda batch, number: batches.append((number, batch.count())), folder)
+    assert [k for k, _ in batches] == [0, 1] and sum(n for _, n in batches) == 4000 and len(spark.read.parquet(f"{folder}/in").inputFiles()) == 16
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+        store = views.Buckets(spark, f"{folder}/table", "k", 1)
+        store.replace([0], spark.range(0, 20000, 1, 16).select(F.lit(1).alias("k"), "id"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    assert store.read().count() == 20000 and len(store.read([0]).inputFiles()) > 2
