@@ -642,3 +642,15 @@ def test_parts_of_a_stream_are_many_files(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
     assert store.read().count() == 20000 and len(store.read([0]).inputFiles()) > 2
+
+
+def test_ngrams_are_made_in_slices(spark, monkeypatch):
+    """A batch's n-grams go to Arrow a few texts at a time; nulls and empty texts keep their places."""
+    import pyarrow as pa
+
+    made = []
+    array = pa.array
+    monkeypatch.setattr(T, "NGRAM_CHARS", 4)
+    monkeypatch.setattr(T.pa, "array", lambda rows, *kind: made.append(len(rows)) or array(rows, *kind))
+    got = T._ngrams.func(array(["abcd", None, "", "aaa", "xy", "abc"]), array([3] * 6))
+    assert got.to_pylist() == [["abc", "bcd"], None, [], ["aaa"], [], ["abc"]] and made == [1, 4, 1] and got.type == pa.list_(pa.string())
