@@ -47,14 +47,21 @@ def source_roots(supplementals: DataFrame) -> DataFrame:
     above, whose pairs are doubled in turn: a chain of n links takes log2(n) rounds of n pairs, and pairs of all ancestors
     are never held. A round that adds no root is the last, with cycles too: a root that is farther away would be new to a node nearer to it.
     """
-    jumps = materialize(supplementals.select("id", F.explode("parents").alias("at")).where("at is not null").distinct(), "jumps")
-    roots = materialize(supplementals.select("id", F.explode("observations").alias("root")).where("root is not null").distinct(), "roots")
-    before, now = -1, roots.count()
-    while now != before and not jumps.isEmpty():
-        above = jumps.join(roots.withColumnRenamed("id", "at"), "at").select("id", "root")
-        roots = materialize(roots.unionByName(above).distinct(), "roots")
-        jumps = materialize(jumps.join(jumps.select(F.col("id").alias("at"), F.col("at").alias("at2")), "at").select("id", F.col("at2").alias("at")).distinct(), "jumps")
+    jumps = supplementals.select("id", F.explode("parents").alias("at")).where("at is not null")
+    roots = supplementals.select("id", F.explode("observations").alias("root")).where("root is not null")
+    before, now = -1, 0
+    while True:
+        ahead = roots.select(F.col("id").alias("at"), "root", F.lit(None).cast(jumps.schema["at"].dataType).alias("at2"))
+        ahead = ahead.unionByName(jumps.select(F.col("id").alias("at"), F.lit(None).cast(roots.schema["root"].dataType).alias("root"), F.col("at").alias("at2")))
+        steps = materialize(jumps.join(ahead, "at").select("id", "root", "at2"), "steps")  # one join adds roots and doubles links
+        roots = roots.unionByName(steps.where("root is not null").select("id", "root"))
+        jumps = steps.where("at2 is not null").select("id", F.col("at2").alias("at"))
+        if jumps.isEmpty():  # no link goes on: copies of roots fall together below
+            break
+        roots, jumps = materialize(roots.distinct(), "roots"), materialize(jumps.distinct(), "jumps")
         before, now = now, roots.count()
+        if now == before:
+            break
     found = roots.groupBy("id").agg(F.array_sort(F.collect_set("root")).alias("roots"))
     direct = F.array_sort(F.array_distinct(F.concat("observations", "parents")))
     return supplementals.join(found, "id", "left").select("id", F.coalesce("roots", direct).alias("roots"))

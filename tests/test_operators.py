@@ -654,3 +654,13 @@ def test_ngrams_are_made_in_slices(spark, monkeypatch):
     monkeypatch.setattr(T.pa, "array", lambda rows, *kind: made.append(len(rows)) or array(rows, *kind))
     got = T._ngrams.func(array(["abcd", None, "", "aaa", "xy", "abc"]), array([3] * 6))
     assert got.to_pylist() == [["abc", "bcd"], None, [], ["aaa"], [], ["abc"]] and made == [1, 4, 1] and got.type == pa.list_(pa.string())
+
+
+def test_source_roots_of_one_link_take_one_join(spark, monkeypatch):
+    """Without a second link nothing is doubled or written again; copies of an id and of a link add nothing."""
+    written = []
+    monkeypatch.setattr(graph, "materialize", lambda df, tag: written.append(tag) or df.localCheckpoint())
+    sup = [("o1", [], ["l1", "l2", "l1"]), ("o1", [], ["l2"]), ("o2", [], []), ("o3", ["x"], ["none"]), ("l1", ["p"], []), ("l2", ["q", "p", None], [])]
+    got = graph.source_roots(spark.createDataFrame(sup, "id string, observations array<string>, parents array<string>"))
+    assert sorted((r.id, tuple(x for x in r.roots if x)) for r in got.collect()) == [("l1", ("p",)), ("l2", ("p", "q")), ("o1", ("p", "q")), ("o1", ("p", "q")), ("o2", ()), ("o3", ("x",))]
+    assert written == ["steps"]
