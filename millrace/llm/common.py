@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.shared import materialize, new_path, scratch, shared_dir  # noqa: F401
@@ -48,8 +50,8 @@ def with_key(df: DataFrame, k1: str, k2: str) -> DataFrame:
 def keep_keys(df: DataFrame, every: DataFrame, kept: DataFrame) -> DataFrame:
     """The rows of df whose key (with_key) is in kept, one for each; every has the keys of all rows (k1, k2), kept some of them, once each.
 
-    The rows that go are named by an anti join with the keys that go, which are mostly few. Keys of repeated rows
-    go with them, and one row of each that is kept comes back.
+    The rows that go are named by an anti join with the keys that go, which are mostly few; rows that a Bloom filter
+    of these rules out take no part in it. Keys of repeated rows go with them, and one row of each that is kept comes back.
     """
     names = [f"`{n}`" for n in df.columns]
     k1, k2 = unused(df, "k1"), unused(df, "k2")
@@ -69,6 +71,34 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def bloom_place(h: Column, blocks: int) -> tuple[Column, Column]:
+    """The block of a 64-bit hash in a Bloom filter of so many blocks, and its four bits there."""
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")) for i in range(4)]
+    return F.pmod(F.shiftrightunsigned(h, 24), F.lit(blocks)), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def bloom(hashes: DataFrame, keys: int, most_blocks: int = 1 << 17, keys_per_block: int = 4) -> tuple[DataFrame, int]:
+    """block, word of the filter over hashes (bloom_hash), at most most_blocks rows; the number of blocks."""
+    blocks = max(1, min(most_blocks, math.ceil(keys / keys_per_block)))
+    block, bits = bloom_place(F.col("bloom_hash"), blocks)
+    return hashes.select(block.alias("block"), bits.alias("bits")).groupBy("block").agg(F.bit_or("bits").alias("word")), blocks
+
+
+def probed(df: DataFrame, keys: list[str], named: DataFrame, flag: str) -> DataFrame:
+    """df with a flag: whether the row's keys may be among those of named (the same columns, a written table).
+
+    Told by a broadcast Bloom filter of bounded size, so a join with named need not shuffle the rows that have no match. A key that is
+    there is always flagged; of the others some may be.
+    """
+    hashed = F.xxhash64(F.lit("bloom"), *[F.col(f"`{k}`") for k in keys])
+    words, blocks = bloom(named.select(hashed.alias("bloom_hash")), named.count())
+    words = materialize(words, "bloom-words", keep=True)
+    block, word = unused(df, "bloom_block"), unused(df, "bloom_word")
+    at, bits = bloom_place(hashed, blocks)
+    both = df.withColumn(block, at).join(F.broadcast(words.select(F.col("block").alias(block), F.col("word").alias(word))), block, "left")
+    return both.select(*[f"`{c}`" for c in df.columns], F.coalesce(F.col(word).bitwiseAND(bits) == bits, F.lit(False)).alias(flag))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str | int = "text", most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the text column (by name or place) of each holds about most_bytes at most, or one row."""
     for batch in batches:

@@ -10,6 +10,9 @@ that reach min_words words with their last (or first) line, and such a window ho
 at most: rounds beyond that depth add nothing. A window of m lines is named by the ranks, by k lines
 with k <= m < 2k, at its start and k lines before its end; equal names are the members of an
 interval of common prefix m. Each member but the earliest is a later copy, and its lines go.
+
+All tables that are joined here grow with the input, so none is broadcast at any size: a join that is one at a small size
+and shuffles at a larger one would grow faster than its input. Of the texts, only those that may have a copy are shuffled.
 """
 
 from __future__ import annotations
@@ -85,7 +88,7 @@ def ranked(suffixes: DataFrame, tag: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = pairs.repartitionByRange(parts, "id1", "id2").sortWithinPartitions("id1", "id2").select("id1", "id2", F.monotonically_increasing_id().alias("rank"))
     order = common.materialize(order, f"{tag}-order")
-    return common.materialize(suffixes.select("row", "pos", "id1", "id2").join(order, ["id1", "id2"]).select("row", "pos", "rank"), tag)
+    return common.materialize(suffixes.select("row", "pos", "id1", "id2").join(order.hint("merge"), ["id1", "id2"]).select("row", "pos", "rank"), tag)
 
 
 def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -99,19 +102,19 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     suffixes = lines
     while k <= min_words:
         ranks = ranked(suffixes, f"ranks-{k}")
-        named = owners.where(F.col("m").between(k, 2 * k - 1)).join(ranks, ["row", "pos"])
+        named = owners.where(F.col("m").between(k, 2 * k - 1)).join(ranks.hint("merge"), ["row", "pos"])
         last = ranks.select("row", F.col("pos").alias("last"), F.col("rank").alias("last_rank"))
-        named = named.withColumn("last", (F.col("pos") + F.col("m") - k).cast("int")).join(last, ["row", "last"])
+        named = named.withColumn("last", (F.col("pos") + F.col("m") - k).cast("int")).join(last.hint("merge"), ["row", "last"])
         found.append(named.select("m", "rank", "last_rank", "row", "pos", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos").alias("place")))
         ahead = ranks.select("row", (F.col("pos") - k).cast("int").alias("pos"), F.col("rank").alias("id2"))
-        suffixes = ranks.withColumnRenamed("rank", "id1").join(ahead, ["row", "pos"])
+        suffixes = ranks.withColumnRenamed("rank", "id1").join(ahead.hint("merge"), ["row", "pos"])
         k *= 2
         if k <= min_words and suffixes.isEmpty():
             break
     named = common.materialize(reduce(DataFrame.unionByName, found), "windows")
     first = named.groupBy("m", "rank", "last_rank").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = common.materialize(first.drop("n"), "first-places")  # a join of two tables: adaptive execution can split a frequent interval
-    return named.join(first, ["m", "rank", "last_rank"]).where("place <> first").select("row", "pos", "m")
+    return named.join(first.hint("merge"), ["m", "rank", "last_rank"]).where("place <> first").select("row", "pos", "m")
 
 
 def without(text: str, gone: np.ndarray) -> tuple[str, int, int]:
@@ -138,12 +141,15 @@ def remove_later_copies(docs: DataFrame, min_words: int = 50, counts: tuple[str,
     lines. A column of docs that is named as a count stays as it is: the count then has an underscore after its name.
     """
     names, counts = docs.columns, tuple(common.unused(docs, c) for c in counts)
-    place, copies_place, copies = (common.unused(docs, n) for n in ("place", "copies_place", "copies"))
+    place, copies, some = (common.unused(docs, n) for n in ("place", "copies", "some"))
     numbered = common.numbered(docs, place)
     with common.scratch(docs.sparkSession):
         found = later_copies(numbered.select(F.col(place).alias("row"), "doc_id", "text"), min_words)
-        found = common.materialize(found.groupBy(F.col("row").alias(copies_place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies)), "copies", keep=True)  # bounded by the document's lines
-    both = numbered.join(found, F.col(place) == F.col(copies_place), "left").select(*[f"`{n}`" for n in names], copies)
+        found = common.materialize(found.groupBy(F.col("row").alias(place)).agg(F.collect_list(F.struct("pos", "m")).alias(copies)), "copies", keep=True)  # bounded by the document's lines
+    columns = [*(f"`{n}`" for n in names), copies]
+    told = common.probed(numbered, [place], found, some)
+    both = told.where(~F.col(some)).withColumn(copies, F.lit(None).cast(found.schema[copies].dataType)).select(*columns)
+    both = both.unionByName(told.where(some).join(found.hint("merge"), place, "left").select(*columns))
     at = common.place_of(docs, "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
