@@ -57,8 +57,11 @@ def keep_keys(df: DataFrame, every: DataFrame, kept: DataFrame) -> DataFrame:
     k1, k2 = unused(df, "k1"), unused(df, "k2")
     each = every.groupBy("k1", "k2").agg(F.count("*").alias("n")).join(kept.withColumn("stays", F.lit(True)), ["k1", "k2"], "left").where("n > 1 or stays is null")
     each = materialize(each.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.coalesce("stays", F.lit(False)).alias(unused(df, "stays"))), "keys-gone", keep=True)
-    keyed = with_key(df, k1, k2)
-    left = keyed.join(each, [k1, k2], "left_anti").select(*names)
+    some = unused(df, "some")
+    keyed = probed(with_key(df, k1, k2), [k1, k2], each, some)
+    left = keyed.where(~F.col(some)).select(*names)
+    keyed = keyed.where(some)
+    left = left.unionByName(keyed.join(each, [k1, k2], "left_anti").select(*names))
     again = each.where(f"`{unused(df, 'stays')}`")
     if again.isEmpty():
         return left

@@ -270,8 +270,9 @@ def sets_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
         for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, hashes).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["row", "hs"])
 
-    rows = common.materialize(rows, "near-ends")  # of a known size, so that the texts are shuffled only if it is large
-    found = keyed.select("k1", "k2", "text").join(rows, ["k1", "k2"]).select("row", "text").dropDuplicates(["row"])
+    rows = common.materialize(rows, "near-ends")
+    some = common.probed(keyed.select("k1", "k2", "text"), ["k1", "k2"], rows, "some").where("some")  # only these texts are shuffled
+    found = some.join(rows, ["k1", "k2"]).select("row", "text").dropDuplicates(["row"])
     return found.mapInArrow(cut, "row long, hs array<long>")
 
 

@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from millrace.llm import common, line_runs
+from millrace.llm import common, line_runs, near_copies
 
 
 def written(spark):
@@ -42,6 +43,13 @@ def test_line_dedup_shuffles_texts_with_copies_alone(spark, no_broadcast):
     assert found == dict(data) | {200 + k: "and more" for k in range(3)}
 
 
+def test_near_dedup_shuffles_texts_with_copies_alone(spark, no_broadcast, monkeypatch):
+    monkeypatch.setattr(near_copies, "frequent", lambda docs: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))  # its sample would be all of so few texts
+    data = texts(lambda t: t + " and more")
+    found = check(spark, data, near_copies.keep_one)
+    assert found == dict(data[:200])
+
+
 def test_possible_rows_include_all_that_match(spark):
     rows = spark.range(5000).selectExpr("id", "cast(null as string) as bloom_word")
     named = common.materialize(spark.range(0, 9000, 3).selectExpr("id"), "named")
