@@ -105,13 +105,16 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
         named = owners.where(F.col("m").between(k, 2 * k - 1)).join(ranks.hint("merge"), ["row", "pos"])
         last = ranks.select("row", F.col("pos").alias("last"), F.col("rank").alias("last_rank"))
         named = named.withColumn("last", (F.col("pos") + F.col("m") - k).cast("int")).join(last.hint("merge"), ["row", "last"])
-        found.append(named.select("m", "rank", "last_rank", "row", "pos", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos").alias("place")))
+        named = named.select("m", "rank", "last_rank", "row", "pos", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos").alias("place"))
+        found.append(common.materialize(named, f"windows-{k}"))  # each round's joins are a plan of their own, which keeps the driver's part small
         ahead = ranks.select("row", (F.col("pos") - k).cast("int").alias("pos"), F.col("rank").alias("id2"))
-        suffixes = ranks.withColumnRenamed("rank", "id1").join(ahead.hint("merge"), ["row", "pos"])
         k *= 2
-        if k <= min_words and suffixes.isEmpty():
+        if k > min_words:
             break
-    named = common.materialize(reduce(DataFrame.unionByName, found), "windows")
+        suffixes = common.materialize(ranks.withColumnRenamed("rank", "id1").join(ahead.hint("merge"), ["row", "pos"]), f"suffixes-{k}")  # read twice
+        if suffixes.isEmpty():
+            break
+    named = reduce(DataFrame.unionByName, found)
     first = named.groupBy("m", "rank", "last_rank").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     first = common.materialize(first.drop("n"), "first-places")  # a join of two tables: adaptive execution can split a frequent interval
     return named.join(first.hint("merge"), ["m", "rank", "last_rank"]).where("place <> first").select("row", "pos", "m")

@@ -58,3 +58,14 @@ def test_possible_rows_include_all_that_match(spark):
     hit = {r.id for r in told.where("some").collect()}
     assert hit >= set(range(0, 5000, 3)) and len(hit) < 2000
     assert told.count() == 5000 and common.probed(rows, ["id"], common.materialize(named.where("false"), "none"), "some").where("some").count() == 0
+
+
+def test_line_dedup_plans_stay_small(spark, monkeypatch):
+    """No plan of line dedup joins the windows of more than one depth: the driver keeps and renews a plan as a whole."""
+    joins, write = [], common.materialize
+    monkeypatch.setattr(common, "materialize", lambda df, tag, **more: joins.append(df._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")) or write(df, tag, **more))
+    lines = [" ".join(f"w{i}x{j}" for j in range(7)) for i in range(40)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[5:30])), (3, "\n".join(lines[::-1]))], "doc_id long, text string")
+    done = {r.doc_id: r.n_gone for r in line_runs.remove_later_copies(docs).collect()}
+    assert done == {1: 0, 2: 25, 3: 0}
+    assert max(joins) <= 3

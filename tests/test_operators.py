@@ -664,3 +664,15 @@ def test_source_roots_of_one_link_take_one_join(spark, monkeypatch):
     got = graph.source_roots(spark.createDataFrame(sup, "id string, observations array<string>, parents array<string>"))
     assert sorted((r.id, tuple(x for x in r.roots if x)) for r in got.collect()) == [("l1", ("p",)), ("l2", ("p", "q")), ("o1", ("p", "q")), ("o1", ("p", "q")), ("o2", ()), ("o3", ("x",))]
     assert written == ["steps"]
+
+
+def test_component_rounds_of_few_edges_shuffle_nothing(spark, monkeypatch):
+    """Few edges are one partition, whose plan has no exchange by node; with more the components are the same."""
+    plans, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, tag, **more: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, tag, **more))
+    pairs = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 1), (129, 101)]
+    edges = spark.createDataFrame(pairs, "a int, b int")
+    got = {r.node: r.component for r in components.connected_components(edges).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
+    assert len(plans) > 3 and not any("Exchange hashpartitioning" in p for p in plans[1:])
+    assert {r.node: r.component for r in components.connected_components(edges, few=0).collect()} == got
