@@ -462,6 +462,19 @@ def test_workspace_corpus(spark):
     assert workspace.workspace_corpus(table.where("false")).count() == 0
 
 
+
+def test_workspace_corpus_parses_once(spark):
+    """Each payload is parsed once, and snapshots travel as text, dealt by id; names that JSON escapes are found all the same."""
+    snapshot = lambda id, service, meta="{}", **more: (id, "schema:workspace-object-snapshot", json.dumps({"title": id, **more, "artifact": {"service": service, "objectType": "form", "sourceObjectId": id}}).replace("linkedS", r"linked\u0053"), meta)
+    tabs = [{"name": "T", "rows": [{"rowNumber": 2, "cells": [{"value": "x"}]}]}]
+    observations = [snapshot("s", "sheets", native={"tabs": tabs}), snapshot("s2", "sheets", native={"tabs": tabs}), snapshot("s3", "sheets", native={"tabs": tabs}, metadata={"formResponseSheet": "true"}), snapshot("f", "forms", metadata={"linkedSheetId": "s"}), snapshot("f2", "forms", r'{"\u0072etracts": {}}'), snapshot("f3", "forms", '{"text": "retracts"}')]
+    table = spark.createDataFrame(observations, "id string, schema string, payload string, meta string").withColumn("published", F.timestamp_seconds(F.lit(5)))
+    found = workspace.workspace_corpus(table, corpus.Config(opted_out_people=("quits",)))
+    assert sorted(r.record_id for r in found.collect()) == ["corpus:forms:f3:form", "corpus:forms:f:form", "corpus:sheets:s2:T:2", "corpus:sheets:s3:T:2"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(payload") == 2 and plan.count("RepartitionByExpression") == 1  # of snapshots and of messages
+
+
 def test_snapshots_reach_the_corpus(spark):
     deck = snapshots.slides(spark.createDataFrame([("p", "r", "Deck", "http://p", None, "own", ["e"], None, None, "blob:sha256:n", ["blob:sha256:a", "b"])], snapshots.SLIDES).withColumn("modified", F.timestamp_micros(F.lit(1_500_000))))
     (row,) = deck.collect()
